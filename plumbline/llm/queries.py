@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.jaccard import near_duplicates
+from plumbline.llm.lmscore import score_documents
 from plumbline.llm.mixing import replicate
 from plumbline.llm.packing import pack_along_curve
-from plumbline.llm.shared import table
+from plumbline.llm.pii import find_pii
+from plumbline.llm.quality import judge
+from plumbline.llm.secretscan import scan_secrets
+from plumbline.llm.separators import flat_files, scan_separators
+from plumbline.llm.shared import table, written
+from plumbline.llm.urlfilter import RULES, filter_urls
 from plumbline.llm.wordtok import default_path
 
 
@@ -14,6 +21,36 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(table(spark, sf_dir, "documents"), default_path())
 
 
+def op2_forest_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from flat files of their ids; 49407 ends a document."""
+    blocks = written(flat_files(table(spark, sf_dir, "documents"), default_path(), 49407))
+    return scan_separators(blocks, 49407)
+
+
+def op6_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source to the same share of as many rows as there are."""
     return replicate(table(spark, sf_dir, "documents"))
@@ -36,7 +73,14 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1)) AS copy
 
 QUERIES = {
     "op1_curve_packing": op1_curve_packing,
+    "op2_forest_jaccard": op2_forest_jaccard,
+    "op3_context_mixing": op3_context_mixing,
+    "op4_quality_risk": op4_quality_risk,
+    "op5_separator_scan": op5_separator_scan,
+    "op6_pii_candidates": op6_pii_candidates,
     "op7_poisson_mixing": op7_poisson_mixing,
+    "op9_url_cascade": op9_url_cascade,
+    "op10_secret_ledger": op10_secret_ledger,
 }
 ORACLE_SQL = {
     "op7_poisson_mixing": OP7_SQL,
