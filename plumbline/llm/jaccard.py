@@ -251,8 +251,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the rows whose class has a lesser doc_id; of equal rows of one id, one stays. Null ids stay."""
+    """docs without the rows whose class has a lesser doc_id; of rows equal in id and text, one stays. Null ids stay."""
     judged = near_duplicates(docs, similarity).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("judged_id")).agg(F.min("class_id").alias("judged_class"))
     gone = judged.where("judged_id <> judged_class").select("judged_id")
     kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("judged_id"), "left_anti")
-    return kept
+    if docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))

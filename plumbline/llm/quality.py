@@ -140,6 +140,37 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     return counted.mapInPandas(run, "cut_stratum string, cut_rule string, cutoff double")
 
 
+def _wide(certified: DataFrame) -> DataFrame:
+    """A row for each stratum with its certified cutoffs (null: none); broadcast if there are few."""
+    wide = certified.groupBy("cut_stratum").pivot("cut_rule", RULES).agg(F.first("cutoff"))
+    wide = wide.select("cut_stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    held = wide.limit(MOST_BROADCAST_STRATA + 1).collect()
+    return F.broadcast(wide.sparkSession.createDataFrame(held, wide.schema)) if len(held) <= MOST_BROADCAST_STRATA else wide
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """The rows of docs that judge() keeps, as they are. Each row is judged by its own text as it streams by."""
+    wide = _wide(cutoffs(shared.written(features(docs)), labels, risk, error))
+    beside = docs.withColumn("cut_key", F.coalesce(F.col("lang").cast("string"), F.lit(""))).join(wide, F.col("cut_key") == F.col("cut_stratum"), "left").drop("cut_key", "cut_stratum")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].fill_null("")
+            at = 0
+            for measured in _features(iter([pa.record_batch({"doc_id": pa.nulls(batch.num_rows, pa.int64()), "text": texts})])):
+                part = batch.slice(at, measured.num_rows)
+                at += measured.num_rows
+                n_words, n_repeat = np.array(measured["n_words"]), np.array(measured["n_repeat_words"])
+                bad = (n_words < 20) | (100 * n_repeat > 30 * n_words)
+                for r in RULES:
+                    cutoff = part[f"cut_{r}"].to_numpy(zero_copy_only=False).astype(float)
+                    bad |= np.array(measured[r]) > np.where(np.isnan(cutoff), np.inf, cutoff)
+                yield part.select(names).filter(pa.array(~bad))
+
+    return beside.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """A row for each row of docs: its counts, base_failed, kept, and the rules that reject it.
 
@@ -149,12 +180,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     """
     measured = shared.written(features(docs))
     certified = cutoffs(measured, labels, risk, error)
-    wide = certified.groupBy("cut_stratum").pivot("cut_rule", RULES).agg(F.first("cutoff"))
-    wide = wide.select("cut_stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    held = wide.limit(MOST_BROADCAST_STRATA + 1).collect()
-    if len(held) <= MOST_BROADCAST_STRATA:
-        wide = F.broadcast(wide.sparkSession.createDataFrame(held, wide.schema))
-    joined = measured.join(wide, F.col("stratum") == F.col("cut_stratum"), "left")
+    joined = measured.join(_wide(certified), F.col("stratum") == F.col("cut_stratum"), "left")
     failing = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

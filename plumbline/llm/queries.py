@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm.ann import nearest
 from plumbline.llm.jaccard import near_duplicates
 from plumbline.llm.lmscore import score_documents
 from plumbline.llm.mixing import replicate
@@ -43,6 +45,10 @@ def op6_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -79,6 +85,7 @@ QUERIES = {
     "op5_separator_scan": op5_separator_scan,
     "op6_pii_candidates": op6_pii_candidates,
     "op7_poisson_mixing": op7_poisson_mixing,
+    "op8_multiprobe_neighbours": op8_multiprobe_neighbours,
     "op9_url_cascade": op9_url_cascade,
     "op10_secret_ledger": op10_secret_ledger,
 }
