@@ -3,8 +3,9 @@
 Largest inner product becomes nearest on the unit sphere: rows are scaled by the greatest norm and given one more
 component that makes them unit vectors, queries are scaled to unit length. Each table hashes by WIDE projections, cut
 into SLOTS slots floor((a.x + b) / w). A query visits a table's cells in the order of the estimated chance that they
-hold its near neighbours until those chances add up to the table's share of the target recall; candidates of all tables
-are scored exactly and merged. Equal vectors are indexed once, with their least ids.
+hold its near neighbours until those chances add up to a share; the share is the one at which the true neighbours of
+MEASURED queries, found among all rows, are found with the target recall. Candidates of all tables are scored exactly
+and merged. Equal vectors are indexed once, with their least ids.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 class Tables:
     """Projections, cuts, and the chances of cells."""
 
-    def __init__(self, sample: np.ndarray, greatest: float, near: float) -> None:
+    def __init__(self, sample: np.ndarray, greatest: float, near: float, lift: float) -> None:
         random = np.random.default_rng(_SEED)
-        self.greatest, self.near = greatest, min(max(near, 0.0), 0.999)
+        self.greatest, self.near, self.share = greatest, min(max(near, 0.0), 0.999), 1.0
+        self.lift = min(lift, math.sqrt(max(0.0, 0.999 - self.near**2)))  # the neighbours' added component
         self.planes = random.standard_normal((TABLES, sample.shape[1] + 1, WIDE))
         projected = np.einsum("nd,tdk->tnk", self.lifted(sample), self.planes)
         spread = np.maximum(projected.std(1), 1e-9)
@@ -59,10 +61,23 @@ class Tables:
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         projected = np.einsum("nd,tdk->tnk", np.column_stack([unit, np.zeros(len(unit))]), self.planes)
         edge = (np.arange(SLOTS - 1)[:, None] * self.width[:, None] - self.shift[:, None])[:, None]
-        below = _normal((edge - self.near * projected[:, :, None]) / math.sqrt(1 - self.near**2))
+        mean = self.near * projected[:, :, None] + self.lift * self.planes[:, None, None, -1]
+        below = _normal((edge - mean) / math.sqrt(1 - self.near**2 - self.lift**2))
         ends = np.ones_like(below[:, :, :1])
         return np.diff(np.concatenate([0 * ends, below, ends], 2), axis=2)
 
+    def calibrate(self, queries: np.ndarray, asked: np.ndarray, neighbours: np.ndarray) -> None:
+        """Sets the share of chances at which the target recall of (queries[asked[i]], neighbours[i]) is reached."""
+        slots, cells, every = self.slot_chances(queries), self.cells(neighbours), np.arange(SLOTS**WIDE)
+        needed = np.ones(len(asked))
+        for t in range(TABLES):
+            chance = self.cell_chances(slots[t], every)
+            order = np.argsort(-chance, axis=1, kind="stable")
+            mass = np.cumsum(np.take_along_axis(chance, order, 1), 1)
+            place = np.argsort(order, axis=1)[asked, cells[t]]
+            needed = np.minimum(needed, np.where(place > 0, mass[asked, place - 1], 0.0))
+        self.share = float(np.quantile(needed, TARGET, method="higher")) + 1e-9
+
     @staticmethod
     def cell_chances(slot: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """(query, cell) of one table's slot chances."""
@@ -112,13 +127,15 @@ def _measured(sample: np.ndarray, ids: np.ndarray, most: int):
             vid, rows = np.array(batch["vid"]), matrix(batch["vec"])
             norm = float(np.linalg.norm(rows, axis=1).max()) if len(rows) else 0.0
             score = _dots(sample, rows)
-            number, found = [], []
+            number, found, which = [], [], []
             for i in range(len(sample)):
                 score[i][vid == ids[i]] = -np.inf
                 at = _top(score[i], vid, most)
                 number += [i] * len(at)
                 found += score[i][at].tolist()
-            yield pa.record_batch({"i": pa.array([*number, -1], pa.int64()), "score": pa.array([*found, norm], pa.float64())})
+                which += at.tolist()
+            vec = batch["vec"].take(pa.array([*which, None], pa.int64()))
+            yield pa.record_batch({"i": pa.array([*number, -1], pa.int64()), "score": pa.array([*found, norm], pa.float64()), "vec": vec})
 
     return run
 
@@ -163,7 +180,6 @@ def _indexed(tables: Tables, directory: Directory):
 
 
 def _probing(tables: Tables, directory: Directory, least: int):
-    share = 1 - (1 - TARGET) ** (1 / TABLES)
     every = np.arange(SLOTS**WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +193,7 @@ def _probing(tables: Tables, directory: Directory, least: int):
                     order = np.argsort(-chance, axis=1, kind="stable")
                     mass = np.cumsum(np.take_along_axis(chance, order, 1), 1)
                     rows = np.cumsum(directory.counts[t][order], 1)
-                    stop = np.maximum((mass < share).sum(1), (rows < min(least, rows[0, -1])).sum(1))
+                    stop = np.maximum((mass < tables.share).sum(1), (rows < min(least, rows[0, -1])).sum(1))
                     stop = np.minimum(stop, len(every) - 1)
                     for q in range(batch.num_rows):
                         lowest = chance[q, order[q, stop[q]]]
@@ -256,13 +272,19 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20) -> DataFrame:
     asking = shared.written(rows.where("asks").select(F.col("vec_id").alias("query_id"), "vec").distinct().join(distinct.select("vec", F.col("vid").alias("q")), "vec").select("query_id", "q"))
     sample = distinct.orderBy(F.hash("vid"), "vid").limit(SAMPLE).collect()
     some, ids = np.array([r["vec"] for r in sample]), np.array([r["vid"] for r in sample])
-    measured = distinct.mapInArrow(_measured(some[:MEASURED], ids[:MEASURED], top), "i long, score double")
+    measured = distinct.mapInArrow(_measured(some[:MEASURED], ids[:MEASURED], top), "i long, score double, vec array<double>")
     measured = shared.written(measured)
     greatest = measured.where("i = -1").agg(F.max("score")).first()[0]
     nth = measured.where("i >= 0").withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score")))).where(F.col("k") <= top)
-    nth = nth.groupBy("i").agg(F.min("score").alias("score")).collect()  # MEASURED rows at most
-    near = float(np.median([r["score"] / np.linalg.norm(some[r["i"]]) / greatest for r in nth])) if nth else 0.0
-    tables = Tables(some, greatest, near)
+    nth = nth.collect()  # MEASURED * top rows at most
+    near = lift = 0.0
+    if nth:
+        asked, found = np.array([r["i"] for r in nth]), np.array([r["vec"] for r in nth])
+        scaled = np.array([r["score"] for r in nth]) / np.linalg.norm(some[asked], axis=1) / greatest
+        near, lift = float(np.median(scaled)), float(np.sqrt(np.maximum(1 - ((found / greatest) ** 2).sum(1), 0)).mean())
+    tables = Tables(some, greatest, near, lift)
+    if nth:
+        tables.calibrate(some[:MEASURED], asked, found)
     counts = np.zeros((TABLES, SLOTS**WIDE), np.int64)
     for r in distinct.mapInArrow(_celled(tables), "t long, cell long, n long").groupBy("t", "cell").agg(F.sum("n").alias("n")).collect():  # a row for each cell at most
         counts[r["t"], r["cell"]] = r["n"]

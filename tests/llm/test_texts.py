@@ -1,0 +1,318 @@
+"""Operators on texts against plain per-text versions."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from plumbline.llm import jaccard, lmscore, mixing, packing, pii, quality, secretscan, separators
+from plumbline.llm.wordtok import default_path, word_tokenizer
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def fold(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def library_ids(text):
+    return word_tokenizer(default_path()).library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_tokenizer_equals_library():
+    own = word_tokenizer(default_path())
+    for text in ["I'll don't A's x''", "naïve Éclair ÀÖß ﬁn İstanbul ΣΑΣ", "<|endoftext|> a<|startoftext|>b", "!!..,, a.b,c. 12ab", "日本語 x\x1cy é ́a", "", "a" * 200, "thered's, 'tis \x00 ok"]:
+        assert np.frombuffer(own.encode([text.encode()])[0], own.dtype).tolist() == library_ids(text), text
+
+
+def test_packing(docs, empty):
+    got = packing.pack_along_curve(docs, default_path(), seq_len=256).collect()
+    expected = Counter()
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+    for row in docs.collect():
+        expected[(row.doc_id, len(library_ids(row.text)) + 1)] += 1
+    for doc_id, found in pieces.items():
+        sizes = {n: k for (d, n), k in expected.items() if d == doc_id}
+        assert sum(r.length for r in found) == sum(n * k for n, k in sizes.items())
+        for n, k in sizes.items():
+            cover = np.zeros(n, int)
+            for r in found:
+                if r.doc_tokens == n:
+                    cover[r.start : r.start + r.length] += 1
+            assert (cover == k).all()
+    texts = {r.doc_id: library_ids(r.text) + [1] for r in docs.where("doc_id IS NOT NULL").collect()}
+    for r in got:
+        if r.doc_id is not None:
+            assert r.ids_crc32 == zlib.crc32(np.array(texts[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+    for found in sequences.values():
+        found.sort(key=lambda r: r.offset)
+        assert [r.offset for r in found] == [0, *np.cumsum([r.length for r in found])[:-1].tolist()]
+        total = sum(r.length for r in found)
+        assert total == 256 or total & (total - 1) == 0
+    assert packing.pack_along_curve(empty, default_path()).count() == 0
+
+
+def test_hilbert_neighbours():
+    cells = np.array(np.meshgrid(*[np.arange(8)] * 3)).reshape(3, -1).T
+    key = packing.hilbert_key(cells, 3)
+    assert sorted(key) == list(range(512))
+    steps = np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(1)
+    assert (steps == 1).all()
+
+
+def test_jaccard_is_exact(docs, empty):
+    texts = {r.doc_id: jaccard.shingles((r.text or "").encode()) for r in docs.where("doc_id IS NOT NULL").collect()}
+    copies = Counter(r.doc_id for r in docs.where("doc_id IS NOT NULL").collect())
+    got = {r.doc_id: r for r in jaccard.near_duplicates(docs).where("doc_id IS NOT NULL").collect()}
+    parent = {d: d for d in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = Counter()
+    for a in texts:
+        for b in texts:
+            n = len(np.intersect1d(texts[a], texts[b]))
+            if len(texts[a]) and len(texts[b]) and n >= 0.8 * (len(texts[a]) + len(texts[b]) - n):
+                links[a] += copies[b] - (a == b)
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {d: got[d].n_links for d in texts} == {d: links[d] for d in texts}
+    assert {d: got[d].class_id for d in texts} == {d: find(d) for d in texts}
+    assert jaccard.near_duplicates(empty).count() == 0
+    assert jaccard.near_duplicates(docs).count() == docs.count()
+
+
+def test_jaccard_large_group(spark):
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for i in range(260):
+        words = list(base)
+        words[(i * 7) % 120] = f"x{i}"
+        texts.append((i, " ".join(words)))
+    got = {r.doc_id: r for r in jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = [jaccard.shingles(t.encode()) for _, t in texts]
+    for i in (0, 17, 259):
+        n = [len(np.intersect1d(sets[i], s)) for s in sets]
+        assert got[i].n_links == sum(k >= 0.8 * (len(sets[i]) + len(s) - k) for k, s in zip(n, sets)) - 1
+    assert {r.class_id for r in got.values()} == {0}
+
+
+def test_kept_one(docs):
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert 6 not in ids and ids.count(5) == 1 and 8 not in ids and ids.count(None) == 2
+
+
+def test_lm_base_and_gain(docs, empty):
+    rows = docs.collect()
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    tokens = lambda t: WORD.findall(fold(t)) + ["\n"]
+    counts = Counter(w for r in rows if not held(r.doc_id) for w in tokens(r.text))
+    total = sum(counts.values())
+    got = {r.doc_id: r for r in lmscore.score_documents(docs).where("doc_id IS NOT NULL").collect()}
+    for r in rows:
+        if r.doc_id is None:
+            continue
+        g, t = got[r.doc_id], tokens(r.text)
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held(r.doc_id), len(t), sum(counts[w] > 0 for w in t), total)
+        assert math.isclose(g.base_score, sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in t), rel_tol=1e-9)
+        assert g.score < 0 and math.isclose(g.bits_per_byte, -g.score / math.log10(2) / g.n_bytes)
+    some = [g for g in got.values() if g.held_out and g.n_tokens > 20]
+    assert some and sum(g.score for g in some) > 1.05 * sum(g.base_score for g in some)  # words drawn alone: the base is the best there is
+    assert lmscore.score_documents(empty).count() == 0
+
+
+def test_mixture_is_a_distribution():
+    from plumbline.llm.mixture import SLOT_BITS, Mixture, increments, ORDERS, windows
+
+    data = np.frombuffer(b"\0\0\0\0\0" + b"the cat sat on the mat and the cat " * 20, np.uint8)
+    seen, times = np.unique(windows(data), return_counts=True)
+    model = Mixture.empty()
+    for i, order in enumerate(ORDERS):
+        slot, zero, one = increments(seen, times, order, SLOT_BITS[i])
+        model.zeros[i][slot], model.ones[i][slot] = zero, one
+    model.fit(seen, times)
+    every = (seen[3] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+    assert math.isclose((10 ** model.log10(every)).sum(), 1, rel_tol=1e-6)
+
+
+def test_quality_counts(spark, docs, empty):
+    labels = spark.createDataFrame([(d, 1, 0) for d in range(15, 35)], "doc_id long, quality int, toxic int")
+    got = quality.judge(docs, labels)
+    assert got.count() == docs.count()
+    by = {r.doc_id: r for r in got.where("doc_id IS NOT NULL").collect()}
+    for r in docs.where("doc_id IS NOT NULL").collect():
+        text, g = r.text or "", by[r.doc_id]
+        words = WORD.findall(text)
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        marked = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(marked))
+        assert g.base_failed == (len(words) < 20 or 100 * len(marked) > 30 * len(words))
+        assert not (g.base_failed and g.kept)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got.where("kept").collect())
+    assert quality.judge(empty, labels).count() == 0
+    assert quality.judge(docs, labels.limit(0)).where("kept").count() == got.where("not base_failed").count()
+
+
+def test_quality_bounds():
+    for n, k, p in [(50, 0, 0.05), (200, 3, 0.01), (10, 10, 0.5)]:
+        assert math.isclose(quality.at_most(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel_tol=1e-9)
+    assert quality.choose_cutoff([0] * 20, [0] * 5 + [9] * 15, 1000, 0.01, 0.01) == quality.CUTOFFS[5]
+    assert quality.choose_cutoff([0] * 20, [9] * 20, 10, 0.01, 0.01) is None
+
+
+def test_quality_controls_risk(spark):
+    """Over simulated strata, good documents beyond a chosen cutoff are rarely more than the risk allows."""
+    random = np.random.default_rng(3)
+    wrong = 0
+    for _ in range(200):
+        good = random.beta(1, 20, 800)
+        chosen = quality.choose_cutoff([(good > c).sum() for c in quality.CUTOFFS], [1 + i for i in range(20)], 800, 0.02, 0.05)
+        if chosen is not None:
+            wrong += (1 - chosen) ** 20 > 0.02
+    assert wrong <= 20
+
+
+def base_pii(text):
+    out = []
+    for kind, pattern in [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]:
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "card" and not (13 <= len(digits) <= 19 and pii.luhn(digits)) or kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def base_secrets(text):
+    out = []
+    for k, (kind, pattern) in enumerate([("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]):
+        for m in re.finditer(pattern, text, re.I | re.A if k == 0 else 0):
+            if (k == 0 and len(m[2]) >= 12) or (k == 1 and len(m[0]) >= 18) or (k == 2 and len(m[0]) >= 16):
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x for _, _, x in sorted(out)]
+
+
+HARD = [
+    "a@b.c @@ x@y@z.com q.@d.e.f 1.2.3.4.5.6.7.8 999.1.1.1 01.02.03.004 +1 (988) 555-2485 4041894974608795", "é日本 a_b%c+d-e@x-y.z..w 4111-1111 1111-1111 +12345678 +123456789", "1.2.3 1.2.3.4.5 256.1.1.1.1.1.1 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6",
+    "x@y @z.com a.b@c-d.e-f.g@h.i", "sEcRet:'AAAA1111BBBB' tokentoken=abcdefghijkl ſecret=abcdefghijklm API_KEY = \"abc.def/ghi=jkl\"", "AKIA1234567890AB AKIA1234567890ABCD deadbeefdeadbeefDEADBEEF0123456789abcdef0 password = short secret=" + "z" * 12,
+]
+
+
+def test_pii(spark, docs, empty):
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(HARD)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in pii.find_pii(both.where("doc_id IS NOT NULL")).collect()}
+    for r in both.where("doc_id IS NOT NULL").collect():
+        base, g = base_pii(r.text or ""), got[r.doc_id]
+        assert g.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest(), r.text
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(x.startswith(k) for x in base) for k in ("email", "ip", "card", "phone")]
+        assert set(base) <= set(filter(None, g.spans.split(",")))
+    assert pii.find_pii(empty).count() == 0 and pii.find_pii(docs).count() == docs.count()
+
+
+def test_pii_trees_on_held_out():
+    model, cutoff = pii.trained()
+    x, y = pii._sample()
+    p = model.probability(x[len(y) // 2 :])
+    y = y[len(y) // 2 :]
+    assert y[p >= cutoff].mean() > 0.99 and (p[y > 0] >= cutoff).mean() > 0.9
+    assert pii.find_personal("order 2012 345 6789, version 1.2.3 of 4.0", model, cutoff) == ([], [])
+    assert pii.find_personal("call 212-555-0187 now", model, cutoff)[1] == [("phone_local", 5, 17)]
+
+
+def test_secrets(spark, docs, empty):
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(HARD)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in secretscan.scan_secrets(both).where("doc_id IS NOT NULL").collect()}
+    for r in both.where("doc_id IS NOT NULL").collect():
+        base, g = base_secrets(r.text or ""), got[r.doc_id]
+        assert g.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest(), r.text
+        assert [g.n_assign, g.n_access, g.n_hex] == [sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex")]
+        assert set(base) <= set(filter(None, g.spans.split(",")))
+    assert secretscan.scan_secrets(empty).count() == 0 and secretscan.scan_secrets(docs).count() == docs.count()
+
+
+def test_ledger_is_incremental(docs):
+    first = secretscan.update_ledger(docs.where("doc_id < 10 OR doc_id IS NULL"))
+    again = secretscan.update_ledger(docs.where("doc_id < 10"), first)
+    assert again.count() == 0
+    more = secretscan.update_ledger(docs, first)
+    texts = {r.text or "" for r in docs.collect()}
+    assert first.count() + more.count() == len(texts)
+    assert secretscan.update_ledger(docs, first.unionByName(more), "next").count() == len(texts)
+
+
+def test_redaction(docs):
+    out = secretscan.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    for r in out.collect():
+        assert not base_secrets(r.text or "")
+    same = lambda df: Counter((r.doc_id, r.text) for r in df.collect() if not base_secrets(r.text or "") and "[secret]" not in (r.text or ""))
+    assert same(out) == same(docs)
+
+
+def test_separators(spark, docs, empty):
+    blocks = separators.flat_files(docs, default_path(), 49407, block_ids=64)
+    got = sorted(r.length for r in separators.scan_separators(blocks, 49407).collect())
+    assert got == sorted(len(library_ids(r.text)) + 1 for r in docs.collect())
+    made = {"f": [5, 9, 9, 1, 2, 3, 4, 5, 6, 7, 8, 9, 3], "g": [9], "h": [1, 2], "e": []}
+    rows = [(f, k, np.array(ids[k * 2 : k * 2 + 2], "<u2").tobytes(), "extra") for f, ids in made.items() for k in range(max(1, (len(ids) + 1) // 2))]
+    got = defaultdict(list)
+    for r in separators.scan_separators(spark.createDataFrame([(a, b, bytearray(c), d) for a, b, c, d in rows], "file string, block long, ids binary, at string"), 9).orderBy("file", "document").collect():
+        got[r.file].append((r.document, r.start, r.length, r.closed))
+    assert dict(got) == {"f": [(0, 0, 2, True), (1, 2, 1, True), (2, 3, 9, True), (3, 12, 1, False)], "g": [(0, 0, 1, True)], "h": [(0, 0, 2, False)]}
+    assert separators.scan_separators(separators.flat_files(empty, default_path(), 9), 9).count() == 0
+
+
+def test_separators_many_groups(spark):
+    random = np.random.default_rng(1)
+    ids = random.choice(np.arange(1, 40), 5000)
+    ids[random.random(5000) < 0.002] = 0
+    rows = [("f", k, bytearray(ids[k * 4 : k * 4 + 4].astype("<u2").tobytes())) for k in range(1250)]
+    got = [(r.start, r.length) for r in separators.scan_separators(spark.createDataFrame(rows, "file string, block long, ids binary").repartition(5), 0).orderBy("document").collect()]
+    ends = np.flatnonzero(ids == 0)
+    starts = np.append(0, ends + 1)
+    expected = [(int(a), int(b - a)) for a, b in zip(starts, [*(ends + 1), 5000]) if b > a]
+    assert got == expected
+
+
+def test_flat_file_reader(spark, tmp_path):
+    for name, ids in (("a.bin", [3, 0, 4, 4, 0, 5]), ("b.bin", [0])):
+        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
+    got = separators.scan_separators(separators.read_blocks(spark, str(tmp_path), block_ids=2), 0).orderBy("file", "document").collect()
+    assert [(r.start, r.length, r.closed) for r in got] == [(0, 2, True), (2, 3, True), (5, 1, False), (0, 1, True)]
+
+
+def test_mixing(spark, docs, empty):
+    weights = spark.createDataFrame([("a", 3.0), ("b", None)], "source string, weight double")
+    once = mixing.replicate(docs, weights, size=400.0)
+    rows = once.collect()
+    assert {r.source for r in rows} == {"a", None} and len(rows) == once.count()
+    copies = defaultdict(set)
+    for r in rows:
+        copies[r.doc_id].add(r["copy"])
+    assert all(c == set(range(1, max(c) + 1)) for c in copies.values())
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.replicate(docs.repartition(7), weights, size=400.0).collect()))
+    assert mixing.replicate(empty).count() == 0
+    assert mixing.replicate(docs, copy_column=None).columns == docs.columns
+
+
+def test_mixing_rate(spark):
+    big = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "x").otherwise("y").alias("source"))
+    weights = spark.createDataFrame([("x", 1.0), ("y", 9.0)], "source string, weight double")
+    n = {r.source: r["count"] for r in mixing.replicate(big, weights, size=200_000.0).groupBy("source").count().collect()}
+    assert abs(n["x"] / 20_000 - 1) < 0.05 and abs(n["y"] / 180_000 - 1) < 0.03
