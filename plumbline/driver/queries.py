@@ -1,6 +1,6 @@
 """All queries of the library's own operators."""
 
-from plumbline.driver import merge_queries, totals_queries  # noqa: F401
+from plumbline.driver import geometry_queries, merge_queries, totals_queries  # noqa: F401
 from plumbline.driver.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
