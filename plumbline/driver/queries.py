@@ -1,6 +1,6 @@
 """All queries of the library's own operators."""
 
-from plumbline.driver import drawing_queries, geometry_queries, merge_queries, more_queries, other_queries, records_queries, totals_queries  # noqa: F401
+from plumbline.driver import drawing_queries, geometry_queries, merge_queries, more_queries, other_queries, overlay_queries, records_queries, totals_queries  # noqa: F401
 from plumbline.driver.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

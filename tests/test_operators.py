@@ -155,3 +155,54 @@ def test_the_rest_does_not_need_llm():
 
     code = "import sys; sys.modules['plumbline.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=projection.__file__.split("/plumbline/")[0]).returncode == 0
+
+
+def test_overlay_areas():
+    from plumbline.operators.overlay import outside_runs, overlay_area, repaired
+
+    square, shifted = np.array([[0, 0], [2, 0], [2, 2], [0, 2]], float), np.array([[1, 1], [3, 1], [3, 3], [1, 3]], float)
+    assert overlay_area([[square], [shifted]], 2) == 1 and overlay_area([[square], [shifted]], 1) == 7
+    diamond = np.array([[1, -1], [3, 1], [1, 3], [-1, 1]], float)
+    assert math.isclose(overlay_area([[square], [diamond]], 2), 4) and math.isclose(overlay_area([[square], [diamond]], 1), 8)
+    hole = [np.array([[0, 0], [4, 0], [4, 4], [0, 4]], float), np.array([[1, 1], [3, 1], [3, 3], [1, 3]], float)]
+    assert overlay_area([hole], 1) == 12 and overlay_area([hole, [shifted]], 2) == 0
+    assert repaired(square[:2])[1] and repaired(np.array([[0, 0], [1, 1], [2, 2]], float))[1] == "no area"
+    random = np.random.default_rng(1)
+    a, b = (np.column_stack([np.cos(t), np.sin(t)]) * random.uniform(1, 3, (12, 1)) for t in [np.linspace(0, 2 * np.pi, 12, endpoint=False)] * 2)
+    points = random.uniform(-3, 3, (60_000, 2))
+
+    def inside(ring):
+        n = np.roll(ring, -1, axis=0)
+        cut = (ring[:, 1][None] > points[:, 1:]) != (n[:, 1][None] > points[:, 1:])
+        x = ring[:, 0] + (points[:, 1:] - ring[:, 1]) / (n[:, 1] - ring[:, 1]) * (n[:, 0] - ring[:, 0])
+        return (cut & (points[:, :1] < x)).sum(1) % 2 == 1
+
+    assert abs(overlay_area([[a], [b]], 2) - 36 * (inside(a) & inside(b)).mean()) < 0.25
+    pieces = outside_runs(np.array([[-1, 1], [3, 1]], float), square)
+    assert [p.tolist() for p in pieces] == [[[-1, 1], [0, 1]], [[2, 1], [3, 1]]]
+
+
+def test_sweep_finds_turns_and_near_misses():
+    from plumbline.driver.overlay_queries import SYMBOL
+    from plumbline.operators import sweep
+
+    seed = sweep.fingerprint(SYMBOL, (-10, -10, 10, 10))
+    sheet = []
+    for t, (x, y) in enumerate([(100, 100), (200, 100), (300, 100), (400, 100), (100, 300), (200, 300), (300, 300), (400, 300)]):
+        sheet += [np.concatenate([sweep.TURNS[t] @ a[:2], sweep.TURNS[t] @ a[2:]]) + np.array([x, y, x, y]) for a in seed]
+    partial = [a + 600 for a in seed[:3]]
+    found = sweep.placements(np.array([*sheet, *partial]), seed)
+    assert [(round(x), round(y)) for x, y, _, s in found if s >= sweep.MATCH] == [(100, 100), (200, 100), (300, 100), (400, 100), (100, 300), (200, 300), (300, 300), (400, 300)]
+    assert [round(x) for x, _, _, s in found if s < sweep.MATCH] == [600]
+
+
+def test_workbook_opens(spark):
+    import io
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    from plumbline.sources.workbook import column_name, workbook
+
+    z = zipfile.ZipFile(io.BytesIO(workbook({"A & B": spark.createDataFrame([(1, "x<y", None, 2.5)], "a int, b string, c string, d double"), "two": spark.range(2)})))
+    assert [ET.fromstring(z.read(n)) is not None for n in z.namelist()]
+    assert b"x&lt;y" in z.read("xl/worksheets/sheet1.xml") and column_name(27) == "AB"
