@@ -206,3 +206,21 @@ def test_workbook_opens(spark):
     z = zipfile.ZipFile(io.BytesIO(workbook({"A & B": spark.createDataFrame([(1, "x<y", None, 2.5)], "a int, b string, c string, d double"), "two": spark.range(2)})))
     assert [ET.fromstring(z.read(n)) is not None for n in z.namelist()]
     assert b"x&lt;y" in z.read("xl/worksheets/sheet1.xml") and column_name(27) == "AB"
+
+
+def test_curves():
+    from plumbline.functions import curves as c
+
+    line = np.array([[0, 0], [1, 0.01], [2, 0], [2, 2]], float)
+    assert c.simplified(line, 0.1).tolist() == [[0, 0], [2, 0], [2, 2]] and c.simplified(line[:1], 1).tolist() == [[0, 0]]
+    square = np.array([[0, 0], [1, 0], [2, 0], [2, 2], [1, 2], [0, 2]], float)
+    assert len(c.simplified_ring(square, 0.1)) == 4
+    a, b, d = np.array([1.0, 0]), np.array([0, 1.0]), np.array([-1.0, 0])
+    assert math.isclose(c.arc_length(a, b, d), math.pi) and math.isclose(c.circle_through(a, b, d)[1], 1)
+    assert math.isclose(c.arc_length(a, -b, d), math.pi) and c.circle_through(a, a * 2, a * 3) is None
+    flat = c.flat_arc(a, b, d, 0.001)
+    assert abs(np.hypot(*np.diff(flat, axis=0).T).sum() - math.pi) < 0.01
+    assert c.spline(square)[::8].tolist() == square.tolist()
+    tilt = np.array([[0, 0], [3, 3], [2, 4], [-1, 1]], float)
+    long, short, angle = c.least_rectangle(tilt)
+    assert math.isclose(long, 3 * math.sqrt(2)) and math.isclose(short, math.sqrt(2)) and math.isclose(angle, 45)
