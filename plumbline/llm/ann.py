@@ -25,6 +25,8 @@ TABLES, WIDE, SLOTS, TARGET = 4, 8, 3, 0.95
 SAMPLE, MEASURED = 2048, 200
 #: Index rows in a part, and queries in a block within it.
 PART_ROWS, QUERY_BLOCK = 4096, 256
+#: Queries whose results a task holds before it hands them on.
+MOST_HELD = 50_000
 _SEED = 97
 _normal = np.vectorize(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))), otypes=[float])
 
@@ -211,7 +213,7 @@ def _probing(tables: Tables, directory: Directory, least: int):
 
 
 def _searched(tables: Tables, most: int):
-    def search(rows: list[tuple], queries: list[tuple]) -> pa.RecordBatch:
+    def search(best: dict[int, list[tuple]], rows: list[tuple], queries: list[tuple]) -> None:
         t = queries[0][0]
         vid, cell = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         order = np.lexsort((vid, cell))
@@ -227,27 +229,44 @@ def _searched(tables: Tables, most: int):
             who = np.flatnonzero(visits[:, c])
             if len(who):
                 score[who, first[c] : last[c]] = _dots(q[who], x[first[c] : last[c]])
-        qid, found, value, held = [], [], [], []
         for i, r in enumerate(queries):
-            at = _top(score[i], least_id, most)
-            qid += [r[1]] * len(at)
-            found += vid[at].tolist()
-            value += score[i][at].tolist()
-            held += [ids[j] for j in at]
-        return pa.record_batch({"q": pa.array(qid, pa.int64()), "vid": pa.array(found, pa.int64()), "score": pa.array(value, pa.float64()), "ids": pa.array(held, pa.list_(pa.int64()))})
+            mine = best.setdefault(r[1], [])
+            mine += [(-score[i, k], least_id[k], vid[k], ids[k]) for k in _top(score[i], least_id, most)]
+            if len(mine) > 8 * most:
+                best[r[1]] = first(mine)
+
+    def first(found: list[tuple]) -> list[tuple]:
+        """The nearest of what was found for a query, each vector once."""
+        out: dict[int, tuple] = {}
+        for x in sorted(found, key=lambda x: x[:3]):
+            out.setdefault(x[2], x)
+            if len(out) == most:
+                break
+        return list(out.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows, queries = None, [], []
+        best: dict[int, list[tuple]] = {}  # one result for a query from all parts of this task
+
+        def made() -> pa.RecordBatch:
+            out = [(q, x[2], -x[0], x[3]) for q, found in best.items() for x in first(found)]
+            q, vid, score, ids = zip(*out) if out else ([], [], [], [])
+            return pa.record_batch({"q": pa.array(q, pa.int64()), "vid": pa.array(vid, pa.int64()), "score": pa.array(score, pa.float64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
+
         for batch in batches:
             for p, kind, *row in zip(*(batch[c].to_pylist() for c in ("part", "kind", "t", "vid", "cell", "chance", "vec", "ids"))):
                 if p != part or len(queries) >= QUERY_BLOCK:
                     if rows and queries:
-                        yield search(rows, queries)
+                        search(best, rows, queries)
                     queries = []
                     rows, part = (rows, p) if p == part else ([], p)
                 (queries if kind else rows).append(tuple(row))
+            if len(best) > MOST_HELD:
+                yield made()
+                best.clear()
         if rows and queries:
-            yield search(rows, queries)
+            search(best, rows, queries)
+        yield made()
 
     return run
 
