@@ -224,3 +224,16 @@ def test_curves():
     tilt = np.array([[0, 0], [3, 3], [2, 4], [-1, 1]], float)
     long, short, angle = c.least_rectangle(tilt)
     assert math.isclose(long, 3 * math.sqrt(2)) and math.isclose(short, math.sqrt(2)) and math.isclose(angle, 45)
+
+
+def test_shared_runs():
+    from plumbline.operators.transitions import islands, shared_runs
+
+    a, b = np.array([[0, 0], [10, 0], [10, 8], [0, 8]], float), np.array([[10, 2], [14, 2], [14, 6], [10, 6]], float)
+    (length, gap, status), = shared_runs(a, b)
+    assert status == "butt" and 4 <= length <= 6.1 and gap == 0
+    (_, gap, status), = shared_runs(a, b + np.array([0.5, 0]))
+    assert status == "withheld" and gap >= 0.5
+    assert shared_runs(a, b + 20) == []
+    assert [x.tolist() for x in islands(np.array([True, False, True, True]))] == [[2, 3, 0]]
+    assert [x.tolist() for x in islands(np.array([True, True]))] == [[0, 1]] and islands(np.array([False, False])) == []
