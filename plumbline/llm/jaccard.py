@@ -67,7 +67,7 @@ class _Shingler:
             self[word] = code = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
             return code
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.codes, self.most = self._Codes(), most
 
     def __call__(self, text: bytes) -> np.ndarray:
@@ -107,6 +107,8 @@ def _signed(trees: int, depth: int):
             ends = np.cumsum([0] + [len(f) for f in forest]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(forest) if forest else np.zeros(0, np.int64)))
             yield pa.record_batch({"doc_id": batch["doc_id"], "class_key": pa.array(keys, pa.binary()), "n": pa.array([len(f) for f in found], pa.int64()), "labels": listed})
+        del shingler
+        shared.release()
 
     return run
 
@@ -117,6 +119,8 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         found = [shingler(t).tobytes() for t in shared.as_bytes(batch["text"])]
         keys = [blake2b(f, digest_size=16).digest() for f in found]
         yield pa.record_batch({"held_rep": batch["rep"], "held_key": pa.array(keys, pa.binary()), "shingles": pa.array(found, pa.binary())})
+    del shingler
+    shared.release()
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
@@ -202,6 +206,8 @@ def _verified(similarity: float):
             yield made(found)
         if len(rows) > 1:
             yield made(group(rows))
+        rows = []
+        shared.release()
 
     return run
 

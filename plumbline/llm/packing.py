@@ -76,10 +76,11 @@ def _tokenised(path: str, end_id: int, dims: int, bits: int):
         end = np.array([end_id], tokenizer.dtype).tobytes()
         for batch in batches:
             docs = shared.as_bytes(batch["text"])
-            for a, b in shared.chunks(docs, 4 << 20):
+            for a, b in shared.chunks(docs, 2 << 20):
                 ids = [x + end for x in tokenizer.encode(docs[a:b])]
                 keys = curve.keys([np.frombuffer(x, tokenizer.dtype) for x in ids])
                 yield pa.record_batch({"doc_id": batch["doc_id"].slice(a, b - a), "hilbert": pa.array(keys), "ids": pa.array(ids, pa.binary()), "width": pa.array([tokenizer.dtype.itemsize] * len(ids), pa.int32())})
+        shared.release()
 
     return run
 

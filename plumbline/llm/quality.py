@@ -63,7 +63,7 @@ def _repeated(words: list[bytes]) -> int:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = shared.as_bytes(batch["text"])
-        for a, b in shared.chunks(docs, 8 << 20):
+        for a, b in shared.chunks(docs, 2 << 20):
             part = docs[a:b]
             data = np.frombuffer(b"".join(part), np.uint8)
             ends = np.cumsum([len(d) for d in part])
@@ -82,10 +82,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rules = [share(symbols, chars), share(shouts, chars), share(upper, letters), share(n_repeat, n_words), share(n_dup, n_lines)]
             names = [c.split()[0] for c in FEATURES.split(", ")]
             yield pa.record_batch(dict(zip(names, [batch["doc_id"].slice(a, b - a), *map(pa.array, (n_words, chars, symbols, n_dup, n_repeat, *rules))])))
+            del data, total, part
 
 
 def features(docs: DataFrame) -> DataFrame:
     """Counts and rule shares of every whole text (null: none), with its stratum."""
+    shared.bounded_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +96,7 @@ def features(docs: DataFrame) -> DataFrame:
             for out in _features(iter([batch])):
                 yield out.append_column("stratum", batch["stratum"].slice(at, out.num_rows))
                 at += out.num_rows
+        shared.release()
 
     return columns.mapInArrow(run, FEATURES + ", stratum string")
 
@@ -167,6 +170,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
                     cutoff = part[f"cut_{r}"].to_numpy(zero_copy_only=False).astype(float)
                     bad |= np.array(measured[r]) > np.where(np.isnan(cutoff), np.inf, cutoff)
                 yield part.select(names).filter(pa.array(~bad))
+        shared.release()
 
     return beside.mapInArrow(run, docs.schema)
 

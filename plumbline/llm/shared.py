@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,8 +22,8 @@ def _drop_written() -> None:
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone already; the folder is scratch space
-            return
+        except Exception:  # the session is gone already
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,8 +59,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch to a Python worker: long texts make thousands of them large.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session sets a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system: the next stage may run in another worker of the same executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """Only doc_id and text (null: empty), so that other columns, whatever their names, can't interfere."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
