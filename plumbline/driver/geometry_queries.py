@@ -134,10 +134,10 @@ def s24(spark, sf):
 @query("O06_natural_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS place FROM part")
 def o06(spark, sf):
     """Level names ordered by their numbers' values: 'L2' before 'L10'."""
-    from pyspark.sql import Window
+    from plumbline.plans.ranking import numbered
 
-    named = table(spark, sf, "part").withColumn("level", F.concat(F.lit("L"), F.col("p_size").cast("string")))
-    return named.select("p_partkey", F.row_number().over(Window.orderBy(natural_key(F.col("level")), "p_partkey")).cast("long").alias("place"))
+    named = table(spark, sf, "part").select("p_partkey", natural_key(F.concat(F.lit("L"), F.col("p_size").cast("string"))).alias("level"))
+    return numbered(named, "place", "level", "p_partkey").select("p_partkey", "place")
 
 
 # Rings: an L of six points for each part, a triangle for each third.

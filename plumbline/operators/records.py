@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.plans.ranking import numbered
+
 # Defaults of the drawing context.
 MIN_LENGTH, CONTEXT_CAP = 2.0, 65_000
 
@@ -74,9 +76,9 @@ def needs_metrics(area: Column, perimeter: Column, count: Column, role: Column,
 def next_numbers(issued: DataFrame, drafts: DataFrame, order: str, prefix: str = "RFI-") -> DataFrame:
     """Numbers of drafts in order, after the greatest trailing number issued: RFI-001 and so on."""
     greatest = issued.agg(F.coalesce(F.max(F.regexp_extract("number", r"([0-9]+)$", 1).try_cast("long")), F.lit(0)).alias("m")).first()["m"]
-    place = F.row_number().over(Window.orderBy(order)) + F.lit(greatest)
-    text = place.cast("string")
-    return drafts.withColumn("number", F.concat(F.lit(prefix), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)))
+    text = F.col("rfi_place").cast("string")
+    placed = numbered(drafts, "rfi_place", order, first=greatest + 1)
+    return placed.withColumn("number", F.concat(F.lit(prefix), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text))).drop("rfi_place")
 
 
 def rfi_sheets(rfis: DataFrame, markups: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def descendants(edges: DataFrame, most_depth: int = 20) -> DataFrame:
     edges.createOrReplaceTempView("variant_edges")
     return spark.sql(f"""
         WITH RECURSIVE below(root, id, depth) AS (
-          SELECT DISTINCT parent, parent, 0 FROM variant_edges WHERE parent NOT IN (SELECT child FROM variant_edges)
+          SELECT DISTINCT p.parent, p.parent, 0 FROM variant_edges p LEFT ANTI JOIN variant_edges c ON p.parent = c.child
           UNION ALL SELECT b.root, e.child, b.depth + 1 FROM below b JOIN variant_edges e ON e.parent = b.id WHERE b.depth < {most_depth})
         SELECT root, id, depth FROM below""")
 

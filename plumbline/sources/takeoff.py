@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.keys import csv_cell
+from plumbline.plans.ranking import numbered
 
 COMPUTED = "struct<area_sf:double,perimeter_lf:double,count:double>"
 MATERIAL = "struct<id:string,name:string,per:double,basis:string,unit:string,round:boolean,note:string>"
@@ -30,12 +31,10 @@ def exploded(docs: DataFrame, member: str) -> DataFrame:
 
 def csv_lines(rows: DataFrame, columns: list[tuple[str, str, bool]], order: list[str]) -> DataFrame:
     """(place, line) of a CSV section: columns are (name, header, is text)."""
-    from pyspark.sql import Window
-
     header = rows.sparkSession.createDataFrame([(0, ",".join(h for _, h, _ in columns))], "place long, line string")
     cells = F.concat_ws(",", *[csv_cell(F.col(c), text) for c, _, text in columns])
-    body = rows.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), cells.alias("line"))
-    return header.unionByName(body)
+    body = numbered(rows.select(cells.alias("line"), *[F.col(c).alias(f"by_{i}") for i, c in enumerate(order)]), "place", *[f"by_{i}" for i in range(len(order))])
+    return header.unionByName(body.select("place", "line"))
 
 
 def report_json(conditions: DataFrame, totals: DataFrame, materials: DataFrame) -> DataFrame:
