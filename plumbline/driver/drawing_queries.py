@@ -163,3 +163,21 @@ def d11(spark, sf):
 def d04(spark, sf):
     pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a_id"), F.col("o_custkey").alias("b_id"), (F.col("o_orderkey") % 3 == 0).alias("a_reviewed"), (F.col("o_custkey") % 2 == 0).alias("b_reviewed"), ((F.col("o_orderkey") % 100) / 100.0).alias("loser_share"))
     return commands.scope_merge(pairs).withColumn("winner", F.coalesce("winner", F.lit(-1)))
+
+
+@query("X01_sheet_roles", """SELECT * FROM (VALUES (1, 'plan', 0.85::DOUBLE, 'FIRST FLOOR PLAN'), (2, 'schedule', 0.85, 'ROOM FINISH SCHEDULE'), (3, 'detail', 0.48, 'WALL DETAILS'), (4, 'unknown', 0.0, ''), (5, 'demolition', 0.9, 'DEMOLITION PLAN'), (6, 'legend', 0.4, 'FINISH LEGEND')) AS v(sheet_id, role, confidence, evidence)""")
+def x01(spark, sf):
+    from plumbline.operators.roles import sheet_roles
+
+    sheets = spark.createDataFrame([(i, 1000.0, 800.0) for i in range(1, 7)], "sheet_id int, width double, height double")
+    spans = [(1, 0, "FIRST FLOOR PLAN", 900.0, 700.0, 20.0), (1, 1, "WALL DETAILS", 100.0, 100.0, 30.0), (1, 2, "see finish plan for notes", 900.0, 750.0, 20.0), (2, 0, "ROOM FINISH SCHEDULE", 850.0, 600.0, 20.0), (3, 0, "WALL DETAILS", 200.0, 100.0, 30.0), (3, 1, "note", 10.0, 10.0, 10.0), (3, 2, "note", 10.0, 10.0, 10.0)]
+    spans += [(4, 0, "hello", 10.0, 10.0, 10.0), (5, 0, "DEMOLITION PLAN", 950.0, 790.0, 20.0), (5, 1, "FLOOR PLAN", 620.0, 450.0, 10.0), (6, 0, "FINISH LEGEND", 100.0, 100.0, 10.0)]
+    return sheet_roles(spark.createDataFrame(spans, "sheet_id int, ord int, str string, x double, y double, h double"), sheets).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("F21_room_labels", "SELECT * FROM (VALUES ('OFFICE 101', '101'), ('134A', '134A'), ('557 SF', ''), ('08 - 6231', ''), ('SHEET 12', ''), ('58''-5\"', ''), ('CORRIDOR', '')) AS v(text, number)")
+def f21(spark, sf):
+    from plumbline.operators.roles import room_seed
+
+    rows = spark.createDataFrame([(x,) for x in ("OFFICE 101", "134A", "557 SF", "08 - 6231", "SHEET 12", "58'-5\"", "CORRIDOR")], "text string")
+    return rows.select("text", F.coalesce(room_seed(F.col("text")), F.lit("")).alias("number"))
