@@ -1,10 +1,13 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejections.
 
-Labelled documents are a holdout. In each stratum (language) each rule's cutoffs are tested from the loosest on: the
-hypothesis that the rule rejects more than its share of good documents is refuted if the exact binomial probability of
-as few rejections is small enough. The first cutoff that fails ends the rule's sequence (fixed-sequence testing needs
-no further correction); strata and rules share the error by Bonferroni. Of the certified cutoffs, the loosest that
-rejects the most labelled bad documents is used; without one, the rule rejects nothing in that stratum.
+Labelled documents are a holdout. In each stratum (language) one sequence of settings, each a cutoff for every rule, is
+tested from the loosest on: the hypothesis that the rules together reject more than RISK of the good documents is
+refuted if the exact binomial probability of as few rejections by any rule is small enough. The first setting that
+fails ends the sequence (fixed-sequence testing needs no further correction). The order of the settings comes from the
+bad documents alone, which are drawn apart from the good ones that test it; only strata share the error by Bonferroni.
+Strata with too few good labels for any setting are one more group, tested together: the bound holds for the documents
+of that group as a whole. Of the certified settings the one that rejects the most labelled bad documents is used;
+without one, no rule rejects anything in that stratum.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shared
@@ -23,7 +26,7 @@ from plumbline.llm import shared
 #: Rules: shares of a text, large is bad.
 RULES = ["symbol_share", "shout_share", "upper_share", "repeat_share", "dup_line_share"]
 CUTOFFS = [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01]
-#: False rejections of good documents allowed in a stratum, over all rules, and the chance of being wrong about any.
+#: False rejections of good documents allowed in a stratum (or the group of small ones), over all rules, and the chance of being wrong about any.
 RISK, ERROR = 0.05, 0.05
 #: Strata up to which the cutoffs are broadcast (five rows each).
 MOST_BROADCAST_STRATA = 10_000
@@ -110,37 +113,85 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoff(good: list[int], bad: list[int], n_good: int, risk: float, error: float) -> float | None:
-    """good, bad: labelled documents above each of CUTOFFS, loosest first."""
+def choose_cutoff(good: list[int], bad: list[int], n_good: int, risk: float, error: float, steps: list = CUTOFFS):
+    """good, bad: labelled documents that each of steps rejects, loosest first. The certified step of most bad; or None."""
     best, most = None, 0
-    for cutoff, k, hits in zip(CUTOFFS, good, bad):
+    for step, k, hits in zip(steps, good, bad):
         if n_good == 0 or at_most(k, n_good, risk) > error:
             break
         if hits > most:
-            best, most = cutoff, hits
+            best, most = step, hits
     return best
 
 
+def least_good(risk: float, error: float) -> int:
+    """Good documents from which a setting that rejects none of them is certified."""
+    return math.ceil(math.log(error) / math.log1p(-risk) - 1e-9)
+
+
+def sequence(level: np.ndarray, times: np.ndarray) -> list[list[int]]:
+    """Settings from the loosest on, by bad documents alone: how many of CUTOFFS each rule has been tightened by.
+
+    level: for each bad document (times: how often) and rule, the first setting that rejects it (one too many: none). The next rule and
+    goal are those that reject the most further documents for each cutoff gone through; on the way there, cutoffs that
+    reject nothing more are left out. A rule that gains nothing isn't tightened.
+    """
+    setting, out = [0] * level.shape[1], []
+    left = np.ones(len(times), bool)
+    while True:
+        best, reach = (0.0, 0), None
+        for r in range(len(setting)):
+            above = np.bincount(level[left, r], times[left], len(CUTOFFS) + 2).cumsum()  # documents that each cutoff rejects
+            for i in range(setting[r] + 1, len(CUTOFFS) + 1):
+                if above[i] and (above[i] / (i - setting[r]), -i) > best:
+                    best, reach = (above[i] / (i - setting[r]), -i), (r, i, above)
+        if reach is None:
+            return out
+        r, goal, above = reach
+        gained = 0
+        for i in range(setting[r] + 1, goal + 1):
+            if above[i] > gained:
+                gained = above[i]
+                out.append([*setting[:r], i, *setting[r + 1 :]])
+        setting[r] = goal
+        left &= level[:, r] > goal
+
+
+def certify(level: np.ndarray, label: np.ndarray, times: np.ndarray, risk: float, error: float) -> list[int] | None:
+    """The setting that is used for labelled documents (times: how often each occurs), or None."""
+    steps = sequence(level[label == 0], times[label == 0])
+    rejected = [(level <= np.array(s)).any(1) for s in steps]
+    good, bad = ([int(times[hit & (label == y)].sum()) for hit in rejected] for y in (1, 0))
+    return choose_cutoff(good, bad, int(times[label == 1].sum()), risk, error, steps)
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """(cut_stratum, cut_rule, cutoff) for the rules that are certified in a stratum."""
-    votes = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("label"))
+    votes = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").cast("int").alias("label"))
+    # A bad document that the base test rejects needs no rule: it doesn't count in the order of the settings.
+    useful = (F.col("label") == 1) | ~base_failed()
     held = measured.join(votes, F.col("doc_id") == F.col("label_id"))
-    above = [F.count_if((F.col("label") == y) & (F.col(r) > c)).alias(f"{r}_{y}_{i}") for r in RULES for y in (0, 1) for i, c in enumerate(CUTOFFS)]
-    counted = held.groupBy("stratum").agg(F.count_if(F.col("label") == 1).alias("n_good"), *above)
-    strata = max(1, counted.count())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                for r in RULES:
-                    good, bad = ([row[f"{r}_{y}_{i}"] for i in range(len(CUTOFFS))] for y in (1, 0))
-                    cutoff = choose_cutoff(good, bad, row["n_good"], risk / len(RULES), error / len(RULES) / strata)
-                    if cutoff is not None:
-                        out.append((row["stratum"], r, cutoff))
-            yield pd.DataFrame(out, columns=["cut_stratum", "cut_rule", "cutoff"])
+    level = [(len(CUTOFFS) + 1 - sum((F.when(F.col(r) > c, 1).otherwise(0) for c in CUTOFFS), F.lit(0))).alias(r) for r in RULES]
+    counted = shared.written(held.where(useful).select("stratum", "label", *level).groupBy("stratum", "label", *RULES).agg(F.count("*").alias("times")))
+    sizes = counted.groupBy("stratum").agg(F.sum(F.when(F.col("label") == 1, F.col("times")).otherwise(0)).alias("n_good"))
+    # Strata that could be certified alone, and one group of all others, share the error.
+    first = sizes.agg(F.count_if(F.col("n_good") >= least_good(risk, error)).alias("large"), F.count("*").alias("strata")).first()
+    groups = max(1, first["large"] + (first["strata"] > first["large"]))
+    alone = F.col("n_good") >= least_good(risk, error / groups)
+    member = sizes.select(F.col("stratum").alias("cut_stratum"), F.when(alone, F.concat(F.lit("s"), "stratum")).otherwise("rest").alias("cut_group"))
+    grouped = counted.join(member, F.col("stratum") == F.col("cut_stratum")).groupBy("cut_group", "label", *RULES).agg(F.sum("times").alias("times"))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        setting = certify(frame[RULES].to_numpy(np.int64), frame["label"].to_numpy(), frame["times"].to_numpy(), risk, error / groups)
+        found = [(key[0], r, CUTOFFS[i - 1]) for r, i in zip(RULES, setting or []) if i]
+        return pd.DataFrame(found, columns=["of_group", "cut_rule", "cutoff"])
+
+    chosen = grouped.groupBy("cut_group").applyInPandas(run, "of_group string, cut_rule string, cutoff double")
+    return member.join(chosen, F.col("cut_group") == F.col("of_group")).select("cut_stratum", "cut_rule", "cutoff")
+
 
-    return counted.mapInPandas(run, "cut_stratum string, cut_rule string, cutoff double")
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def _wide(certified: DataFrame) -> DataFrame:
@@ -186,6 +237,5 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     certified = cutoffs(measured, labels, risk, error)
     joined = measured.join(_wide(certified), F.col("stratum") == F.col("cut_stratum"), "left")
     failing = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
-    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return joined.select(*names, base_failed.alias("base_failed"), (~base_failed & (F.size(failing) == 0)).alias("kept"), F.concat_ws(",", failing).alias("failed_rules"))
+    return joined.select(*names, base_failed().alias("base_failed"), (~base_failed() & (F.size(failing) == 0)).alias("kept"), F.concat_ws(",", failing).alias("failed_rules"))

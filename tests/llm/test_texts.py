@@ -188,6 +188,38 @@ def test_quality_controls_risk(spark):
     assert wrong <= 20
 
 
+def test_quality_small_strata(spark):
+    """A hundred good labels certify a stratum of four; strata too small alone are certified together; risky rules stop."""
+    r = np.random.default_rng(5)
+    rows = []
+    for stratum, n_good, n_bad in [("en", 300, 40), ("de", 110, 20), ("fr", 60, 9), ("es", 50, 8), ("xx", 0, 3)]:
+        for k in range(n_good + n_bad):
+            bad = k >= n_good
+            rows.append((len(rows), stratum, 100, 0, *(float(x) for x in (r.uniform(0.1, 0.5) if bad else r.uniform(0, 0.03), 0, r.uniform(0, 0.09), 0, 0)), int(not bad)))
+    measured = spark.createDataFrame(rows, f"doc_id long, stratum string, n_words long, n_repeat_words long, {', '.join(f'{c} double' for c in quality.RULES)}, quality int")
+    chosen = {(c.cut_stratum, c.cut_rule): c.cutoff for c in quality.cutoffs(measured.drop("quality"), measured.select("doc_id", "quality")).collect()}
+    assert {s for s, _ in chosen} == {"en", "de", "fr", "es", "xx"}
+    for row in rows:
+        if not row[-1]:
+            assert row[4] > chosen[row[1], "symbol_share"] >= 0.03
+    assert len({chosen[s, "symbol_share"] for s in ("fr", "es", "xx")}) == 1
+
+
+def test_quality_union_controls_risk():
+    """Good documents that any rule rejects are rarely more than the risk allows, whatever the order from the bad ones."""
+    random = np.random.default_rng(4)
+    grid = np.array(quality.CUTOFFS)
+    level = lambda shares: 1 + (shares[:, :, None] <= grid).sum(2)
+    every = level(random.beta(1, 30, (50_000, 5)))
+    wrong = certified = 0
+    for _ in range(200):
+        both = np.concatenate([every[random.integers(0, len(every), 150)], level(random.beta(1, 8, (60, 5)))])
+        setting = quality.certify(both, np.repeat([1, 0], [150, 60]), np.ones(210, int), 0.05, 0.05)
+        certified += setting is not None
+        wrong += setting is not None and (every <= np.array(setting)).any(1).mean() > 0.05
+    assert certified > 100 and wrong <= 20
+
+
 def base_pii(text):
     out = []
     for kind, pattern in [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]:
