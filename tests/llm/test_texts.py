@@ -148,6 +148,26 @@ def test_mixture_is_a_distribution():
     assert math.isclose((10 ** model.log10(every)).sum(), 1, rel_tol=1e-6)
 
 
+def test_mixture_keeps_every_context():
+    """Contexts that share a slot of a fixed table keep counts of their own; one never seen has none."""
+    from plumbline.llm.mixture import ORDERS, ExactMixture, contexts, nodes, table
+
+    random = np.random.default_rng(9)
+    seen = np.unique(random.integers(0, 1 << 48, 60_000, dtype=np.uint64))
+    times = random.integers(1, 50, len(seen))
+    model = ExactMixture([table(*contexts(seen, times, order)) for order in ORDERS])
+    assert [size for _, size in model.tables][-1] > 2 * 8 * 50_000
+    position, node, bit = list(nodes(seen))[7]
+    zero, one = model.counts(4, seen, node)
+    same = Counter()
+    for w, n in zip(seen >> np.uint64(1), times):
+        same[int(w)] += int(n)
+    assert (zero + one == [same[int(w)] for w in seen >> np.uint64(1)]).all() and (np.where(bit, one, zero) >= times).all()
+    new = random.integers(0, 1 << 48, 60_000, dtype=np.uint64)
+    new = new[~np.isin(new >> np.uint64(8), seen >> np.uint64(8))]
+    assert not sum(model.counts(4, new, np.full(len(new), 1, np.uint64))).any()
+
+
 def test_quality_counts(spark, docs, empty):
     labels = spark.createDataFrame([(d, 1, 0) for d in range(15, 35)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels)
