@@ -189,10 +189,6 @@ def find_personal(text: str, model: BoostedTrees, cutoff: float) -> tuple[list[t
     return base, added
 
 
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[48:58] = 1
-
-
 def _scan(model: BoostedTrees, cutoff: float):
     order = {k: i for i, k in enumerate(KINDS)}
     joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1])))
@@ -201,10 +197,9 @@ def _scan(model: BoostedTrees, cutoff: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = shared.as_bytes(batch["text"])
-            digits = np.add.reduceat(np.append(_DIGIT[np.frombuffer(b"".join(docs), np.uint8)], 0), np.cumsum([0] + [len(d) for d in docs[:-1]])) if docs else []
             rows = []
-            for doc, n in zip(docs, digits):
-                if not doc or not (n >= 4 or b"@" in doc or b"::" in doc or b"(at)" in doc or b"[at]" in doc or b"(AT)" in doc or b"[AT]" in doc or b"{at}" in doc or "＠".encode() in doc or doc.count(b":") > 4):
+            for doc in docs:
+                if not doc:
                     rows.append(nothing)
                     continue
                 base, added = find_personal(doc.decode(), model, cutoff)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard, lmscore, mixing, packing, pii, quality, secretscan, separators
@@ -277,6 +278,16 @@ def test_pii(spark, docs, empty):
     assert pii.find_pii(empty).count() == 0 and pii.find_pii(docs).count() == docs.count()
 
 
+def test_pii_reads_every_text():
+    """Whatever the generators propose is judged, however few digits the text has."""
+    texts = ["write jane (At) corp (dot) com", "mail jo [At] corp.org", "joe{AT}corp.de", "mac AA-BB-CC-DD-EE-FF here", "host fe:ab:cd:ef", "iban MT84 MALT ABCD EFGH", "no such thing"]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    (out,) = pii._scan(pii.trained()[0], 0.0)(iter([batch]))
+    for text, spans in zip(texts, out["spans"].to_pylist()):
+        kinds = {kind for kind, _, _ in pii.candidates(text)}
+        assert bool(kinds) == (text != texts[-1]) and {s.split(":")[0] for s in spans.split(",") if s} == kinds
+
+
 def test_pii_trees_on_held_out():
     model, cutoff = pii.trained()
     x, y = pii._sample()
