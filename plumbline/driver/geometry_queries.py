@@ -196,6 +196,16 @@ def g17(spark, sf):
     return rings(spark, sf).where("p_partkey % 4 < 2").select("p_partkey", m["area_sf"].alias("area_sf"), m["count"].alias("count"))
 
 
+@query("G17_shape_metrics_roles", _RINGS + """, m AS (SELECT p_partkey, p_partkey % 4 AS role, CASE WHEN p_partkey % 3 = 0 THEN w * h / 2 ELSE w * h + h END AS area, list_sum(list_transform(range(1, len(ring)), lambda i: sqrt((ring[i + 1][1] - ring[i][1]) ** 2 + (ring[i + 1][2] - ring[i][2]) ** 2))) AS line, sqrt((ring[len(ring)][1] - ring[1][1]) ** 2 + (ring[len(ring)][2] - ring[1][2]) ** 2) AS last FROM r)
+SELECT p_partkey, CASE role WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN area * 4 WHEN 2 THEN (line * 2 + 3) * 4 / 12 ELSE line * 2 * 9 END AS area_sf, CASE role WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN (line + last) * 2 WHEN 2 THEN line * 2 + 3 ELSE line * 2 END AS perimeter_lf, CASE WHEN role = 0 THEN 1.0::DOUBLE END AS count FROM m""")
+def g17_roles(spark, sf):
+    """All parts, in four roles: counts, areas, runs four inches thick with three feet of drops, and surfaces nine feet high."""
+    k = F.col("p_partkey") % 4
+    role = F.when(k == 0, "count").when(k == 1, "floor_area").when(k == 2, "linear").otherwise("surface_area")
+    m = g.shape_metrics(role, F.col("ring"), F.lit(None).cast("array<array<array<double>>>"), F.lit(2.0), F.lit(9.0), F.lit(4.0), F.lit(3.0))
+    return rings(spark, sf).select("p_partkey", m["area_sf"].alias("area_sf"), m["perimeter_lf"].alias("perimeter_lf"), m["count"].alias("count"))
+
+
 @query("G18_vertical_legs", "SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.0::DOUBLE, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity - 25 ELSE l_discount END) + greatest(0.0::DOUBLE, l_tax) AS legs FROM lineitem")
 def g18(spark, sf):
     own = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") - 25)

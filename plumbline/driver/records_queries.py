@@ -105,6 +105,13 @@ def w06(spark, sf):
     return r.next_numbers(issued, table(spark, sf, "orders").where("o_custkey % 40 = 0").select("o_orderkey"), "o_orderkey")
 
 
+@query("W06_rfi_numbers_whole", "SELECT o_orderkey, 'RFI-' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS number FROM (SELECT o_orderkey, (SELECT max(c_custkey % 50) FROM customer) + row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)")
+def w06_whole(spark, sf):
+    """All orders as drafts."""
+    issued = table(spark, sf, "customer").select(F.concat(F.lit("RFI-"), F.lpad((F.col("c_custkey") % 50).cast("string"), 3, "0")).alias("number"))
+    return r.next_numbers(issued, table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
 _RFI = "WITH m AS (SELECT o_custkey AS rfi_id, 'plan' || CAST(o_orderkey % 5 AS VARCHAR) AS sheet_id, o_orderkey AS ord FROM orders), g AS (SELECT rfi_id, sheet_id, count(*) AS n, min(ord) AS f FROM m GROUP BY 1, 2)"
 
 
