@@ -11,6 +11,7 @@ from plumbline.driver.registry import query, table
 from plumbline.driver.totals_queries import ROWS
 from plumbline.operators import more, revisions, scope, totals
 from plumbline.plans import projection as p
+from plumbline.plans.ranking import numbered
 from plumbline.sources.takeoff import csv_lines
 
 
@@ -94,10 +95,17 @@ def j10(spark, sf):
 
 @query("O03_collisions_by_size", _RECTS + ", p AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS m FROM r a JOIN r b ON a.sheet_id = b.sheet_id AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1) SELECT a_id, b_id, floor(s * 100 + 0.5) / 100 AS shared_sf FROM p WHERE s / m >= 0.05 ORDER BY shared_sf DESC, a_id, b_id LIMIT 50")
 def o03(spark, sf):
-    """The fifty largest overlaps: a top-k report."""
+    """The fifty largest overlaps; O03_collisions_ranked has all of them."""
     return scope.rectangle_collisions(rects(spark, sf)).orderBy(F.desc("shared_sf"), "a_id", "b_id").limit(50).select("a_id", "b_id", "shared_sf")
 
 
+@query("O03_collisions_ranked", _RECTS + ", p AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS m FROM r a JOIN r b ON a.sheet_id = b.sheet_id AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1), c AS (SELECT a_id, b_id, floor(s * 100 + 0.5) / 100 AS shared_sf FROM p WHERE s / m >= 0.05) SELECT row_number() OVER (ORDER BY shared_sf DESC, a_id, b_id) AS place, a_id, b_id, shared_sf FROM c")
+def o03_ranked(spark, sf):
+    """All overlaps with their place, the largest first."""
+    found = scope.rectangle_collisions(rects(spark, sf)).select("a_id", "b_id", "shared_sf")
+    return numbered(found, "place", F.desc("shared_sf"), "a_id", "b_id")
+
+
 @query("F30_opening_sizes", "SELECT * FROM (VALUES ('10x21', 1.0::DOUBLE, 2.1::DOUBLE), ('1000 x 2100', 1.0, 2.1), ('0,9x2,1', 0.9, 2.1), ('door', NULL, NULL)) AS v(text, width_m, height_m)")
 def f30(spark, sf):
     s = more.opening_size(F.col("text"))

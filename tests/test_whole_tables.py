@@ -20,3 +20,9 @@ def test_whole_table(spark, name, source):
 def test_all_roles(spark):
     roles = {r["p_partkey"] % 4 for r in QUERIES["G17_shape_metrics_roles"](spark, SF).collect()}
     assert roles == {0, 1, 2, 3}
+
+
+def test_all_collisions(spark):
+    got = QUERIES["O03_collisions_ranked"](spark, SF).collect()
+    assert len(got) == QUERIES["J09_floor_collisions"](spark, SF).count() > 50
+    assert sorted(r["place"] for r in got) == list(range(1, len(got) + 1))
