@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Sources up to which their rates are broadcast (under 1 MB); beyond, an ordinary join that AQE splits on hot sources.
 MOST_BROADCAST_SOURCES = 10_000
-#: Rates above this are split into whole repeats and a Poisson remainder, which bounds the inversion's table.
-MOST_POISSON_RATE = 32.0
+#: Rates above this are drawn as a sum of independent Poisson counts, each inverted in doubles: exp(-rate) is far from 0.
+MOST_POISSON_RATE = 500.0
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -31,7 +31,7 @@ def poisson_table(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: DataFrame | None, size: float | None, default_weight: float = 1.0) -> DataFrame:
-    """(mix_source, mix_whole, mix_cdf): the mean number of repeats of each source's rows that gives its target share.
+    """(mix_source, mix_rate, mix_parts, mix_cdf): the mean repeats of each source's rows that give its target share, and its draws.
 
     weights: (source, weight); None, and sources it lacks: default_weight. Weights that are null, NaN, infinite or
     negative count as 0. size: rows wanted in all; None: as many as docs has.
@@ -47,14 +47,15 @@ def rates(docs: DataFrame, weights: DataFrame | None, size: float | None, defaul
     all_weight, all_rows = weighed.agg(F.sum("mix_weight"), F.sum("mix_rows")).first()
     wanted = float((all_rows or 0) if size is None else size)
     rate = F.col("mix_weight") / F.lit(all_weight) * F.lit(wanted) / F.col("mix_rows") if all_weight else F.lit(0.0)
-    whole = F.greatest(F.lit(0), F.ceil(rate - MOST_POISSON_RATE)).cast("long")
-    return weighed.select("mix_source", rate.alias("mix_rate"), whole.alias("mix_whole"), poisson_table(rate - whole).alias("mix_cdf"))
+    parts = F.greatest(F.lit(1), F.ceil(rate / MOST_POISSON_RATE)).cast("long")
+    return weighed.select("mix_source", rate.alias("mix_rate"), parts.alias("mix_parts"), poisson_table(rate / parts).alias("mix_cdf"))
 
 
 def replicate(docs: DataFrame, weights: DataFrame | None = None, size: float | None = None, seed: int = 7, copy_column: str | None = "copy", default_weight: float = 1.0) -> DataFrame:
     """Each row repeated by a Poisson count of its source's rate, in a global random order.
 
-    The count inverts the Poisson distribution at a number hashed from seed and doc_id, so it doesn't depend on how rows
+    The count inverts the Poisson distribution at a number hashed from seed and doc_id (of a rate above MOST_POISSON_RATE:
+    the sum of equal parts, each at a number of its own), so it doesn't depend on how rows
     lie in partitions; equal rows of one doc_id get equal counts, a null doc_id counts as an id of its own. Null sources
     are a source. copy_column gets the copy's number from 1 (replacing a column of that name); None: no such column.
     A source of weight 0 goes; if all weights are 0, or docs is empty, the result is empty. Other columns are kept.
@@ -66,8 +67,10 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, size: float | N
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("mix_row"), F.col("source").alias("mix_key"), F.col("doc_id").alias("mix_id"))
     joined = row.join(table, F.col("mix_key").eqNullSafe(F.col("mix_source")))
-    below = F.size(F.filter("mix_cdf", lambda c: c < uniform(seed, F.col("mix_id"))))
-    counted = joined.select("mix_row", "mix_id", (F.col("mix_whole") + below).alias("mix_n")).where("mix_n > 0")
+    below = lambda u: F.size(F.filter("mix_cdf", lambda c: c < u)).cast("long")
+    further = F.when(F.col("mix_parts") > 1, F.sequence(F.lit(1).cast("long"), F.col("mix_parts") - 1))  # the parts after the first
+    rest = F.coalesce(F.aggregate(further, F.lit(0).cast("long"), lambda acc, k: acc + below(uniform(seed, F.col("mix_id"), k))), F.lit(0))
+    counted = joined.select("mix_row", "mix_id", (below(uniform(seed, F.col("mix_id"))) + rest).alias("mix_n")).where("mix_n > 0")
     copies = counted.select("mix_row", "mix_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_n"))).alias("mix_copy"))
     place = F.xxhash64(F.lit(seed), "mix_id", "mix_copy")
     shuffled = copies.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions("mix_place")

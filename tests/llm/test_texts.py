@@ -379,3 +379,21 @@ def test_mixing_rate(spark):
     weights = spark.createDataFrame([("x", 1.0), ("y", 9.0)], "source string, weight double")
     n = {r.source: r["count"] for r in mixing.replicate(big, weights, size=200_000.0).groupBy("source").count().collect()}
     assert abs(n["x"] / 20_000 - 1) < 0.05 and abs(n["y"] / 180_000 - 1) < 0.03
+
+
+def test_mixing_high_rates(spark, tmp_path):
+    """A rare source's counts are Poisson, and those of the SQL; beyond what doubles can invert, still Poisson."""
+    import duckdb
+
+    from plumbline.llm.queries import OP7_SQL
+
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 5, "rare").otherwise("b").alias("source"), F.lit(1).alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    wanted = dict(con.execute(f"SELECT doc_id, count(*) FROM ({OP7_SQL}) GROUP BY 1").fetchall())
+    assert {r.doc_id: r["count"] for r in mixing.replicate(docs).groupBy("doc_id").count().collect()} == wanted
+    for rate in (100, 1200):
+        some = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+        n = np.array([r["count"] for r in mixing.replicate(some, size=400.0 * rate).groupBy("doc_id").count().collect()])
+        assert abs(n.mean() / rate - 1) < 0.02 and 0.7 < n.var() / rate < 1.35
