@@ -1,6 +1,7 @@
 """Neighbours, url rules, components and the pipeline."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -49,6 +50,51 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("vec_id < 0"), df["vec_id"] == 0).count() == 0
 
 
+def test_neighbours_of_many_parts(spark):
+    """Far more parts in a task than a query's results are held for: recall is measured against brute force."""
+    random = np.random.default_rng(5)
+    x = np.round(random.standard_normal((60_000, 32)), 3)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got = ann.nearest(df, df["vec_id"] % 20 == 0).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 60_000
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in range(0, 60_000, 1000):
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_neighbour_groups():
+    """A task's search alone: twelve parts in two groups, results trimmed many times, equal to brute force where every cell is visited."""
+    random = np.random.default_rng(6)
+    rows = random.standard_normal((600, 8))
+    tables = ann.Tables(rows, float(np.linalg.norm(rows, axis=1).max()), 0.3, 0.1)
+    vec = pa.array(rows.tolist(), pa.list_(pa.float64()))
+    part, batches = np.arange(600) // 50, []
+    cells = tables.cells(rows)[0]
+    for g in range(2):
+        mine = np.flatnonzero(part // 6 == g)
+        take = pa.array(mine)
+        ids = pa.array([[int(i)] for i in mine], pa.list_(pa.int64()))
+        batches.append(ann._placed(len(mine), 0, vec.take(take), take, grp=part[mine] // 6, part=part[mine], t=np.zeros(len(mine), np.int32), cell=cells[mine], ids=ids))
+        batches.append(ann._placed(30, 1, vec.slice(0, 30), pa.array(np.arange(30)), grp=np.full(30, g), parts=[list(range(6 * g, 6 * g + 6))] * 30, cuts=[[0.0] * 6] * 30))
+    found = {}
+    for out in ann._searched(tables, 3)(iter(batches)):
+        for q, vid, score in zip(out["q"].to_pylist(), out["vid"].to_pylist(), out["score"].to_pylist()):
+            found.setdefault(q, []).append((vid, round(score, 9)))
+    every = rows @ rows.T
+    assert found == {q: [(int(i), round(every[q, i], 9)) for i in np.argsort(-every[q])[:3]] for q in range(30)}
+
+
 URLS = ["https://a.example.com/en/7x?q#f", "HTTP://EXAMPLE.com/en/7", "http://example.com/en/8", "http://com/en/", "http://xcom/en/", "ftp://m.example.net/de/8/9", "http://example.net/de/7", "http://b.org/es/#x", "http://b.org?/es/", "nothing", None, "", "://com/en/", "http://a.com", "http://com/EN/", "x://y://z.com/en/1", "http://a.com:80/en/1", "http://É.com/en/\n2"]
 
 
