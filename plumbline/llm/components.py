@@ -31,7 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = shared.written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))  # written: a join on a hot node can be split
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = shared.written(large)
+        shared.drop(now, least)
         least = shared.written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = shared.written(small)
+        shared.drop(large, least)
     raise ValueError("components don't settle")

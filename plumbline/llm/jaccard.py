@@ -1,10 +1,17 @@
 """Joining documents by the Jaccard similarity of their word shingles, through a MinHash LSH forest.
 
-A document's shingle set is signed by TREES x DEPTH MinHash values; each tree is a prefix trie of its DEPTH values. The
-longest prefixes are shortened in all tries alike until a pair at the threshold is expected to share one with the target
-recall. What shares a prefix is linked into candidate groups; inside a group pairs are verified exactly, block by block,
-and only sums and a spanning forest of the links leave a block. Documents with one shingle set are a class that is
-signed and verified once, and stands for all its copies.
+A document's shingle set is signed by TREES keys of DEPTH MinHash values each: the keys of a tree, sorted, are a prefix
+trie, and a prefix of it is a bucket of neighbouring keys. Matching begins with the whole keys. From the similarities of
+the pairs that are found, and the chance that a pair of such a similarity shares a prefix of that length in some tree,
+follows how many were missed; prefixes are shortened until that is within the target recall, first by similarities
+estimated from the signatures, then once more by the verified ones. So a corpus whose pairs are close stops at long
+prefixes, and one with many pairs at the threshold goes down to short ones.
+
+A pair is owned by one bucket: the first tree that holds it at the longest prefix that was tried. Buckets with the same
+members are one. Within a bucket pairs are looked at block against block: signatures first (a pair whose signatures
+agree SIGMAS standard deviations too seldom isn't one), then the shingle sets of the rest, exactly. Only sums, a spanning
+forest of the links and a histogram leave a block. Documents with one shingle set are a class that is signed and
+verified once, and stands for all its copies.
 """
 
 from __future__ import annotations
@@ -22,20 +29,37 @@ from plumbline.llm.components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9999
-#: Documents of a candidate group in a verification block; two blocks meet in a task at a time.
-BLOCK = 96
+SIGMAS = 6
+#: Members of a bucket in a block: they grow with the root of the bucket, within these bounds; two blocks meet in a task.
+LEAST_BLOCK, MOST_BLOCK = 96, 1024
+#: Similarities of verified links are counted in bins of a thousandth.
+BINS = 1000
 _SEED = 1789
 
 
-def expected_recall(similarity: float, depth: int, trees: int) -> float:
+def expected_recall(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The chance that a pair of this similarity shares a prefix of this depth in some tree."""
     return 1 - (1 - similarity**depth) ** trees
 
 
-def matched_depth(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH, trees: int = TREES) -> int:
-    """The longest prefix whose sharing in some tree finds a pair at the threshold with the target recall."""
-    while depth > 1 and expected_recall(similarity, depth, trees) < recall:
-        depth -= 1
-    return depth
+def estimated_recall(found: dict[float, int], depth: int, similarity: float, trees: int = TREES, at: int | None = None) -> float:
+    """The share of all links that prefixes of depth at (default: depth) find, judged by how many of each similarity prefixes of depth found.
+
+    Each link found stands for 1 / its chance of being found; one more at the threshold is taken to have gone unseen.
+    """
+    every = {s: n / expected_recall(s, depth, trees) for s, n in found.items()}
+    missed = sum(n * (1 - expected_recall(s, at or depth, trees)) for s, n in every.items()) + 1 - expected_recall(similarity, at or depth, trees)
+    return 1 - missed / max(1.0, sum(every.values()))
+
+
+def shortened(found: dict[float, int], depth: int, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES) -> int:
+    """The longest prefix, of depth at most, with the target recall by estimated_recall()."""
+    return next((d for d in range(depth, 1, -1) if estimated_recall(found, depth, similarity, trees, d) >= recall), 1)
+
+
+def least_agreeing(similarity: float, values: int = TREES * DEPTH) -> int:
+    """Signature values on which a pair at the threshold agrees at least, but for SIGMAS standard deviations."""
+    return max(1, int(values * similarity - SIGMAS * (values * similarity * (1 - similarity)) ** 0.5))
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -79,38 +103,32 @@ class _Shingler:
         return combine(np.fromiter(map(self.codes.__getitem__, words), np.uint64, len(words)))
 
 
-def _signed(trees: int, depth: int):
-    random = np.random.default_rng(_SEED)
-    factor = (random.integers(1, 2**32, trees * depth, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-    offset = random.integers(0, 2**32, trees * depth, dtype=np.uint64).astype(np.uint32)[:, None]
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """forest: the keys of all trees one after the other, 16 bits for each value, so that keys sort as their values do."""
+    random, many = np.random.default_rng(_SEED), TREES * DEPTH
+    factor = (random.integers(1, 2**32, many, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+    offset = random.integers(0, 2**32, many, dtype=np.uint64).astype(np.uint32)[:, None]
 
-    def labels(found: np.ndarray) -> np.ndarray:
+    def forest(found: np.ndarray) -> bytes:
         low, high = found.astype(np.uint32), (found >> np.uint64(32)).astype(np.uint32)
-        least = np.full(trees * depth, 2**32 - 1, np.uint32)
+        least = np.full(many, 2**32 - 1, np.uint32)
         for at in range(0, len(low), 2048):
             part = low[None, at : at + 2048] * factor + offset
             part ^= high[None, at : at + 2048]
             part *= np.uint32(0x85EBCA6B)
             part ^= part >> np.uint32(15)
             np.minimum(least, part.min(axis=1), out=least)
-        label = np.arange(1, trees + 1, dtype=np.uint64)
-        for value in least.reshape(trees, depth).T:  # one number for each tree's prefix
-            label = (label ^ (label >> np.uint64(30)) ^ value) * np.uint64(0xBF58476D1CE4E5B9)
-        return (label ^ (label >> np.uint64(31))).view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _Shingler()
-        for batch in batches:
-            found = [shingler(t) for t in shared.as_bytes(batch["text"])]
-            keys = [blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None for f in found]
-            forest = [labels(f) if len(f) else np.zeros(0, np.int64) for f in found]
-            ends = np.cumsum([0] + [len(f) for f in forest]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(forest) if forest else np.zeros(0, np.int64)))
-            yield pa.record_batch({"doc_id": batch["doc_id"], "class_key": pa.array(keys, pa.binary()), "n": pa.array([len(f) for f in found], pa.int64()), "labels": listed})
-        del shingler
-        shared.release()
+        least ^= least >> np.uint32(16)  # a minimum's upper half alone would often be 0
+        return (least & np.uint32(0xFFFF)).astype(">u2").tobytes()
 
-    return run
+    shingler = _Shingler()
+    for batch in batches:
+        found = [shingler(t) for t in shared.as_bytes(batch["text"])]
+        keys = [blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None for f in found]
+        forests = [forest(f) if len(f) else None for f in found]
+        yield pa.record_batch({"doc_id": batch["doc_id"], "class_key": pa.array(keys, pa.binary()), "n": pa.array([len(f) for f in found], pa.int64()), "forest": pa.array(forests, pa.binary())})
+    del shingler
+    shared.release()
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,126 +159,294 @@ def common(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np
     return np.rint(out).astype(np.int64)
 
 
+class _Block:
+    """Members of a bucket's block: their class keys, signatures and, where pairs are verified, ids, copies and shingle sets."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.member, self.rep = [r["member"] for r in rows], [r.get("rep") for r in rows]
+        self.keys = np.array([np.frombuffer(r["forest"], ">u2") for r in rows]).astype(np.uint16).reshape(len(rows), TREES, DEPTH)
+        self.copies = np.array([r.get("copies", 1) for r in rows], np.int64)
+        self.sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows] if rows and "shingles" in rows[0] else []
+
+
+def _agreeing(a: _Block, b: _Block, tree: int, depth: int, before: int) -> np.ndarray:
+    """How many signature values agree, for the pairs that this tree's bucket owns at this depth; -1 for others.
+
+    Owned: no tree shares a prefix of the depth tried before (0: none was), and no earlier tree one of this depth.
+    """
+    agree = np.zeros((len(a.rep), len(b.rep)), np.int16)
+    owned = np.ones(agree.shape, bool)
+    for t in range(TREES):
+        same = a.keys[:, None, t] == b.keys[None, :, t]
+        agree += same.sum(2, dtype=np.int16)
+        if before:
+            owned &= ~same[:, :, :before].all(2)
+        if t <= tree:
+            prefix = same[:, :, :depth].all(2)
+            owned &= prefix if t == tree else ~prefix
+    agree[~owned] = -1
+    return agree
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Runs of rows that agree in the named columns, after their values."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = tuple(row[n] for n in names)
+            if now != key and rows:
+                yield key, rows
+                rows = []
+            key = now
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+_TASK = ("depth", "before", "tree", "label", "i", "j")
+_NEEDED = "depth int, before int, tree int, label long, i int, j int, first boolean, member binary, agree int, pairs long"
+
+
+def _pairs_of(key: tuple, rows: list[dict], least: int) -> tuple[_Block, _Block, np.ndarray] | None:
+    """The blocks of a task and what _agreeing() says of their pairs, each pair once."""
+    depth, before, tree, _, i, j = key
+    a = _Block([r for r in rows if r["first"]])
+    b = a if i == j else _Block([r for r in rows if not r["first"]])
+    if not a.rep or not b.rep or len(rows) < 2:
+        return None
+    agree = _agreeing(a, b, tree, depth, before)
+    if i == j:
+        agree[np.tril_indices(len(a.rep))] = -1
+    agree[agree < least] = -1
+    return a, b, agree
+
+
+def _candidates(least: int, near: float):
+    """The members of each task that have a pair left to verify, and how often signatures agree, where near or nearer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(TREES * DEPTH + 1, np.int64)
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 10
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int64()))], [c.split()[0] for c in _NEEDED.split(", ")])
+
+        for key, rows in _runs(batches, _TASK):
+            found = _pairs_of(key, rows, least)
+            if found is None:
+                continue
+            a, b, agree = found
+            hit = agree >= 0
+            if key[4] == key[5]:
+                hit_a, hit_b = hit.any(1) | hit.any(0), np.zeros(0, bool)
+            else:
+                hit_a, hit_b = hit.any(1), hit.any(0)
+            out += [(*key, True, a.member[k], None, None) for k in np.flatnonzero(hit_a)] + [(*key, False, b.member[k], None, None) for k in np.flatnonzero(hit_b)]
+            seen += np.bincount(agree[agree >= near], minlength=len(seen))
+            if len(out) > 50_000:
+                yield made()
+                out.clear()
+        out += [(*[None] * 8, int(k), int(seen[k])) for k in np.flatnonzero(seen)]
+        yield made()
+
+    return run
+
+
+def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix."""
+    left, edges = linked.any(1), []
+    for start in np.flatnonzero(left):
+        if not left[start]:
+            continue
+        left[start], frontier = False, [int(start)]
+        while frontier:
+            i = frontier.pop()
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            edges += [(i, int(j)) for j in new]
+            frontier += new.tolist()
+    return edges
+
+
+def _links(a: _Block, b: _Block, agree: np.ndarray, alone: bool, similarity: float) -> tuple[list[tuple], np.ndarray]:
+    """(member, rep, links, other) rows of a task's verified pairs, and their similarities."""
+    at = np.argwhere(agree >= 0)
+    if len(at) <= 2 * (len(a.rep) + len(b.rep)):
+        met = np.zeros(agree.shape, np.int64)
+        for i, j in at:
+            met[i, j] = len(np.intersect1d(a.sets[i], b.sets[j], assume_unique=True))
+    else:
+        met = common(a.sets, b.sets)
+    size = np.array([len(x) for x in a.sets])[:, None] + np.array([len(x) for x in b.sets])[None, :]
+    linked = (agree >= 0) & (met >= similarity * (size - met) - 1e-9)
+    value = (met / np.maximum(size - met, 1))[linked]
+    n = len(a.rep)
+    if alone:
+        members, names, copies, both = a.member, a.rep, a.copies, linked | linked.T
+    else:
+        members, names, copies = a.member + b.member, a.rep + b.rep, np.append(a.copies, b.copies)
+        both = np.zeros((len(names), len(names)), bool)
+        both[:n, n:], both[n:, :n] = linked, linked.T
+    links = both @ copies
+    out = [(members[k], names[k], int(links[k]), names[k]) for k in np.flatnonzero(links)]
+    return out + [(members[i], names[i], 0, names[j]) for i, j in _spanning(both)], value
+
+
 def _verified(similarity: float):
-    def group(rows: list[tuple]) -> list[tuple]:
-        """rows: (rep, block is the pair's first, copies, shingles); links of the pair's first block with its second."""
-        first = [r for r in rows if r[1]]
-        second = [r for r in rows if not r[1]]
-        alone = not second
-        sets_a = [np.frombuffer(r[3], np.uint64) for r in first]
-        sets_b = sets_a if alone else [np.frombuffer(r[3], np.uint64) for r in second]
-        if not sets_a or not sets_b:
-            return []
-        if alone and len(first) == 2:
-            met = np.zeros((2, 2), np.int64)
-            met[0, 1] = met[1, 0] = len(np.intersect1d(*sets_a, assume_unique=True))
-        else:
-            met = common(sets_a, sets_b)
-        size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
-        linked = met >= similarity * (size_a[:, None] + size_b[None, :] - met) - 1e-9
-        if alone:
-            np.fill_diagonal(linked, False)
-        others = first if alone else second
-        copies_a, copies_b = np.array([r[2] for r in first]), np.array([r[2] for r in others])
-        out = []
-        for i, r in enumerate(first):  # every linked pair once as a sum; one edge to the least partner keeps components if repeated from both sides
-            if linked[i].any():
-                out.append((r[0], int(copies_b[linked[i]].sum()), r[0]))
-        if not alone:
-            for j, r in enumerate(second):
-                if linked[:, j].any():
-                    out.append((r[0], int(copies_a[linked[:, j]].sum()), r[0]))
-        names = [r[0] for r in first] if alone else [r[0] for r in first] + [r[0] for r in second]
-        parent = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        shift = 0 if alone else len(first)
-        for i, j in zip(*np.nonzero(np.triu(linked) if alone else linked)):
-            a, b = find(int(i)), find(int(j) + shift)
-            if a != b:
-                parent[a] = b
-                out.append((names[i], 0, names[int(j) + shift]))  # an edge of the spanning forest
-        return out
+    least = least_agreeing(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, seen = None, [], set()
+        bins = np.zeros(BINS + 1, np.int64)
 
         def made(found: list[tuple]) -> pa.RecordBatch:
-            a, n, b = zip(*found) if found else ([], [], [])
-            return pa.record_batch({"rep": pa.array(a, pa.int64()), "links": pa.array(n, pa.int64()), "other": pa.array(b, pa.int64())})
-
-        for batch in batches:
-            found: list[tuple] = []
-            for g, i, j, first, rep, copies, held in zip(*(batch[c].to_pylist() for c in ("g", "i", "j", "first", "rep", "copies", "shingles"))):
-                if (g, i, j) != key:
-                    found += group(rows) if len(rows) > 1 else []
-                    key, rows, seen = (g, i, j), [], set()
-                if (first, rep, held) not in seen:  # rows that repeat are one document of several copies
-                    seen.add((first, rep, held))
-                    rows.append((rep, first, copies, held))
-            yield made(found)
-        if len(rows) > 1:
-            yield made(group(rows))
-        rows = []
+            m, a, n, b = zip(*found) if found else ((), (), (), ())
+            return pa.record_batch({"member": pa.array(m, pa.binary()), "rep": pa.array(a, pa.int64()), "links": pa.array(n, pa.int64()), "other": pa.array(b, pa.int64())})
+
+        for key, rows in _runs(batches, _TASK):
+            once = {(r["first"], r["member"]): r for r in rows}  # a doc_id that repeats with one text is one member
+            found = _pairs_of(key, list(once.values()), least)
+            if found is None:
+                continue
+            out, value = _links(*found, key[4] == key[5], similarity)
+            bins += np.bincount(np.rint(value * BINS).astype(np.int64), minlength=BINS + 1)
+            yield made(out)
+        yield made([(None, None, int(bins[k]), int(k)) for k in np.flatnonzero(bins)])  # how many links of each similarity
         shared.release()
 
     return run
 
 
-def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_key, n, labels) of each row: its class, its count of shingles, and its prefix in each tree."""
-    return shared.texts(docs).mapInArrow(_signed(trees, depth or matched_depth(similarity, recall, DEPTH, trees)), "doc_id long, class_key binary, n long, labels array<long>")
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_key, n, forest) of each row: its class, its count of shingles, and its keys in all trees."""
+    return shared.texts(docs).mapInArrow(_signed, "doc_id long, class_key binary, n long, forest binary")
+
+
+def _in_blocks(members: DataFrame, m: str) -> DataFrame:
+    """members of buckets of m, once for each block pair (i, j) that their block is in; first: theirs is block i."""
+    size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(2 * F.sqrt(m)).cast("int")))
+    dealt = members.withColumn("blocks", F.ceil(F.col(m) / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    b = F.col("block")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), (b <= k).alias("first")))
+    return dealt.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j", "p.first").drop("blocks", "block", "p", m)
+
+
+class Forest:
+    """The tries of one representative of each class, matched by shorter and shorter prefixes."""
+
+    def __init__(self, reps: DataFrame, similarity: float, recall: float) -> None:
+        self.reps, self.similarity, self.recall = reps, similarity, recall
+        self.depth, self.before = DEPTH, 0
+        self.done: list[DataFrame] = []  # sets of members whose pairs were looked at
+        self.estimated: dict[float, int] = {}
+
+    def match(self) -> DataFrame:
+        """The tasks (block pairs of buckets) of this depth with the members that are to be verified."""
+        key = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(F.substring("forest", t * (2 * DEPTH) + 1, F.lit(2 * self.depth))))
+        nodes = self.reps.select("member", F.posexplode(key).alias("tree", "label"))
+        alike = [F.bit_xor(F.xxhash64(F.lit(k), "member")).alias(f"x{k}") for k in (1, 2)]
+        buckets = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), *alike).where("m > 1")
+        own = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("tree", "label")).alias("b"))  # buckets of the same members are the first tree's
+        for sets in self.done:
+            own = own.join(sets, ["m", "x1", "x2"], "left_anti")
+        own = shared.written(own.select("b.tree", "b.label", "m", "x1", "x2"))
+        self.done.append(own.select("m", "x1", "x2"))
+        members = nodes.join(own.select("tree", "label", "m"), ["tree", "label"]).join(self.reps.select("member", "forest"), "member")
+        tasks = _in_blocks(members, "m").withColumns({"depth": F.lit(self.depth), "before": F.lit(self.before)})
+        near = self.similarity * TREES * DEPTH
+        found = tasks.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(_candidates(least_agreeing(self.similarity), near), _NEEDED)
+        found = shared.written(found)
+        for r in found.where("member IS NULL").groupBy("agree").agg(F.sum("pairs").alias("n")).collect():  # a row for each count of agreeing values
+            s = r["agree"] / (TREES * DEPTH)
+            self.estimated[s] = self.estimated.get(s, 0) + r["n"]
+        return found.where("member IS NOT NULL").drop("agree", "pairs")
+
+    def shorten(self, found: dict[float, int]) -> bool:
+        """Goes to the depth that the similarities found so far ask for; False if that is this one."""
+        depth = shortened(found, self.depth, self.similarity, self.recall)
+        if depth == self.depth:
+            return False
+        self.before, self.depth = self.depth, depth
+        return True
+
+    def links(self, docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+        """(member, rep, links, other) of all verified links, and a report: depth, links between classes, estimated recall."""
+        every, exact = None, {}
+        while True:
+            tasks = self.match()
+            while self.shorten(self.estimated):
+                tasks = tasks.unionByName(self.match())
+            found = shared.written(self.verified(tasks, docs))
+            every = found if every is None else every.unionByName(found)
+            for r in found.where("rep IS NULL").groupBy("other").agg(F.sum("links").alias("n")).collect():  # a row for each bin
+                exact[r["other"] / BINS] = exact.get(r["other"] / BINS, 0) + r["n"]
+            if not self.shorten(exact):
+                recall = estimated_recall(exact, self.depth, self.similarity)
+                return every.where("rep IS NOT NULL"), {"depth": self.depth, "links": sum(exact.values()), "estimated_recall": recall}
+            self.estimated = dict(exact)
+
+    def verified(self, tasks: DataFrame, docs: DataFrame) -> DataFrame:
+        known = shared.written(self.reps.join(tasks.select("member").distinct(), "member", "left_semi"))
+        ids = known.select(F.col("rep").alias("needed_rep")).distinct()
+        few = known.count() <= MOST_BROADCAST
+        text = shared.texts(docs).join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col("doc_id") == F.col("needed_rep"), "left_semi")
+        held = text.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_with_shingles, "held_rep long, held_key binary, shingles binary")
+        full = known.join(held, (F.col("rep") == F.col("held_rep")) & (F.col("member") == F.col("held_key"))).select("member", "rep", "copies", "forest", "shingles")
+        result = "member binary, rep long, links long, other long"
+        return tasks.join(full, "member").repartition(*_TASK).sortWithinPartitions(*_TASK, "member").mapInArrow(_verified(self.similarity), result)
+
+
+#: Ids of documents with candidates up to which they are broadcast to the scan of the texts (8 bytes each).
+MOST_BROADCAST = 2_000_000
+
+
+def _representatives(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class_key, rep, copies) of each class, and the same with the rep's keys."""
+    some = signed.where("class_key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = shared.written(some.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    reps = some.select("class_key", "doc_id", "forest").join(classes.hint("shuffle_hash"), "class_key").where("doc_id = rep").select("rep", "copies", F.col("class_key").alias("member"), "forest")
+    return classes, shared.written(reps.dropDuplicates(["member"]))
+
+
+def link_report(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> dict[str, float]:
+    """The depth that the tries were shortened to, links between classes, and the recall estimated from their similarities."""
+    _, reps = _representatives(shared.written(signatures(docs)))
+    return Forest(reps, similarity, recall).links(docs)[1]
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, copy_id, n_links, n_shingles): a row for each row of docs.
 
     copy_id: the least doc_id with the same shingle set; class_id: the least doc_id that a chain of pairs of at least the
     given similarity reaches; n_links: rows at least that similar, itself left out, copies counted. A text without words
     (null, empty) has no partner: its ids are its own and n_links is 0. Texts of up to five words have one shingle. Rows
     without doc_id take no part: all their columns but n_shingles are null or 0. A doc_id that repeats with equal texts is
-    a copy of itself; with other texts, each row is judged by its own, and the class ids may tie them together.
+    a copy of itself; with other texts, each row is judged by its own, and the class ids may tie them together. Other
+    columns of docs are not read; an empty table gives no rows.
     """
-    signed = shared.written(signatures(docs, trees, None, similarity, recall))
-    some = signed.where("class_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = shared.written(some.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = some.select("class_key", "doc_id", "labels").join(classes.hint("shuffle_hash"), "class_key").where("doc_id = rep").select("rep", "copies", "class_key", "labels")
-    reps = shared.written(reps.dropDuplicates(["class_key"]))
-    nodes = reps.select("rep", F.posexplode("labels").alias("tree", "label"))
-    least = nodes.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("m")).where("m > 1")
-    least = shared.written(least)  # so that joins on a hot label or group can be split
-    stars = nodes.join(least, "label").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    groups = shared.written(components(stars).withColumnsRenamed({"node": "member", "root": "g"}))
-    sizes = shared.written(groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    placed = groups.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    placed = placed.join(reps.select("rep", "copies", "class_key"), F.col("member") == F.col("rep")).select("rep", "copies", "class_key", "g", "block", "blocks")
-    text = shared.texts(docs).join(placed.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    held = text.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_with_shingles, "held_rep long, held_key binary, shingles binary")
-    full = placed.join(held, (F.col("rep") == F.col("held_rep")) & (F.col("class_key") == F.col("held_key")))
-    b, n = F.col("block"), F.col("blocks")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), (b <= k).alias("first")))
-    spread = full.select("g", "rep", "copies", "shingles", F.explode(pairs).alias("p")).select("g", "p.i", "p.j", "p.first", "rep", "copies", "shingles")
-    found = spread.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "rep").mapInArrow(_verified(similarity), "rep long, links long, other long")
-    found = shared.written(found)
+    signed = shared.written(signatures(docs))
+    classes, reps = _representatives(signed)
+    found, _ = Forest(reps, similarity, recall).links(docs)
     joined = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "linked_rep", "root": "class_id"})
-    links = found.groupBy(F.col("rep").alias("links_rep")).agg(F.sum("links").alias("links"))
-    per_class = classes.join(joined, F.col("rep") == F.col("linked_rep"), "left").join(links, F.col("rep") == F.col("links_rep"), "left")
+    links = found.groupBy("member").agg(F.sum("links").alias("links"))
+    per_class = classes.join(joined, F.col("rep") == F.col("linked_rep"), "left").join(links, F.col("class_key") == F.col("member"), "left")
     per_class = per_class.select("class_key", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "class_key", "n").join(per_class, "class_key", "left")
-    own = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(own, F.coalesce("copy_id", "doc_id")).alias("copy_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    alone = F.col("class_key").isNull() | F.col("doc_id").isNull()
+    out = signed.where(~alone).join(per_class, "class_key").select("doc_id", "class_id", "copy_id", F.col("n_links").cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    return out.unionByName(signed.where(alone).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles")))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the rows whose class has a lesser doc_id; of rows equal in id and text, one stays. Null ids stay."""
-    judged = near_duplicates(docs, similarity).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("judged_id")).agg(F.min("class_id").alias("judged_class"))
-    gone = judged.where("judged_id <> judged_class").select("judged_id")
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("judged_id"), "left_anti")
-    if docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
+    """docs without the rows whose class has a lesser doc_id; of rows equal in id and text, one stays.
+
+    Null ids and texts without words (null, empty) stay; an empty table stays empty. Columns may have any names.
+    """
+    judged = near_duplicates(docs, similarity).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    gone = judged.where("doc_id <> class_id").select("doc_id")
+    row = docs.select(shared.packed(docs).alias("row"))
+    gone = gone.hint("shuffle_hash")
+    kept = row.join(gone, F.col("row.doc_id") == gone["doc_id"], "left_anti")
+    if not docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
+        some = kept.where("row.doc_id IS NOT NULL").withColumns({"id": F.col("row.doc_id"), "words": F.col("row.text")}).dropDuplicates(["id", "words"]).select("row")
+        kept = some.unionByName(kept.where("row.doc_id IS NULL"))
+    return kept.select("row.*")

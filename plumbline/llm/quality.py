@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shared
+from plumbline.llm.shared import unpacked
 
 #: Rules: shares of a text, large is bad.
 RULES = ["symbol_share", "shout_share", "upper_share", "repeat_share", "dup_line_share"]
@@ -203,24 +204,30 @@ def _wide(certified: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of docs that judge() keeps, as they are. Each row is judged by its own text as it streams by."""
+    """The rows of docs that judge() keeps, as they are, columns of any names included. Each is judged by its own text as it streams by.
+
+    Null and empty texts fail the base test and go; a null language is a stratum of its own; rows that repeat stay or go
+    alike, and null ids stay or go by their texts; an empty table stays empty.
+    """
     wide = _wide(cutoffs(shared.written(features(docs)), labels, risk, error))
-    beside = docs.withColumn("cut_key", F.coalesce(F.col("lang").cast("string"), F.lit(""))).join(wide, F.col("cut_key") == F.col("cut_stratum"), "left").drop("cut_key", "cut_stratum")
+    rows = docs.select(shared.packed(docs).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("cut_key"))
+    beside = rows.join(wide, F.col("cut_key") == F.col("cut_stratum"), "left").drop("cut_key", "cut_stratum")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].fill_null("")
+            held = unpacked(batch["row"], names)
+            texts = held["text"].fill_null("")
             at = 0
             for measured in _features(iter([pa.record_batch({"doc_id": pa.nulls(batch.num_rows, pa.int64()), "text": texts})])):
-                part = batch.slice(at, measured.num_rows)
+                part, first = batch.slice(at, measured.num_rows), at
                 at += measured.num_rows
                 n_words, n_repeat = np.array(measured["n_words"]), np.array(measured["n_repeat_words"])
                 bad = (n_words < 20) | (100 * n_repeat > 30 * n_words)
                 for r in RULES:
                     cutoff = part[f"cut_{r}"].to_numpy(zero_copy_only=False).astype(float)
                     bad |= np.array(measured[r]) > np.where(np.isnan(cutoff), np.inf, cutoff)
-                yield part.select(names).filter(pa.array(~bad))
+                yield pa.RecordBatch.from_arrays([held[c].slice(first, len(bad)) for c in names], names).filter(pa.array(~bad))
         shared.release()
 
     return beside.mapInArrow(run, docs.schema)

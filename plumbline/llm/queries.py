@@ -13,8 +13,8 @@ from plumbline.llm.packing import pack_along_curve
 from plumbline.llm.pii import find_pii
 from plumbline.llm.quality import judge
 from plumbline.llm.secretscan import scan_secrets
-from plumbline.llm.separators import flat_files, scan_separators
-from plumbline.llm.shared import table, written
+from plumbline.llm.separators import read_blocks, scan_separators, write_flat_files
+from plumbline.llm.shared import new_path, table
 from plumbline.llm.urlfilter import RULES, filter_urls
 from plumbline.llm.wordtok import default_path
 
@@ -36,8 +36,10 @@ def op4_quality_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, from flat files of their ids; 49407 ends a document."""
-    blocks = written(flat_files(table(spark, sf_dir, "documents"), default_path(), 49407))
+    """Token counts of all documents, from flat files of their ids; 49407 ends a document. A file is named by its number."""
+    path = new_path(spark)
+    write_flat_files(table(spark, sf_dir, "documents"), path, default_path(), 49407)
+    blocks = read_blocks(spark, path).withColumn("file", F.concat(F.lit("tokens-"), F.regexp_extract("file", r"part-(\d+)-", 1)))
     return scan_separators(blocks, 49407)
 
 

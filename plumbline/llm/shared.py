@@ -11,39 +11,71 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _drop_written() -> None:
     for spark, path in _written:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone already
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a local one, in a local session only (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, so that a lost executor costs one stage at most."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A folder of its own in the shared one, deleted when the program ends."""
     if not _written:
         atexit.register(_drop_written)
     path = f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, so that a lost executor costs one stage at most."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no plan will read any more; the others go when the program ends."""
+    for df in tables:
+        entry = (df.sparkSession, df.written_path)
+        if entry in _written:
+            _written.remove(entry)
+            _delete(*entry)
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that none of their names can clash with another's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(rows: pa.StructArray, names: list[str]) -> dict[str, pa.Array]:
+    return dict(zip(names, rows.flatten()))
 
 
 def ship(spark: SparkSession) -> None:

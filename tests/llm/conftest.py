@@ -1,15 +1,9 @@
-import random
-
 import pytest
+from samples import prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, blob string, stratum string, copy int"
 
 
-def prose(seed: int, words: int) -> str:
-    r = random.Random(seed)
-    return " ".join(r.choice(["The", "tion", "andre", "shed", "über", "élan", "von", "esta"]) + r.choice("abcdefgh") + r.choice(["", "ing", "en", ","]) for _ in range(words))
-
-
 def rows() -> list[tuple]:
     """Texts of all kinds: null, empty, blank, very long, repeated rows, copies, near copies, junk, personal data, secrets."""
     texts = [None, "", " \n\t ", "one", "one two three four five", prose(1, 300), prose(1, 300), prose(2, 300) + " Extra tail", prose(2, 300) + " other end"]

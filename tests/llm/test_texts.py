@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from samples import prose
 
-from plumbline.llm import jaccard, lmscore, mixing, packing, pii, quality, secretscan, separators
+from plumbline.llm import jaccard, lmscore, mixing, mixture, packing, pii, quality, secretscan, separators
 from plumbline.llm.wordtok import default_path, word_tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -109,6 +110,60 @@ def test_jaccard_large_group(spark):
     assert {r.class_id for r in got.values()} == {0}
 
 
+def test_jaccard_recall(spark):
+    """Links found against all links, by the exact sets of the whole small table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: set(jaccard.shingles((r.text or "").encode()).tolist()) for r in docs.select("doc_id", "text").collect()}
+    holders = defaultdict(list)
+    for d, found in sets.items():
+        for x in found:
+            holders[x].append(d)
+    met = Counter()
+    for ids in holders.values():
+        met.update((a, b) for i, a in enumerate(ids) for b in ids[i + 1 :])
+    links = Counter()
+    for (a, b), n in met.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links.update((a, b))
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(docs).collect()}
+    assert all(got[d] <= links[d] for d in got)
+    assert sum(got.values()) >= 0.999 * sum(links.values()) > 0
+    report = jaccard.link_report(docs)
+    assert report["estimated_recall"] >= 0.999 and report["links"] > 0
+
+
+def test_jaccard_depth_follows_the_data():
+    assert jaccard.shortened({}, 8) == 5 and jaccard.shortened({0.8: 100}, 8) == 5
+    assert jaccard.shortened({0.95: 1_000_000}, 8) == 8
+    assert jaccard.shortened({0.95: 1_000_000, 0.8: 60_000}, 8) < 8
+    assert jaccard.estimated_recall({0.8: 1000}, 2, 0.8) > jaccard.estimated_recall({0.8: 1000}, 8, 0.8) > 0.9
+
+
+def test_jaccard_boilerplate_is_not_verified(spark):
+    """Texts that share a long passage but aren't near: no member of any bucket is left for verification."""
+    shared_part, texts = prose(50, 160), []
+    for i in range(300):
+        texts.append((i, shared_part + " " + " ".join(f"u{i}x{k}" for k in range(240))))
+    _, reps = jaccard._representatives(jaccard.signatures(spark.createDataFrame(texts, "doc_id long, text string")).cache())
+    forest = jaccard.Forest(reps, 0.8, 0.9999)
+    assert forest.match().count() == 0 and forest.shorten({}) and forest.depth == 5 and forest.match().count() == 0
+
+
+def test_stages_take_any_column_names(spark):
+    """Columns named like the operators' own."""
+    odd = "cut_key string, cut_stratum string, cut_symbol_share double, secret_blob binary, secret_found int, judged_id long, judged_class long, class_id int, row int, found string, blob int, cut_group string, id int, words int"
+    names = [c.split()[0] for c in odd.split(", ")]
+    rows = [(i, t, "en", "s", len(t), "k", "s", 0.5, bytearray(b"x"), 3, 4, 5, 6, 7, "f", 8, "g", 9, 10) for i, t in [(0, prose(1, 80)), (1, prose(1, 80)), (2, "few"), (3, prose(2, 90) + " password=e3b3ed3cc8548923d6"), (3, prose(2, 90) + " password=e3b3ed3cc8548923d6")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + odd)
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    for stage, ids in ((lambda d: quality.keep_good(d, labels), [0, 1, 3, 3]), (jaccard.keep_one, [0, 2, 3]), (secretscan.redact, [0, 1, 2, 3, 3]), (lambda d: mixing.replicate(d, copy_column=None), None)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert ids is None or sorted(r.doc_id for r in got) == ids
+        assert all(tuple(r[n] for n in names) == tuple(rows[0][5:]) for r in got)
+
+
 def test_kept_one(docs):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
@@ -135,38 +190,89 @@ def test_lm_base_and_gain(docs, empty):
     assert lmscore.score_documents(empty).count() == 0
 
 
-def test_mixture_is_a_distribution():
-    from plumbline.llm.mixture import SLOT_BITS, Mixture, increments, ORDERS, windows
+def trained(texts):
+    """The tables of all orders and a fitted mixer, and the texts' windows."""
+    every = np.concatenate([mixture.windows(np.frombuffer(bytes(mixture.WINDOW - 1) + t, np.uint8)) for t in texts])
+    window, times = np.unique(every, return_counts=True)
+    tables = []
+    for order in mixture.ORDERS:
+        if order <= mixture.DENSE:
+            tables.append(mixture.Dense(order))
+            place, zero, one = mixture.contexts(window, times, order)
+            tables[-1].add(place.astype(np.int64), zero, one)
+        else:
+            tables.append(mixture.Checked(window, times, order))
+    node = [n for _, n, _ in mixture.nodes(window)]
+    return tables, mixture.Mixer().fit(window, times, lambda i, position: tables[i].counts(window, node[position])), window
+
 
-    data = np.frombuffer(b"\0\0\0\0\0" + b"the cat sat on the mat and the cat " * 20, np.uint8)
-    seen, times = np.unique(windows(data), return_counts=True)
-    model = Mixture.empty()
-    for i, order in enumerate(ORDERS):
-        slot, zero, one = increments(seen, times, order, SLOT_BITS[i])
-        model.zeros[i][slot], model.ones[i][slot] = zero, one
-    model.fit(seen, times)
-    every = (seen[3] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
-    assert math.isclose((10 ** model.log10(every)).sum(), 1, rel_tol=1e-6)
+def test_mixture_is_a_distribution():
+    tables, mixer, _ = trained([lmscore.normalised(prose(k, 300).encode()) for k in range(5)])
+    for context in (b" andreh", b"\0\0\0shed"[-7:], b"zzzzzz "):
+        data = [np.frombuffer(context[-6:] + bytes([c]), np.uint8) for c in range(256)]
+        every = np.concatenate([mixture.windows(d) for d in data])
+        assert math.isclose((10 ** mixture.log10(mixer, tables, every)).sum(), 1, rel_tol=1e-6)
+
+
+def test_mixture_bit_by_bit():
+    """Scores against a plain version: dictionaries of exact contexts, one bit at a time."""
+    texts = [lmscore.normalised(prose(k, 60).encode()) for k in range(4)]
+    tables, mixer, _ = trained(texts)
+    seen = defaultdict(lambda: [0, 0])
+    for t in texts:
+        for i, byte in enumerate(t):
+            for order in mixture.ORDERS:
+                context = (bytes(6) + t)[i + 6 - order : i + 6]
+                for k in range(8):
+                    seen[order, context, (byte | 256) >> (8 - k)][byte >> (7 - k) & 1] += 1
+    new = lmscore.normalised(prose(9, 40).encode())
+    got = mixture.log10(mixer, tables, mixture.windows(np.frombuffer(bytes(6) + new, np.uint8)))
+    for i, byte in enumerate(new):
+        before, total = (bytes(6) + new)[i : i + 6], 0.0
+        space = next((k for k in range(6) if before[5 - k] == 32), 6)
+        for k in range(8):
+            node, bit = (byte | 256) >> (8 - k), byte >> (7 - k) & 1
+            counts = [seen.get((order, before[6 - order :], node), (0, 0)) for order in mixture.ORDERS]
+            longest = max([j + 1 for j, c in enumerate(counts) if sum(c)], default=0)
+            weights = mixer.weights[0][(k * 7 + space) * 7 + longest] + mixer.weights[1][k * 256 + before[5]]
+            mixed = sum(w * math.log((one + 0.4) / (zero + 0.4)) for w, (zero, one) in zip(weights, counts))
+            at = (min(max(mixed, -7.999), 7.999) + 8) * 2
+            mapped = mixer.map[node, int(at)] * (1 - at % 1) + mixer.map[node, int(at) + 1] * (at % 1)
+            p = min(max(0.5 * mapped + 0.5 / (1 + math.exp(-min(max(mixed, -30), 30))), 1e-6), 1 - 1e-6)
+            total += math.log10(p if bit else 1 - p)
+        assert math.isclose(got[i], total, rel_tol=1e-4), (i, byte)
 
 
 def test_mixture_keeps_every_context():
-    """Contexts that share a slot of a fixed table keep counts of their own; one never seen has none."""
-    from plumbline.llm.mixture import ORDERS, ExactMixture, contexts, nodes, table
-
-    random = np.random.default_rng(9)
-    seen = np.unique(random.integers(0, 1 << 48, 60_000, dtype=np.uint64))
-    times = random.integers(1, 50, len(seen))
-    model = ExactMixture([table(*contexts(seen, times, order)) for order in ORDERS])
-    assert [size for _, size in model.tables][-1] > 2 * 8 * 50_000
-    position, node, bit = list(nodes(seen))[7]
-    zero, one = model.counts(4, seen, node)
+    """As many contexts as there are, each with its own counts; those never seen have none."""
+    random = np.random.default_rng(0)
+    window = np.unique(random.integers(0, 2**56, 50_000, dtype=np.uint64))
+    times = random.integers(1, 50, len(window))
+    held = mixture.Checked(window, times, 5)
+    node = np.full(len(window), 1, np.uint64)
+    zero, one = held.counts(window, node)
     same = Counter()
-    for w, n in zip(seen >> np.uint64(1), times):
-        same[int(w)] += int(n)
-    assert (zero + one == [same[int(w)] for w in seen >> np.uint64(1)]).all() and (np.where(bit, one, zero) >= times).all()
-    new = random.integers(0, 1 << 48, 60_000, dtype=np.uint64)
-    new = new[~np.isin(new >> np.uint64(8), seen >> np.uint64(8))]
-    assert not sum(model.counts(4, new, np.full(len(new), 1, np.uint64))).any()
+    for c, n in zip((window >> np.uint64(8)) & np.uint64(2**40 - 1), times):
+        same[int(c)] += int(n)
+    assert (zero + one == [same[int(c)] for c in (window >> np.uint64(8)) & np.uint64(2**40 - 1)]).all()
+    new = np.setdiff1d(random.integers(0, 2**56, 1000, dtype=np.uint64), window)
+    assert not sum(held.counts(new, node[: len(new)])).any()
+
+
+def test_lm_is_the_same_from_many_batches(spark, docs, monkeypatch):
+    """Cutting the texts into more batches, buckets and merges changes no score."""
+    score = lambda: {(str(r.doc_id), r.n_bytes): (r.score, r.base_score) for r in lmscore.score_documents(docs).collect()}
+    once = score()
+    source = docs.select("doc_id", "text").repartition(7)
+    monkeypatch.setattr(lmscore, "UNMERGED", 1000)
+    again = {(str(r.doc_id), r.n_bytes): (r.score, r.base_score) for r in lmscore.score_documents(source).collect()}
+    assert once.keys() == again.keys()
+    assert all(math.isclose(a, b, rel_tol=1e-5) for k in once for a, b in zip(once[k], again[k]))
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    got = lmscore.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_bytes")).first()
+    assert got[0] > got[1]
 
 
 def test_quality_counts(spark, docs, empty):
@@ -328,17 +434,25 @@ def test_redaction(docs):
     assert same(out) == same(docs)
 
 
-def test_separators(spark, docs, empty):
-    blocks = separators.flat_files(docs, default_path(), 49407, block_ids=64)
-    got = sorted(r.length for r in separators.scan_separators(blocks, 49407).collect())
-    assert got == sorted(len(library_ids(r.text)) + 1 for r in docs.collect())
+def test_separators(spark, docs, empty, tmp_path):
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, "one <|endoftext|> two")], "doc_id long, text string"))
+    separators.write_flat_files(more, f"{tmp_path}/flat", default_path(), 49407)
+    written = b"".join(f.read_bytes() for f in sorted((tmp_path / "flat").glob("part-*")))
+    assert len(written) == 2 * sum(len([x for x in library_ids(r.text) if x != 49407]) + 1 for r in more.collect())
+    wanted = sorted(len([x for x in library_ids(r.text) if x != 49407]) + 1 for r in more.collect())
+    for block_ids, range_blocks in ((64, 3), (separators.BLOCK_IDS, separators.RANGE_BLOCKS)):
+        blocks = separators.read_blocks(spark, f"{tmp_path}/flat", block_ids=block_ids, range_blocks=range_blocks)
+        assert sorted(r.length for r in separators.scan_separators(blocks, 49407).collect()) == wanted
+    lost = spark.createDataFrame([(None, 0, bytearray(b"ab")), ("f", None, bytearray(b"ab")), ("f", 0, bytearray(b"\x01\x00\x09\x00"))], "file string, block long, ids binary")
+    assert [r.length for r in separators.scan_separators(lost, 9).collect()] == [2]
     made = {"f": [5, 9, 9, 1, 2, 3, 4, 5, 6, 7, 8, 9, 3], "g": [9], "h": [1, 2], "e": []}
     rows = [(f, k, np.array(ids[k * 2 : k * 2 + 2], "<u2").tobytes(), "extra") for f, ids in made.items() for k in range(max(1, (len(ids) + 1) // 2))]
     got = defaultdict(list)
     for r in separators.scan_separators(spark.createDataFrame([(a, b, bytearray(c), d) for a, b, c, d in rows], "file string, block long, ids binary, at string"), 9).orderBy("file", "document").collect():
         got[r.file].append((r.document, r.start, r.length, r.closed))
     assert dict(got) == {"f": [(0, 0, 2, True), (1, 2, 1, True), (2, 3, 9, True), (3, 12, 1, False)], "g": [(0, 0, 1, True)], "h": [(0, 0, 2, False)]}
-    assert separators.scan_separators(separators.flat_files(empty, default_path(), 9), 9).count() == 0
+    separators.write_flat_files(empty, f"{tmp_path}/none", default_path(), 9)
+    assert separators.scan_separators(separators.read_blocks(spark, f"{tmp_path}/none"), 9).count() == 0
 
 
 def test_separators_many_groups(spark):
