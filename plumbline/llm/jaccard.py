@@ -1,17 +1,18 @@
 """Joining documents by the Jaccard similarity of their word shingles, through a MinHash LSH forest.
 
 A document's shingle set is signed by TREES keys of DEPTH MinHash values each: the keys of a tree, sorted, are a prefix
-trie, and a prefix of it is a bucket of neighbouring keys. Matching begins with the whole keys. From the similarities of
-the pairs that are found, and the chance that a pair of such a similarity shares a prefix of that length in some tree,
-follows how many were missed; prefixes are shortened until that is within the target recall, first by similarities
-estimated from the signatures, then once more by the verified ones. So a corpus whose pairs are close stops at long
-prefixes, and one with many pairs at the threshold goes down to short ones.
-
-A pair is owned by one bucket: the first tree that holds it at the longest prefix that was tried. Buckets with the same
-members are one. Within a bucket pairs are looked at block against block: signatures first (a pair whose signatures
-agree SIGMAS standard deviations too seldom isn't one), then the shingle sets of the rest, exactly. Only sums, a spanning
-forest of the links and a histogram leave a block. Documents with one shingle set are a class that is signed and
-verified once, and stands for all its copies.
+trie, and a prefix of it is a bucket of neighbouring keys. Matching begins with the whole keys: every member of a bucket
+meets the bucket's first. From the similarities of those pairs, and the chance that a pair of such a similarity shares a
+prefix of that length in some tree, follows how many pairs were missed; prefixes are shortened until that is within the
+target recall. Verified links are judged the same way at the end, and shorten further if they must. So a corpus whose
+pairs are close stops at long prefixes, and one with many pairs at the threshold goes down to short ones.
+
+Members whose signatures agree with their bucket's first (within SIGMAS standard deviations of the threshold) form
+groups with it; the pairs of a group are verified once, block against block, whatever number of buckets they share. A
+pair of two groups is owned by one bucket, the first tree's that holds both, and looked at there: signatures first, then
+shingle sets, exactly. Buckets within one group, and buckets of the same members as an earlier tree's, have nothing left
+to do. Only sums, a spanning forest of the links and a histogram leave a task. Documents with one shingle set are a class
+that is signed and verified once, and stands for all its copies.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from plumbline.llm.components import components
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9999
 SIGMAS = 6
-#: Members of a bucket in a block: they grow with the root of the bucket, within these bounds; two blocks meet in a task.
-LEAST_BLOCK, MOST_BLOCK = 96, 1024
+#: Members in a block: they grow with the root of their group or bucket, within these bounds; two blocks meet in a task.
+LEAST_BLOCK, MOST_BLOCK = 128, 1024
 #: Similarities of verified links are counted in bins of a thousandth.
 BINS = 1000
 _SEED = 1789
@@ -159,28 +160,33 @@ def common(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np
     return np.rint(out).astype(np.int64)
 
 
+def _keys(forests: list[bytes]) -> np.ndarray:
+    """(row, tree, place): the signature values."""
+    return np.array([np.frombuffer(f, ">u2") for f in forests]).astype(np.uint16).reshape(len(forests), TREES, DEPTH)
+
+
 class _Block:
-    """Members of a bucket's block: their class keys, signatures and, where pairs are verified, ids, copies and shingle sets."""
+    """Members of a block: their class keys, groups, signatures and, where pairs are verified, ids, copies and shingle sets."""
 
     def __init__(self, rows: list[dict]) -> None:
         self.member, self.rep = [r["member"] for r in rows], [r.get("rep") for r in rows]
-        self.keys = np.array([np.frombuffer(r["forest"], ">u2") for r in rows]).astype(np.uint16).reshape(len(rows), TREES, DEPTH)
+        self.group = np.array([r["grp"] for r in rows], np.int64)
+        self.keys = _keys([r["forest"] for r in rows])
         self.copies = np.array([r.get("copies", 1) for r in rows], np.int64)
         self.sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows] if rows and "shingles" in rows[0] else []
 
 
-def _agreeing(a: _Block, b: _Block, tree: int, depth: int, before: int) -> np.ndarray:
-    """How many signature values agree, for the pairs that this tree's bucket owns at this depth; -1 for others.
+def _agreeing(a: _Block, b: _Block, tree: int, depth: int) -> np.ndarray:
+    """How many signature values agree, for the pairs that a task owns; -1 for others.
 
-    Owned: no tree shares a prefix of the depth tried before (0: none was), and no earlier tree one of this depth.
+    A group's task (tree -1) owns all its pairs. A bucket's owns those of two groups that share its tree's prefix and no
+    earlier tree's.
     """
     agree = np.zeros((len(a.rep), len(b.rep)), np.int16)
-    owned = np.ones(agree.shape, bool)
+    owned = np.ones(agree.shape, bool) if tree < 0 else a.group[:, None] != b.group[None, :]
     for t in range(TREES):
         same = a.keys[:, None, t] == b.keys[None, :, t]
         agree += same.sum(2, dtype=np.int16)
-        if before:
-            owned &= ~same[:, :, :before].all(2)
         if t <= tree:
             prefix = same[:, :, :depth].all(2)
             owned &= prefix if t == tree else ~prefix
@@ -203,51 +209,59 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
         yield key, rows
 
 
-_TASK = ("depth", "before", "tree", "label", "i", "j")
-_NEEDED = "depth int, before int, tree int, label long, i int, j int, first boolean, member binary, agree int, pairs long"
+_TASK = ("tree", "label", "i", "j")
+_MEMBERS = "tree int, label long, i int, j int, first boolean, member binary, grp long"
 
 
-def _pairs_of(key: tuple, rows: list[dict], least: int) -> tuple[_Block, _Block, np.ndarray] | None:
-    """The blocks of a task and what _agreeing() says of their pairs, each pair once."""
-    depth, before, tree, _, i, j = key
+def _pairs_of(key: tuple, rows: list[dict], depth: int, least: int) -> tuple[_Block, _Block, np.ndarray] | None:
+    """The blocks of a task and what _agreeing() says of their pairs, each pair once; -1 where it is less than least."""
+    tree, _, i, j = key
     a = _Block([r for r in rows if r["first"]])
     b = a if i == j else _Block([r for r in rows if not r["first"]])
     if not a.rep or not b.rep or len(rows) < 2:
         return None
-    agree = _agreeing(a, b, tree, depth, before)
+    agree = _agreeing(a, b, tree, depth)
     if i == j:
         agree[np.tril_indices(len(a.rep))] = -1
     agree[agree < least] = -1
     return a, b, agree
 
 
-def _candidates(least: int, near: float):
-    """The members of each task that have a pair left to verify, and how often signatures agree, where near or nearer."""
+def _led(least: int):
+    """The pairs (h, lead) of members and their buckets' firsts whose signatures agree well enough, with how many values do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            agree = (_keys(batch["forest"].to_pylist()) == _keys(batch["lead_forest"].to_pylist())).sum((1, 2)).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
+            keep = pa.array(agree >= least)
+            yield pa.record_batch({"h": batch["h"].filter(keep), "lead": batch["lead"].filter(keep), "agree": pa.array(agree).filter(keep)})
+
+    return run
+
+
+def _left_over(depth: int, least: int):
+    """The members of buckets' tasks that have a pair to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(TREES * DEPTH + 1, np.int64)
         out: list[tuple] = []
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64())
 
         def made() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 10
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int64()))], [c.split()[0] for c in _NEEDED.split(", ")])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)], [c.split()[0] for c in _MEMBERS.split(", ")])
 
         for key, rows in _runs(batches, _TASK):
-            found = _pairs_of(key, rows, least)
+            found = _pairs_of(key, rows, depth, least)
             if found is None:
                 continue
             a, b, agree = found
             hit = agree >= 0
-            if key[4] == key[5]:
-                hit_a, hit_b = hit.any(1) | hit.any(0), np.zeros(0, bool)
+            if key[2] == key[3]:
+                out += [(*key, True, a.member[k], int(a.group[k])) for k in np.flatnonzero(hit.any(1) | hit.any(0))]
             else:
-                hit_a, hit_b = hit.any(1), hit.any(0)
-            out += [(*key, True, a.member[k], None, None) for k in np.flatnonzero(hit_a)] + [(*key, False, b.member[k], None, None) for k in np.flatnonzero(hit_b)]
-            seen += np.bincount(agree[agree >= near], minlength=len(seen))
+                out += [(*key, True, a.member[k], int(a.group[k])) for k in np.flatnonzero(hit.any(1))] + [(*key, False, b.member[k], int(b.group[k])) for k in np.flatnonzero(hit.any(0))]
             if len(out) > 50_000:
                 yield made()
                 out.clear()
-        out += [(*[None] * 8, int(k), int(seen[k])) for k in np.flatnonzero(seen)]
         yield made()
 
     return run
@@ -269,8 +283,8 @@ def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(a: _Block, b: _Block, agree: np.ndarray, alone: bool, similarity: float) -> tuple[list[tuple], np.ndarray]:
-    """(member, rep, links, other) rows of a task's verified pairs, and their similarities."""
+def _linked(a: _Block, b: _Block, agree: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a task's pairs are links, exactly, and the links' similarities."""
     at = np.argwhere(agree >= 0)
     if len(at) <= 2 * (len(a.rep) + len(b.rep)):
         met = np.zeros(agree.shape, np.int64)
@@ -280,38 +294,68 @@ def _links(a: _Block, b: _Block, agree: np.ndarray, alone: bool, similarity: flo
         met = common(a.sets, b.sets)
     size = np.array([len(x) for x in a.sets])[:, None] + np.array([len(x) for x in b.sets])[None, :]
     linked = (agree >= 0) & (met >= similarity * (size - met) - 1e-9)
-    value = (met / np.maximum(size - met, 1))[linked]
-    n = len(a.rep)
-    if alone:
-        members, names, copies, both = a.member, a.rep, a.copies, linked | linked.T
-    else:
-        members, names, copies = a.member + b.member, a.rep + b.rep, np.append(a.copies, b.copies)
-        both = np.zeros((len(names), len(names)), bool)
-        both[:n, n:], both[n:, :n] = linked, linked.T
-    links = both @ copies
-    out = [(members[k], names[k], int(links[k]), names[k]) for k in np.flatnonzero(links)]
-    return out + [(members[i], names[i], 0, names[j]) for i, j in _spanning(both)], value
-
-
-def _verified(similarity: float):
+    return linked, (met / np.maximum(size - met, 1))[linked]
+
+
+class _Found:
+    """What a Spark task has found: links of each member, and edges that join members not yet joined here."""
+
+    def __init__(self) -> None:
+        self.links: dict[bytes, int] = {}
+        self.parent: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+        self.bins = np.zeros(BINS + 1, np.int64)
+
+    def _root(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def add(self, a: _Block, b: _Block, linked: np.ndarray, similarity: np.ndarray) -> None:
+        alone, n = a is b, len(a.rep)
+        if alone:
+            members, names, copies, both = a.member, a.rep, a.copies, linked | linked.T
+        else:
+            members, names, copies = a.member + b.member, a.rep + b.rep, np.append(a.copies, b.copies)
+            both = np.zeros((len(names), len(names)), bool)
+            both[:n, n:], both[n:, :n] = linked, linked.T
+        sums = both @ copies
+        for k in np.flatnonzero(sums):
+            self.links[members[k]] = self.links.get(members[k], 0) + int(sums[k])
+        for i, j in _spanning(both):
+            x, y = self._root(names[i]), self._root(names[j])
+            if x != y:
+                self.parent[x] = y
+                self.edges.append((names[i], names[j]))
+        self.bins += np.bincount(np.rint(similarity * BINS).astype(np.int64), minlength=BINS + 1)
+
+    def rows(self) -> pa.RecordBatch:
+        out = [(m, None, n, None) for m, n in self.links.items()] + [(None, a, 0, b) for a, b in self.edges] + [(None, None, int(self.bins[k]), int(k)) for k in np.flatnonzero(self.bins)]
+        m, a, n, b = zip(*out) if out else ((), (), (), ())
+        return pa.record_batch({"member": pa.array(m, pa.binary()), "rep": pa.array(a, pa.int64()), "links": pa.array(n, pa.int64()), "other": pa.array(b, pa.int64())})
+
+
+#: Members whose links a Spark task holds before it hands them on.
+MOST_HELD = 200_000
+
+
+def _verified(depth: int, similarity: float):
     least = least_agreeing(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(BINS + 1, np.int64)
-
-        def made(found: list[tuple]) -> pa.RecordBatch:
-            m, a, n, b = zip(*found) if found else ((), (), (), ())
-            return pa.record_batch({"member": pa.array(m, pa.binary()), "rep": pa.array(a, pa.int64()), "links": pa.array(n, pa.int64()), "other": pa.array(b, pa.int64())})
-
+        found = _Found()
         for key, rows in _runs(batches, _TASK):
             once = {(r["first"], r["member"]): r for r in rows}  # a doc_id that repeats with one text is one member
-            found = _pairs_of(key, list(once.values()), least)
-            if found is None:
+            pairs = _pairs_of(key, list(once.values()), depth, least)
+            if pairs is None:
                 continue
-            out, value = _links(*found, key[4] == key[5], similarity)
-            bins += np.bincount(np.rint(value * BINS).astype(np.int64), minlength=BINS + 1)
-            yield made(out)
-        yield made([(None, None, int(bins[k]), int(k)) for k in np.flatnonzero(bins)])  # how many links of each similarity
+            a, b, agree = pairs
+            found.add(a, b, *_linked(a, b, agree, similarity))
+            if len(found.links) > MOST_HELD:
+                yield found.rows()
+                found = _Found()
+        yield found.rows()
         shared.release()
 
     return run
@@ -323,77 +367,83 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, m: str) -> DataFrame:
-    """members of buckets of m, once for each block pair (i, j) that their block is in; first: theirs is block i."""
-    size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(2 * F.sqrt(m)).cast("int")))
-    dealt = members.withColumn("blocks", F.ceil(F.col(m) / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    """members of groups or buckets of m, once for each block pair (i, j) that their block is in; first: theirs is block i."""
+    size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(4 * F.sqrt(m)).cast("int")))
+    dealt = members.withColumn("blocks", F.ceil(F.col(m) / size).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "member"), F.col("blocks")).cast("int"))
     b = F.col("block")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), (b <= k).alias("first")))
-    return dealt.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j", "p.first").drop("blocks", "block", "p", m)
+    return dealt.withColumn("p", F.explode(pairs)).select("tree", "label", "p.i", "p.j", "p.first", "member", "grp")
 
 
 class Forest:
-    """The tries of one representative of each class, matched by shorter and shorter prefixes."""
+    """The tries of one representative of each class (member, rep, copies, forest), matched by shorter and shorter prefixes."""
 
     def __init__(self, reps: DataFrame, similarity: float, recall: float) -> None:
-        self.reps, self.similarity, self.recall = reps, similarity, recall
-        self.depth, self.before = DEPTH, 0
-        self.done: list[DataFrame] = []  # sets of members whose pairs were looked at
-        self.estimated: dict[float, int] = {}
+        self.reps = reps.withColumn("h", F.xxhash64("member"))
+        self.similarity, self.recall, self.depth = similarity, recall, DEPTH
 
-    def match(self) -> DataFrame:
-        """The tasks (block pairs of buckets) of this depth with the members that are to be verified."""
+    def nodes(self) -> DataFrame:
+        """(member, h, tree, label) of every member's prefix in each tree."""
         key = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(F.substring("forest", t * (2 * DEPTH) + 1, F.lit(2 * self.depth))))
-        nodes = self.reps.select("member", F.posexplode(key).alias("tree", "label"))
-        alike = [F.bit_xor(F.xxhash64(F.lit(k), "member")).alias(f"x{k}") for k in (1, 2)]
-        buckets = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), *alike).where("m > 1")
-        own = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("tree", "label")).alias("b"))  # buckets of the same members are the first tree's
-        for sets in self.done:
-            own = own.join(sets, ["m", "x1", "x2"], "left_anti")
-        own = shared.written(own.select("b.tree", "b.label", "m", "x1", "x2"))
-        self.done.append(own.select("m", "x1", "x2"))
-        members = nodes.join(own.select("tree", "label", "m"), ["tree", "label"]).join(self.reps.select("member", "forest"), "member")
-        tasks = _in_blocks(members, "m").withColumns({"depth": F.lit(self.depth), "before": F.lit(self.before)})
-        near = self.similarity * TREES * DEPTH
-        found = tasks.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(_candidates(least_agreeing(self.similarity), near), _NEEDED)
-        found = shared.written(found)
-        for r in found.where("member IS NULL").groupBy("agree").agg(F.sum("pairs").alias("n")).collect():  # a row for each count of agreeing values
-            s = r["agree"] / (TREES * DEPTH)
-            self.estimated[s] = self.estimated.get(s, 0) + r["n"]
-        return found.where("member IS NOT NULL").drop("agree", "pairs")
+        return self.reps.select("member", "h", F.posexplode(key).alias("tree", "label"))
+
+    def leads(self) -> DataFrame:
+        """(h, lead, agree): members and the firsts of their buckets that may be links, each pair once."""
+        nodes = self.nodes()
+        buckets = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("h").alias("lead")).where("m > 1")
+        pairs = shared.written(nodes.join(buckets, ["tree", "label"]).where("h <> lead").select("member", "h", "lead").distinct())
+        beside = shared.join_hot(pairs, self.reps.select(F.col("h").alias("lead"), F.col("forest").alias("lead_forest")), "lead")
+        both = beside.join(self.reps.select("member", "forest"), "member").select("h", "lead", "forest", "lead_forest")
+        return shared.written(both.mapInArrow(_led(least_agreeing(self.similarity)), "h long, lead long, agree int"))
 
     def shorten(self, found: dict[float, int]) -> bool:
-        """Goes to the depth that the similarities found so far ask for; False if that is this one."""
+        """Goes to the depth that the similarities found ask for; False if that is this one."""
         depth = shortened(found, self.depth, self.similarity, self.recall)
-        if depth == self.depth:
-            return False
-        self.before, self.depth = self.depth, depth
-        return True
+        shorter, self.depth = depth < self.depth, depth
+        return shorter
+
+    def tasks(self, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members by the tasks that verify them: groups' block pairs, and what buckets of several groups leave."""
+        joined = shared.written(components(leads.select(F.col("h").alias("a"), F.col("lead").alias("b")))).withColumnRenamed("node", "h")
+        sizes = joined.groupBy("root").agg(F.count("*").alias("m"))
+        mine = self.reps.select("member", "h").join(joined, "h")
+        in_groups = shared.join_hot(shared.written(mine), sizes, "root").select("member", "m", F.col("root").alias("grp"), F.lit(-1).alias("tree"), F.col("root").alias("label"))
+        nodes = self.nodes().join(joined, "h", "left").withColumn("grp", F.coalesce("root", "h")).drop("root", "h")
+        alike = [F.bit_xor(F.xxhash64(F.lit(k), "member")).alias(f"x{k}") for k in (1, 2)]
+        mixed = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high"), *alike).where("m > 1 AND low <> high")
+        own = shared.written(mixed.groupBy("m", "x1", "x2").agg(F.min(F.struct("tree", "label")).alias("b")).select("b.tree", "b.label", "m"))  # of buckets of the same members the first tree's
+        in_buckets = nodes.join(own, ["tree", "label"])
+        return _in_blocks(in_groups, "m"), _in_blocks(in_buckets, "m")
 
     def links(self, docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-        """(member, rep, links, other) of all verified links, and a report: depth, links between classes, estimated recall."""
-        every, exact = None, {}
+        """(member, rep, links, other) of all verified links, and a report: depth, links between classes, estimated recall.
+
+        Rows with a member say how many links it has; those with rep and other join two classes' representatives.
+        """
+        least = least_agreeing(self.similarity)
         while True:
-            tasks = self.match()
-            while self.shorten(self.estimated):
-                tasks = tasks.unionByName(self.match())
-            found = shared.written(self.verified(tasks, docs))
-            every = found if every is None else every.unionByName(found)
-            for r in found.where("rep IS NULL").groupBy("other").agg(F.sum("links").alias("n")).collect():  # a row for each bin
-                exact[r["other"] / BINS] = exact.get(r["other"] / BINS, 0) + r["n"]
+            leads = self.leads()
+            near = leads.where(F.col("agree") >= self.similarity * TREES * DEPTH).groupBy("agree").count().collect()  # a row for each count of agreeing values
+            if self.shorten({r["agree"] / (TREES * DEPTH): r["count"] for r in near}):
+                leads = self.leads()
+            groups, buckets = self.tasks(leads)
+            signed = buckets.join(self.reps.select("member", "forest"), "member").repartition(*_TASK).sortWithinPartitions(*_TASK)
+            rest = signed.mapInArrow(_left_over(self.depth, least), _MEMBERS)
+            found = shared.written(self.verified(shared.written(groups.unionByName(rest)), docs))
+            bins = found.where("member IS NULL AND rep IS NULL").groupBy("other").agg(F.sum("links").alias("n")).collect()  # a row for each bin
+            exact = {r["other"] / BINS: r["n"] for r in bins}
             if not self.shorten(exact):
-                recall = estimated_recall(exact, self.depth, self.similarity)
-                return every.where("rep IS NOT NULL"), {"depth": self.depth, "links": sum(exact.values()), "estimated_recall": recall}
-            self.estimated = dict(exact)
+                return found.where("member IS NOT NULL OR rep IS NOT NULL"), {"depth": self.depth, "links": sum(exact.values()), "estimated_recall": estimated_recall(exact, self.depth, self.similarity)}
 
     def verified(self, tasks: DataFrame, docs: DataFrame) -> DataFrame:
-        known = shared.written(self.reps.join(tasks.select("member").distinct(), "member", "left_semi"))
+        known = shared.written(self.reps.join(tasks.select("member").distinct(), "member", "left_semi").drop("h"))
         ids = known.select(F.col("rep").alias("needed_rep")).distinct()
         few = known.count() <= MOST_BROADCAST
         text = shared.texts(docs).join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col("doc_id") == F.col("needed_rep"), "left_semi")
         held = text.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_with_shingles, "held_rep long, held_key binary, shingles binary")
         full = known.join(held, (F.col("rep") == F.col("held_rep")) & (F.col("member") == F.col("held_key"))).select("member", "rep", "copies", "forest", "shingles")
         result = "member binary, rep long, links long, other long"
-        return tasks.join(full, "member").repartition(*_TASK).sortWithinPartitions(*_TASK, "member").mapInArrow(_verified(self.similarity), result)
+        return tasks.join(full, "member").repartition(*_TASK).sortWithinPartitions(*_TASK, "member").mapInArrow(_verified(self.depth, self.similarity), result)
 
 
 #: Ids of documents with candidates up to which they are broadcast to the scan of the texts (8 bytes each).
@@ -401,10 +451,10 @@ MOST_BROADCAST = 2_000_000
 
 
 def _representatives(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class_key, rep, copies) of each class, and the same with the rep's keys."""
+    """(class_key, rep, copies) of each class, and its representative's row: (member, rep, copies, forest)."""
     some = signed.where("class_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = shared.written(some.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = some.select("class_key", "doc_id", "forest").join(classes.hint("shuffle_hash"), "class_key").where("doc_id = rep").select("rep", "copies", F.col("class_key").alias("member"), "forest")
+    reps = shared.join_hot(some.select("class_key", "doc_id", "forest"), classes, "class_key").where("doc_id = rep").select("rep", "copies", F.col("class_key").alias("member"), "forest")
     return classes, shared.written(reps.dropDuplicates(["member"]))
 
 
@@ -428,11 +478,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     classes, reps = _representatives(signed)
     found, _ = Forest(reps, similarity, recall).links(docs)
     joined = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "linked_rep", "root": "class_id"})
-    links = found.groupBy("member").agg(F.sum("links").alias("links"))
+    links = found.where("member IS NOT NULL").groupBy("member").agg(F.sum("links").alias("links"))
     per_class = classes.join(joined, F.col("rep") == F.col("linked_rep"), "left").join(links, F.col("class_key") == F.col("member"), "left")
     per_class = per_class.select("class_key", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = F.col("class_key").isNull() | F.col("doc_id").isNull()
-    out = signed.where(~alone).join(per_class, "class_key").select("doc_id", "class_id", "copy_id", F.col("n_links").cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    out = shared.join_hot(signed.where(~alone).select("doc_id", "class_key", "n"), shared.written(per_class), "class_key").select("doc_id", "class_id", "copy_id", F.col("n_links").cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
     return out.unionByName(signed.where(alone).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles")))
 
 

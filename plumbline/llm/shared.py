@@ -69,6 +69,22 @@ def drop(*tables: DataFrame) -> None:
             _delete(*entry)
 
 
+#: Keys with more than one row in so many have a join of their own: there are no more such keys than this.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """rows joined to side, which has a row for each key, on key: the hot keys' rows meet a broadcast of at most HOT_SHARE rows and
+    stay where they are, the others are shuffled. rows are read three times, so they should be written or cheap."""
+    counts = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("hot_rows"))
+    total = rows.count()
+    hot = counts.where(F.col("hot_rows") * HOT_SHARE > total).select("hot_key")
+    few = F.broadcast(hot)
+    warm = rows.join(F.broadcast(side.join(few, F.col(key) == F.col("hot_key"), "left_semi")), key)
+    cold = rows.join(few, F.col(key) == F.col("hot_key"), "left_anti").join(side, key)
+    return warm.unionByName(cold)
+
+
 def packed(df: DataFrame) -> Column:
     """All columns of df as one struct, so that none of their names can clash with another's."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

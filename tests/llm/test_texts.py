@@ -146,7 +146,29 @@ def test_jaccard_boilerplate_is_not_verified(spark):
         texts.append((i, shared_part + " " + " ".join(f"u{i}x{k}" for k in range(240))))
     _, reps = jaccard._representatives(jaccard.signatures(spark.createDataFrame(texts, "doc_id long, text string")).cache())
     forest = jaccard.Forest(reps, 0.8, 0.9999)
-    assert forest.match().count() == 0 and forest.shorten({}) and forest.depth == 5 and forest.match().count() == 0
+    assert forest.shorten({}) and forest.depth == 5
+    leads = forest.leads()
+    assert leads.count() == 0
+    groups, buckets = forest.tasks(leads)
+    assert groups.count() == 0 and buckets.count() > 0  # they share prefixes
+    left = buckets.join(forest.reps.select("member", "forest"), "member").repartition(*jaccard._TASK).sortWithinPartitions(*jaccard._TASK)
+    assert left.mapInArrow(jaccard._left_over(5, jaccard.least_agreeing(0.8)), jaccard._MEMBERS).count() == 0
+
+
+def test_jaccard_pairs_of_two_groups(spark):
+    """Links between texts that their buckets' firsts don't lead to are found in the buckets, once each."""
+    random = np.random.default_rng(4)
+    sets = [np.unique(random.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(3)]
+    made = list(jaccard._signed(iter([pa.record_batch({"doc_id": pa.array([0]), "text": pa.array([prose(1, 50)])})])))
+    assert len(made[0]["forest"][0].as_py()) == 2 * jaccard.TREES * jaccard.DEPTH
+    a = jaccard._Block([{"member": b"a", "grp": 1, "forest": made[0]["forest"][0].as_py(), "rep": 1, "copies": 2, "shingles": sets[0].tobytes()}])
+    b = jaccard._Block([{"member": b"b", "grp": 2, "forest": made[0]["forest"][0].as_py(), "rep": 2, "copies": 3, "shingles": sets[0].tobytes()}])
+    assert jaccard._agreeing(a, b, 0, 8)[0, 0] == 192 and jaccard._agreeing(a, b, 1, 8)[0, 0] == -1  # the first tree owns it
+    assert jaccard._agreeing(a, b, -1, 8)[0, 0] == 192
+    found = jaccard._Found()
+    for _ in range(2):
+        found.add(a, b, *jaccard._linked(a, b, jaccard._agreeing(a, b, 0, 8), 0.8))
+    assert found.links == {b"a": 6, b"b": 4} and found.edges == [(1, 2)] and found.bins[jaccard.BINS] == 2
 
 
 def test_stages_take_any_column_names(spark):
@@ -208,33 +230,34 @@ def trained(texts):
 
 def test_mixture_is_a_distribution():
     tables, mixer, _ = trained([lmscore.normalised(prose(k, 300).encode()) for k in range(5)])
-    for context in (b" andreh", b"\0\0\0shed"[-7:], b"zzzzzz "):
-        data = [np.frombuffer(context[-6:] + bytes([c]), np.uint8) for c in range(256)]
+    for context in (b" andreh", b"\0\0\0shed", b"zzzzzz "):
+        data = [np.frombuffer(context[1 - mixture.WINDOW :] + bytes([c]), np.uint8) for c in range(256)]
         every = np.concatenate([mixture.windows(d) for d in data])
         assert math.isclose((10 ** mixture.log10(mixer, tables, every)).sum(), 1, rel_tol=1e-6)
 
 
 def test_mixture_bit_by_bit():
     """Scores against a plain version: dictionaries of exact contexts, one bit at a time."""
+    pad, orders = mixture.WINDOW - 1, len(mixture.ORDERS)
     texts = [lmscore.normalised(prose(k, 60).encode()) for k in range(4)]
     tables, mixer, _ = trained(texts)
     seen = defaultdict(lambda: [0, 0])
     for t in texts:
         for i, byte in enumerate(t):
             for order in mixture.ORDERS:
-                context = (bytes(6) + t)[i + 6 - order : i + 6]
+                context = (bytes(pad) + t)[i + pad - order : i + pad]
                 for k in range(8):
                     seen[order, context, (byte | 256) >> (8 - k)][byte >> (7 - k) & 1] += 1
     new = lmscore.normalised(prose(9, 40).encode())
-    got = mixture.log10(mixer, tables, mixture.windows(np.frombuffer(bytes(6) + new, np.uint8)))
+    got = mixture.log10(mixer, tables, mixture.windows(np.frombuffer(bytes(pad) + new, np.uint8)))
     for i, byte in enumerate(new):
-        before, total = (bytes(6) + new)[i : i + 6], 0.0
-        space = next((k for k in range(6) if before[5 - k] == 32), 6)
+        before, total = (bytes(pad) + new)[i : i + pad], 0.0
+        space = next((k for k in range(pad) if before[-1 - k] == 32), pad)
         for k in range(8):
             node, bit = (byte | 256) >> (8 - k), byte >> (7 - k) & 1
-            counts = [seen.get((order, before[6 - order :], node), (0, 0)) for order in mixture.ORDERS]
+            counts = [seen.get((order, before[pad - order :], node), (0, 0)) for order in mixture.ORDERS]
             longest = max([j + 1 for j, c in enumerate(counts) if sum(c)], default=0)
-            weights = mixer.weights[0][(k * 7 + space) * 7 + longest] + mixer.weights[1][k * 256 + before[5]]
+            weights = mixer.weights[0][(k * mixture.WINDOW + space) * (orders + 1) + longest] + mixer.weights[1][k * 256 + before[-1]]
             mixed = sum(w * math.log((one + 0.4) / (zero + 0.4)) for w, (zero, one) in zip(weights, counts))
             at = (min(max(mixed, -7.999), 7.999) + 8) * 2
             mapped = mixer.map[node, int(at)] * (1 - at % 1) + mixer.map[node, int(at) + 1] * (at % 1)
