@@ -28,11 +28,15 @@ def f27(spark, sf):
     return table(spark, sf, "part").select("p_partkey", drawing.base_tag(old).alias("base"), drawing.variant_tag(old, F.when(F.col("p_size") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Level "), F.col("p_size").cast("string")))).alias("tag"))
 
 
-@query("F11_trace_confidence", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 0.90 ELSE 1 END::DOUBLE * CASE p_partkey % 4 WHEN 1 THEN 0.95 WHEN 2 THEN 0.93 WHEN 3 THEN 0.85 ELSE 1 END::DOUBLE * CASE WHEN p_size % 3 = 0 THEN 1 - least(0.25::DOUBLE, p_size / 100.0::DOUBLE) ELSE 1 END::DOUBLE AS score, (p_size % 2 = 0)::INT + (p_partkey % 4 > 0)::INT + (p_size % 3 = 0)::INT AS doubts FROM part""")
+@query("F11_trace_confidence", """WITH f AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 0.90 ELSE 1 END::DOUBLE * CASE WHEN p_partkey % 5 = 4 THEN 1 ELSE CASE p_partkey % 5 WHEN 1 THEN 0.95 WHEN 2 THEN 0.93 WHEN 3 THEN 0.85 ELSE 0.95 END END::DOUBLE * CASE WHEN p_size % 3 = 0 THEN 1 - least(0.25::DOUBLE, p_size / 100.0::DOUBLE) ELSE 1 END::DOUBLE
+* CASE WHEN p_size % 7 = 0 THEN 1 - 0.03::DOUBLE * CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE least(1.0::DOUBLE, ((1 + p_size / 100.0::DOUBLE) - 1) / (1 + p_size / 100.0::DOUBLE) / 0.1) END ELSE 1 END::DOUBLE * CASE WHEN p_partkey % 4 = 0 THEN 1 - 0.5 * (p_size / 60.0::DOUBLE) ELSE 1 END::DOUBLE * CASE WHEN p_retailprice * 10 > 5000 THEN 1 - 0.35 * least(1.0::DOUBLE, (p_retailprice * 10 - 5000) / 45000.0::DOUBLE) ELSE 1 END::DOUBLE * CASE WHEN p_size < 8 THEN 0.9 ELSE 1 END::DOUBLE AS s,
+(p_size % 2 = 0)::INT + (p_partkey % 5 < 4)::INT + (p_size % 3 = 0)::INT + (p_size % 7 = 0)::INT + (p_partkey % 4 = 0)::INT + (p_retailprice * 10 > 5000)::INT + (p_size < 8)::INT AS doubts FROM part) SELECT p_partkey, floor(s * 100 + 0.5) / 100 AS score, doubts FROM f""")
 def f11(spark, sf):
-    s = F.col("p_size")
-    tier = F.element_at(F.array(F.lit(None).cast("string"), F.lit("bounded"), F.lit("trapped"), F.lit("override")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    c = drawing.trace_confidence(s % 2 == 0, tier, s % 3 == 0, s / 100.0, F.lit(0.0), F.lit(False))
+    """Tiers that are stated, missing and unknown; swings with and without their growth; large rooms, coarse masks."""
+    s, k = F.col("p_size"), F.col("p_partkey")
+    tier = F.element_at(F.array(F.lit(None).cast("string"), F.lit("bounded"), F.lit("trapped"), F.lit("override"), F.lit("other")), (k % 5 + 1).cast("int"))
+    growth = F.when(k % 3 != 0, 1 + s / 100.0)
+    c = drawing.trace_confidence(s % 2 == 0, k % 5 < 4, tier, s % 3 == 0, s / 100.0, F.lit(0.0), s % 7 == 0, growth, F.when(k % 4 == 0, s / 60.0), F.col("p_retailprice") * 10, s.cast("double"))
     return table(spark, sf, "part").select("p_partkey", c["score"].alias("score"), F.size(c["factors"]).alias("doubts"))
 
 
@@ -74,7 +78,8 @@ def spans(spark, sf):
 
 @query("X19_mark_census", _SPANS + """, v AS (SELECT * FROM s WHERE ord % 2 = 1), m AS (SELECT * FROM s WHERE ord % 2 = 0 AND mark <> 'E4'), p AS (SELECT m.sheet_id, m.ord, arg_min(CAST(v.ord AS VARCHAR), v.ord) AS value FROM m JOIN v ON m.sheet_id = v.sheet_id AND abs(v.x0 - m.x0) <= 9 AND v.y0 >= m.y1 - 0.4 * 6.0 AND v.y0 <= m.y1 + 2.4 * 6.0 GROUP BY 1, 2)
 SELECT m.sheet_id, m.ord, m.mark, CASE WHEN m.sheet_id % 3 = 0 AND (x0 + x1) / 2 BETWEEN 10 AND 40 AND (y0 + y1) / 2 BETWEEN 10 AND 50 THEN 'in_table' WHEN mark = 'E2' THEN 'ambiguous' WHEN value IS NOT NULL THEN 'counted' ELSE 'withheld' END AS outcome,
-CASE WHEN NOT (m.sheet_id % 3 = 0 AND (x0 + x1) / 2 BETWEEN 10 AND 40 AND (y0 + y1) / 2 BETWEEN 10 AND 50) AND mark <> 'E2' THEN value END AS value FROM m LEFT JOIN p ON p.sheet_id = m.sheet_id AND p.ord = m.ord""")
+CASE WHEN NOT (m.sheet_id % 3 = 0 AND (x0 + x1) / 2 BETWEEN 10 AND 40 AND (y0 + y1) / 2 BETWEEN 10 AND 50) AND mark <> 'E2' THEN value END AS value,
+CASE WHEN m.sheet_id % 3 = 0 AND (x0 + x1) / 2 BETWEEN 10 AND 40 AND (y0 + y1) / 2 BETWEEN 10 AND 50 THEN 'part of a schedule' WHEN mark = 'E2' THEN 'several tables define it' WHEN value IS NULL THEN 'no value beneath it' END AS reason FROM m LEFT JOIN p ON p.sheet_id = m.sheet_id AND p.ord = m.ord""")
 def x19(spark, sf):
     s = spans(spark, sf)
     marks = spark.createDataFrame([("E0", "ok"), ("E1", "ok"), ("E2", "ambiguous"), ("E3", "ok")], "mark string, status string")
@@ -102,11 +107,29 @@ def o09(spark, sf):
     return drawing.title_candidates(s).select("sheet_id", "ord")
 
 
-@query("D15_printed_checks", "SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 AND abs(o_totalprice - p) <= 0.05 * p THEN 'verified' ELSE 'unverified' END AS status, CASE WHEN o_custkey % 4 = 0 THEN 'no printed area' WHEN abs(o_totalprice - p) > 0.05 * p THEN 'printed area disagrees' ELSE '' END AS reason FROM (SELECT *, o_totalprice * (1 + (o_orderkey % 20) / 100.0::DOUBLE) AS p FROM orders)")
+_PRINTS = """WITH f AS (SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS sheet_id, o_orderkey AS id, CASE WHEN o_orderkey % 13 > 0 THEN (10.0 + o_custkey % 5) * 10.0 END::DOUBLE AS area, o_orderkey % 7 AS k, (10.0 + o_custkey % 5) * 10.0 * (1 + (o_custkey % 9 - 4) / 100.0::DOUBLE) AS m2 FROM orders),
+p AS (SELECT *, CASE WHEN sheet_id % 5 = 0 AND id % 40 > 1 THEN 0 WHEN k = 0 THEN 0 WHEN k = 1 THEN 2 ELSE 1 END AS n, CASE WHEN k = 2 THEN 1 ELSE 0 END AS totals FROM f),
+s AS (SELECT *, sum(CASE WHEN k = 3 THEN 2 * n ELSE n END) OVER (PARTITION BY sheet_id) AS on_sheet FROM p)
+SELECT sheet_id, id, CASE WHEN area IS NULL OR on_sheet < 3 OR n = 0 THEN 'unverified' WHEN n = 2 AND abs(area - (m2 + 1)) <= 0.03 * (m2 + 1) + 0.05 THEN 'combined' WHEN abs(area - m2) <= 0.03 * m2 + 0.05 THEN 'verified' ELSE 'refused' END AS status,
+CASE WHEN area IS NULL THEN 'no scale' WHEN on_sheet < 3 THEN 'no printed areas on the sheet' WHEN n = 0 THEN 'no printed area inside' WHEN n = 2 AND abs(area - (m2 + 1)) <= 0.03 * (m2 + 1) + 0.05 THEN '' WHEN abs(area - m2) <= 0.03 * m2 + 0.05 THEN '' WHEN n = 2 THEN 'several rooms'' areas inside, none agrees' ELSE 'printed area disagrees' END AS reason FROM s"""
+
+
+@query("D15_printed_checks", _PRINTS)
 def d15(spark, sf):
-    printed = F.when(F.col("o_custkey") % 4 > 0, F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 20) / 100.0))
-    c = drawing.printed_check(F.col("o_totalprice"), printed)
-    return table(spark, sf, "orders").select("o_orderkey", c["status"].alias("status"), F.coalesce(c["reason"], F.lit("")).alias("reason"))
+    """Rooms in a row on each sheet; most have their area printed, right or wrong, some a second one or a total, some none."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    d = lambda e: e.cast("double")
+    wide, at = d(10 + c % 5), d(k % 40 * 20)
+    box = F.array(F.array(at, F.lit(0.0)), F.array(at + wide, F.lit(0.0)), F.array(at + wide, F.lit(10.0)), F.array(at, F.lit(10.0)))
+    rows = table(spark, sf, "orders").select(F.floor(k / 40).alias("sheet_id"), k.alias("id"), c.alias("c"), box.alias("ring"), at.alias("x0"), F.lit(0.0).alias("y0"), (at + wide).alias("x1"), F.lit(10.0).alias("y1"), F.when(k % 13 > 0, wide * 10).alias("area_m2"))
+    m2 = (F.col("x1") - F.col("x0")) * 10 * (1 + (F.col("c") % 9 - 4) / 100.0)
+    stamp = lambda n, x, y, m: F.struct(F.lit(n).alias("n"), (F.col("x0") + x).alias("x"), F.lit(y).alias("y"), m.alias("m2"))
+    one, none = stamp(0, 2.0, 2.0, m2), F.lit(None).cast("double")
+    kind = F.col("id") % 7
+    listed = F.when((F.col("sheet_id") % 5 == 0) & (F.col("id") % 40 > 1), F.array().cast("array<struct<n:int,x:double,y:double,m2:double>>")).when(kind == 0, F.array().cast("array<struct<n:int,x:double,y:double,m2:double>>"))
+    listed = listed.when(kind == 1, F.array(one, stamp(1, 2.0, 8.0, F.lit(1.0)))).when(kind == 2, F.array(one, stamp(2, 8.0, 8.0, none))).when(kind == 3, F.array(one, one)).otherwise(F.array(one))  # the fourth kind is printed twice in one place
+    stamps = rows.select("sheet_id", (F.col("id") * 10).alias("base"), F.posexplode(listed).alias("i", "s")).select("sheet_id", (F.col("base") + F.col("i")).alias("ord"), "s.x", "s.y", "s.m2")
+    return drawing.printed_checks(rows.drop("c"), stamps, allow_sum=True).select("sheet_id", "id", "status", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query("M04_edits_spare_ink", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 > 1 THEN 'untouched' WHEN o_custkey % 3 = 0 THEN 'refused' WHEN o_orderkey % 5 = 0 THEN 'deleted' ELSE 'edited' END AS outcome, CASE WHEN o_orderkey % 5 = 1 AND o_custkey % 3 <> 0 THEN 'new' ELSE o_orderstatus END AS label FROM orders")

@@ -75,7 +75,9 @@ def f10(spark, sf):
 
 @query("F13_find_text", "SELECT doc_id, length(text) AS size FROM documents WHERE contains(lower(text), 'licensed under')")
 def f13(spark, sf):
-    return table(spark, sf, "documents").where(F.instr(F.lower("text"), "licensed under") > 0).select("doc_id", F.length("text").cast("long").alias("size"))
+    from plumbline.operators.summaries import find_text
+
+    return find_text(table(spark, sf, "documents"), " Licensed Under ", "text").select("doc_id", F.length("text").cast("long").alias("size"))
 
 
 @query("F15_canonical_tags", "SELECT p_partkey, upper(trim('  ' || p_name || ' ')) AS tag, upper(regexp_replace(' ' || p_name || ' 1 a', '\\s+', '', 'g')) AS mark FROM part")
@@ -97,7 +99,7 @@ def f17(spark, sf):
     """Scales named by each note: a small pattern table joined by match."""
     notes = spark.createDataFrame(list(enumerate(NOTES)), "note int, text string").withColumn("canon", t.canonical_scale_text(F.col("text")))
     scales = spark.createDataFrame(t.scale_patterns(), "place int, label string, upp double, pattern string")
-    return notes.join(F.broadcast(scales), F.expr("canon RLIKE pattern")).select("note", "label")
+    return notes.join(scales, F.expr("canon RLIKE pattern")).select("note", "label")
 
 
 @query("F07_standard_scales", "SELECT 32 AS n, 1 / 0.125::DOUBLE / 144.0::DOUBLE AS eighth, 20 / 144.0::DOUBLE AS twenty, 100 / 12.0::DOUBLE / 144.0::DOUBLE AS hundred")
@@ -189,13 +191,6 @@ def g09(spark, sf):
     return rings(spark, sf).select("p_partkey", cx.alias("cx"), cy.alias("cy"))
 
 
-@query("G17_shape_metrics", _RINGS + """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN (CASE WHEN p_partkey % 3 = 0 THEN w * h / 2 ELSE w * h + h END) * 4 ELSE NULL END AS area_sf, CASE WHEN p_partkey % 4 = 0 THEN 1.0::DOUBLE END AS count FROM r WHERE p_partkey % 4 < 2""")
-def g17(spark, sf):
-    role = F.when(F.col("p_partkey") % 4 == 0, "count").otherwise("floor_area")
-    m = g.shape_metrics(role, F.col("ring"), F.lit(None).cast("array<array<array<double>>>"), F.lit(2.0), F.lit(9.0), F.lit(4.0), F.lit(0.0))
-    return rings(spark, sf).where("p_partkey % 4 < 2").select("p_partkey", m["area_sf"].alias("area_sf"), m["count"].alias("count"))
-
-
 @query("G17_shape_metrics_roles", _RINGS + """, m AS (SELECT p_partkey, p_partkey % 4 AS role, CASE WHEN p_partkey % 3 = 0 THEN w * h / 2 ELSE w * h + h END AS area, list_sum(list_transform(range(1, len(ring)), lambda i: sqrt((ring[i + 1][1] - ring[i][1]) ** 2 + (ring[i + 1][2] - ring[i][2]) ** 2))) AS line, sqrt((ring[len(ring)][1] - ring[1][1]) ** 2 + (ring[len(ring)][2] - ring[1][2]) ** 2) AS last FROM r)
 SELECT p_partkey, CASE role WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN area * 4 WHEN 2 THEN (line * 2 + 3) * 4 / 12 ELSE line * 2 * 9 END AS area_sf, CASE role WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN (line + last) * 2 WHEN 2 THEN line * 2 + 3 ELSE line * 2 END AS perimeter_lf, CASE WHEN role = 0 THEN 1.0::DOUBLE END AS count FROM m""")
 def g17_roles(spark, sf):

@@ -155,8 +155,10 @@ def u07(spark, sf):
 @query("U05_scale_geometry_override", "SELECT 'plan' || CAST(c_nationkey AS VARCHAR) AS sheet_id, max(c_acctbal) AS remote_upp, min(c_acctbal) AS local_upp, count(*) > 1 AND max(c_acctbal) <> min(c_acctbal) AS remote_takes_sheet FROM customer GROUP BY 1")
 def u05(spark, sf):
     """Sheets whose scales differ with work on both sides take remote's whole sheet; here both sides' scales come from customers."""
-    customers = table(spark, sf, "customer").groupBy(F.concat(F.lit("plan"), F.col("c_nationkey")).alias("sheet_id")).agg(F.max("c_acctbal").alias("remote_upp"), F.min("c_acctbal").alias("local_upp"), F.count("*").alias("n"))
-    return customers.select("sheet_id", "remote_upp", "local_upp", ((F.col("n") > 1) & (F.col("remote_upp") != F.col("local_upp"))).alias("remote_takes_sheet"))
+    from plumbline.operators.summaries import scale_overrides
+
+    sheets = table(spark, sf, "customer").groupBy(F.concat(F.lit("plan"), F.col("c_nationkey")).alias("sheet_id")).agg(F.max("c_acctbal").alias("remote_upp"), F.min("c_acctbal").alias("local_upp"), (F.count("*") - 1).alias("local_work"), F.count("*").alias("remote_work"))
+    return scale_overrides(sheets).select("sheet_id", "remote_upp", "local_upp", "remote_takes_sheet")
 
 
 _IMPORT = """WITH cur AS (SELECT p_partkey AS id, p_partkey AS ord, p_brand || '/' || p_type AS finish_tag FROM part WHERE p_partkey % 4 <> 0), inc AS (SELECT p_partkey AS id, p_partkey AS ord, ' ' || lower(p_brand) || '/' || p_type || CASE WHEN p_size > 25 THEN '' ELSE CAST(p_size AS VARCHAR) END AS finish_tag FROM part WHERE p_partkey % 3 = 0)
@@ -170,8 +172,9 @@ def _import(spark, sf):
     return current, incoming
 
 
-@query("J06_import_by_tag", _IMPORT + """SELECT i.id AS incoming_id, CASE WHEN m.cid IS NOT NULL THEN 'matched' ELSE 'added' END AS outcome, coalesce(CAST(m.cid AS VARCHAR), CASE WHEN i.id IN (SELECT id FROM cur) THEN CAST(i.id AS VARCHAR) || '~1' ELSE CAST(i.id AS VARCHAR) END) AS target_id
-FROM inc i LEFT JOIN (SELECT upper(trim(finish_tag)) AS k, min(id) AS cid FROM cur GROUP BY 1) m ON m.k = upper(trim(i.finish_tag))""")
+@query("J06_import_by_tag", _IMPORT + """, m AS (SELECT upper(trim(finish_tag)) AS k, arg_max(id, ord) AS cid FROM cur GROUP BY 1), j AS (SELECT i.id, i.ord, upper(trim(i.finish_tag)) AS k, m.cid, row_number() OVER (PARTITION BY upper(trim(i.finish_tag)) ORDER BY i.ord, CAST(i.id AS VARCHAR)) AS lead FROM inc i LEFT JOIN m ON m.k = upper(trim(i.finish_tag))),
+t AS (SELECT *, CASE WHEN id IN (SELECT id FROM cur) THEN CAST(id AS VARCHAR) || '~2' ELSE CAST(id AS VARCHAR) END AS fresh FROM j)
+SELECT CAST(t.id AS VARCHAR) AS incoming_id, CASE WHEN t.cid IS NULL AND t.lead = 1 THEN 'added' ELSE 'matched' END AS outcome, coalesce(CAST(t.cid AS VARCHAR), f.fresh) AS target_id FROM t LEFT JOIN t f ON f.k = t.k AND f.lead = 1""")
 def j06(spark, sf):
     return merge.import_conditions(*_import(spark, sf))
 

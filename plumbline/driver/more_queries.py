@@ -93,12 +93,6 @@ def j10(spark, sf):
     return pairs.select(F.explode(F.array("a_id", "b_id")).alias("candidate")).groupBy("candidate").agg(F.count("*").alias("overlaps"))
 
 
-@query("O03_collisions_by_size", _RECTS + ", p AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS m FROM r a JOIN r b ON a.sheet_id = b.sheet_id AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1) SELECT a_id, b_id, floor(s * 100 + 0.5) / 100 AS shared_sf FROM p WHERE s / m >= 0.05 ORDER BY shared_sf DESC, a_id, b_id LIMIT 50")
-def o03(spark, sf):
-    """The fifty largest overlaps; O03_collisions_ranked has all of them."""
-    return scope.rectangle_collisions(rects(spark, sf)).orderBy(F.desc("shared_sf"), "a_id", "b_id").limit(50).select("a_id", "b_id", "shared_sf")
-
-
 @query("O03_collisions_ranked", _RECTS + ", p AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS m FROM r a JOIN r b ON a.sheet_id = b.sheet_id AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1), c AS (SELECT a_id, b_id, floor(s * 100 + 0.5) / 100 AS shared_sf FROM p WHERE s / m >= 0.05) SELECT row_number() OVER (ORDER BY shared_sf DESC, a_id, b_id) AS place, a_id, b_id, shared_sf FROM c")
 def o03_ranked(spark, sf):
     """All overlaps with their place, the largest first."""
@@ -159,6 +153,8 @@ def s14(spark, sf):
 
 @query("U09_merged_sheet_sets", "SELECT sheet_id, count(*) AS n, count(u) AS with_scale FROM (SELECT c_custkey AS sheet_id, c_acctbal AS u FROM customer UNION ALL SELECT o_custkey, NULL FROM orders) GROUP BY 1")
 def u09(spark, sf):
+    from plumbline.operators.summaries import merged_sheets
+
     a = table(spark, sf, "customer").select(F.col("c_custkey").alias("sheet_id"), F.col("c_acctbal").alias("u"))
     b = table(spark, sf, "orders").select(F.col("o_custkey").alias("sheet_id"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("sheet_id").agg(F.count("*").alias("n"), F.count("u").alias("with_scale"))
+    return merged_sheets(a, b).groupBy("sheet_id").agg(F.count("*").alias("n"), F.count("u").alias("with_scale"))

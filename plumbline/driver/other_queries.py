@@ -10,6 +10,7 @@ from plumbline.driver.registry import query, table
 from plumbline.driver.totals_queries import ROWS
 from plumbline.operators import roll, totals
 from plumbline.plans import projection as p
+from plumbline.plans.scratch import scratch
 from plumbline.sources.takeoff import csv_lines, report_json
 from plumbline.streaming import capture
 
@@ -27,7 +28,7 @@ def rooms(spark, sf):
 def r01(spark, sf):
     """Lanes of a room: the fewest whose capacities cover its width; one row for each width."""
     widths = spark.createDataFrame([(w, roll.lane_count(w * 12, roll.Roll())) for w in range(1, 101)], "w int, lanes long")
-    return table(spark, sf, "part").join(F.broadcast(widths), F.col("p_size") == F.col("w")).select("p_partkey", "lanes")
+    return table(spark, sf, "part").join(widths, F.col("p_size") == F.col("w")).select("p_partkey", "lanes")
 
 
 @query("R04_strips_of_rectangles", _ROOMS + """, n AS (SELECT unnest(range(1, 41)) AS n), cap AS (SELECT n, CASE WHEN n = 1 THEN 138 ELSE 278 + (n - 2) * 140 END AS cap FROM n), l AS (SELECT q.*, (SELECT min(n) FROM cap WHERE cap >= q.w * 12 - 1e-6) AS lanes FROM q)
@@ -41,7 +42,7 @@ def r04(spark, sf):
 @query("R07_seams", _ROOMS + """, n AS (SELECT unnest(range(1, 41)) AS n), cap AS (SELECT n, CASE WHEN n = 1 THEN 138 ELSE 278 + (n - 2) * 140 END AS cap FROM n), l AS (SELECT q.*, (SELECT min(n) FROM cap WHERE cap >= q.w * 12 - 1e-6) AS lanes FROM q)
 SELECT condition_id, shape_id, floor((lanes - 1) * h * 100 + 0.5) / 100 AS seam_lf FROM l WHERE lanes > 1""")
 def r07(spark, sf):
-    return roll.seams(roll.roll_cuts(rooms(spark, sf), roll.Roll(direction="ns")))
+    return roll.seams(roll.room_strips(rooms(spark, sf), roll.Roll(direction="ns")))
 
 
 @query("R06_nested_cuts")
@@ -62,8 +63,8 @@ def t01(spark, sf):
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
     doubled = stream.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
     rows = doubled.select("event_type", "user_id", "value", capture.fingerprint(F.col("event_type"), F.col("user_id"), F.col("value")).alias("fp"))
-    banked = capture.drained(capture.captured(rows), f"captured_{uuid.uuid4().hex}")
-    return banked.groupBy(F.col("event_type").alias("finish_tag"), (F.col("user_id") % 7).alias("contributor_group")).agg(F.count("*").alias("n"))
+    path = scratch(spark)
+    return capture.banked(rows, f"{path}/bank", f"{path}/log").groupBy(F.col("event_type").alias("finish_tag"), (F.col("user_id") % 7).alias("contributor_group")).agg(F.count("*").alias("n"))
 
 
 @query("T02_version_gate", "SELECT event_id % 4 AS version, event_id % 4 IN (1, 2) AS taken, count(*) AS n FROM events GROUP BY ALL")

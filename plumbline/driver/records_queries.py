@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.driver.registry import query, table
 from plumbline.operators import records as r
+from plumbline.operators import summaries as s
 from plumbline.plans import projection as p
+from plumbline.plans.ranking import numbered
 
 
 @query("P01_sheet_index", p.SQL + "SELECT s.sheet_id, coalesce(s.u, 0) > 0 AS scale_set, coalesce(n, 0) AS shape_count FROM (SELECT 'plan' || CAST(s_suppkey AS VARCHAR) || '.pdf' AS sheet_id, s_acctbal AS u FROM supplier) s LEFT JOIN (SELECT sheet_id, count(*) AS n FROM shapes GROUP BY 1) c ON c.sheet_id = s.sheet_id")
@@ -16,11 +17,10 @@ def p01(spark, sf):
     return r.sheet_index(sheets, p.shapes(spark, sf))
 
 
-@query("P02_list_shapes", p.SQL + "SELECT c.finish_tag, s.measure_role, CAST(s.area_sf AS DOUBLE) AS area_sf, s.label FROM shapes s JOIN conditions c ON c.id = s.condition_id WHERE s.sheet_id = 'plan3.pdf#2' AND c.finish_tag = 'Brand#11/ECONOMY' OR (s.sheet_id = 'plan1.pdf' AND s.condition_id < 50)")
+@query("P02_list_shapes", p.SQL + "SELECT s.sheet_id, c.finish_tag, s.measure_role, CAST(s.area_sf AS DOUBLE) AS area_sf, s.label FROM shapes s JOIN conditions c ON c.id = s.condition_id WHERE s.measure_role <> 'count'")
 def p02(spark, sf):
-    joined = p.shapes(spark, sf).join(p.conditions(spark, sf), F.col("condition_id") == F.col("id"))
-    wanted = ((F.col("sheet_id") == "plan3.pdf#2") & (F.col("finish_tag") == "Brand#11/ECONOMY")) | ((F.col("sheet_id") == "plan1.pdf") & (F.col("condition_id") < 50))
-    return joined.where(wanted).select("finish_tag", "measure_role", F.col("area_sf").cast("double").alias("area_sf"), "label")
+    rows = s.list_shapes(p.shapes(spark, sf), p.conditions(spark, sf), F.col("measure_role") != "count")
+    return rows.select("sheet_id", "finish_tag", "measure_role", F.col("area_sf").cast("double").alias("area_sf"), "label")
 
 
 @query("P03_spans_in_region", "SELECT o_orderkey FROM orders WHERE o_custkey % 97 <= 50 AND o_custkey % 97 + 4 >= 30 AND o_orderkey % 89 <= 40 AND o_orderkey % 89 + 2 >= 20")
@@ -66,10 +66,9 @@ def p07(spark, sf):
 
 @query("P12_spec_column_if_any", p.SQL + "SELECT id, finish_tag, CASE WHEN (SELECT max(waste_pct) FROM conditions) > 0 THEN waste_pct END AS spec FROM conditions")
 def p12(spark, sf):
-    """The column is there only if some row has a value."""
-    rows = p.conditions(spark, sf)
-    any_value = rows.agg(F.max("waste_pct")).first()[0]
-    return rows.select("id", "finish_tag", F.col("waste_pct").alias("spec")) if any_value and any_value > 0 else rows.select("id", "finish_tag")
+    """The column is there only if some row has a value; a column of blanks and one of zeros go."""
+    rows = p.conditions(spark, sf).select("id", "finish_tag", F.col("waste_pct").alias("spec"), F.lit(" ").alias("labor"), F.lit(0.0).alias("mark_up"))
+    return rows.select(*s.columns_with_values(rows, ["spec", "labor", "mark_up"]))
 
 
 @query("P15_review_search", "SELECT o_orderkey FROM orders WHERE (contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderstatus), 'high')) AND o_custkey % 3 = 1")
@@ -88,7 +87,7 @@ def p16(spark, sf):
 @query("P18_live_rfis", "SELECT o_orderkey AS id FROM orders WHERE o_custkey % 4 <> 0")
 def p18(spark, sf):
     deleted = F.when(F.col("o_custkey") % 4 == 0, True).when(F.col("o_custkey") % 4 == 1, False)
-    return table(spark, sf, "orders").where(~F.coalesce(deleted, F.lit(False))).select(F.col("o_orderkey").alias("id"))
+    return s.live(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), deleted.alias("deleted"))).select("id")
 
 
 @query("P19_needs_metrics", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity % 5 >= CASE WHEN l_linenumber = 4 THEN 2 WHEN l_linenumber = 6 THEN 1 ELSE 3 END AND (CASE WHEN l_linenumber = 4 THEN l_tax < 0.03 ELSE l_tax >= 0.05 END) AS needed FROM lineitem")
@@ -99,12 +98,6 @@ def p19(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r.needs_metrics(some, run, some, role, F.col("l_quantity") % 5).alias("needed"))
 
 
-@query("W06_rfi_numbers", "SELECT o_orderkey, 'RFI-' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS number FROM (SELECT o_orderkey, (SELECT max(c_custkey % 50) FROM customer) + row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey % 40 = 0)")
-def w06(spark, sf):
-    issued = table(spark, sf, "customer").select(F.concat(F.lit("RFI-"), F.lpad((F.col("c_custkey") % 50).cast("string"), 3, "0")).alias("number"))
-    return r.next_numbers(issued, table(spark, sf, "orders").where("o_custkey % 40 = 0").select("o_orderkey"), "o_orderkey")
-
-
 @query("W06_rfi_numbers_whole", "SELECT o_orderkey, 'RFI-' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS number FROM (SELECT o_orderkey, (SELECT max(c_custkey % 50) FROM customer) + row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)")
 def w06_whole(spark, sf):
     """All orders as drafts."""
@@ -124,8 +117,8 @@ def j05(spark, sf):
 
 @query("J04_markup_tags", "SELECT o_orderkey, coalesce(p_brand, '') AS finish_tag FROM orders LEFT JOIN part ON p_partkey = o_custkey")
 def j04(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", "p_brand")
-    return table(spark, sf, "orders").join(part, F.col("o_custkey") == F.col("p_partkey"), "left").select("o_orderkey", F.coalesce("p_brand", F.lit("")).alias("finish_tag"))
+    conditions = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("finish_tag"))
+    return s.markup_tags(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("condition_id")), conditions).drop("condition_id")
 
 
 @query("A25_pending_by_proposal", "SELECT CAST(CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 100 END AS VARCHAR) AS proposal_id, CASE WHEN o_custkey % 3 = 0 THEN 'loose' WHEN n_nationkey IS NULL THEN 'undescribed' ELSE 'described' END AS kind, n_name AS title, count(*) AS n FROM orders LEFT JOIN nation ON n_nationkey = CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 100 END WHERE o_orderkey % 2 = 0 GROUP BY ALL")
@@ -134,16 +127,28 @@ def a25(spark, sf):
     return r.pending_by_proposal(shapes, table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title")))
 
 
-@query("A20_mark_census_caps", "SELECT event_type AS mark, count(*) AS count, least(count(*), 150) AS listed, greatest(count(*) - 150, 0) AS elided FROM events GROUP BY 1")
+@query("A20_mark_census_caps", """WITH e AS (SELECT event_type AS mark, user_id AS sheet_id, event_id AS ord, CASE event_id % 3 WHEN 0 THEN 'withheld' WHEN 1 THEN 'counted' ELSE 'in_table' END AS outcome FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY mark, outcome ORDER BY sheet_id, ord) AS place FROM e),
+g AS (SELECT mark, sheet_id, count(*) FILTER (outcome = 'counted') AS counted, count(*) FILTER (outcome = 'withheld') AS withheld, coalesce(string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) FILTER (outcome = 'counted' AND place <= 150), '') AS counted_at, coalesce(string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) FILTER (outcome = 'withheld' AND place <= 60), '') AS withheld_at FROM k GROUP BY 1, 2)
+SELECT *, CAST(sum(counted) OVER (PARTITION BY mark) AS BIGINT) AS counted_total, greatest(CAST(sum(counted) OVER (PARTITION BY mark) AS BIGINT) - 150, 0) AS counted_elided, greatest(CAST(sum(withheld) OVER (PARTITION BY mark) AS BIGINT) - 60, 0) AS withheld_elided FROM g""")
 def a20(spark, sf):
-    """Counts are whole; only the list of places is capped, and what it leaves out is said."""
-    n = table(spark, sf, "events").groupBy(F.col("event_type").alias("mark")).agg(F.count("*").alias("count"))
-    return n.select("mark", "count", F.least("count", F.lit(150)).alias("listed"), F.greatest(F.col("count") - 150, F.lit(0)).alias("elided"))
+    """Counts are whole, by sheet and in all; only the lists of places are capped, and what they leave out is said."""
+    from plumbline.operators.drawing import census_report
 
+    outcome = F.element_at(F.array(F.lit("withheld"), F.lit("counted"), F.lit("in_table")), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = census_report(table(spark, sf, "events").select(F.col("event_type").alias("mark"), F.col("user_id").alias("sheet_id"), F.col("event_id").alias("ord"), outcome.alias("outcome")))
+    listed = [F.array_join(f"{o}_at", ",").alias(f"{o}_at") for o in ("counted", "withheld")]
+    return rows.select("mark", "sheet_id", "counted", "withheld", *listed, "counted_total", "counted_elided", "withheld_elided")
 
-@query("A24_segments_per_layer", "SELECT o_orderpriority AS layer, count(*) AS n FROM orders GROUP BY 1")
+
+@query("A24_segments_per_layer", "WITH c AS (SELECT CAST(floor(o_orderkey / 500) AS BIGINT) AS sheet_id, CASE WHEN o_custkey % 9 < 7 THEN o_custkey % 9 END AS layer_id, count(*) AS n FROM orders GROUP BY ALL), l AS (SELECT s.sheet_id, r_regionkey * 2 AS layer_id, r_name AS name FROM (SELECT DISTINCT sheet_id FROM c) s, region) SELECT l.*, coalesce(c.n, 0) AS n FROM l LEFT JOIN c ON c.sheet_id = l.sheet_id AND c.layer_id = l.layer_id UNION ALL SELECT sheet_id, NULL, NULL, n FROM c WHERE layer_id IS NULL")
 def a24(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("layer")).agg(F.count("*").alias("n"))
+    """Every layer of each sheet, used or not, and the segments on none; layers come from regions."""
+    c = F.col("o_custkey") % 9
+    segments = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 500).alias("sheet_id"), F.when(c < 7, c).alias("layer_idx"))
+    layers = table(spark, sf, "region").select((F.col("r_regionkey") * 2).cast("long").alias("layer_id"), F.col("r_name").alias("name"))
+    each = F.explode(F.array(*[F.struct(F.lit(r["layer_id"]).alias("layer_id"), F.lit(r["name"]).alias("name")) for r in layers.collect()]))  # the regions
+    return s.segments_per_layer(segments, segments.select("sheet_id").distinct().select("sheet_id", each.alias("l")).select("sheet_id", "l.layer_id", "l.name"))
 
 
 @query("A26_sheets_by_level", "SELECT 'L' || CAST(p_size AS VARCHAR) AS level, count(*) AS sheets, dense_rank() OVER (ORDER BY p_size) AS place FROM part GROUP BY p_size")
@@ -151,39 +156,42 @@ def a26(spark, sf):
     from plumbline.functions.keys import natural_key
 
     levels = table(spark, sf, "part").groupBy(F.concat(F.lit("L"), F.col("p_size").cast("string")).alias("level")).agg(F.count("*").alias("sheets"))
-    return levels.withColumn("place", F.dense_rank().over(Window.orderBy(natural_key(F.col("level")))).cast("long"))
+    return numbered(levels.withColumn("by_value", natural_key(F.col("level"))), "place", "by_value").drop("by_value")
 
 
-@query("A27_medians", "SELECT event_type, median(value) AS middle FROM events GROUP BY 1")
+@query("A27_medians", "SELECT event_type, count(DISTINCT value) AS n, median(value) AS middle FROM events GROUP BY 1")
 def a27(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("middle"))
+    return s.distinct_median(table(spark, sf, "events"), "event_type", "value")
+
+
+@query("A27_weighted_medians", "SELECT event_type, min(value) AS middle FROM (SELECT event_type, value, sum(user_id) OVER (PARTITION BY event_type ORDER BY value) AS upto, sum(user_id) OVER (PARTITION BY event_type) AS whole FROM events) WHERE upto * 2 >= whole GROUP BY 1")
+def a27_weighted(spark, sf):
+    return s.weighted_median(table(spark, sf, "events"), "event_type", "value", "user_id")
 
 
 @query("A18_doors_by_width", "SELECT CAST(floor(l_quantity * 37 / 100 + 0.5) * 100 AS BIGINT) AS width_mm, l_linenumber = 2 AS double_leaf, count(*) AS n FROM lineitem WHERE l_linenumber < 3 GROUP BY ALL")
 def a18(spark, sf):
-    width = (F.floor(F.col("l_quantity") * 37 / 100 + 0.5) * 100).cast("long")
-    return table(spark, sf, "lineitem").where("l_linenumber < 3").groupBy(width.alias("width_mm"), (F.col("l_linenumber") == 2).alias("double_leaf")).agg(F.count("*").alias("n"))
+    doors = table(spark, sf, "lineitem").where("l_linenumber < 3").select((F.col("l_quantity") * 37).alias("width_mm"), (F.col("l_linenumber") == 2).alias("double_leaf"))
+    return s.doors_by_width(doors)
 
 
-@query("A17_wall_classes", "SELECT l_returnflag AS side, l_linenumber AS class, count(*) AS runs, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS gross_m, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS openings_m, CASE WHEN count(*) FILTER (l_tax > 0.0799) = 0 THEN CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) - sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) END AS net_m FROM lineitem GROUP BY ALL")
+@query("A17_wall_classes", "WITH r AS (SELECT l_partkey % 500 AS side, l_linenumber AS class, CAST(l_extendedprice AS DECIMAL(18,2)) AS g, CASE WHEN l_tax <= 0.0799 THEN CAST(l_quantity AS DECIMAL(18,2)) END AS o, CAST(l_quantity % 3 AS BIGINT) AS k FROM lineitem) SELECT side, class, count(*) AS runs, CAST(sum(g) AS DOUBLE) AS gross_m2, CAST(sum(k) AS BIGINT) AS openings, CASE WHEN count(*) FILTER (o IS NULL AND k > 0) = 0 THEN CAST(sum(g) - sum(coalesce(o, 0)) AS DOUBLE) END AS net_m2, CAST(sum(coalesce(o, 0)) AS DOUBLE) AS openings_m2 FROM r GROUP BY ALL")
 def a17(spark, sf):
     """Net is withheld where any opening's height is unknown (here: the highest tax)."""
     d = lambda c: F.col(c).cast("decimal(18,2)")
-    unknown = F.count_if(F.col("l_tax") > 0.0799)
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("side"), F.col("l_linenumber").alias("class")).agg(F.count("*").alias("runs"), F.sum(d("l_extendedprice")).cast("double").alias("gross_m"), F.sum(d("l_quantity")).cast("double").alias("openings_m"), F.when(unknown == 0, (F.sum(d("l_extendedprice")) - F.sum(d("l_quantity"))).cast("double")).alias("net_m"))
+    runs = table(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("side"), F.col("l_linenumber").alias("class"), d("l_extendedprice").alias("gross_m2"), F.when(F.col("l_tax") <= 0.0799, d("l_quantity")).alias("openings_m2"), (F.col("l_quantity") % 3).cast("long").alias("openings"))
+    return s.wall_classes(runs)
 
 
-@query("O04_find_text_limited", "SELECT doc_id, total, k AS place FROM (SELECT doc_id, count(*) OVER () AS total, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE contains(text, 'rights reserved')) WHERE k <= 200")
+@query("O04_find_text_limited", "SELECT doc_id, total, k AS place FROM (SELECT doc_id, count(*) OVER () AS total, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE contains(lower(text), 'rights reserved')) WHERE k <= 200")
 def o04(spark, sf):
     """The first 200 hits with the count of all: the cap is the feature."""
-    hits = table(spark, sf, "documents").where(F.contains("text", F.lit("rights reserved"))).select("doc_id")
-    total = hits.count()
-    return hits.orderBy("doc_id").limit(200).select("doc_id", F.lit(total).cast("long").alias("total"), F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("place"))
+    return r.first_hits(s.find_text(table(spark, sf, "documents"), "Rights reserved", "text"), "doc_id").select("doc_id", "total", "place")
 
 
 @query("W01_ordinals", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part")
 def w01(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("long").alias("n"))
+    return s.ordinals(table(spark, sf, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey").drop("p_brand")
 
 
 @query("W03_section_headers", "SELECT event_id, last_value(CASE WHEN value > 95 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events")
@@ -193,8 +201,8 @@ def w03(spark, sf):
 
 @query("W08_subpaths", "WITH s AS (SELECT CAST(floor(o_orderkey / 500) AS BIGINT) AS sheet_id, o_orderkey AS idx, o_custkey % 2 AS x1, (o_custkey + o_orderkey) % 2 AS x2 FROM orders), b AS (SELECT *, CASE WHEN lag(x2) OVER (PARTITION BY sheet_id ORDER BY idx) = x1 THEN 0 ELSE 1 END AS k FROM s) SELECT sheet_id, idx, CAST(sum(k) OVER (PARTITION BY sheet_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS subpath FROM b")
 def w08(spark, sf):
-    s = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 500).alias("sheet_id"), F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 2).alias("x1"), F.lit(0).alias("y1"), ((F.col("o_custkey") + F.col("o_orderkey")) % 2).alias("x2"), F.lit(0).alias("y2"))
-    return r.subpaths(s).select("sheet_id", "idx", F.col("subpath").cast("long").alias("subpath"))
+    lines = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 500).alias("sheet_id"), F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 2).alias("x1"), F.lit(0).alias("y1"), ((F.col("o_custkey") + F.col("o_orderkey")) % 2).alias("x2"), F.lit(0).alias("y2"))
+    return r.subpaths(lines).select("sheet_id", "idx", F.col("subpath").cast("long").alias("subpath"))
 
 
 @query("W11_undo_stack", "SELECT user_id AS session_id, event_id AS seq, k AS step FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5")
@@ -249,9 +257,9 @@ def j27(spark, sf):
 @query("J29_captured_labels", "SELECT o_orderkey AS id, p_type AS label FROM orders JOIN (SELECT p_brand, arg_max(p_type, p_partkey) AS p_type FROM part GROUP BY 1) c ON c.p_brand = 'Brand#' || CAST(o_custkey % 40 AS VARCHAR)")
 def j29(spark, sf):
     """The last of conditions with one finish gives the label; shapes without one are skipped."""
-    labels = table(spark, sf, "part").groupBy("p_brand").agg(F.max_by("p_type", "p_partkey").alias("label"))
+    conditions = table(spark, sf, "part").select(F.col("p_brand").alias("finish"), F.col("p_type").alias("label"), F.col("p_partkey").alias("ord"))
     shapes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 40).cast("string")).alias("finish"))
-    return shapes.join(labels, F.col("finish") == F.col("p_brand")).select("id", "label")
+    return s.captured_labels(shapes, conditions).select("id", "label")
 
 
 @query("W02_text_rows")

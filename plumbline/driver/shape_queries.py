@@ -8,6 +8,7 @@ from plumbline.driver.geometry_queries import _RECTS, _RINGS, rects, rings
 from plumbline.driver.registry import query, table
 from plumbline.functions import curves
 from plumbline.functions import geometry as g
+from plumbline.operators import summaries as s
 
 
 @query("G05_ring_distances", _RECTS + "SELECT id, sqrt(power(greatest(0.0, x0 - 120, 120 - x1), 2) + power(greatest(0.0, y0 - 130, 130 - y1), 2)) AS distance FROM r WHERE x1 < 120 OR y1 < 130")
@@ -20,8 +21,8 @@ def g05(spark, sf):
 @query("G08_least_rectangles", _RECTS + "SELECT id, greatest(x1 - x0, y1 - y0) AS long_side, least(x1 - x0, y1 - y0) AS short_side FROM r")
 def g08(spark, sf):
     ring = F.array(F.array("x0", "y0"), F.array("x1", "y0"), F.array("x1", "y1"), F.array("x0", "y1"))
-    s = rects(spark, sf).select("id", curves.rectangle_sides(ring).alias("s"))
-    return s.select("id", F.round(F.col("s")[0], 9).alias("long_side"), F.round(F.col("s")[1], 9).alias("short_side"))
+    sides = rects(spark, sf).select("id", curves.rectangle_sides(ring).alias("s"))
+    return sides.select("id", F.round(F.col("s")[0], 9).alias("long_side"), F.round(F.col("s")[1], 9).alias("short_side"))
 
 
 @query("G10_reflected", "SELECT p_partkey, 1.0 - p_size / 100.0::DOUBLE AS x, p_size / 200.0::DOUBLE AS y FROM part")
@@ -47,12 +48,12 @@ def g15(spark, sf):
 @query("J12_contained_rings", _RECTS + "SELECT a.id AS inner_id, b.id AS outer_id FROM r a JOIN r b ON a.sheet_id = b.sheet_id AND a.id <> b.id AND b.x0 < a.x0 + 0.25 AND a.x1 - 0.25 < b.x1 AND b.y0 < a.y0 + 0.25 AND a.y1 - 0.25 < b.y1")
 def j12(spark, sf):
     """Rings, a quarter smaller all round, within others of their sheet."""
+    from plumbline.operators.more import contained_rings
+
     r = rects(spark, sf)
     box = lambda x0, y0, x1, y1: F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1))
-    inner = r.select("sheet_id", F.col("id").alias("inner_id"), box(F.col("x0") + 0.25, F.col("y0") + 0.25, F.col("x1") - 0.25, F.col("y1") - 0.25).alias("i"), F.col("x0").alias("ix0"), F.col("x1").alias("ix1"))
-    outer = r.select("sheet_id", F.col("id").alias("outer_id"), box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("o"), "x0", "x1")
-    met = inner.join(outer, "sheet_id").where("inner_id <> outer_id AND x0 < ix0 + 0.25 AND ix1 - 0.25 < x1")
-    return met.where(g.ring_within(F.col("i"), F.col("o"))).select("inner_id", "outer_id")
+    inner = r.select("sheet_id", "id", box(F.col("x0") + 0.25, F.col("y0") + 0.25, F.col("x1") - 0.25, F.col("y1") - 0.25).alias("ring"))
+    return contained_rings(inner, r.select("sheet_id", "id", box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring")))
 
 
 @query("W12_ring_edges", _RINGS + "SELECT count(*) AS edges FROM (SELECT unnest(ring) FROM r)")
@@ -62,29 +63,33 @@ def w12(spark, sf):
 
 @query("O08_surface_order", "SELECT * FROM (VALUES ('FLOOR', 1), ('BASE', 2), ('WALLS N', 4), ('CEILING', 9)) AS v(surface, place)")
 def o08(spark, sf):
-    from plumbline.operators.drawing import SURFACES
-
     rows = spark.createDataFrame([(x,) for x in ("WALLS N", "NOTES", "CEILING", "FLOOR", "BASE")], "surface string")
-    place = F.array_position(F.array(*[F.lit(s) for s in SURFACES]), F.element_at(F.split("surface", " "), 1)).cast("int")
-    return rows.withColumn("place", place).where("place > 0").orderBy("place")
+    return rows.withColumn("place", s.surface_place(F.col("surface"))).where("place > 0").orderBy("place")
+
+
+@query("O08_surfaces_of_parts", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 9 ELSE 0 END AS place FROM part")
+def o08_parts(spark, sf):
+    surface = F.element_at(F.array(F.lit("FLOOR FINISH"), F.lit("WALLS N"), F.lit("CEILING"), F.lit("REMARKS")), F.col("p_size") % 4 + 1)
+    return table(spark, sf, "part").select("p_partkey", s.surface_place(surface).alias("place"))
 
 
 @query("A19_windows_by_type", "SELECT p_type AS type, count(*) AS n, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS widths FROM part GROUP BY 1")
 def a19(spark, sf):
-    return table(spark, sf, "part").groupBy(F.col("p_type").alias("type")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("p_size").cast("string"))), ",").alias("widths"))
+    found = s.windows_by_type(table(spark, sf, "part").select(F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("width_mm")))
+    return found.withColumn("widths", F.array_join("widths", ","))
 
 
 @query("A22_base_by_sheet", "SELECT o_custkey % 50 AS sheet, count(*) AS rooms, count(*) FILTER (o_orderkey % 5 = 0) AS flagged, CAST(sum(CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS net_lf, CAST(sum(CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS unmeasured_lf FROM orders GROUP BY 1")
 def a22(spark, sf):
     price, flagged = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey") % 5 == 0
-    return table(spark, sf, "orders").groupBy((F.col("o_custkey") % 50).alias("sheet")).agg(F.count("*").alias("rooms"), F.count_if(flagged).alias("flagged"), F.sum(F.when(~flagged, price).otherwise(F.lit(0))).cast("double").alias("net_lf"), F.sum(F.when(flagged, price).otherwise(F.lit(0))).cast("double").alias("unmeasured_lf"))
+    return s.base_by_sheet(table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("sheet"), price.alias("gross_lf"), F.when(~flagged, price).alias("net_lf"), flagged.alias("flagged")))
 
 
 @query("D08_stated_openings", "SELECT o_orderkey, CASE WHEN o_custkey % 40 >= 30 THEN NULL ELSE 30.0 - o_custkey % 40 END::DOUBLE AS base_lf, CASE WHEN o_custkey % 40 >= 30 THEN 'openings reach the perimeter' ELSE '' END AS reason FROM orders")
 def d08(spark, sf):
     """Base with stated openings: perimeter less openings, refused where they reach it."""
-    stated = (F.col("o_custkey") % 40).cast("double")
-    return table(spark, sf, "orders").select("o_orderkey", F.when(stated < 30, 30.0 - stated).alias("base_lf"), F.when(stated >= 30, "openings reach the perimeter").otherwise("").alias("reason"))
+    rooms = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 40).cast("double").alias("openings_lf"), F.lit(30.0).alias("perimeter_lf"))
+    return s.base_with_openings(rooms).select("o_orderkey", "base_lf", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query("R08_order_lengths")
@@ -97,39 +102,43 @@ def r08(spark, sf):
     return cuts.groupBy("condition_id").agg(F.max(F.col("x") + F.col("run_max") - F.col("run_min")).alias("reach"), (F.max("roll") + 1).alias("rolls"))
 
 
-@query("X11_schedules_by_kind", "SELECT p_partkey FROM part WHERE contains(upper(p_type), 'ECONOMY')")
+@query("X11_schedules_by_kind", "SELECT asked, p_partkey FROM part, (VALUES ('vinduer', 2), ('vinduer', 3), ('Doors and windows', 1), ('Doors and windows', 2), ('Doors and windows', 3), ('fans', 4), ('room finishes', 0), ('materials', 5)) AS a(asked, k) WHERE p_size % 6 = k")
 def x11(spark, sf):
-    return table(spark, sf, "part").where(F.contains(F.upper("p_type"), F.lit("ECONOMY"))).select("p_partkey")
+    """What each keyword finds among tables of all kinds."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("room-finish", "door", "window", "door-window", "equipment", "finish")]), F.col("p_size") % 6 + 1)
+    tables = table(spark, sf, "part").select("p_partkey", kind.alias("kind"))
+    found = [s.find_schedules(tables, k).select(F.lit(k).alias("asked"), "p_partkey") for k in ("vinduer", "Doors and windows", "fans", "room finishes", "materials")]
+    return s.merged_sheets(*found)
 
 
 @query("X12_floor_tags", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS tag, CASE WHEN p_size % 5 = 0 THEN 'compound floor finish' ELSE '' END AS reason FROM part")
 def x12(spark, sf):
     """A floor cell of several codes is never split between them."""
     cell = F.when(F.col("p_size") % 5 == 0, F.concat("p_brand", F.lit("/X-1"))).otherwise(F.col("p_brand"))
-    compound = F.contains(cell, F.lit("/"))
-    return table(spark, sf, "part").select("p_partkey", F.when(~compound, cell).alias("tag"), F.when(compound, "compound floor finish").otherwise("").alias("reason"))
+    found = s.floor_tag(cell)
+    return table(spark, sf, "part").select("p_partkey", found["tag"].alias("tag"), F.coalesce(found["reason"], F.lit("")).alias("reason"))
 
 
 @query("X20_placed_counts", "SELECT user_id AS condition_id, count(*) + coalesce(max(k), 0) AS ea FROM events LEFT JOIN (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS k FROM customer) c ON c_custkey = user_id GROUP BY 1")
 def x20(spark, sf):
     """Each placement is one unit beside what the condition had."""
-    had = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("k"))
-    return table(spark, sf, "events").join(had, F.col("user_id") == F.col("c_custkey"), "left").groupBy(F.col("user_id").alias("condition_id")).agg((F.count("*") + F.coalesce(F.max("k"), F.lit(0))).alias("ea"))
+    had = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("ea"))
+    return s.placed_counts(table(spark, sf, "events").select(F.col("user_id").alias("condition_id")), had)
 
 
 @query("X30_segment_roles", "SELECT o_orderkey AS idx, CASE WHEN o_custkey % 7 = 0 THEN 'hidden' WHEN o_custkey % 7 = 1 THEN 'boundary' WHEN o_custkey % 7 = 2 THEN 'annotation' ELSE 'unknown' END AS role FROM orders")
 def x30(spark, sf):
     """Roles of segments by their layer, overrides first; hidden wins over any role."""
     layers = spark.createDataFrame([(0, "boundary", False, None), (1, "structure", True, "boundary"), (2, "annotation", True, None)], "layer_id int, role string, visible boolean, override string")
-    role = F.when(~F.col("visible"), "hidden").otherwise(F.coalesce("override", "role", F.lit("unknown")))
-    segments = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 7).cast("int").alias("layer"))
-    return segments.join(F.broadcast(layers), F.col("layer") == F.col("layer_id"), "left").select("idx", F.when(F.col("layer_id").isNull(), "unknown").otherwise(role).alias("role"))
+    segments = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 7).cast("int").alias("layer_id"))
+    return s.segment_roles(segments, layers).select("idx", "role")
 
 
-@query("M13_rfi_lifecycle", "SELECT user_id AS id, arg_max(event_type, event_id) AS status, count(*) AS changes FROM events WHERE event_type <> 'view' GROUP BY 1")
+@query("M13_rfi_lifecycle", "SELECT user_id AS id, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS status, count(*) AS changes, arg_max(event_type, event_id) = 'view' AS deleted FROM events GROUP BY 1")
 def m13(spark, sf):
-    changes = table(spark, sf, "events").where("event_type <> 'view'")
-    return changes.groupBy(F.col("user_id").alias("id")).agg(F.max_by("event_type", "event_id").alias("status"), F.count("*").alias("changes"))
+    """Views delete here; a deleted question keeps its last status."""
+    op = F.when(F.col("event_type") == "view", "delete").otherwise("set")
+    return s.rfi_states(table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("event_type").alias("status")))
 
 
 @query("M05_undone_journal", "SELECT user_id AS session_id, event_id % 10 AS id, max(event_id) AS seq, arg_max(value, event_id) AS payload FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k > 3 GROUP BY 1, 2")

@@ -159,17 +159,18 @@ def a28(spark, sf):
 
 @query("J01_shapes_with_conditions", p.SQL + "SELECT c.finish_tag, s.measure_role, count(*) AS n FROM shapes s LEFT JOIN conditions c ON c.id = s.condition_id GROUP BY ALL")
 def j01(spark, sf):
-    joined = p.shapes(spark, sf).join(p.conditions(spark, sf), F.col("condition_id") == F.col("id"), "left")
-    return joined.groupBy("finish_tag", "measure_role").agg(F.count("*").alias("n"))
+    from plumbline.operators.summaries import with_condition
+
+    return with_condition(p.shapes(spark, sf), p.conditions(spark, sf)).groupBy("finish_tag", "measure_role").agg(F.count("*").alias("n"))
 
 
 @query("O01_sheet_order", p.SQL + "SELECT sheet_id, row_number() OVER (ORDER BY split_part(sheet_id, '#', 1), CAST(CASE WHEN contains(sheet_id, '#') THEN split_part(sheet_id, '#', 2) ELSE '1' END AS INT)) AS place FROM (SELECT DISTINCT sheet_id FROM shapes)")
 def o01(spark, sf):
-    """Sheets are few: the window has no partition on purpose."""
-    from pyspark.sql import Window
+    from plumbline.plans.ranking import numbered
 
     sheets = p.shapes(spark, sf).select("sheet_id").distinct()
-    return sheets.withColumn("place", F.row_number().over(Window.orderBy(*sheet_order(F.col("sheet_id")))).cast("long"))
+    keyed = sheets.select("sheet_id", *[c.alias(f"by_{i}") for i, c in enumerate(sheet_order(F.col("sheet_id")))])
+    return numbered(keyed, "place", "by_0", "by_1", "by_2").select("sheet_id", "place")
 
 
 @query("O02_sheet_keys", "SELECT * FROM (VALUES ('a#b.pdf#12', 'a#b.pdf', 12, 'a#b — p.12'), ('plan.PDF', 'plan.PDF', 1, 'plan'), ('#3', '#3', 1, '#3'), ('x#y', 'x#y', 1, 'x#y'), ('plan.pdf#1', 'plan.pdf', 1, 'plan')) AS t(sheet_id, file, page, label)")
@@ -202,17 +203,17 @@ def p10(spark, sf):
 
 @query("P22_wall_heights", p.SQL + "SELECT condition_id, row_number() OVER (PARTITION BY condition_id ORDER BY ts, sheet_id, area_sf, perimeter_lf) AS place, CAST(coalesce(area_sf, perimeter_lf * 9) AS DOUBLE) AS area_sf FROM shapes WHERE measure_role = 'surface_area'")
 def p22(spark, sf):
-    from pyspark.sql import Window
+    from plumbline.operators.summaries import wall_breakdown
 
     walls = p.shapes(spark, sf).where("measure_role = 'surface_area'")
-    place = F.row_number().over(Window.partitionBy("condition_id").orderBy("ts", "sheet_id", "area_sf", "perimeter_lf")).cast("long")
-    return walls.select("condition_id", place.alias("place"), F.coalesce(F.col("area_sf").cast("double"), F.col("perimeter_lf").cast("double") * 9).alias("area_sf"))
+    return wall_breakdown(walls, ["ts", "sheet_id", "area_sf", "perimeter_lf"]).select("condition_id", "place", "area_sf")
 
 
 @query("P21_multiplier_validity", "SELECT p_partkey AS id, p_size % 4 > 0 AS valid FROM part")
 def p21(spark, sf):
-    m = F.col("multiplier")
-    return p.conditions(spark, sf).select("id", (m.isNull() | (~F.isnan(m) & (m > 0) & (m < float("inf")))).alias("valid"))
+    from plumbline.operators.summaries import valid_multiplier
+
+    return p.conditions(spark, sf).select("id", valid_multiplier(F.col("multiplier")).alias("valid"))
 
 
 register_grouped()

@@ -92,3 +92,17 @@ def mark_shape(text: Column) -> Column:
 
 def value_shape(text: Column) -> Column:
     return F.trim(text).rlike("^[0-9][0-9,]{0,6}$")
+
+
+def normal_text(text: Column) -> Column:
+    """Text as it is compared: compatibility forms folded (NFKC), white space to single spaces, lower case."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def folded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    ascii_only = text.rlike(r"^[\x00-\x7F]*$")
+    return F.lower(F.trim(F.regexp_replace(F.when(ascii_only, text).otherwise(folded(text)), r"[\s\u00A0]+", " ")))

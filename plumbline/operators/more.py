@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.geometry import contains
+from plumbline.functions.geometry import contains, ring_within
+from plumbline.operators.grid import boxed, meeting
 
 
 def to_document(project: DataFrame, conditions: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -27,28 +28,41 @@ def custom_column(attrs: Column, key: str) -> Column:
 
 def in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     """points (sheet_id, id, x, y) with whether a region of their sheet holds them."""
-    area = regions.select(F.col("sheet_id").alias("r_sheet"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    inside = (F.col("sheet_id") == F.col("r_sheet")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    held = points.join(area, inside, "left_semi").select("sheet_id", "id", F.lit(True).alias("held"))
+    at = points.select("sheet_id", "id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    held = meeting(at, regions.select("sheet_id", "x0", "y0", "x1", "y1")).select(F.col("a.sheet_id").alias("sheet_id"), F.col("a.id").alias("id"), F.lit(True).alias("held")).distinct()
     return points.join(held, ["sheet_id", "id"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
 def unique_parent(deducts: DataFrame, floors: DataFrame) -> DataFrame:
-    """Each deduct's parent if its centre lies in exactly one floor of its sheet and condition; else none, with the count."""
-    inside = (F.col("d.sheet_id") == F.col("f.sheet_id")) & (F.col("d.condition_id") == F.col("f.condition_id")) & contains(F.col("f.ring"), F.col("d.x"), F.col("d.y"))
-    near = F.col("d.x").between(F.col("f.x0"), F.col("f.x1")) & F.col("d.y").between(F.col("f.y0"), F.col("f.y1"))
-    met = deducts.alias("d").join(floors.alias("f"), inside & near, "left")
-    return met.groupBy(F.col("d.id").alias("id")).agg(F.count("f.id").alias("candidates"), F.min("f.id").alias("one")).select("id", "candidates", F.when(F.col("candidates") == 1, F.col("one")).otherwise(F.lit(-1)).alias("parent"))
+    """Each deduct's parent if its centre lies in exactly one floor of its sheet and condition; else none, with the count.
+
+    deducts: (sheet_id, id, condition_id, x, y); floors: (sheet_id, id, condition_id, ring, x0, y0, x1, y1).
+    """
+    at = deducts.select("sheet_id", "id", "condition_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    inside = (F.col("a.condition_id") == F.col("b.condition_id")) & contains(F.col("b.ring"), F.col("a.x0"), F.col("a.y0"))
+    met = meeting(at, floors.select("sheet_id", "id", "condition_id", "ring", "x0", "y0", "x1", "y1")).where(inside)
+    found = met.groupBy(F.col("a.id").alias("found_id")).agg(F.count("*").alias("n"), F.min("b.id").alias("one"))
+    rows = deducts.select("id").join(found, F.col("id") == F.col("found_id"), "left")
+    n = F.coalesce("n", F.lit(0))
+    return rows.select("id", n.alias("candidates"), F.when(n == 1, F.col("one")).otherwise(F.lit(-1)).alias("parent"))
+
+
+def contained_rings(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner_id, outer_id) of rings (sheet_id, id, ring) whose points and their mean all lie in another ring of their sheet."""
+    met = meeting(boxed(inner.select("sheet_id", "id", "ring")), boxed(outer.select("sheet_id", "id", "ring")))
+    held = (F.col("a.id") != F.col("b.id")) & ring_within(F.col("a.ring"), F.col("b.ring"))
+    return met.where(held).select(F.col("a.id").alias("inner_id"), F.col("b.id").alias("outer_id"))
 
 
 def nearest_marker(tags: DataFrame, markers: DataFrame, reach: float = 2.5) -> DataFrame:
     """Each tag's nearest revision marker by the distance of their boxes, within reach heights of the tag."""
-    h = F.col("y1") - F.col("y0")
-    m = markers.select(F.col("sheet_id").alias("m_sheet"), F.col("ord").alias("m_ord"), F.col("x0").alias("mx0"), F.col("y0").alias("my0"), F.col("x1").alias("mx1"), F.col("y1").alias("my1"))
-    dx = F.greatest(F.lit(0.0), F.col("mx0") - F.col("x1"), F.col("x0") - F.col("mx1"))
-    dy = F.greatest(F.lit(0.0), F.col("my0") - F.col("y1"), F.col("y0") - F.col("my1"))
-    met = tags.join(m, (F.col("sheet_id") == F.col("m_sheet")) & (dx * dx + dy * dy <= reach * reach * h * h)).withColumn("d2", dx * dx + dy * dy)
-    return met.groupBy("sheet_id", "ord").agg(F.min(F.struct("d2", "m_ord")).alias("best")).select("sheet_id", "ord", F.col("best.m_ord").alias("marker"))
+    by = reach * (F.col("y1") - F.col("y0"))
+    t = tags.select("sheet_id", "ord", by.alias("reach"), F.struct("x0", "y0", "x1", "y1").alias("tag"), (F.col("x0") - by).alias("x0"), (F.col("y0") - by).alias("y0"), (F.col("x1") + by).alias("x1"), (F.col("y1") + by).alias("y1"))
+    gap = lambda low, high: F.greatest(F.lit(0.0), F.col(f"b.{low}") - F.col(f"a.tag.{high}"), F.col(f"a.tag.{low}") - F.col(f"b.{high}"))
+    dx, dy = gap("x0", "x1"), gap("y0", "y1")
+    met = meeting(t, markers.select("sheet_id", "ord", "x0", "y0", "x1", "y1")).where(dx * dx + dy * dy <= F.col("a.reach") * F.col("a.reach"))
+    best = met.select("a.sheet_id", F.col("a.ord").alias("ord"), F.struct((dx * dx + dy * dy).alias("d2"), F.col("b.ord").alias("m_ord")).alias("found")).groupBy("sheet_id", "ord").agg(F.min("found").alias("best"))
+    return best.select("sheet_id", "ord", F.col("best.m_ord").alias("marker"))
 
 
 def continuations(tables: DataFrame) -> DataFrame:

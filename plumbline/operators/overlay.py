@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.grid import boxed, meeting
 from plumbline.operators.scope import touching_pairs
 
 
@@ -25,9 +26,9 @@ def crossings(e: np.ndarray, f: np.ndarray) -> np.ndarray:
     a, b = e[:, None, :], f[None, :, :]
     rx, ry, sx, sy = a[..., 2] - a[..., 0], a[..., 3] - a[..., 1], b[..., 2] - b[..., 0], b[..., 3] - b[..., 1]
     det = rx * sy - ry * sx
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((b[..., 0] - a[..., 0]) * sy - (b[..., 1] - a[..., 1]) * sx) / det
-        u = ((b[..., 0] - a[..., 0]) * ry - (b[..., 1] - a[..., 1]) * rx) / det
+    skew = np.where(det != 0, det, 1)
+    t = ((b[..., 0] - a[..., 0]) * sy - (b[..., 1] - a[..., 1]) * sx) / skew
+    u = ((b[..., 0] - a[..., 0]) * ry - (b[..., 1] - a[..., 1]) * rx) / skew
     hit = (det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
     return (a[..., 1] + t * ry)[hit]
 
@@ -78,10 +79,7 @@ def repaired(ring: np.ndarray) -> tuple[np.ndarray | None, str | None]:
 
 def polygon_collisions(shapes: DataFrame, least_fraction: float = 0.05) -> DataFrame:
     """Overlapping pairs of polygons (sheet_id, id, condition_id, ring): boxes meet in the join, areas are measured after it."""
-    low = lambda i: F.array_min(F.transform("ring", lambda p: p[i]))
-    high = lambda i: F.array_max(F.transform("ring", lambda p: p[i]))
-    boxed = shapes.select("sheet_id", "id", "condition_id", "ring", low(0).alias("x0"), low(1).alias("y0"), high(0).alias("x1"), high(1).alias("y1"))
-    met = touching_pairs(boxed).select("sheet_id", "a_id", "b_id", "a_condition_id", "b_condition_id", "a_ring", "b_ring")
+    met = touching_pairs(boxed(shapes.select("sheet_id", "id", "condition_id", "ring"))).select("sheet_id", "a_id", "b_id", "a_condition_id", "b_condition_id", "a_ring", "b_ring")
 
     def measured(frames):
         for frame in frames:
@@ -98,6 +96,20 @@ def polygon_collisions(shapes: DataFrame, least_fraction: float = 0.05) -> DataF
     return met.mapInPandas(measured, "sheet_id long, a_id long, b_id long, shared double, fraction double, same_condition boolean")
 
 
+def polygons(shapes: DataFrame) -> DataFrame:
+    """(id, status, reason, area) of shapes (id, ring) as polygons: measured after one repair, or unmeasured and why."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for i, ring in zip(frame["id"], frame["ring"]):
+                fit, why = repaired(np.array([list(p) for p in ring], float).reshape(-1, 2) if ring is not None else np.zeros((0, 2)))
+                out.append((i, "unmeasured" if fit is None else "measured", why, None if fit is None else overlay_area([[fit]], 1)))
+            yield pd.DataFrame(out, columns=["id", "status", "reason", "area"])
+
+    return shapes.select("id", "ring").mapInPandas(run, "id long, status string, reason string, area double")
+
+
 def outside_runs(line: np.ndarray, ring: np.ndarray) -> list[np.ndarray]:
     """The pieces of an open run that lie outside a ring, in order."""
     edges = edges_of([ring])
@@ -129,18 +141,24 @@ def outside_runs(line: np.ndarray, ring: np.ndarray) -> list[np.ndarray]:
 
 
 def clipped_runs(runs: DataFrame, rings: DataFrame) -> DataFrame:
-    """(id, length_before, length_after, outcome) of open runs cut by the ring of their sheet: whole, cut or erased."""
-    joined = runs.join(rings.select(F.col("sheet_id").alias("ring_sheet"), "ring"), F.col("sheet_id") == F.col("ring_sheet"))
+    """(id, length_before, length_after, pieces, outcome) of open runs (sheet_id, id, line) cut by all rings (sheet_id, ring) of
+    their sheet: whole, cut into pieces, or erased; a row for each run."""
+    met = meeting(boxed(runs.select("sheet_id", "id", "line"), "line"), boxed(rings.select("sheet_id", "ring")))
+    near = met.groupBy(F.col("a.id").alias("cut_id")).agg(F.collect_list("b.ring").alias("rings"))
+    joined = runs.select("id", "line").join(near, F.col("id") == F.col("cut_id"), "left").select("id", "line", "rings")
 
     def clip(frames):
+        length = lambda z: float(np.hypot(*np.diff(z, axis=0).T).sum()) if len(z) > 1 else 0.0
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
                 line = np.array([list(p) for p in row.line], float)
-                length = lambda z: float(np.hypot(*np.diff(z, axis=0).T).sum())
-                before = length(line)
-                after = sum((length(z) for z in outside_runs(line, np.array([list(p) for p in row.ring], float))), 0.0)
-                out.append((row.id, before, after, "erased" if after == 0 else "whole" if abs(after - before) < 1e-9 else "cut"))
-            yield pd.DataFrame(out, columns=["id", "length_before", "length_after", "outcome"])
-
-    return joined.select("id", "line", "ring").mapInPandas(clip, "id long, length_before double, length_after double, outcome string")
+                pieces = [line]
+                for ring in row.rings if row.rings is not None else ():
+                    pieces = [q for p in pieces for q in outside_runs(p, np.array([list(z) for z in ring], float))]
+                before, after = length(line), sum(map(length, pieces), 0.0)
+                outcome = "whole" if before - after < 1e-9 else "erased" if after < 1e-9 else "cut"
+                out.append((row.id, before, after, len(pieces) if outcome != "erased" else 0, outcome))
+            yield pd.DataFrame(out, columns=["id", "length_before", "length_after", "pieces", "outcome"])
+
+    return joined.mapInPandas(clip, "id long, length_before double, length_after double, pieces long, outcome string")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.grid import meeting
 from plumbline.plans.ranking import numbered
 
 # Defaults of the drawing context.
 MIN_LENGTH, CONTEXT_CAP = 2.0, 65_000
+#: How much wider than its rule a box is that pairs are looked for in: the rule itself decides.
+NEAR = 1e-6
 
 
 def sheet_index(sheets: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -58,6 +61,12 @@ def matches(query: str, *columns: Column) -> Column:
     return found
 
 
+def first_hits(hits: DataFrame, order: str, most: int = 200) -> DataFrame:
+    """The first hits in order with their place and the count of all (total), so that a reader sees what was left out: the cap is the feature."""
+    total = hits.count()
+    return numbered(hits.orderBy(order).limit(most), "place", order).withColumn("total", F.lit(total).cast("long"))
+
+
 def shape_details(shapes: DataFrame) -> DataFrame:
     """Rows as exported: deducts negative, counts at least one, methods named."""
     role = F.col("measure_role")
@@ -149,10 +158,13 @@ def nearest_within(points: DataFrame, anchors: DataFrame, radius: float) -> Data
 def mark_pairs(marks: DataFrame, values: DataFrame) -> DataFrame:
     """Each mark with the first value drawn beneath it: within its width (or 1.5 heights) sideways, and from 0.4 heights above its foot to 2.4 below."""
     h = F.greatest(F.col("y1") - F.col("y0"), F.lit(6.0))
-    m = marks.withColumns({"h": h, "cx": (F.col("x0") + F.col("x1")) / 2, "reach": F.greatest(F.col("x1") - F.col("x0"), 1.5 * h)})
-    v = values.select(F.col("sheet_id").alias("v_sheet"), F.col("ord").alias("v_ord"), F.col("str").alias("v_str"), F.col("y0").alias("v_y0"), ((F.col("x0") + F.col("x1")) / 2).alias("v_cx"))
-    close = (F.col("sheet_id") == F.col("v_sheet")) & (F.abs(F.col("v_cx") - F.col("cx")) <= F.col("reach")) & (F.col("v_y0") >= F.col("y1") - 0.4 * F.col("h")) & (F.col("v_y0") <= F.col("y1") + 2.4 * F.col("h"))
-    return m.join(v, close).groupBy("sheet_id", "ord").agg(F.min_by("v_str", "v_ord").alias("value"))
+    cx = (F.col("x0") + F.col("x1")) / 2
+    reach = F.greatest(F.col("x1") - F.col("x0"), 1.5 * h)
+    low, high = F.col("y1") - 0.4 * h, F.col("y1") + 2.4 * h
+    m = marks.select("sheet_id", "ord", cx.alias("cx"), reach.alias("reach"), low.alias("low"), high.alias("high"), (cx - reach - NEAR).alias("x0"), (low - NEAR).alias("y0"), (cx + reach + NEAR).alias("x1"), (high + NEAR).alias("y1"))
+    v = values.select("sheet_id", "ord", "str", cx.alias("x0"), "y0", cx.alias("x1"), F.col("y0").alias("y1"))
+    beneath = (F.abs(F.col("b.x0") - F.col("a.cx")) <= F.col("a.reach")) & F.col("b.y0").between(F.col("a.low"), F.col("a.high"))
+    return meeting(m, v).where(beneath).groupBy(F.col("a.sheet_id").alias("sheet_id"), F.col("a.ord").alias("ord")).agg(F.min_by("b.str", "b.ord").alias("value"))
 
 
 def row_marks(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,32 +143,101 @@ def layout(items: list[tuple], roll: Roll, sequence: dict | None = None) -> list
     return nest(cuts, roll, sequence)
 
 
-CUTS = "condition_id long, shape_id long, lane long, lanes long, width double, run_min double, run_max double, overage double, direction string, roll long, x double, y double, over_roll boolean"
+STRIPS = "condition_id long, shape_id long, lane long, lanes long, width double, run_min double, run_max double, overage double, direction string"
+def takeoff_rooms(shapes: DataFrame, conditions: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Rooms (condition_id, shape_id, ring in feet) of a whole takeoff's roll goods: floors of conditions with a roll setup, on sheets with a size and a scale. Holes
+    don't shorten cuts. shapes: verts_norm; sheets: (sheet_id, width, height, units_per_px); conditions: (id, is_roll)."""
+    frames = sheets.where("width > 0 AND height > 0 AND units_per_px > 0").select(F.col("sheet_id").alias("of_sheet"), "width", "height", F.col("units_per_px").alias("upp"))
+    rolls = conditions.where("is_roll").select(F.col("id").alias("of_condition"))
+    some = shapes.where((F.col("measure_role") == "floor_area") & (F.size("verts_norm") >= 3)).join(rolls, F.col("condition_id") == F.col("of_condition")).join(frames, F.col("sheet_id") == F.col("of_sheet"))
+    ring = F.transform("verts_norm", lambda p: F.array(p[0] * F.col("width") * F.col("upp"), p[1] * F.col("height") * F.col("upp")))
+    return some.select("condition_id", F.col("id").alias("shape_id"), ring.alias("ring"))
 
 
-def roll_cuts(rooms: DataFrame, roll: Roll = Roll()) -> DataFrame:
-    """rooms: (condition_id, shape_id, ring in feet); the cuts of each condition, nested."""
-    names = [c.split()[0] for c in CUTS.split(", ")]
+def with_overrides(strips: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Strips with their stated runs (shape_id, lane, lanes, run_min, run_max), where the room still has that many lanes and the run is one; else as they were."""
+    said = overrides.select(F.col("shape_id").alias("o_shape"), F.col("lane").alias("o_lane"), F.col("lanes").alias("o_lanes"), F.col("run_min").alias("o_min"), F.col("run_max").alias("o_max"))
+    joined = strips.join(said, (F.col("shape_id") == F.col("o_shape")) & (F.col("lane") == F.col("o_lane")), "left")
+    ok = F.coalesce((F.col("o_lanes") == F.col("lanes")) & (F.col("o_max") > F.col("o_min")), F.lit(False))
+    return joined.select(*[F.when(ok, F.col(f"o_{c[4:]}")).otherwise(F.col(c)).alias(c) if c in ("run_min", "run_max") else F.col(c) for c in strips.columns])
 
-    def per_condition(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("shape_id")
-        items = [(i, np.array([list(p) for p in ring], float)) for i, ring in zip(frame["shape_id"], frame["ring"])]
-        cuts = layout([x for x in items if len(x[1]) >= 3], roll)
-        out = pd.DataFrame(cuts, columns=names)
-        out["condition_id"] = frame["condition_id"].iloc[0]
-        return out
 
-    return rooms.select("condition_id", "shape_id", "ring").groupBy("condition_id").applyInPandas(per_condition, CUTS)
+def directions(strips: DataFrame) -> DataFrame:
+    """(condition_id, direction, footage) of the strips that were chosen."""
+    long = F.greatest(F.lit(0.0), F.col("run_max") - F.col("run_min")).cast("decimal(28,9)")
+    return strips.groupBy("condition_id").agg(F.first("direction").alias("direction"), F.sum(long).cast("double").alias("footage"))
 
 
-def seams(cuts: DataFrame) -> DataFrame:
-    """Seam feet of each shape: how far neighbouring lanes run side by side between their wall allowances; a lane left out leaves none."""
+CUTS = STRIPS + ", roll long, x double, y double, over_roll boolean"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def room_strips(rooms: DataFrame, roll: Roll = Roll()) -> DataFrame:
+    """rooms: (condition_id, shape_id, ring in feet); the strips of each room, room by room, in the direction that takes
+    its condition the less footage (ns where both take the same), unless the roll sets one."""
+    ways = (roll.direction,) if roll.direction in ("ns", "ew") else ("ns", "ew")
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for condition, shape, ring in zip(frame["condition_id"], frame["shape_id"], frame["ring"]):
+                points = np.array([list(p) for p in ring], float) if ring is not None else np.zeros((0, 2))
+                if len(points) >= 3:
+                    rows += [{**s, "condition_id": condition, "direction": d} for d in ways for s in strips(shape, points, d, roll)]
+            yield pd.DataFrame(rows, columns=_columns(STRIPS))
+
+    both = rooms.select("condition_id", "shape_id", "ring").mapInPandas(run, STRIPS)
+    if len(ways) == 1:
+        return both
+    # a condition's footage both ways, added as decimals so that the order of rooms can't show
+    long = F.greatest(F.lit(0.0), F.col("run_max") - F.col("run_min")).cast("decimal(28,9)")
+    w = Window.partitionBy("condition_id")
+    footage = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, long)).over(w), F.lit(0))
+    chosen = F.when(footage("ns") <= footage("ew"), "ns").otherwise("ew")
+    return both.withColumn("chosen", chosen).where("direction = chosen").drop("chosen")
+
+
+def roll_cuts(rooms: DataFrame, roll: Roll = Roll(), sequence: dict | None = None) -> DataFrame:
+    """rooms: (condition_id, shape_id, ring in feet); the cuts of each condition, nested. A condition's cuts are nested in
+    one task, one condition after the other; sequence places cuts ("shape:lane") first, in the order of its numbers."""
+
+    def run(batches):
+        now, cuts = None, []
+
+        def nested() -> pa.RecordBatch:
+            out = nest(cuts, roll, sequence)
+            return pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_columns(CUTS)), schema=wanted, preserve_index=False)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["condition_id"] != now and cuts:
+                    yield nested()
+                    cuts = []
+                now = row["condition_id"]
+                cuts.append(row | {"id": f"{row['shape_id']}:{row['lane']}"})
+        if cuts:
+            yield nested()
+
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    wanted = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in CUTS.split(", ")])
+    return room_strips(rooms, roll).repartition("condition_id").sortWithinPartitions("condition_id", "shape_id", "lane").mapInArrow(run, CUTS)
+
+
+def seam_overlaps(cuts: DataFrame) -> DataFrame:
+    """Feet that each pair of neighbouring lanes runs side by side between their wall allowances; a lane left out leaves none."""
     w = Window.partitionBy("condition_id", "shape_id").orderBy("lane")
     low, high = F.col("run_min") + F.col("overage"), F.col("run_max") - F.col("overage")
     beside = cuts.select("condition_id", "shape_id", "lane", low.alias("low"), high.alias("high")).withColumns({"n_lane": F.lead("lane").over(w), "n_low": F.lead("low").over(w), "n_high": F.lead("high").over(w)})
     overlap = F.greatest(F.lit(0.0), F.least("high", "n_high") - F.greatest("low", "n_low"))
-    added = beside.where(F.col("n_lane") == F.col("lane") + 1).groupBy("condition_id", "shape_id").agg(round2_plain(F.sum(overlap)).alias("seam_lf"))
-    return added.where("seam_lf > 0")
+    return beside.where(F.col("n_lane") == F.col("lane") + 1).select("condition_id", "shape_id", "lane", overlap.alias("overlap_lf"))
+
+
+def seams(cuts: DataFrame) -> DataFrame:
+    """Seam feet of each shape, of its strips or nested cuts alike."""
+    return seam_overlaps(cuts).groupBy("condition_id", "shape_id").agg(round2_plain(F.sum("overlap_lf")).alias("seam_lf")).where("seam_lf > 0")
 
 
 def roll_report(cuts: DataFrame, conditions: DataFrame, roll: Roll = Roll(), unit: str = "sy") -> DataFrame:

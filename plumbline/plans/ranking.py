@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.scratch import scratch
+
 
 def numbered(rows: DataFrame, name: str, *order: str | Column, first: int = 1) -> DataFrame:
     """rows with their place in the order as a long column: a range sort, a count of each partition, and each partition's offset.
@@ -15,8 +15,8 @@ def numbered(rows: DataFrame, name: str, *order: str | Column, first: int = 1) -
     pass, or a lost executor's, might cut it elsewhere.
     """
     context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # as in tests
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(rows.sparkSession))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = cut.withColumns({"rank_part": F.spark_partition_id(), "rank_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()

@@ -24,6 +24,14 @@ def read_documents(spark: SparkSession, path: str, tag_prefix: str = "") -> Data
     return docs.withColumn("status", F.when(known, "ok").otherwise("refused")).withColumn("reason", F.when(~F.coalesce(known, F.lit(False)), "not a project document"))
 
 
+def parse_documents(texts: DataFrame, column: str = "document", tag_prefix: str = "") -> DataFrame:
+    """Documents held as text: their members beside the other columns, with status and reason: text that is no document of the schema is refused."""
+    parsed = texts.withColumn("d", F.from_json(column, DOCUMENT))
+    known = F.coalesce(F.col("d.schema").startswith(tag_prefix) if tag_prefix else F.col("d.schema").isNotNull(), F.lit(False))
+    rest = [c for c in texts.columns if c != column]
+    return parsed.select(*rest, "d.*", F.when(known, "ok").otherwise("refused").alias("status"), F.when(~known, "not a project document").alias("reason"))
+
+
 def exploded(docs: DataFrame, member: str) -> DataFrame:
     """One member's records with project_id and their place (ord)."""
     return docs.where("status = 'ok'").select("project_id", F.posexplode(member).alias("ord", "r")).select("project_id", "ord", "r.*")
@@ -46,7 +54,11 @@ def report_json(conditions: DataFrame, totals: DataFrame, materials: DataFrame)
 
 
 def write_guarded(df: DataFrame, path: str, marker: str = "_plumbline") -> None:
-    """Overwrites a folder only if an earlier export of this library made it."""
+    """Overwrites a folder only if an earlier export of this library made it.
+
+    The data are written beside it with the marker among them, and the folder is then exchanged: a crash leaves the old
+    export, or the new one, and never a folder without its marker.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,5 +66,8 @@ def write_guarded(df: DataFrame, path: str, marker: str = "_plumbline") -> None:
     own = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{marker}")
     if fs.exists(target) and not fs.exists(own):
         raise FileExistsError(f"{path} wasn't written by an export; it stays as it is")
-    df.write.mode("overwrite").parquet(path)
-    fs.create(own).close()
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.new")
+    df.write.mode("overwrite").parquet(fresh.toString())
+    fs.create(jvm.org.apache.hadoop.fs.Path(fresh, marker)).close()
+    fs.delete(target, True)
+    fs.rename(fresh, target)

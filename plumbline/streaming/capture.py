@@ -28,21 +28,60 @@ def captured(rows: DataFrame) -> DataFrame:
 
 
 def append_unseen(path: str):
-    """For foreachBatch: appends the rows whose fp the table at path lacks; a batch that is replayed adds nothing."""
+    """For foreachBatch: appends the rows whose fp the table at path lacks; a batch that is replayed adds nothing.
+
+    The table lies in folders by the first two digits of fp, and a batch is held against the folders of its own rows only.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["fp"])
+        fresh = batch.dropDuplicates(["fp"]).withColumn("fp_part", F.substring("fp", 1, 2)).persist()
         try:
-            fresh = fresh.join(spark.read.parquet(path).select("fp"), "fp", "left_anti")
-        except Exception as missing:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-        fresh.write.mode("append").parquet(path)
+            parts = [r["fp_part"] for r in fresh.select("fp_part").distinct().collect()]  # 256 at most for hex fingerprints
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target) and parts:
+                banked = spark.read.schema("fp string, fp_part string").parquet(path).where(F.col("fp_part").isin(parts)).select("fp")
+                new = fresh.join(banked, "fp", "left_anti")
+            else:
+                new = fresh
+            new.write.mode("append").partitionBy("fp_part").parquet(path)
+        finally:
+            fresh.unpersist()
 
     return add
 
 
+def banked(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drains what a stream of rows with fp holds now into the table at path, and returns the table."""
+    schema = stream.schema
+    query: StreamingQuery = stream.writeStream.foreachBatch(append_unseen(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(path)
+
+
+def jsonl(rows: DataFrame) -> DataFrame:
+    """Captured rows as lines of JSON, empty fields left out: write them with .write.text()."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value"))
+
+
+def mirror(rows: DataFrame, path: str) -> None:
+    """A whole snapshot of a table at path, exchanged at once: readers see the old one or the new one, never a part."""
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    target, fresh = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".new"))
+    rows.write.mode("overwrite").parquet(fresh.toString())
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    fs.rename(fresh, target)
+
+
+def folded(journal: DataFrame) -> DataFrame:
+    """A session's records after its journal (session_id, seq, op, id, payload), of a stream or a table: the last entry of each record, deletes among
+    them (op 'delete'), so that a reader can drop them. On a stream run it in update mode: state is one entry a record."""
+    last = journal.groupBy("session_id", "id").agg(F.max_by(F.struct("seq", "op", "payload"), "seq").alias("last"))
+    return last.select("session_id", "id", "last.seq", "last.op", "last.payload")
+
+
 def corpus_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("finish_tag", "origin_method").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
 

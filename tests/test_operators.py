@@ -192,8 +192,8 @@ def test_sweep_finds_turns_and_near_misses():
         sheet += [np.concatenate([sweep.TURNS[t] @ a[:2], sweep.TURNS[t] @ a[2:]]) + np.array([x, y, x, y]) for a in seed]
     partial = [a + 600 for a in seed[:3]]
     found = sweep.placements(np.array([*sheet, *partial]), seed)
-    assert [(round(x), round(y)) for x, y, _, s in found if s >= sweep.MATCH] == [(100, 100), (200, 100), (300, 100), (400, 100), (100, 300), (200, 300), (300, 300), (400, 300)]
-    assert [round(x) for x, _, _, s in found if s < sweep.MATCH] == [600]
+    assert [(round(x), round(y)) for x, y, _, s, _ in found if s >= sweep.MATCH] == [(100, 100), (200, 100), (300, 100), (400, 100), (100, 300), (200, 300), (300, 300), (400, 300)]
+    assert [round(x) for x, _, _, s, _ in found if s < sweep.MATCH] == [600]
 
 
 def test_workbook_opens(spark):
@@ -230,9 +230,9 @@ def test_shared_runs():
     from plumbline.operators.transitions import islands, shared_runs
 
     a, b = np.array([[0, 0], [10, 0], [10, 8], [0, 8]], float), np.array([[10, 2], [14, 2], [14, 6], [10, 6]], float)
-    (length, gap, status), = shared_runs(a, b)
-    assert status == "butt" and 4 <= length <= 6.1 and gap == 0
-    (_, gap, status), = shared_runs(a, b + np.array([0.5, 0]))
+    (length, gap, status, path), = shared_runs(a, b)
+    assert status == "butt" and math.isclose(length, 4, abs_tol=1e-6) and gap == 0 and len(path) == 2
+    (_, gap, status, _), = shared_runs(a, b + np.array([0.5, 0]))
     assert status == "withheld" and gap >= 0.5
     assert shared_runs(a, b + 20) == []
     assert [x.tolist() for x in islands(np.array([True, False, True, True]))] == [[2, 3, 0]]
