@@ -29,11 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = shared.written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
-        large = shared.join_hot(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = shared.join_hot(both.where("b > a"), least, "a", state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = shared.written(large)
         shared.drop(now, least)
         least = shared.written(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = shared.join_hot(large, least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = shared.join_hot(large, least, "a", state[0]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = shared.written(small)
         shared.drop(large, least)
     raise ValueError("components don't settle")

@@ -372,7 +372,7 @@ def _in_blocks(members: DataFrame, m: str) -> DataFrame:
     dealt = members.withColumn("blocks", F.ceil(F.col(m) / size).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "member"), F.col("blocks")).cast("int"))
     b = F.col("block")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(b, k).alias("i"), F.greatest(b, k).alias("j"), (b <= k).alias("first")))
-    return dealt.withColumn("p", F.explode(pairs)).select("tree", "label", "p.i", "p.j", "p.first", "member", "grp")
+    return dealt.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j", "p.first").drop("blocks", "block", "p", m)
 
 
 class Forest:
@@ -396,14 +396,14 @@ class Forest:
         both = beside.join(self.reps.select("member", "forest"), "member").select("h", "lead", "forest", "lead_forest")
         return shared.written(both.mapInArrow(_led(least_agreeing(self.similarity)), "h long, lead long, agree int"))
 
-    def shorten(self, found: dict[float, int]) -> bool:
+    def shorten(self, found: dict[float, int], recall: float | None = None) -> bool:
         """Goes to the depth that the similarities found ask for; False if that is this one."""
-        depth = shortened(found, self.depth, self.similarity, self.recall)
+        depth = shortened(found, self.depth, self.similarity, recall or self.recall)
         shorter, self.depth = depth < self.depth, depth
         return shorter
 
     def tasks(self, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members by the tasks that verify them: groups' block pairs, and what buckets of several groups leave."""
+        """(tree, label, m, member, grp) of groups (tree -1), whose members are all verified, and of the buckets that hold several groups."""
         joined = shared.written(components(leads.select(F.col("h").alias("a"), F.col("lead").alias("b")))).withColumnRenamed("node", "h")
         sizes = joined.groupBy("root").agg(F.count("*").alias("m"))
         mine = self.reps.select("member", "h").join(joined, "h")
@@ -412,38 +412,41 @@ class Forest:
         alike = [F.bit_xor(F.xxhash64(F.lit(k), "member")).alias(f"x{k}") for k in (1, 2)]
         mixed = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high"), *alike).where("m > 1 AND low <> high")
         own = shared.written(mixed.groupBy("m", "x1", "x2").agg(F.min(F.struct("tree", "label")).alias("b")).select("b.tree", "b.label", "m"))  # of buckets of the same members the first tree's
-        in_buckets = nodes.join(own, ["tree", "label"])
-        return _in_blocks(in_groups, "m"), _in_blocks(in_buckets, "m")
+        return in_groups, nodes.join(own, ["tree", "label"])
+
+    def left_over(self, buckets: DataFrame) -> DataFrame:
+        """Members of buckets' block pairs that have a pair to verify, by their signatures."""
+        signed = _in_blocks(buckets.join(self.reps.select("member", "forest"), "member"), "m").repartition(*_TASK).sortWithinPartitions(*_TASK)
+        return signed.mapInArrow(_left_over(self.depth, least_agreeing(self.similarity)), _MEMBERS)
 
     def links(self, docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
         """(member, rep, links, other) of all verified links, and a report: depth, links between classes, estimated recall.
 
         Rows with a member say how many links it has; those with rep and other join two classes' representatives.
         """
-        least = least_agreeing(self.similarity)
         while True:
             leads = self.leads()
             near = leads.where(F.col("agree") >= self.similarity * TREES * DEPTH).groupBy("agree").count().collect()  # a row for each count of agreeing values
-            if self.shorten({r["agree"] / (TREES * DEPTH): r["count"] for r in near}):
+            # signatures only estimate: a closer target, so that verified links seldom ask for another round
+            if self.shorten({r["agree"] / (TREES * DEPTH): r["count"] for r in near}, 1 - (1 - self.recall) / 8):
                 leads = self.leads()
             groups, buckets = self.tasks(leads)
-            signed = buckets.join(self.reps.select("member", "forest"), "member").repartition(*_TASK).sortWithinPartitions(*_TASK)
-            rest = signed.mapInArrow(_left_over(self.depth, least), _MEMBERS)
-            found = shared.written(self.verified(shared.written(groups.unionByName(rest)), docs))
+            found = shared.written(self.verified(shared.written(groups), shared.written(self.left_over(buckets)), docs))
             bins = found.where("member IS NULL AND rep IS NULL").groupBy("other").agg(F.sum("links").alias("n")).collect()  # a row for each bin
             exact = {r["other"] / BINS: r["n"] for r in bins}
             if not self.shorten(exact):
                 return found.where("member IS NOT NULL OR rep IS NOT NULL"), {"depth": self.depth, "links": sum(exact.values()), "estimated_recall": estimated_recall(exact, self.depth, self.similarity)}
 
-    def verified(self, tasks: DataFrame, docs: DataFrame) -> DataFrame:
-        known = shared.written(self.reps.join(tasks.select("member").distinct(), "member", "left_semi").drop("h"))
+    def verified(self, groups: DataFrame, rest: DataFrame, docs: DataFrame) -> DataFrame:
+        needed = groups.select("member").unionByName(rest.select("member")).distinct()
+        known = shared.written(self.reps.join(needed, "member", "left_semi").drop("h"))
         ids = known.select(F.col("rep").alias("needed_rep")).distinct()
         few = known.count() <= MOST_BROADCAST
         text = shared.texts(docs).join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col("doc_id") == F.col("needed_rep"), "left_semi")
         held = text.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_with_shingles, "held_rep long, held_key binary, shingles binary")
-        full = known.join(held, (F.col("rep") == F.col("held_rep")) & (F.col("member") == F.col("held_key"))).select("member", "rep", "copies", "forest", "shingles")
-        result = "member binary, rep long, links long, other long"
-        return tasks.join(full, "member").repartition(*_TASK).sortWithinPartitions(*_TASK, "member").mapInArrow(_verified(self.depth, self.similarity), result)
+        full = shared.written(known.join(held, (F.col("rep") == F.col("held_rep")) & (F.col("member") == F.col("held_key"))).select("member", "rep", "copies", "forest", "shingles"))
+        every = _in_blocks(groups.join(full, "member"), "m").unionByName(rest.join(full, "member"))
+        return every.repartition(*_TASK).sortWithinPartitions(*_TASK, "member").mapInArrow(_verified(self.depth, self.similarity), "member binary, rep long, links long, other long")
 
 
 #: Ids of documents with candidates up to which they are broadcast to the scan of the texts (8 bytes each).

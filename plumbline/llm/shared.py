@@ -73,11 +73,12 @@ def drop(*tables: DataFrame) -> None:
 HOT_SHARE = 1000
 
 
-def join_hot(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """rows joined to side, which has a row for each key, on key: the hot keys' rows meet a broadcast of at most HOT_SHARE rows and
-    stay where they are, the others are shuffled. rows are read three times, so they should be written or cheap."""
+    stay where they are, the others are shuffled. total: how many rows there are about, counted if it isn't said. rows are read
+    several times, so they should be written or cheap."""
     counts = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("hot_rows"))
-    total = rows.count()
+    total = rows.count() if total is None else total
     hot = counts.where(F.col("hot_rows") * HOT_SHARE > total).select("hot_key")
     few = F.broadcast(hot)
     warm = rows.join(F.broadcast(side.join(few, F.col(key) == F.col("hot_key"), "left_semi")), key)

@@ -151,8 +151,7 @@ def test_jaccard_boilerplate_is_not_verified(spark):
     assert leads.count() == 0
     groups, buckets = forest.tasks(leads)
     assert groups.count() == 0 and buckets.count() > 0  # they share prefixes
-    left = buckets.join(forest.reps.select("member", "forest"), "member").repartition(*jaccard._TASK).sortWithinPartitions(*jaccard._TASK)
-    assert left.mapInArrow(jaccard._left_over(5, jaccard.least_agreeing(0.8)), jaccard._MEMBERS).count() == 0
+    assert forest.left_over(buckets).count() == 0
 
 
 def test_jaccard_pairs_of_two_groups(spark):
