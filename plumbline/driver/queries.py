@@ -1,6 +1,18 @@
 """All queries of the library's own operators."""
 
-from plumbline.driver import drawing_queries, geometry_queries, merge_queries, more_queries, other_queries, overlay_queries, records_queries, shape_queries, totals_queries  # noqa: F401
+from plumbline.driver import (  # noqa: F401
+    drawing_queries,
+    geometry_queries,
+    merge_queries,
+    more_queries,
+    other_queries,
+    overlay_queries,
+    plan_queries,
+    records_queries,
+    set_queries,
+    shape_queries,
+    totals_queries,
+)
 from plumbline.driver.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,10 +99,6 @@ def value_shape(text: Column) -> Column:
 
 def normal_text(text: Column) -> Column:
     """Text as it is compared: compatibility forms folded (NFKC), white space to single spaces, lower case."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def folded(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))

@@ -17,6 +17,7 @@ from plumbline.operators.grid import meeting
 from plumbline.operators.more import nearest_marker
 from plumbline.operators.sheetinfo import callouts, revision_markers
 from plumbline.operators.tables import SURFACES, extract_tables
+from plumbline.plans.scratch import kept
 
 # Words beside numbers that name no room; roles of sheets whose numbers aren't room tags, and how sure that must be.
 NOT_ROOMS = ["NUMBER", "NO", "NAME", "MARK", "SYMBOL", "CODE", "TYPE", "QTY", "SIZE", "TOTAL", "SHEET", "DATE", "SCALE", "REV", "REVISION", "DESCRIPTION", "REMARKS", "COMMENTS", "DETAIL", "ROOM"]
@@ -95,9 +96,9 @@ def build_graph(spans: DataFrame, segments: DataFrame, roles: DataFrame, numbers
     known = [r["b"] for r in named.orderBy("b").collect()]  # a set's buildings: designators of two characters
     sheet_numbers = [re.sub("[^A-Z0-9]", "", r["sheet_number"].upper()) for r in numbers.where("sheet_number IS NOT NULL").select("sheet_number").distinct().collect()]  # a set's sheets
     buildings = sheet_buildings(spans)
-    markers = revision_markers(spans, segments)
-    cells = joined_tables(extract_tables(spans, known, sheet_numbers))
-    rows = schedule_rows(cells, buildings)
+    markers = kept(revision_markers(spans, segments))
+    cells = kept(joined_tables(extract_tables(spans, known, sheet_numbers)))
+    rows = kept(schedule_rows(cells, buildings))
     silent = roles.where(F.col("role").isin(SILENT_ROLES) & (F.col("confidence") >= SURE)).select(F.col("sheet_id").alias("silent_sheet"))
     beside = buildings.select(F.col("sheet_id").alias("b_sheet"), F.col("building").alias("of_sheet"))
     tags = room_tags(spans, known, sheet_numbers, markers).join(silent, F.col("sheet_id") == F.col("silent_sheet"), "left_anti").join(beside, F.col("sheet_id") == F.col("b_sheet"), "left")
@@ -108,7 +109,7 @@ def build_graph(spans: DataFrame, segments: DataFrame, roles: DataFrame, numbers
     by_name, by_row = F.col("name") != "", F.col("listed").isNotNull()
     how = F.when(by_row & by_name, "name+schedule").when(by_row, "schedule").when(by_name & F.lit(not has_schedule), "name")
     why = F.when(F.lit(not has_schedule), "no name, no schedule").when(by_name, "named but not scheduled").otherwise("neither named nor scheduled")
-    judged = judged.withColumns({"corroboration": how, "reason": F.when(how.isNull(), why)}).drop("listed")
+    judged = kept(judged.withColumns({"corroboration": how, "reason": F.when(how.isNull(), why)}).drop("listed"))
     return {
         "buildings": spans.sparkSession.createDataFrame([(b,) for b in known], "building string"), "sheets": roles.join(beside, F.col("sheet_id") == F.col("b_sheet"), "left").select("sheet_id", "role", "confidence", F.col("of_sheet").alias("building")),
         "cells": cells, "rows": rows, "rooms": judged.where("corroboration IS NOT NULL").drop("reason"), "unmatched": judged.where("corroboration IS NULL").drop("corroboration"), "callouts": callouts(spans), "revisions": markers,
@@ -184,8 +185,8 @@ def sweep_row(tag: str, rows: DataFrame, spans: DataFrame, roles: DataFrame, reg
     text = spans.withColumn("mark", F.upper(F.regexp_replace("str", r"\s+", ""))).join(marks.select("mark").distinct(), "mark").join(plans, F.col("sheet_id") == F.col("plan_sheet"), "left_semi")
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
     at = text.select("sheet_id", "ord", "mark", cx.alias("x0"), cy.alias("y0"), cx.alias("x1"), cy.alias("y1"))
-    found = matches.join(plans, F.col("sheet_id") == F.col("plan_sheet"), "left_semi").select("sheet_id", F.monotonically_increasing_id().alias("place"), "x", "y", "reach", (F.col("x") - F.col("reach")).alias("x0"), (F.col("y") - F.col("reach")).alias("y0"), (F.col("x") + F.col("reach")).alias("x1"), (F.col("y") + F.col("reach")).alias("y1"))
-    near = meeting(found.drop("place").withColumn("key", F.struct("sheet_id", "x", "y")), at)
+    found = matches.join(plans, F.col("sheet_id") == F.col("plan_sheet"), "left_semi").select("sheet_id", "x", "y", "reach", (F.col("x") - F.col("reach")).alias("x0"), (F.col("y") - F.col("reach")).alias("y0"), (F.col("x") + F.col("reach")).alias("x1"), (F.col("y") + F.col("reach")).alias("y1"))
+    near = meeting(found, at)
     within = F.hypot(F.col("b.x0") - F.col("a.x"), F.col("b.y0") - F.col("a.y")) <= F.col("a.reach")
     carried = near.where(within).groupBy(F.col("a.sheet_id").alias("c_sheet"), F.col("a.x").alias("c_x"), F.col("a.y").alias("c_y")).agg(F.bool_or(F.col("b.mark") == mark).alias("own"), F.min(F.when(F.col("b.mark") != mark, F.col("b.mark"))).alias("other"), F.min(F.when(F.col("b.mark") == mark, F.col("b.ord"))).alias("ord"))
     placed = found.join(carried, (F.col("sheet_id") == F.col("c_sheet")) & (F.col("x") == F.col("c_x")) & (F.col("y") == F.col("c_y")), "left")

@@ -37,6 +37,12 @@ def sheet_context(segments: DataFrame, length: Column, region: Column, least: fl
     return long_enough.withColumn("place", place).withColumn("status", F.coalesce("status", F.when(F.col("place") > cap, "cap").otherwise("kept"))).drop("place")
 
 
+def longest(segments: DataFrame, length: Column, most: int) -> DataFrame:
+    """The longest segments of each sheet with their place, ties to the lower idx: a top-k by design."""
+    place = F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.desc("length"), "idx"))
+    return segments.withColumn("length", length).withColumn("place", place).where(F.col("place") <= most)
+
+
 def page_after(segments: DataFrame, cursor: int, limit: int) -> DataFrame:
     """The next limit segments of each sheet from idx cursor on: keyset paging, whatever lies before isn't read again."""
     place = F.row_number().over(Window.partitionBy("sheet_id").orderBy("idx"))
