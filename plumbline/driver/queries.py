@@ -9,6 +9,7 @@ from plumbline.driver import (  # noqa: F401
     overlay_queries,
     plan_queries,
     records_queries,
+    session_queries,
     set_queries,
     shape_queries,
     totals_queries,

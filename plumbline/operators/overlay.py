@@ -93,7 +93,8 @@ def polygon_collisions(shapes: DataFrame, least_fraction: float = 0.05) -> DataF
                     out.append((row.sheet_id, row.a_id, row.b_id, shared, shared / min(one, two), row.a_condition_id == row.b_condition_id))
             yield pd.DataFrame(out, columns=["sheet_id", "a_id", "b_id", "shared", "fraction", "same_condition"])
 
-    return met.mapInPandas(measured, "sheet_id long, a_id long, b_id long, shared double, fraction double, same_condition boolean")
+    kinds = dict(met.dtypes)
+    return met.mapInPandas(measured, f"sheet_id {kinds['sheet_id']}, a_id {kinds['a_id']}, b_id {kinds['b_id']}, shared double, fraction double, same_condition boolean")
 
 
 def polygons(shapes: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def read_archives(files: DataFrame, content: str = "content") -> DataFrame:
 
 def layer_name(tag: Column, suffix: str = "") -> Column:
     """A finish tag as a layer's name: what symbol names can't hold becomes a dash, upper case, at most 48 characters; no tag is UNTAGGED."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(tag, F.lit(""))), r'[<>/\\\\":;?*|,=`]+', "-"), r"\\s+", " "), "-{2,}", "-")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(tag, F.lit(""))), r'[<>/\\\\":;?*|,=`]+', "-"), r"\s+", " "), "-{2,}", "-")
     plain = F.upper(F.regexp_replace(plain, "^-|-$", ""))
     short = F.regexp_replace(F.substring(plain, 1, 48), "-$", "")
     return F.concat(F.lit("PL-"), F.when(plain == "", "UNTAGGED").otherwise(short), F.lit(f"-{suffix}" if suffix else ""))

@@ -65,14 +65,18 @@ def jsonl(rows: DataFrame) -> DataFrame:
 
 
 def mirror(rows: DataFrame, path: str) -> None:
-    """A whole snapshot of a table at path, exchanged at once: readers see the old one or the new one, never a part."""
+    """A whole snapshot of a table at path, by renames: readers see the old one or the new one, never a part (between two renames, none)."""
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
-    target, fresh = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".new"))
+    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".new", ".old"))
     rows.write.mode("overwrite").parquet(fresh.toString())
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(fresh, target)
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{target} can't be moved aside")
+    if not fs.rename(fresh, target):
+        raise OSError(f"{fresh} can't become {target}")
+    fs.delete(old, True)
 
 
 def folded(journal: DataFrame) -> DataFrame:
