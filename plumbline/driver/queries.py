@@ -12,6 +12,7 @@ from plumbline.driver import (  # noqa: F401
     session_queries,
     set_queries,
     shape_queries,
+    text_queries,
     totals_queries,
 )
 from plumbline.driver.registry import ORACLE_SQL, QUERIES
