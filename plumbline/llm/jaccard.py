@@ -1,8 +1,8 @@
 """Joining documents by the Jaccard similarity of their word shingles, through a MinHash LSH forest.
 
 A document's shingle set is signed by TREES keys of DEPTH MinHash values each: the keys of a tree, sorted, are a prefix
-trie, and a prefix of it is a bucket of neighbouring keys. Matching begins with the whole keys: every member of a bucket
-meets the bucket's first. From the similarities of those pairs, and the chance that a pair of such a similarity shares a
+trie, and a prefix of it is a bucket of neighbouring keys. Matching begins with the whole keys of FIRST_TREES trees: every member
+of a bucket meets the bucket's first. From the similarities of those pairs, and the chance that a pair of such a similarity shares a
 prefix of that length in some tree, follows how many pairs were missed; prefixes are shortened until that is within the
 target recall. Verified links are judged the same way at the end, and shorten further if they must. So a corpus whose
 pairs are close stops at long prefixes, and one with many pairs at the threshold goes down to short ones.
@@ -30,6 +30,8 @@ from plumbline.llm.components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9999
+#: Trees whose whole keys are matched to judge how far prefixes must be shortened; all are from there on.
+FIRST_TREES = 8
 SIGMAS = 6
 #: Members in a block: they grow with the root of their group or bucket, within these bounds; two blocks meet in a task.
 LEAST_BLOCK, MOST_BLOCK = 128, 1024
@@ -43,19 +45,20 @@ def expected_recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def estimated_recall(found: dict[float, int], depth: int, similarity: float, trees: int = TREES, at: int | None = None) -> float:
-    """The share of all links that prefixes of depth at (default: depth) find, judged by how many of each similarity prefixes of depth found.
+def estimated_recall(found: dict[float, int], depth: int, similarity: float, trees: int = TREES, at: int | None = None, seen: int | None = None) -> float:
+    """The share of all links that prefixes of depth at (default: depth) find, judged by how many of each similarity prefixes of depth found
+    in seen (default: all) trees.
 
     Each link found stands for 1 / its chance of being found; one more at the threshold is taken to have gone unseen.
     """
-    every = {s: n / expected_recall(s, depth, trees) for s, n in found.items()}
+    every = {s: n / expected_recall(s, depth, seen or trees) for s, n in found.items()}
     missed = sum(n * (1 - expected_recall(s, at or depth, trees)) for s, n in every.items()) + 1 - expected_recall(similarity, at or depth, trees)
     return 1 - missed / max(1.0, sum(every.values()))
 
 
-def shortened(found: dict[float, int], depth: int, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES) -> int:
+def shortened(found: dict[float, int], depth: int, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, seen: int | None = None) -> int:
     """The longest prefix, of depth at most, with the target recall by estimated_recall()."""
-    return next((d for d in range(depth, 1, -1) if estimated_recall(found, depth, similarity, trees, d) >= recall), 1)
+    return next((d for d in range(depth, 1, -1) if estimated_recall(found, depth, similarity, trees, d, seen) >= recall), 1)
 
 
 def least_agreeing(similarity: float, values: int = TREES * DEPTH) -> int:
@@ -382,41 +385,44 @@ class Forest:
         self.reps = reps.withColumn("h", F.xxhash64("member"))
         self.similarity, self.recall, self.depth = similarity, recall, DEPTH
 
-    def nodes(self) -> DataFrame:
-        """(member, h, tree, label) of every member's prefix in each tree."""
-        key = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(F.substring("forest", t * (2 * DEPTH) + 1, F.lit(2 * self.depth))))
-        return self.reps.select("member", "h", F.posexplode(key).alias("tree", "label"))
-
-    def leads(self) -> DataFrame:
-        """(h, lead, agree): members and the firsts of their buckets that may be links, each pair once."""
-        nodes = self.nodes()
-        buckets = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("h").alias("lead")).where("m > 1")
-        pairs = shared.written(nodes.join(buckets, ["tree", "label"]).where("h <> lead").select("member", "h", "lead").distinct())
+    def nodes(self, trees: int = TREES) -> DataFrame:
+        """(h, tree, label) of every member's prefix in the first trees."""
+        key = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.substring("forest", t * (2 * DEPTH) + 1, F.lit(2 * self.depth))))
+        return self.reps.select("h", F.posexplode(key).alias("tree", "label"))
+
+    def leads(self, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+        """(h, lead, agree): members and the firsts of their buckets that may be links, each pair once; and (tree, label, h, lead) of the
+        nodes whose bucket has several members, which are few beside the others."""
+        nodes = self.nodes(trees)
+        buckets = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("h").alias("lead")).where("m > 1").drop("m")
+        held = shared.written(nodes.join(buckets, ["tree", "label"]))
+        pairs = shared.written(held.where("h <> lead").select("h", "lead").distinct())
         beside = shared.join_hot(pairs, self.reps.select(F.col("h").alias("lead"), F.col("forest").alias("lead_forest")), "lead")
-        both = beside.join(self.reps.select("member", "forest"), "member").select("h", "lead", "forest", "lead_forest")
-        return shared.written(both.mapInArrow(_led(least_agreeing(self.similarity)), "h long, lead long, agree int"))
+        both = beside.join(self.reps.select("h", "forest"), "h").select("h", "lead", "forest", "lead_forest")
+        return shared.written(both.mapInArrow(_led(least_agreeing(self.similarity)), "h long, lead long, agree int")), held
 
-    def shorten(self, found: dict[float, int], recall: float | None = None) -> bool:
-        """Goes to the depth that the similarities found ask for; False if that is this one."""
-        depth = shortened(found, self.depth, self.similarity, recall or self.recall)
+    def shorten(self, found: dict[float, int], recall: float | None = None, seen: int | None = None) -> bool:
+        """Goes to the depth that the similarities found (in seen trees) ask for; False if that is this one."""
+        depth = shortened(found, self.depth, self.similarity, recall or self.recall, seen=seen)
         shorter, self.depth = depth < self.depth, depth
         return shorter
 
-    def tasks(self, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(tree, label, m, member, grp) of groups (tree -1), whose members are all verified, and of the buckets that hold several groups."""
+    def tasks(self, leads: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(tree, label, m, member, grp) of groups (tree -1), whose members are all verified, and (tree, label, m, h, grp) of the buckets that
+        hold several groups."""
         joined = shared.written(components(leads.select(F.col("h").alias("a"), F.col("lead").alias("b")))).withColumnRenamed("node", "h")
         sizes = joined.groupBy("root").agg(F.count("*").alias("m"))
         mine = self.reps.select("member", "h").join(joined, "h")
         in_groups = shared.join_hot(shared.written(mine), sizes, "root").select("member", "m", F.col("root").alias("grp"), F.lit(-1).alias("tree"), F.col("root").alias("label"))
-        nodes = self.nodes().join(joined, "h", "left").withColumn("grp", F.coalesce("root", "h")).drop("root", "h")
-        alike = [F.bit_xor(F.xxhash64(F.lit(k), "member")).alias(f"x{k}") for k in (1, 2)]
-        mixed = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high"), *alike).where("m > 1 AND low <> high")
+        nodes = shared.written(held.drop("lead").join(joined, "h", "left").withColumn("grp", F.coalesce("root", "h")).drop("root"))
+        alike = [F.bit_xor(F.xxhash64(F.lit(k), "h")).alias(f"x{k}") for k in (1, 2)]
+        mixed = nodes.groupBy("tree", "label").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high"), *alike).where("low <> high")
         own = shared.written(mixed.groupBy("m", "x1", "x2").agg(F.min(F.struct("tree", "label")).alias("b")).select("b.tree", "b.label", "m"))  # of buckets of the same members the first tree's
         return in_groups, nodes.join(own, ["tree", "label"])
 
     def left_over(self, buckets: DataFrame) -> DataFrame:
         """Members of buckets' block pairs that have a pair to verify, by their signatures."""
-        signed = _in_blocks(buckets.join(self.reps.select("member", "forest"), "member"), "m").repartition(*_TASK).sortWithinPartitions(*_TASK)
+        signed = _in_blocks(buckets.join(self.reps.select("h", "member", "forest"), "h").drop("h"), "m").repartition(*_TASK).sortWithinPartitions(*_TASK)
         return signed.mapInArrow(_left_over(self.depth, least_agreeing(self.similarity)), _MEMBERS)
 
     def links(self, docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
@@ -424,13 +430,15 @@ class Forest:
 
         Rows with a member say how many links it has; those with rep and other join two classes' representatives.
         """
+        seen = FIRST_TREES
         while True:
-            leads = self.leads()
+            leads, held = self.leads(seen)
             near = leads.where(F.col("agree") >= self.similarity * TREES * DEPTH).groupBy("agree").count().collect()  # a row for each count of agreeing values
             # signatures only estimate: a closer target, so that verified links seldom ask for another round
-            if self.shorten({r["agree"] / (TREES * DEPTH): r["count"] for r in near}, 1 - (1 - self.recall) / 8):
-                leads = self.leads()
-            groups, buckets = self.tasks(leads)
+            if self.shorten({r["agree"] / (TREES * DEPTH): r["count"] for r in near}, 1 - (1 - self.recall) / 8, seen) or seen < TREES:
+                leads, held = self.leads()
+            seen = TREES
+            groups, buckets = self.tasks(leads, held)
             found = shared.written(self.verified(shared.written(groups), shared.written(self.left_over(buckets)), docs))
             bins = found.where("member IS NULL AND rep IS NULL").groupBy("other").agg(F.sum("links").alias("n")).collect()  # a row for each bin
             exact = {r["other"] / BINS: r["n"] for r in bins}

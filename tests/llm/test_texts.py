@@ -147,9 +147,9 @@ def test_jaccard_boilerplate_is_not_verified(spark):
     _, reps = jaccard._representatives(jaccard.signatures(spark.createDataFrame(texts, "doc_id long, text string")).cache())
     forest = jaccard.Forest(reps, 0.8, 0.9999)
     assert forest.shorten({}) and forest.depth == 5
-    leads = forest.leads()
+    leads, held = forest.leads()
     assert leads.count() == 0
-    groups, buckets = forest.tasks(leads)
+    groups, buckets = forest.tasks(leads, held)
     assert groups.count() == 0 and buckets.count() > 0  # they share prefixes
     assert forest.left_over(buckets).count() == 0
 
