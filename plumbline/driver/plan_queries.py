@@ -492,3 +492,19 @@ def x17(spark, sf):
     points = first.select("sheet_id", "id", (100.0 + j % 8 * 60.0).alias("x"), (100.0 + F.floor(j / 8) * 60.0).alias("y"))
     found = sweep.count_from_points(drawn, points, 12.0)
     return found.select("sheet_id", "id", F.col("segments").cast("int").alias("segments"), "matches")
+
+
+@query("D10_enclosed_islands", "SELECT p_partkey AS id, (p_partkey % 6 + 1) * (p_partkey % 6 + 1) AS cells, ((p_partkey % 6 + 1) * (p_partkey % 6 + 1))::DOUBLE AS area, CAST(p_partkey % 40 * 30 + 6 AS DOUBLE) AS x0 FROM part WHERE p_partkey % 6 BETWEEN 1 AND 4 AND p_size % 4 > 0")
+def d10(spark, sf):
+    """Boxes of walls inside rooms: closed ones are islands, unless they are too small or too large; open ones belong to the room."""
+    part, k = table(spark, sf, "part"), F.col("p_partkey")
+    side, left, sheet = (k % 6 + 1).cast("int"), (k % 40 * 30).cast("int"), F.floor(k / 40).alias("sheet_id")
+    floors = part.select(sheet, k.alias("id"), box(left, 0, left + 20, 20).alias("ring"), F.lit(25).alias("most"))
+    one = lambda y, a, b: F.struct(F.lit(y).cast("int").alias("y") if not hasattr(y, "cast") else y.cast("int").alias("y"), (left + a).cast("int").alias("x0"), (left + b).cast("int").alias("x1"))
+    lids = F.array(one(5, 5, side + 7), one(side + 6, 5, F.when(F.col("p_size") % 4 > 0, side + 7).otherwise(6)))
+    sides = F.flatten(F.transform(F.sequence(F.lit(6), side + 5), lambda y: F.array(F.struct(y.cast("int").alias("y"), (left + 5).cast("int").alias("x0"), (left + 6).cast("int").alias("x1")), F.struct(y.cast("int").alias("y"), (left + side + 6).cast("int").alias("x0"), (left + side + 7).cast("int").alias("x1")))))
+    walls = part.select(sheet, F.explode(F.concat(lids, sides)).alias("w")).select("sheet_id", "w.*")
+    from plumbline.functions.geometry import ring_area
+    from plumbline.operators.islands import find_islands
+
+    return find_islands(floors, walls).select("id", "cells", ring_area(F.col("ring")).alias("area"), F.array_min(F.transform("ring", lambda p: p[0])).alias("x0"))

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import outlines
-from plumbline.operators import cutouts, grid, merge, overlay, stitches, tables, workspace
+from plumbline.operators import cutouts, grid, islands, merge, overlay, stitches, tables, workspace
 from plumbline.sources import archive, takeoff, workbook
 from plumbline.streaming import capture
 
@@ -178,3 +178,28 @@ def test_points_near_each_other(spark):
     df = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(at)], "sheet_id int, id int, x double, y double")
     found = sorted((r["a_id"], r["b_id"]) for r in workspace.near_pairs(df, 5.0).collect())
     assert found == [(i, j) for i in range(60) for j in range(i + 1, 60) if np.hypot(*(at[i] - at[j])) <= 5.0]
+
+
+def test_islands_against_a_flood():
+    rng = np.random.default_rng(1)
+    ring = np.array([[1, 1], [20, 1], [20, 16], [8, 16], [8, 9], [1, 9]], float)
+    for _ in range(40):
+        wall = rng.random((18, 22)) < 0.45
+        lines = {y: [(int(x), int(x) + 1) for x in np.flatnonzero(wall[y])] for y in range(18)}
+        free = {(x, y) for y in range(18) for p, q in islands.inner_runs(ring, y) for x in range(p, q) if not wall[y, x]}
+        expected = []
+        while free:
+            todo, found = [free.pop()], []
+            while todo:
+                x, y = todo.pop()
+                found.append((x, y))
+                for step in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                    if step in free:
+                        free.remove(step)
+                        todo.append(step)
+            low, high = np.min(found, axis=0), np.max(found, axis=0)
+            if 4 <= len(found) <= 30 and (high - low).min() >= 1:
+                expected.append((len(found), *low, *(high + 1)))
+        got = [(cells, *shape.min(0), *shape.max(0)) for cells, shape in islands.enclosed(ring, lines, 30)]
+        assert sorted(got) == sorted(expected)
+    assert islands.enclosed(ring, {}, 30) == []
