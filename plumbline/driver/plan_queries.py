@@ -508,3 +508,29 @@ def d10(spark, sf):
     from plumbline.operators.islands import find_islands
 
     return find_islands(floors, walls).select("id", "cells", ring_area(F.col("ring")).alias("area"), F.array_min(F.transform("ring", lambda p: p[0])).alias("x0"))
+
+
+def wall_lines(spark, sf):
+    part, k = table(spark, sf, "part"), F.col("p_partkey")
+    long, y = 50.0 + F.col("p_size") * 10, k % 40 * 1000.0
+    one = lambda i, x, dy: F.struct((k * 2 + i).alias("idx"), F.lit(x).alias("x1"), (y + dy).alias("y1"), (long + x).alias("x2"), (y + dy).alias("y2"))
+    lines = part.select(F.floor(k / 40).alias("sheet_id"), F.explode(F.array(one(0, 0.0, F.lit(0.0)), one(1, 20.0, k % 6 * 8.0))).alias("s")).select("sheet_id", "s.*")
+    return lines, lines.select("sheet_id").distinct().withColumn("px_per_m", F.when(F.col("sheet_id") % 5 < 4, 100.0))
+
+
+_WALLS = "WITH w AS (SELECT p_partkey * 2 AS a_idx, p_partkey * 2 + 1 AS b_idx, p_partkey // 40 AS sheet_id, 50.0 + p_size * 10 AS len, p_partkey % 6 * 8 AS off FROM part WHERE p_partkey // 40 % 5 < 4), f AS (SELECT * FROM w WHERE len - 20 >= 80 AND off BETWEEN 7 AND 35)"
+
+
+@query("X24_wall_pairs", _WALLS + "SELECT sheet_id, a_idx, b_idx, (off / 100.0)::DOUBLE AS thickness_m, ((len - 20) / 100)::DOUBLE AS overlap_m, 20.0::DOUBLE AS x1, len::DOUBLE AS x2 FROM f")
+def x24(spark, sf):
+    """Pairs of lines: too near, too far, too short, or the faces of a wall."""
+    from plumbline.operators.walls import wall_pairs
+
+    return wall_pairs(*wall_lines(spark, sf)).select("sheet_id", "a_idx", "b_idx", "thickness_m", "overlap_m", "x1", "x2")
+
+
+@query("X24_wall_faces", _WALLS + "SELECT sheet_id, unnest([a_idx, b_idx]) AS idx FROM f")
+def x24_faces(spark, sf):
+    from plumbline.operators.walls import wall_faces, wall_pairs
+
+    return wall_faces(wall_pairs(*wall_lines(spark, sf))).select("sheet_id", "idx")

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import outlines
-from plumbline.operators import cutouts, grid, islands, merge, overlay, stitches, tables, workspace
+from plumbline.operators import cutouts, grid, islands, merge, overlay, stitches, tables, walls, workspace
 from plumbline.sources import archive, takeoff, workbook
 from plumbline.streaming import capture
 
@@ -203,3 +203,35 @@ def test_islands_against_a_flood():
         got = [(cells, *shape.min(0), *shape.max(0)) for cells, shape in islands.enclosed(ring, lines, 30)]
         assert sorted(got) == sorted(expected)
     assert islands.enclosed(ring, {}, 30) == []
+
+
+def test_wall_faces_in_any_direction(spark):
+    rng = np.random.default_rng(7)
+    angle = rng.uniform(0, np.pi, 40)
+    at = rng.uniform(0, 600, (40, 2))
+    size = rng.uniform(40, 300, 40)
+    far = rng.uniform(0, 50, 40)
+    way = np.column_stack([np.cos(angle), np.sin(angle)])
+    a = np.column_stack([at, at + way * size[:, None]])
+    side = np.column_stack([-way[:, 1], way[:, 0]]) * far[:, None]
+    b = a + np.column_stack([side, side]) + np.column_stack([way, way]) * 15
+    lines = np.concatenate([a, b])
+
+    def is_wall(p, q):
+        u = (p[2:] - p[:2]) / np.hypot(*(p[2:] - p[:2]))
+        e = q[2:] - q[:2]
+        if min(np.hypot(*(p[2:] - p[:2])), np.hypot(*e)) < 80 or abs(u[0] * e[1] - u[1] * e[0]) > np.sin(np.radians(1.5)) * np.hypot(*e):
+            return False
+        middle = (q[:2] + q[2:]) / 2 - p[:2]
+        t = sorted(((q[:2] - p[:2]) @ u, (q[2:] - p[:2]) @ u))
+        return 7 <= abs(u[0] * middle[1] - u[1] * middle[0]) <= 35 and min(np.hypot(*(p[2:] - p[:2])), t[1]) - max(0, t[0]) >= 80
+
+    rows = [(0, i, *map(float, s)) for i, s in enumerate(lines)]
+    segments = spark.createDataFrame(rows, "sheet_id int, idx int, x1 double, y1 double, x2 double, y2 double")
+    found = walls.wall_pairs(segments, spark.createDataFrame([(0, 100.0)], "sheet_id int, px_per_m double")).collect()
+    expected = [(i, j) for i in range(80) for j in range(i + 1, 80) if is_wall(lines[i], lines[j])]
+    assert sorted((r["a_idx"], r["b_idx"]) for r in found) == expected and expected
+    for r in found:  # the middle line lies half a thickness off the first face
+        p = lines[r["a_idx"]]
+        u = (p[2:] - p[:2]) / np.hypot(*(p[2:] - p[:2]))
+        assert abs(abs(u[0] * (r["y1"] - p[1]) - u[1] * (r["x1"] - p[0])) - r["thickness_m"] * 50) < 1e-6
