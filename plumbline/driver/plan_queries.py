@@ -189,7 +189,7 @@ def d01(spark, sf):
     """Rings with a point twice; some of two points, some on one line."""
     k = F.col("p_partkey")
     short = F.slice("ring", 1, 2)
-    flat = F.transform("ring", lambda p: F.array(p[0] + 2 * p[1], p[0] + 2 * p[1]))
+    flat = F.transform("ring", lambda p: F.array(p[0] + 0.375 * p[1], p[0] + 0.375 * p[1]))
     ring = F.when((k % 11 == 0) & (k % 2 == 0), short).when(k % 11 == 0, flat).otherwise(F.concat(F.slice("ring", 1, 1), F.col("ring")))
     found = overlay.polygons(rings(spark, sf).select(k.alias("id"), ring.alias("ring")))
     return found.select("id", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.round(F.coalesce("area", F.lit(-1.0)), 6).alias("area"))
