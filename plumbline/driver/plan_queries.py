@@ -210,6 +210,19 @@ def d05(spark, sf):
     return found.select("id", "status", F.size("holes").alias("holes"), F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"))
 
 
+@query("D05_crossing_cuts", _CUTS + " SELECT shape_id AS id, CASE WHEN k = 2 THEN 'refused' ELSE 'cut' END AS status, CASE WHEN k = 2 THEN 'nothing would be left' ELSE '' END AS reason, round(w * h - CASE k WHEN 2 THEN 0 WHEN 1 THEN 5 / 12.0 ELSE 0.5 END, 6) AS area FROM c")
+def d05_crossing(spark, sf):
+    """Cuts that cross themselves: bow ties in the room and over its edge, and a star whose arms leave only what it crosses twice, outside the room."""
+    k = F.col("shape_id") % 5
+    w, h = F.col("ring")[1][0], F.col("ring")[2][1]
+    ring = lambda *p: F.array(*[F.array(*[(c if hasattr(c, "cast") else F.lit(c)).cast("double") for c in q]) for q in p])
+    floors = rooms(spark, sf).select(F.col("shape_id").alias("sheet_id"), F.col("shape_id").alias("id"), "ring", F.array().cast("array<array<array<double>>>").alias("holes"))
+    whole = ring((-1, -1), (w + 9, -1), (w + 9, h + 1), (w + 5, -2), (w + 7, h + 2), (w + 1, h + 1), (-1, h + 1))
+    tie = F.when(k == 2, whole).when(k == 1, ring((-0.5, 1), (1, 2), (1, 1), (-0.5, 2))).otherwise(ring((1, 1), (2, 2), (2, 1), (1, 2)))
+    found = cutouts.cut_floors(floors, rooms(spark, sf).select(F.col("shape_id").alias("sheet_id"), F.lit(0).alias("ord"), tie.alias("ring")))
+    return found.select("id", "status", "reason", F.round("area", 6).alias("area"))
+
+
 @query("D09_rule_seeds", _ROOMS + "SELECT shape_id AS deduct_id, shape_id AS container_id, greatest(25.0, ceil((shape_id % 9 + 1) * (shape_id % 9 + 1) / 2.0 / 5) * 5)::DOUBLE AS max_area_sf FROM q WHERE shape_id % 3 = 0 AND (shape_id % 9 + 1) * 0.5 + 0.5 < h AND (shape_id % 9 + 1) + 0.5 < w")
 def d09(spark, sf):
     """Deducts inside a floor of their condition, with the cap of the rule that they found."""

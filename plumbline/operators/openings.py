@@ -55,12 +55,11 @@ def swings(curves: list[np.ndarray], lines: np.ndarray, px_per_m: float) -> list
         else:
             slack = max(1.5, LEAF_SLACK * r)
             ends = np.concatenate([lines, lines[:, [2, 3, 0, 1]]]) if len(lines) else np.zeros((0, 4))
-            leaf = [e for e in (c[0], c[-1]) if len(ends) and ((np.hypot(*(ends[:, :2] - hinge).T) <= slack) & (np.hypot(*(ends[:, 2:] - e).T) <= slack)).any()]
+            leaf = [k for k in (0, -1) if len(ends) and ((np.hypot(*(ends[:, :2] - hinge).T) <= slack) & (np.hypot(*(ends[:, 2:] - c[k]).T) <= slack)).any()]
             if not leaf:
                 swing["reject"] = "no leaf"
             else:
-                swing["far"] = leaf[0]
-                swing["strike"] = c[-1] if leaf[0] is c[0] else c[0]
+                swing["far"], swing["strike"] = c[leaf[0]], c[-1 - leaf[0]]
     return out
 
 
