@@ -5,6 +5,7 @@ from plumbline.driver import (  # noqa: F401
     geometry_queries,
     mask_queries,
     merge_queries,
+    net_queries,
     more_queries,
     other_queries,
     overlay_queries,
