@@ -12,6 +12,7 @@ without one, no rule rejects anything in that stratum.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -90,7 +91,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Counts and rule shares of every whole text (null: none), with its stratum."""
+    """Counts and rule shares of every whole text (null: none), with its stratum and its MD5 as a name."""
     shared.bounded_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"))
 
@@ -98,11 +99,13 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             at = 0
             for out in _features(iter([batch])):
-                yield out.append_column("stratum", batch["stratum"].slice(at, out.num_rows))
+                text = batch["text"].slice(at, out.num_rows)
+                names = [hashlib.md5(t, usedforsecurity=False).digest() for t in shared.as_bytes(text)]
+                yield out.append_column("stratum", batch["stratum"].slice(at, out.num_rows)).append_column("name", pa.array(names, pa.binary()))
                 at += out.num_rows
         shared.release()
 
-    return columns.mapInArrow(run, FEATURES + ", stratum string")
+    return columns.mapInArrow(run, FEATURES + ", stratum string, name binary")
 
 
 def at_most(k: int, n: int, p: float) -> float:
@@ -167,13 +170,19 @@ def certify(level: np.ndarray, label: np.ndarray, times: np.ndarray, risk: float
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(cut_stratum, cut_rule, cutoff) for the rules that are certified in a stratum."""
+    """(cut_stratum, cut_bound, cut_rule, cutoff) for the rules that are certified in a stratum; cut_bound: of the stratum, or pooled, for all small strata as a whole."""
     votes = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").cast("int").alias("label"))
     # A bad document that the base test rejects needs no rule: it doesn't count in the order of the settings.
     useful = (F.col("label") == 1) | ~base_failed()
     held = measured.join(votes, F.col("doc_id") == F.col("label_id"))
     level = [(len(CUTOFFS) + 1 - sum((F.when(F.col(r) > c, 1).otherwise(0) for c in CUTOFFS), F.lit(0))).alias(r) for r in RULES]
-    counted = shared.written(held.where(useful).select("stratum", "label", *level).groupBy("stratum", "label", *RULES).agg(F.count("*").alias("times")))
+    # A document counts once, however many rows or labels its id or its text has: of several versions the one that is rejected first.
+    name = F.col("name") if "name" in measured.columns else F.col("doc_id").cast("string")
+    rows = held.where(useful).select("doc_id", "stratum", "label", name.alias("name"), *level)
+    worst = [F.min(r).alias(r) for r in RULES]
+    ids = rows.groupBy("stratum", "doc_id").agg(F.min("label").alias("label"), F.min("name").alias("name"), *worst)
+    once = ids.groupBy("stratum", "name").agg(F.min("label").alias("label"), *worst)
+    counted = shared.written(once.groupBy("stratum", "label", *RULES).agg(F.count("*").alias("times")))
     sizes = counted.groupBy("stratum").agg(F.sum(F.when(F.col("label") == 1, F.col("times")).otherwise(0)).alias("n_good"))
     # Strata that could be certified alone, and one group of all others, share the error.
     first = sizes.agg(F.count_if(F.col("n_good") >= least_good(risk, error)).alias("large"), F.count("*").alias("strata")).first()
@@ -188,7 +197,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
         return pd.DataFrame(found, columns=["of_group", "cut_rule", "cutoff"])
 
     chosen = grouped.groupBy("cut_group").applyInPandas(run, "of_group string, cut_rule string, cutoff double")
-    return member.join(chosen, F.col("cut_group") == F.col("of_group")).select("cut_stratum", "cut_rule", "cutoff")
+    bound = F.when(F.col("cut_group") == "rest", "pooled").otherwise("stratum").alias("cut_bound")
+    return member.join(chosen, F.col("cut_group") == F.col("of_group")).select("cut_stratum", bound, "cut_rule", "cutoff")
 
 
 def base_failed() -> Column:
@@ -197,8 +207,8 @@ def base_failed() -> Column:
 
 def _wide(certified: DataFrame) -> DataFrame:
     """A row for each stratum with its certified cutoffs (null: none); broadcast if there are few."""
-    wide = certified.groupBy("cut_stratum").pivot("cut_rule", RULES).agg(F.first("cutoff"))
-    wide = wide.select("cut_stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    wide = certified.groupBy("cut_stratum", "cut_bound").pivot("cut_rule", RULES).agg(F.first("cutoff"))
+    wide = wide.select("cut_stratum", "cut_bound", *[F.col(r).alias(f"cut_{r}") for r in RULES])
     held = wide.limit(MOST_BROADCAST_STRATA + 1).collect()
     return F.broadcast(wide.sparkSession.createDataFrame(held, wide.schema)) if len(held) <= MOST_BROADCAST_STRATA else wide
 
@@ -234,7 +244,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """A row for each row of docs: its counts, base_failed, kept, and the rules that reject it.
+    """A row for each row of docs: its counts, base_failed, kept, the rules that reject it, and for what the bound on false rejections holds:
+    its stratum, small strata as a whole (pooled), or nothing (none: no rule is certified there).
 
     A null text has no words and fails; a null language is a stratum of its own; a doc_id labelled twice counts as bad
     if any label says so; repeated rows are judged alike; ids that labels lack only don't count in the holdout. Without
@@ -245,4 +256,4 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     joined = measured.join(_wide(certified), F.col("stratum") == F.col("cut_stratum"), "left")
     failing = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return joined.select(*names, base_failed().alias("base_failed"), (~base_failed() & (F.size(failing) == 0)).alias("kept"), F.concat_ws(",", failing).alias("failed_rules"))
+    return joined.select(*names, base_failed().alias("base_failed"), (~base_failed() & (F.size(failing) == 0)).alias("kept"), F.concat_ws(",", failing).alias("failed_rules"), F.coalesce("cut_bound", F.lit("none")).alias("bound"))

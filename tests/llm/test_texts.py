@@ -354,6 +354,20 @@ def test_quality_small_strata(spark):
     assert len({chosen[s, "symbol_share"] for s in ("fr", "es", "xx")}) == 1
 
 
+def test_quality_counts_a_document_once(spark):
+    """Twenty good labels certify nothing, and neither do they repeated ten times over: as rows, as labels, or as copies under other ids."""
+    good, bad = [prose(500 + k, 80) for k in range(20)], [" ".join(w + "##$$" for w in prose(600 + k, 80).split()) for k in range(10)]
+    texts = [(k, t, "en") for k, t in enumerate(good + bad)]
+    labels = [(k, int(k < 20)) for k in range(30)]
+    for rows, given in ((texts, labels), (texts * 10, labels * 3), ([(k + 100 * n, t, s) for n in range(10) for k, t, s in texts], [(k + 100 * n, q) for n in range(10) for k, q in labels])):
+        docs, said = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(given, "doc_id long, quality int")
+        assert quality.cutoffs(quality.features(docs), said).count() == 0
+        assert {r.bound for r in quality.judge(docs, said).collect()} == {"none"}
+    many = [(1000 + k, prose(1000 + k, 80), ["en", "de"][k >= 150]) for k in range(180)] + [(2000 + k, t, "en") for k, t in enumerate(bad)] + [(3000 + k, t, "de") for k, t in enumerate(bad)]
+    docs, said = spark.createDataFrame(many, "doc_id long, text string, lang string"), spark.createDataFrame([(d, int(d < 2000)) for d, _, _ in many], "doc_id long, quality int")
+    assert {(r.stratum, r.bound) for r in quality.judge(docs, said).join(docs.selectExpr("doc_id", "lang AS stratum"), "doc_id").collect()} == {("en", "stratum"), ("de", "none")}
+
+
 def test_quality_union_controls_risk():
     """Good documents that any rule rejects are rarely more than the risk allows, whatever the order from the bad ones."""
     random = np.random.default_rng(4)
