@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import shared
+
 #: Chance of a false positive at the first level and at the others, and bytes up to which a level may be broadcast.
 FIRST_RATE, LATER_RATE, MOST_BYTES = 0.01, 0.5, 256 << 20
 MOST_LEVELS = 64
@@ -68,7 +70,7 @@ class Cascade:
 
 
 def _filled(keys: DataFrame, level: Level) -> Level:
-    """The level with all keys: each task fills a filter of its own, and filters are merged by pieces."""
+    """The level with all keys: each task fills a filter of its own, filters are merged by pieces in Spark, and the driver gets each piece once."""
     piece = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +81,11 @@ def _filled(keys: DataFrame, level: Level) -> Level:
         used = [k for k in range(0, len(own.data), piece) if own.data[k : k + piece].any()]
         yield pa.record_batch({"piece": pa.array(used, pa.int64()), "data": pa.array([own.data[k : k + piece].tobytes() for k in used], pa.binary())})
 
-    for row in keys.select("key").mapInArrow(run, "piece long, data binary").toLocalIterator():
+    def merged(table: pa.Table) -> pa.Table:
+        data = np.bitwise_or.reduce([np.frombuffer(d.as_py(), np.uint8) for d in table["data"]])
+        return pa.table({"piece": table["piece"].slice(0, 1), "data": pa.array([data.tobytes()], pa.binary())})
+
+    for row in keys.select("key").mapInArrow(run, "piece long, data binary").groupBy("piece").applyInArrow(merged, "piece long, data binary").toLocalIterator():
         part = np.frombuffer(row["data"], np.uint8)
         level.data[row["piece"] : row["piece"] + len(part)] |= part
     return level
@@ -117,10 +123,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lowered, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def lookup_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys that a url looks up, as host then path, longest first (ties: the longer host)."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+def lookup_keys(host: str, path: str, lengths: list[int], labels: list[int]) -> list[str]:
+    """Keys that a url looks up, as host then path, longest first (ties: the longer host): a rule's host has as many labels as some of `labels`,
+    so no other end of the url's host is made, however long it is."""
+    last = host.rsplit(".", max(labels, default=0))
+    hosts = [".".join(last[-n:]) for n in labels if n <= len(last)]
     keys = {h + path[:n] for h in hosts if h for n in lengths if n <= len(path) and path[:1] == "/"}
     return sorted(keys, key=lambda k: (-len(k), -k.index("/")))
 
@@ -134,15 +141,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], fallback: str =
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    lengths = sorted({len(r) - r.index("/") for _, r in rules})
+    lengths, labels = sorted({len(r) - r.index("/") for _, r in rules}), sorted({r[: r.index("/")].count(".") + 1 for _, r in rules})
     spark = pages.sparkSession
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = {k.encode() for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist()) for k in lookup_keys(h, p, lengths)}
+            keys = {k.encode() for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist()) for k in lookup_keys(h, p, lengths, labels)}
             yield pa.record_batch({"key": pa.array(list(keys), pa.binary())})
 
-    universe = parsed.select("host", "path").mapInArrow(keyed, "key binary").distinct()
+    universe = shared.written(parsed.select("host", "path").mapInArrow(keyed, "key binary").distinct())
     verdicts = {}
     for verdict in ("block", "allow"):
         listed = spark.createDataFrame([(bytearray(r.encode()),) for v, r in rules if v == verdict], "key binary")
@@ -154,7 +161,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], fallback: str =
             found, said = [], []
             for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist()):
                 rule, verdict = None, fallback
-                for key in lookup_keys(h, p, lengths):
+                for key in lookup_keys(h, p, lengths, labels):
                     if key not in known:
                         if len(known) > 500_000:
                             known.clear()

@@ -114,6 +114,14 @@ def test_urls(spark):
     assert urlfilter.filter_urls(spark.createDataFrame([], "page_id long, url string"), urlfilter.RULES).count() == 0
 
 
+def test_very_long_urls(spark):
+    """A host of half a million labels, and a path of a megabyte: only the ends that rules can match are made."""
+    host = "a." * 500_000
+    urls = [(1, f"http://{host}example.com/en/7"), (2, f"http://{host}org/es/"), (3, "http://com/en/" + "x" * 1_000_000), (4, "http://" + "." * 1_000_000)]
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in urlfilter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), urlfilter.RULES).collect()}
+    assert got == {1: ("example.com/en/7", "allow", 1_000_011), 2: ("org/es/", "block", 1_000_003), 3: ("com/en/", "block", 3), 4: (None, "allow", 1_000_000)}
+
+
 def test_cascade_is_exact(spark):
     every = [f"k{i}".encode() for i in range(3000)]
     listed = every[::7]
