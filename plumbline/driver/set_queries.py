@@ -51,7 +51,7 @@ def x05(spark, sf):
 
 
 def door_spans(spark, sf):
-    """Door schedules in rows on even sheets, as cards on odd ones; keys off their column in every tenth row."""
+    """Door schedules in rows on even sheets, as cards on odd ones, eight beside each other in five bands; keys off their column in every tenth row."""
     part = table(spark, sf, "part")
     k, i = F.col("p_partkey"), F.col("p_partkey") % 40
     y, sheet = 80 + i * 15, F.floor(F.col("p_partkey") / 40)
@@ -59,14 +59,16 @@ def door_spans(spark, sf):
     even = part.where(F.floor(k / 40) % 2 == 0)
     rows = listed(even, sheet, span(100 + i * 10, mark, F.when(i % 10 == 3, 165).otherwise(100), y), span(101 + i * 10, F.concat((600 + F.col("p_size") * 10).cast("string")), 200, y), span(102 + i * 10, "2100", 300, y), span(103 + i * 10, "WOOD", 400, y))
     heads = listed(even.select(sheet.alias("sheet")).distinct(), F.col("sheet"), span(0, "DOOR SCHEDULE", 100, 20), *[span(1 + n, h, x, 50) for n, (h, x) in enumerate([("MARK", 100), ("WIDTH", 200), ("HEIGHT", 300), ("MATERIAL", 400)])])
-    odd = part.where((F.floor(k / 40) % 2 == 1) & (i < 8))
-    x = 200 + i * 100
-    cards = listed(odd, sheet, span(100 + i * 10, F.concat(F.lit("ID-"), (10 + i).cast("string")), x, 50), span(101 + i * 10, (F.col("p_size") % 9 + 1).cast("string"), x, 70), span(102 + i * 10, (600 + F.col("p_size") * 10).cast("string"), x, 90), span(103 + i * 10, "2100", x, 110))
-    labels = listed(odd.select(sheet.alias("sheet")).distinct(), F.col("sheet"), span(0, "DØRSKJEMA", 100, 20), span(1, "ID", 100, 50), span(2, "Antall", 100, 70), span(3, "B (mm)", 100, 90), span(4, "H (mm)", 100, 110))
+    odd = part.where(F.floor(k / 40) % 2 == 1)
+    x, down = 200 + i % 8 * 100, F.floor(i / 8) * 150
+    cards = listed(odd, sheet, span(100 + i * 10, F.concat(F.lit("ID-"), (10 + i).cast("string")), x, 50 + down), span(101 + i * 10, (F.col("p_size") % 9 + 1).cast("string"), x, 70 + down), span(102 + i * 10, (600 + F.col("p_size") * 10).cast("string"), x, 90 + down), span(103 + i * 10, "2100", x, 110 + down))
+    bands = odd.select(sheet.alias("sheet"), down.alias("down")).distinct()
+    at = lambda n, text, y: span(F.col("down") * 10 + n, text, 100, y + F.col("down"))
+    labels = listed(bands, F.col("sheet"), at(1000, "DØRSKJEMA", 20), at(1001, "ID", 50), at(1002, "Antall", 70), at(1003, "B (mm)", 90), at(1004, "H (mm)", 110))
     return rows.unionByName(heads).unionByName(cards).unionByName(labels)
 
 
-@query("X06_opening_tables", _ROWS + """, e AS (SELECT * FROM r WHERE sheet_id % 2 = 0 AND i % 10 <> 3), n AS (SELECT *, count(*) OVER (PARTITION BY sheet_id) AS n FROM e), o AS (SELECT * FROM r WHERE sheet_id % 2 = 1 AND i < 8)
+@query("X06_opening_tables", _ROWS + """, e AS (SELECT * FROM r WHERE sheet_id % 2 = 0 AND i % 10 <> 3), n AS (SELECT *, count(*) OVER (PARTITION BY sheet_id) AS n FROM e), o AS (SELECT * FROM r WHERE sheet_id % 2 = 1)
 SELECT sheet_id, 'door' AS kind, 'rows' AS layout, 'D' || CAST(100 + i AS VARCHAR) AS key, unnest(['MARK', 'WIDTH', 'HEIGHT', 'MATERIAL']) AS header, unnest(['D' || CAST(100 + i AS VARCHAR), CAST(600 + p_size * 10 AS VARCHAR), '2100', 'WOOD']) AS text FROM n WHERE n >= 2
 UNION ALL SELECT sheet_id, 'door', 'card', 'ID-' || CAST(10 + i AS VARCHAR), unnest(['ID', 'QTY', 'WIDTH', 'HEIGHT']), unnest(['ID-' || CAST(10 + i AS VARCHAR), CAST(p_size % 9 + 1 AS VARCHAR), CAST(600 + p_size * 10 AS VARCHAR), '2100']) FROM o""")
 def x06(spark, sf):

@@ -237,3 +237,42 @@ def test_wall_faces_in_any_direction(spark):
         p = lines[r["a_idx"]]
         u = (p[2:] - p[:2]) / np.hypot(*(p[2:] - p[:2]))
         assert abs(abs(u[0] * (r["y1"] - p[1]) - u[1] * (r["x1"] - p[0])) - r["thickness_m"] * 50) < 1e-6
+
+
+def test_all_tables_of_a_sheet_are_read():
+    """Fifteen schedules below each other, none lost."""
+    spans = []
+    for k in range(15):
+        moved = [tables.Span(s.ord + 1000 * k, s.text, s.x, s.y + 130 * k, s.w, s.h) for s in schedule()]
+        spans += moved
+    found = tables.read_tables(spans, "room-finish")
+    assert sum(len(t.rows) for t in found) == 45 and {r.key for t in found for r in t.rows} == {"101", "102", "103"}
+    heads = (("MARK", 100), ("CFM", 180), ("VOLTS", 260), ("REMARKS", 340))
+    devices = []
+    for k in range(14):
+        devices += [tables.Span(100 * k + n, h, x, 40 + 90 * k, len(h) * 6.0, 10) for n, (h, x) in enumerate(heads)]
+        devices += [tables.Span(100 * k + 10 + 10 * i + n, c, heads[n][1], 60 + 90 * k + 15 * i, len(c) * 6.0, 10) for i in range(2) for n, c in enumerate((f"AHU-{k * 2 + i + 1}", "900", "208", "NEW"))]
+    got = tables.read_tables(devices, "equipment")
+    assert sorted(int(r.key.split("-")[1]) for t in got for r in t.rows) == list(range(1, 29))
+
+
+def test_columns_lie_where_data_leave_gaps():
+    """Headers centred over wide columns, data at the columns' left, one cell that runs over into the next."""
+    heads = [("MARK", 130), ("MODEL", 330), ("VOLTS", 530), ("REMARKS", 730)]
+    spans = [tables.Span(n, h, x - len(h) * 3.0, 40, len(h) * 6.0, 10) for n, (h, x) in enumerate(heads)]
+    rows = [(f"EF-{i + 1}", f"X{i}", "208", "NONE") for i in range(12)]
+    rows[4] = ("EF-5", "A MODEL NAME THAT RUNS ON FAR TOO LONG", "208", "NONE")
+    spans += [tables.Span(10 + 10 * i + n, c, 60.0 + 200 * n, 60 + 15 * i, len(c) * 6.0, 10) for i, row in enumerate(rows) for n, c in enumerate(row)]
+    (found,) = tables.read_tables(spans, "equipment")
+    assert [tuple(r.text(h) for h in ("MARK", "MODEL", "VOLTS", "REMARKS")) for r in found.rows] == rows
+
+
+def test_tiers_name_what_stands_below_them():
+    """DOOR and FRAME over two columns each, of the same names."""
+    spans = [tables.Span(0, "DOOR", 190, 30, 24, 10), tables.Span(1, "FRAME", 387, 30, 30, 10)]
+    heads = [("MARK", 60), ("WIDTH", 150), ("MATERIAL", 240), ("TYPE", 350), ("MATERIAL", 440)]
+    spans += [tables.Span(2 + n, h, x - len(h) * 3.0, 44, len(h) * 6.0, 10) for n, (h, x) in enumerate(heads)]
+    spans += [tables.Span(10 + 10 * i + n, c, heads[n][1] - 12, 64 + 15 * i, 24, 10) for i in range(3) for n, c in enumerate((f"10{i}", "900", "WD", "F1", "HM"))]
+    (found,) = tables.read_tables(spans, "opening")
+    assert found.headers == ["MARK", "WIDTH", "DOOR MATERIAL", "TYPE", "FRAME MATERIAL"]
+    assert [found.rows[0].text(h) for h in found.headers] == ["100", "900", "WD", "F1", "HM"]
