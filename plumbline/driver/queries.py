@@ -3,6 +3,7 @@
 from plumbline.driver import (  # noqa: F401
     drawing_queries,
     geometry_queries,
+    ink_queries,
     mask_queries,
     merge_queries,
     net_queries,
