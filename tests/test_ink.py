@@ -31,7 +31,7 @@ def test_arcs_in_chains():
     assert ink.arc_classes(np.array([[k * 10.0, 0, k * 10 + 10, 0] for k in range(9)])) == [None] * 9
     zigzag = np.array([[k * 10.0, k % 2 * 8.0, k * 10 + 10, (k + 1) % 2 * 8.0] for k in range(9)])
     assert ink.arc_classes(zigzag) == [None] * 9
-    ellipse = np.column_stack([100 * np.cos(np.radians(np.arange(0, 190, 10))), 30 * np.sin(np.radians(np.arange(0, 190, 10)))])
+    ellipse = np.column_stack([100 * np.cos(np.radians(np.arange(-90, 100, 10))), 30 * np.sin(np.radians(np.arange(-90, 100, 10)))])
     assert ink.arc_classes(np.column_stack([ellipse[:-1], ellipse[1:]])) == [None] * 18
 
 
