@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.grid import meeting
 from plumbline.operators.openings import circle_of
 from plumbline.operators.wallnet import chained, directed
+from plumbline.plans.scratch import kept
 
 CLASSES = ["clip", "circle", "cloud", "arc", "hatch", "dimension", "ring", "fleck", "tag box", "plain"]
 # Fixed values of curves: chords of an arc, its least turn, the least and most turn between chords (degrees), ratio of chords; residual of the fit (share of the radius, px at least);
@@ -178,13 +179,13 @@ def dimension_classes(straight: DataFrame) -> DataFrame:
     rows = straight.where("m > 0")
     m = F.col("m")
     pieces = chained(rows, ["sheet_id", "way"], OFF_FT * m, GAP_FT * m)
-    runs = pieces.groupBy("sheet_id", "way", "row", "piece").agg(*[F.first(k).alias(k) for k in ("ux", "uy", "m")], (F.sum(F.col("c") * F.col("long")) / F.sum("long")).alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("idx").alias("idxs"), F.min("idx").alias("idx"))
+    runs = kept(pieces.groupBy("sheet_id", "way", "row", "piece").agg(*[F.first(k).alias(k) for k in ("ux", "uy", "m")], (F.sum(F.col("c") * F.col("long")) / F.sum("long")).alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("idx").alias("idxs"), F.min("idx").alias("idx")))
     long = F.col("high") - F.col("low")
     a, b = F.col("a"), F.col("b")
     lines = runs.where(long >= RUN_FT * m)
     partner = F.least(a["high"], b["high"]) - F.greatest(a["low"], b["low"]) >= PARTNER * (a["high"] - a["low"])
     faces = _beside(runs, 2 * PARTNER_FT * m, "m").where(partner & (F.abs(a["c"] - b["c"]) <= PARTNER_FT * a["m"])).select(a["sheet_id"].alias("sheet_id"), a["idx"].alias("idx")).distinct()
-    lone = lines.join(faces, ["sheet_id", "idx"], "left_anti")
+    lone = kept(lines.join(faces, ["sheet_id", "idx"], "left_anti"))
 
     def boxed(df: DataFrame, margin: Column) -> DataFrame:
         at = lambda u, c: (F.col(u) * F.col("ux") - F.col(c) * F.col("uy"), F.col(u) * F.col("uy") + F.col(c) * F.col("ux"))
@@ -225,10 +226,11 @@ def classify_lines(lines: DataFrame, texts: DataFrame, sheets: DataFrame) -> Dat
     """
     scale = sheets.select(F.col("sheet_id").alias("of_sheet"), F.coalesce(F.col("px_per_ft").cast("double"), F.lit(0.0)).alias("m"))
     rows = lines.join(scale, F.col("sheet_id") == F.col("of_sheet"), "left").drop("of_sheet").withColumns({"m": F.coalesce("m", F.lit(0.0)), "pen": F.coalesce("pen", F.lit(0))})
+    rows = kept(rows)
     whole = rows.dropna(subset=["x1", "y1", "x2", "y2"])
-    curves = curve_classes(whole)
+    curves = kept(curve_classes(whole))
     open_ = whole.where(~F.coalesce("clip", F.lit(False)) & ~F.coalesce("fill", F.lit(False)) & (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= 0.75))
-    straight = directed(open_.join(curves.select("sheet_id", "idx"), ["sheet_id", "idx"], "left_anti"), ONE_WAY)
+    straight = kept(directed(open_.join(curves.select("sheet_id", "idx"), ["sheet_id", "idx"], "left_anti"), ONE_WAY))
     shapes = figures(whole)
     of_path = lambda paths, name: whole.join(paths, ["sheet_id", "path"], "left_semi").select("sheet_id", "idx", F.lit(name).alias("class"))
     named = lambda found, name: found.select("sheet_id", "idx", F.lit(name).alias("class"))

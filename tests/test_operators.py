@@ -237,3 +237,28 @@ def test_shared_runs():
     assert shared_runs(a, b + 20) == []
     assert [x.tolist() for x in islands(np.array([True, False, True, True]))] == [[2, 3, 0]]
     assert [x.tolist() for x in islands(np.array([True, True]))] == [[0, 1]] and islands(np.array([False, False])) == []
+
+
+def test_sweeps_by_votes_lose_nothing(spark):
+    """Symbols in all turns, some with parts missing, shifted ends and noise: the same placements as a search of each sheet; a huge sheet among small ones."""
+    from plumbline.operators import sweep
+
+    rng = np.random.default_rng(3)
+    seed = sweep.fingerprint(np.array([[0, 0, 40, 0], [40, 0, 40, 17], [40, 17, 0, 0], [13, 0, 13, -26], [20, 5, 29, 5]], float), (-100, -100, 100, 100))
+    sheets = {}
+    for s in range(5):
+        lines = []
+        for k in range(30 if s == 0 else 4):
+            placed = sweep._placed(seed, int(rng.integers(0, 8)), 200.0 * k + 100, 300.0 * s + 100) + rng.uniform(-0.4, 0.4, (5, 4))
+            flip = rng.random(5) < 0.5
+            placed[flip] = placed[flip][:, [2, 3, 0, 1]]
+            lines.append(placed[rng.permutation(5)[: 5 - k % 3]])
+        at = rng.uniform(0, 3000, (60, 2))
+        lines.append(np.column_stack([at, at + rng.uniform(-40, 40, (60, 2))]))
+        sheets[s] = np.concatenate(lines)
+    df = spark.createDataFrame([(s, *map(float, r)) for s, some in sheets.items() for r in some] + [(7, None, 1.0, 2.0, 3.0)], "sheet_id long, x1 double, y1 double, x2 double, y2 double")
+    got = {}
+    for r in sweep.sweep(df, seed).collect():
+        got.setdefault(r.sheet_id, []).append((round(r.x / 5), round(r.y / 5), round(r.score, 6)))
+    want = {s: [(round(x / 5), round(y / 5), round(score, 6)) for x, y, _, score, _ in sweep.placements(some, seed)] for s, some in sheets.items()}
+    assert {s: sorted(v) for s, v in got.items()} == {s: sorted(v) for s, v in want.items()} and sum(map(len, want.values())) > 25
