@@ -202,6 +202,40 @@ def t06(spark, sf):
     return capture.drained(capture.folded(rows), "folded_journals", "complete").select("session_id", "id", "seq", "payload")
 
 
+@query(
+    "T06_undone_journals",
+    """WITH e AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events),
+f AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY event_id)) AS height FROM e),
+g AS (SELECT *, min(height) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM f),
+l AS (SELECT user_id, event_id % 10 AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS payload FROM g WHERE event_type <> 'purchase' AND coalesce(later >= height, TRUE) GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS session_id, 'r' || id AS id, seq, payload FROM l""",
+)
+def t06_undone(spark, sf):
+    """Journals with state of their own: every purchase undoes the entry before it that is still there. The SQL counts the open entries instead: one stays if their number never falls below its own again."""
+    from plumbline.streaming import sessions
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    undo = F.col("event_type") == "purchase"
+    rows = stream.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(undo, "undo").otherwise("set").alias("op"), F.when(~undo, F.concat(F.lit("r"), (F.col("event_id") % 10).cast("string"))).alias("id"), F.when(~undo, F.col("event_type")).alias("payload"))
+    return sessions.records(capture.drained(sessions.journals(rows), "undone_journals", "update"))
+
+
+@query(
+    "T04_expired_presence",
+    "WITH d AS (SELECT user_id, max(ts) AS last_seen, arg_max(event_type, ts) AS state FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS device, last_seen, state, last_seen + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE AS stale FROM d",
+)
+def t04_expired(spark, sf):
+    """Devices whose timers found them silent for three beats of two hours, without a row of theirs."""
+    from plumbline.streaming import sessions
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    beats = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select(F.col("user_id").alias("device"), "ts", F.col("event_type").alias("state"))
+    seen = capture.drained(sessions.expiring_presence(beats, 7200.0), "expired_presence", "update")
+    last = seen.groupBy("device").agg(F.max("last_seen").alias("last_seen"), F.max_by("state", "last_seen").alias("state"), F.max(F.struct("last_seen", "stale")).alias("final"))
+    return last.select("device", "last_seen", "state", F.col("final.stale").alias("stale"))
+
+
 @query("S19_capture_lines", "SELECT '{\"event_id\":' || CAST(event_id AS VARCHAR) || CASE WHEN user_id % 2 = 0 THEN ',\"event_type\":\"' || event_type || '\"' ELSE '' END || '}' AS value FROM events")
 def s19(spark, sf):
     """Captures as lines of JSON; empty fields are left out."""
