@@ -12,7 +12,7 @@ MEASURES = ["floor", "wall", "border", "lf", "ea"]
 
 def _sum(value: Column) -> Column:
     """Doubles are added as exact decimals, so that the order of rows can't show."""
-    return F.sum(value.cast("decimal(28,6)")).cast("double")
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
 
 
 def base_sums(shapes: DataFrame, *keys: str | Column, net_cut_deducts: bool = True) -> DataFrame:

@@ -56,18 +56,24 @@ def report_json(conditions: DataFrame, totals: DataFrame, materials: DataFrame)
 def write_guarded(df: DataFrame, path: str, marker: str = "_plumbline") -> None:
     """Overwrites a folder only if an earlier export of this library made it.
 
-    The data are written beside it with the marker among them, and the folder is then exchanged: a crash leaves the old
-    export, or the new one, and never a folder without its marker.
+    The data are written beside it with the marker among them, the old folder is moved aside, and the new one takes its place: a crash leaves the old export, the
+    new one, or the old one aside, which the next call puts back first. A rename that fails is an error, and nothing is deleted before it.
     """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, fresh, old = (path_of(f"{path.rstrip('/')}{end}") for end in ("", ".new", ".old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    own = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{marker}")
-    if fs.exists(target) and not fs.exists(own):
+    if not fs.exists(target) and fs.exists(path_of(old, marker)) and not fs.rename(old, target):
+        raise OSError(f"{old} can't be put back")
+    if fs.exists(target) and not fs.exists(path_of(target, marker)):
         raise FileExistsError(f"{path} wasn't written by an export; it stays as it is")
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.new")
     df.write.mode("overwrite").parquet(fresh.toString())
-    fs.create(jvm.org.apache.hadoop.fs.Path(fresh, marker)).close()
-    fs.delete(target, True)
-    fs.rename(fresh, target)
+    fs.create(path_of(fresh, marker)).close()
+    if fs.exists(path_of(old, marker)):
+        fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{target} can't be moved aside")
+    if not fs.rename(fresh, target):
+        raise OSError(f"{fresh} can't become {target}")
+    if fs.exists(path_of(old, marker)):
+        fs.delete(old, True)

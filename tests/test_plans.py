@@ -171,6 +171,10 @@ def test_mirrors_replace_the_whole(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     takeoff.write_guarded(spark.range(4), str(tmp_path / "g"))
     takeoff.write_guarded(spark.range(5), str(tmp_path / "g"))
+    (tmp_path / "g").rename(tmp_path / "g.old")  # a crash between the two renames
+    takeoff.write_guarded(spark.range(6), str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 6 and not (tmp_path / "g.old").exists()
+    takeoff.write_guarded(spark.range(5), str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g")).count() == 5
 
 
