@@ -123,6 +123,20 @@ def x01(spark, sf):
     return sheet_roles(spans, sheets).select("sheet_id", "role", F.round("confidence", 6).alias("confidence"))
 
 
+_TITLES = [("PLANTEGNING", "plan", 0.85), ("DØRSKJEMA", "schedule", 0.85), ("RIVEPLAN", "demolition", 0.9), ("FASADE NORD", "elevation", 0.7), ("SNITT A-A", "detail", 0.6), ("GRUNDRISS", "plan", 0.85), ("SJEKKLISTE", "unknown", 0.0), ("2. ETASJE", "plan", 0.7)]
+
+
+@query("X01_european_titles", "SELECT p_partkey AS sheet_id, " + ", ".join(f"CASE p_size % 8 {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(values))} END{cast} AS {name}" for name, cast, values in (("role", "", [f"'{r}'" for _, r, _ in _TITLES]), ("confidence", "::DOUBLE", [c for *_, c in _TITLES]))) + " FROM part")
+def x01_european(spark, sf):
+    """Norwegian and German titles in the corner of each sheet; the name of a storey is a title only because the sheet has Nordic text."""
+    key, size = columns()
+    sheets = part(spark, sf).select(key.alias("sheet_id"), F.lit(1000.0).alias("width"), F.lit(800.0).alias("height"))
+    title = F.element_at(F.array(*[F.lit(t) for t, _, _ in _TITLES]), (size % 8 + 1).cast("int"))
+    one = lambda i, text, x, y, h: F.struct(F.lit(i).alias("ord"), text.alias("str"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(h).alias("h"))
+    spans = part(spark, sf).select(key.alias("sheet_id"), F.explode(F.array(one(0, title, 930.0, 760.0, 20.0), one(1, F.lit("Målestokk"), 10.0, 10.0, 10.0), one(2, joined("Nr ", key), 20.0, 30.0, 10.0))).alias("s")).select("sheet_id", "s.*")
+    return sheet_roles(spans, sheets).select("sheet_id", "role", F.round("confidence", 6).alias("confidence"))
+
+
 @query("J19_resolved_rooms_parts", "SELECT p_partkey AS tag, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'ambiguous: several rows' WHEN 2 THEN 'no schedule row' ELSE 'row carries no finishes' END AS reason, CASE WHEN p_size % 4 = 0 THEN 'FLOOR=' || p_brand || '=' || p_type ELSE '' END AS finishes FROM part")
 def j19(spark, sf):
     """Rooms with a row, two rows, none, or a row without finishes; codes have a type for their definition."""

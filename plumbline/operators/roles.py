@@ -15,18 +15,42 @@ ROLE_PATTERNS = [
     (r"LEGEND", "legend", 0.5),
     (r"ELEVATIONS?\b", "elevation", 0.7),
     (r"DETAILS?\b|SECTIONS?\b", "detail", 0.6),
+    (r"(?<![A-ZÆØÅÄÖÜ])(?<!DEMOLITION\s)(?<!DEMO\s)PLANS?(?:\s*$|\s*(?:AND|&)\s)", "plan", 0.85),
 ]
+# The same in Norwegian, Danish, Swedish and German: words (as heads of compounds where nothing stands before them), their endings, role and confidence; patterns that count on sheets with
+# Nordic text alone; words that look like a role and are none; what Nordic text is.
+_LETTER = "A-ZÆØÅÄÖÜ"
+EUROPEAN_WORDS = [
+    (["TEGNFORKLARING", "SYMBOLFORKLARING", "SIGNATURFORKLARING", "SYMBOLLISTE", "TECKENFÖRKLARING", "LEGENDE"], ["ER", "EN", "R", "N"], "legend", 0.5),
+    (["SKJEMA", "FORTEGNELSE", "FÖRTECKNING"], ["ER", "ET", "NE", "N"], "schedule", 0.85),
+    (["RIVEPLAN", "RIVETEGNING", "RIVING", "NEDRIVNING", "RIVNING", "ABBRUCH"], ["ER", "EN", "SPLAN"], "demolition", 0.9),
+    (["FASADE", "FASAD", "FACADE", "OPPRISS", "ANSICHT", "ELEVASJON"], ["R", "N", "NE", "ER", "EN"], "elevation", 0.7),
+    (["SNITT", "SNIT", "SEKTION", "SCHNITT", "DETALJ", "DETALJE"], ["ER", "ET", "TEGNING", "TEGNINGER", "S", "E", "EN"], "detail", 0.6),
+]
+EUROPEAN_PATTERNS = [(rf"(?:{'|'.join(words)})(?:{'|'.join(ends)})?(?![{_LETTER}])", role, conf) for words, ends, role, conf in EUROPEAN_WORDS] + [
+    (rf"(?<![{_LETTER}])(?!SYMBOL)[{_LETTER}]{{3,}}LISTE(?:R|N|NE)?(?![{_LETTER}])", "schedule", 0.85),
+    (rf"(?<![{_LETTER}])(?!RIV|NEDRIV|ABBRUCH)[{_LETTER}]+PLAN(?:ER|EN|ET)?(?![{_LETTER}])|(?<![{_LETTER}])PLAN(?:TEGNING(?:ER)?|LØSNING|RITNING)(?![{_LETTER}])|(?<![{_LETTER}])GRUNDRISS(?:E)?(?![{_LETTER}])", "plan", 0.85),
+]
+NORDIC_PATTERNS = [
+    (rf"(?<![{_LETTER}])PLAN\s*[-–:]?\s*(?:\d|[UHK]\s?\d|U(?![{_LETTER}])|LOFT|TAK|KJELLER|SOKKEL|UNDER|HOVED|ETASJE|ETG)", "plan", 0.85),
+    (rf"(?:\d+\s*\.?|(?<![{_LETTER}])U\.?|UNDER|SOKKEL|HOVED|LOFT)\s*(?:ETASJE|ETG)(?![{_LETTER}])|(?<![{_LETTER}])(?:KJELLER|LOFT)(?:ETASJE)?(?![{_LETTER}])", "plan", 0.7),
+]
+NOT_A_ROLE = r"(?:INNHOLDS|TEGNINGS|DOKUMENT|SJEKK|KONTROLL|TILBUDS|SAMORDNINGS|SØKNADS|REVISJONS|MENGDE|PRIS|ENDRINGS)(?:SKJEMA|LISTE)|(?:PRINSIPP|SYSTEM|KOBLINGS|FLYT|STRØM|STIGE|ENLINJE)SKJEMA|KEY\s*PLAN|NØKKELPLAN|PLAN\s*NORTH|PLAN-\s*OG\s*BYGNINGS"
+REFERENCE = r"^(?:SEE|REFER|REF|PER|NOTED|AS SHOWN|JF|JFR|IHT|REV|REVISION|REVISJON)\b|\b(?:SE|IHT\.?|JF\.?) [A-ZÆØÅ]*(?:TEGNING|PLAN|DETALJ|SNITT|FASADE|OPPRISS|SKJEMA)"
+NORDIC_TEXT = rf"(?i)[{_LETTER}]*[ÆØÅ][{_LETTER}]+|[{_LETTER}]+[ÆØÅ]|(?<![{_LETTER}])(?:ETASJE|ETG|TEGNING|TEGNINGSNR|SNITT|FASADE|SKJEMA|TILTAKSHAVER|PLANTEGNING|OPPRISS)(?![{_LETTER}])"
 NON_ROOM_WORDS = ["BUILDING", "BLDG", "SHEET", "DRAWING", "DWG", "PROJECT", "NO", "NUMBER", "SCALE", "DATE", "REV", "REVISION", "PHASE", "CONTRACT", "OF", "DETAIL", "SECTION", "PLAN", "NORTH", "KEY", "NOTE", "NOTES", "TOTAL", "AREA"]
 TITLE_X, TITLE_Y, VIEW_SIZE, TALL, BODY_FACTOR, LEGEND_CAP = 0.6, 0.55, 1.4, 0.85, 0.8, 0.4
 MOST_WORDS = 7
 
 
-def role_term(text: Column) -> Column:
-    """(role, confidence) that a short line names, the pattern that matches first in it leading; null for notes and references."""
-    u = F.upper(F.trim(text))
-    short = (F.length(u) >= 4) & (F.length(u) <= 80) & (F.size(F.split(u, r"\s+")) <= MOST_WORDS) & ~u.rlike(r"^(?:SEE|REFER|REF)\b")
+def role_term(text: Column, nordic: Column | None = None) -> Column:
+    """(role, confidence) that a short line names, the pattern that matches first in it leading; null for notes and references. English, Norwegian, Danish, Swedish and German names;
+    nordic: whether the sheet's text is Nordic, for names that would be running text elsewhere."""
+    u = F.trim(F.regexp_replace(F.upper(F.trim(text)), NOT_A_ROLE, " "))
+    short = (F.length(u) >= 4) & (F.length(u) <= 80) & (F.size(F.split(u, r"\s+")) <= MOST_WORDS) & ~u.rlike(REFERENCE)
+    known = [(p, role, conf, None) for p, role, conf in ROLE_PATTERNS + EUROPEAN_PATTERNS] + [(p, role, conf, nordic) for p, role, conf in NORDIC_PATTERNS if nordic is not None]
     hits = F.array_compact(F.array(*[
-        F.when(u.rlike(p), F.struct(F.regexp_instr(u, F.lit(f"({p})")).alias("at"), F.lit(i).alias("place"), F.lit(role).alias("role"), F.lit(conf).alias("confidence"))) for i, (p, role, conf) in enumerate(ROLE_PATTERNS)
+        F.when(u.rlike(p) & (F.lit(True) if gate is None else gate), F.struct(F.regexp_instr(u, F.lit(f"({p})")).alias("at"), F.lit(i).alias("place"), F.lit(role).alias("role"), F.lit(conf).alias("confidence"))) for i, (p, role, conf, gate) in enumerate(known)
     ]))
     first = F.array_min(hits)
     others = F.exists(hits, lambda h: h["role"] != first["role"])
@@ -40,7 +64,9 @@ def sheet_roles(spans: DataFrame, sheets: DataFrame) -> DataFrame:
     trusted less; else what the body's names agree on. Rivals of another role as tall halve the confidence. Sheets without
     a name are unknown; they stay.
     """
-    named = spans.withColumn("term", role_term(F.col("str"))).where("term IS NOT NULL").join(sheets.select(F.col("sheet_id").alias("s_id"), "width", "height"), F.col("sheet_id") == F.col("s_id"))
+    nordic = spans.groupBy(F.col("sheet_id").alias("n_id")).agg(F.max(F.coalesce(F.col("str").rlike(NORDIC_TEXT), F.lit(False))).alias("nordic"))
+    read = spans.join(nordic, F.col("sheet_id") == F.col("n_id")).drop("n_id")
+    named = read.withColumn("term", role_term(F.col("str"), F.col("nordic"))).drop("nordic").where("term IS NOT NULL").join(sheets.select(F.col("sheet_id").alias("s_id"), "width", "height"), F.col("sheet_id") == F.col("s_id"))
     median = spans.groupBy(F.col("sheet_id").alias("m_id")).agg(F.percentile("h", 0.5).alias("median_h"))
     sized = named.join(median, F.col("sheet_id") == F.col("m_id"))
     corner = (F.col("x") >= TITLE_X * F.col("width")) & (F.col("y") >= TITLE_Y * F.col("height")) & (F.col("h") >= F.col("median_h"))

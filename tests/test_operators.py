@@ -262,3 +262,19 @@ def test_sweeps_by_votes_lose_nothing(spark):
         got.setdefault(r.sheet_id, []).append((round(r.x / 5), round(r.y / 5), round(r.score, 6)))
     want = {s: [(round(x / 5), round(y / 5), round(score, 6)) for x, y, _, score, _ in sweep.placements(some, seed)] for s, some in sheets.items()}
     assert {s: sorted(v) for s, v in got.items()} == {s: sorted(v) for s, v in want.items()} and sum(map(len, want.values())) > 25
+
+
+TITLES = [
+    ("FIRST FLOOR PLAN", "plan"), ("LIFE SAFETY PLAN", "plan"), ("KEY PLAN", None), ("SEE FINISH PLAN", None), ("ETASJEPLAN", "plan"), ("Himlingsplan 2. etasje", "plan"), ("PLANTEGNING", "plan"), ("Grundriss Erdgeschoss", "plan"), ("PLAN U1", "plan"),
+    ("1. ETASJE", "plan"), ("DØRSKJEMA", "schedule"), ("ROMLISTE", "schedule"), ("FÖNSTERFÖRTECKNING", "schedule"), ("SJEKKLISTE", None), ("PRINSIPPSKJEMA", None), ("TEGNFORKLARING", "legend"), ("SYMBOLLISTE", "legend"), ("RIVEPLAN", "demolition"), ("Abbruch", "demolition"),
+    ("FASADE NORD", "elevation"), ("ANSICHT SÜD", "elevation"), ("SNITT A-A", "detail"), ("SCHNITT B-B", "detail"), ("DETALJER", "detail"), ("iht. snitt A-A", None), ("SE PLANTEGNING FOR PLASSERING", None),
+]
+
+
+def test_titles_in_five_languages(spark):
+    from plumbline.operators import roles
+
+    df = spark.createDataFrame(TITLES, "str string, want string").withColumn("term", roles.role_term(F.col("str"), F.lit(True)))
+    assert [(r.str, r.term.role if r.term else None) for r in df.collect()] == TITLES
+    plain = df.withColumn("term", roles.role_term(F.col("str"), F.lit(False)))
+    assert {r.str for r in plain.collect() if (r.term.role if r.term else None) != r.want} == {"PLAN U1", "1. ETASJE"}
