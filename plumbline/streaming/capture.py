@@ -44,7 +44,7 @@ def append_unseen(path: str):
                 new = fresh.join(banked, "fp", "left_anti")
             else:
                 new = fresh
-            new.write.mode("append").partitionBy("fp_part").parquet(path)
+            new.repartition("fp_part").write.mode("append").partitionBy("fp_part").parquet(path)  # one file a folder, not one a task
         finally:
             fresh.unpersist()
 
