@@ -52,8 +52,10 @@ def meeting(a: DataFrame, b: DataFrame, sheet: str = "sheet_id") -> DataFrame:
         return _celled(rows.select("on_sheet", F.col("box").alias(f"{name}_box"), F.col("row").alias(name), F.explode(there).alias("level")), name)
 
     keys = ["on_sheet", "level", "cx", "cy"]
-    met = looking(left, "a", _levels(right), True).join(own(right, "b"), keys).select(*keys, "a", "b", "a_box", "b_box")
-    met = met.unionByName(looking(right, "b", _levels(left), False).join(own(left, "a"), keys).select(*keys, "a", "b", "a_box", "b_box"))
+    # never broadcast: the planner's estimates don't count what the cells multiply, and a side may be far larger than they say
+    merged = lambda df: df.hint("merge")
+    met = looking(left, "a", _levels(right), True).join(merged(own(right, "b")), keys).select(*keys, "a", "b", "a_box", "b_box")
+    met = met.unionByName(looking(right, "b", _levels(left), False).join(merged(own(left, "a")), keys).select(*keys, "a", "b", "a_box", "b_box"))
     p, q, cell = F.col("a_box"), F.col("b_box"), F.pow(F.lit(2.0), F.col("level"))
     meet = (p["x0"] <= q["x1"]) & (q["x0"] <= p["x1"]) & (p["y0"] <= q["y1"]) & (q["y0"] <= p["y1"])
     corner = (F.floor(F.greatest(p["x0"], q["x0"]) / cell) == F.col("cx")) & (F.floor(F.greatest(p["y0"], q["y0"]) / cell) == F.col("cy"))
