@@ -31,8 +31,10 @@ _MORE = [
 ]
 KINDS = ["assign", "access", "hex", *[kind for kind, _, _ in _MORE]]
 BASE = KINDS[:3]
+#: Counts changes of the scan that the patterns don't show: flags, least lengths, which texts are looked at.
+SCAN = "2"
 #: Changes with any rule, so that blobs are scanned anew.
-RULE_VERSION = hashlib.sha256("\n".join([_ASSIGN.pattern, _ACCESS.pattern, _HEX.pattern, *[p.pattern for _, _, p in _MORE]]).encode()).hexdigest()[:16]
+RULE_VERSION = hashlib.sha256("\n".join([SCAN, _ASSIGN.pattern, _ACCESS.pattern, _HEX.pattern, *[p.pattern for _, _, p in _MORE]]).encode()).hexdigest()[:16]
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _LITERALS = tuple(literal.encode() for _, literal, _ in _MORE if literal != "gh") + (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"AKIA")
@@ -63,10 +65,11 @@ def _suspects(docs: list[bytes]) -> list[bool]:
         hexed[np.searchsorted(starts, run + 12, "right") - 1] = True
     out = []
     for doc, suspect in zip(docs, hexed):
-        if not suspect and not any(x in doc for x in _LITERALS):
+        suspect = bool(suspect) or any(x in doc for x in _LITERALS)
+        if not suspect:
             low = doc.lower()
             suspect = any(x in low for x in _WORDS)
-        out.append(bool(suspect))
+        out.append(suspect)
     return out
 
 
