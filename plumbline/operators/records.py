@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.grid import meeting
 from plumbline.plans.ranking import numbered
+from plumbline.plans.scratch import kept, shuffled
 
 # Defaults of the drawing context.
 MIN_LENGTH, CONTEXT_CAP = 2.0, 65_000
@@ -140,13 +141,17 @@ def subpaths(segments: DataFrame) -> DataFrame:
 
 def descendants(edges: DataFrame, most_depth: int = 20) -> DataFrame:
     """(root, id, depth) of all variants below each root, level by level; a cycle ends at the depth bound without repeats."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("variant_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE below(root, id, depth) AS (
-          SELECT DISTINCT p.parent, p.parent, 0 FROM variant_edges p LEFT ANTI JOIN variant_edges c ON p.parent = c.child
-          UNION ALL SELECT b.root, e.child, b.depth + 1 FROM below b JOIN variant_edges e ON e.parent = b.id WHERE b.depth < {most_depth})
-        SELECT root, id, depth FROM below""")
+    pairs = kept(edges.select("child", "parent"))
+    tops = pairs.select(F.col("parent").alias("root")).distinct()
+    # a join for each level: recursive SQL gives up at a million rows
+    level = kept(tops.join(shuffled(pairs.select(F.col("child").alias("root"))), "root", "left_anti").select("root", F.col("root").alias("id"), F.lit(0).alias("depth")))
+    out = level
+    for depth in range(1, most_depth + 1):
+        level = kept(level.join(shuffled(pairs), F.col("id") == F.col("parent")).select("root", F.col("child").alias("id"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
 
 
 def nearest_within(points: DataFrame, anchors: DataFrame, radius: float) -> DataFrame:

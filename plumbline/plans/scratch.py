@@ -19,6 +19,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that goes by shuffle, never by broadcast: the planner takes rows that are exploded, or compress well, for a few MB, however many they are."""
+    return df.hint("merge")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: what several plans read is made once, and lineage ends there."""
     path = scratch(df.sparkSession)
