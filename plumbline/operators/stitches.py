@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.plans.scratch import shuffled
+
 PREFIX = "stitch:"
 
 
@@ -16,14 +18,14 @@ def sane_stitches(members: DataFrame, most: int = 12) -> DataFrame:
     sound = F.col("key").isNotNull() & (F.col("key") != "") & ~F.col("key").startswith(PREFIX) & finite("dx") & finite("dy")
     judged = members.where(F.col("stitch_id").startswith(PREFIX)).groupBy("stitch_id").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"), F.bool_and(sound).alias("sound"), F.min("dx").alias("least_x"), F.min("dy").alias("least_y"))
     good = judged.where((F.col("n") >= 2) & (F.col("n") <= most) & (F.col("keys") == F.col("n")) & F.col("sound"))
-    return members.join(good.select("stitch_id", "least_x", "least_y"), "stitch_id").select("stitch_id", "ord", "key", (F.col("dx") - F.col("least_x")).alias("dx"), (F.col("dy") - F.col("least_y")).alias("dy"))
+    return members.join(shuffled(good.select("stitch_id", "least_x", "least_y")), "stitch_id").select("stitch_id", "ord", "key", (F.col("dx") - F.col("least_x")).alias("dx"), (F.col("dy") - F.col("least_y")).alias("dy"))
 
 
 def side_by_side(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """A fresh stitch's members (stitch_id, ord, key) flush from left to right, tops aligned; a sheet of unknown size takes no room."""
     before = Window.partitionBy("stitch_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     wide = F.coalesce(F.col("width").cast("decimal(28,6)"), F.lit(0))
-    joined = members.join(sizes.select(F.col("sheet_id").alias("key"), "width"), "key", "left")
+    joined = members.join(shuffled(sizes.select(F.col("sheet_id").alias("key"), "width")), "key", "left")
     return joined.select("stitch_id", "ord", "key", F.coalesce(F.sum(wide).over(before), F.lit(0)).cast("double").alias("dx"), F.lit(0.0).alias("dy"))
 
 
@@ -31,7 +33,7 @@ def member_boxes(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Members with their box on the surface, and the box of it that they show: where neighbours overlap along the way they lie, each
     shows its half."""
     size = sizes.select(F.col("sheet_id").alias("key"), "width", "height")
-    boxed = members.join(size, "key", "left").select("stitch_id", "ord", "key", "dx", "dy", F.col("dx").alias("x0"), F.col("dy").alias("y0"), (F.col("dx") + F.coalesce("width", F.lit(0.0))).alias("x1"), (F.col("dy") + F.coalesce("height", F.lit(0.0))).alias("y1"))
+    boxed = members.join(shuffled(size), "key", "left").select("stitch_id", "ord", "key", "dx", "dy", F.col("dx").alias("x0"), F.col("dy").alias("y0"), (F.col("dx") + F.coalesce("width", F.lit(0.0))).alias("x1"), (F.col("dy") + F.coalesce("height", F.lit(0.0))).alias("y1"))
     whole = Window.partitionBy("stitch_id")
     spread = lambda a, b: F.max((F.col(a) + F.col(b)) / 2).over(whole) - F.min((F.col(a) + F.col(b)) / 2).over(whole)
     across = boxed.withColumn("across", spread("x0", "x1") >= spread("y0", "y1"))
@@ -53,7 +55,7 @@ def extents(boxes: DataFrame) -> DataFrame:
 
 def member_at(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """The member under each point (stitch_id, id, x, y): the last drawn of those that hold it, else the nearest."""
-    met = points.join(boxes.select("stitch_id", "ord", "key", "x0", "y0", "x1", "y1"), "stitch_id")  # a stitch has few members
+    met = points.join(shuffled(boxes.select("stitch_id", "ord", "key", "x0", "y0", "x1", "y1")), "stitch_id")  # a stitch has few members
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
     dx, dy = (F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1")) for c in "xy")
     rank = F.struct(F.when(inside, 0).otherwise(1).alias("out"), F.when(inside, -F.col("ord").cast("double")).otherwise(dx * dx + dy * dy).alias("by"), F.col("ord").alias("ord"), F.col("key").alias("key"))
@@ -62,13 +64,13 @@ def member_at(points: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def merged_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Members' points (sheet_id, x, y) on the surface, those that their member shows."""
-    on = points.join(boxes, F.col("sheet_id") == F.col("key")).withColumns({"px": F.col("x") + F.col("dx"), "py": F.col("y") + F.col("dy")})
+    on = points.join(shuffled(boxes), F.col("sheet_id") == F.col("key")).withColumns({"px": F.col("x") + F.col("dx"), "py": F.col("y") + F.col("dy")})
     return on.where("px BETWEEN sx0 AND sx1 AND py BETWEEN sy0 AND sy1").select("stitch_id", "sheet_id", F.col("px").alias("x"), F.col("py").alias("y"))
 
 
 def merged_segments(segments: DataFrame, boxes: DataFrame) -> DataFrame:
     """Members' segments (sheet_id, idx, x1, y1, x2, y2) on the surface, whole: a segment is its member's if that shows its middle."""
-    on = segments.join(boxes.drop("x0", "y0", "x1", "y1"), F.col("sheet_id") == F.col("key"))
+    on = segments.join(shuffled(boxes.drop("x0", "y0", "x1", "y1")), F.col("sheet_id") == F.col("key"))
     moved = on.select("stitch_id", "sheet_id", "idx", *[(F.col(c) + F.col("dx" if c[0] == "x" else "dy")).alias(c) for c in ("x1", "y1", "x2", "y2")], "sx0", "sy0", "sx1", "sy1")
     middle = lambda c: (F.col(f"{c}1") + F.col(f"{c}2")) / 2
     return moved.where(middle("x").between(F.col("sx0"), F.col("sx1")) & middle("y").between(F.col("sy0"), F.col("sy1"))).select("stitch_id", "sheet_id", "idx", "x1", "y1", "x2", "y2")

@@ -32,3 +32,7 @@ def test_descendants_beyond_the_row_limit_of_recursion(spark):
 def test_descendants_of_a_cycle_end(spark):
     found = records.descendants(spark.createDataFrame([(2, 1), (3, 2), (2, 3)], "child long, parent long"), 4).collect()
     assert sorted((r["id"], r["depth"]) for r in found) == [(1, 0), (2, 1), (2, 3), (3, 2), (3, 4)]
+
+
+def test_stitched_segments(spark):
+    assert broadcasts(grown("U11_merged_segments", spark)) == 0
