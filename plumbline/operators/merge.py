@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.keys import tag_key
+from plumbline.plans.scratch import shuffled
 
 
 def stamp(updated: Column, created: Column) -> Column:
@@ -115,7 +116,7 @@ def import_conditions(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def import_new(current: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
     """Incoming rows whose key isn't there yet; importing twice adds nothing."""
-    return incoming.dropDuplicates([key]).join(current.select(key), key, "left_anti")
+    return incoming.dropDuplicates([key]).join(shuffled(current.select(key)), key, "left_anti")
 
 
 def reparented(conditions: DataFrame, named: DataFrame) -> DataFrame:
