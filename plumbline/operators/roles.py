@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.plans.scratch import shuffled
+
 # Title patterns with their role and confidence, in order; words that no room tag holds; shares of the sheet and of
 # text sizes that tell a title from a view's name.
 ROLE_PATTERNS = [
@@ -65,15 +67,15 @@ def sheet_roles(spans: DataFrame, sheets: DataFrame) -> DataFrame:
     a name are unknown; they stay.
     """
     nordic = spans.groupBy(F.col("sheet_id").alias("n_id")).agg(F.max(F.coalesce(F.col("str").rlike(NORDIC_TEXT), F.lit(False))).alias("nordic"))
-    read = spans.join(nordic, F.col("sheet_id") == F.col("n_id")).drop("n_id")
-    named = read.withColumn("term", role_term(F.col("str"), F.col("nordic"))).drop("nordic").where("term IS NOT NULL").join(sheets.select(F.col("sheet_id").alias("s_id"), "width", "height"), F.col("sheet_id") == F.col("s_id"))
+    read = spans.join(shuffled(nordic), F.col("sheet_id") == F.col("n_id")).drop("n_id")
+    named = read.withColumn("term", role_term(F.col("str"), F.col("nordic"))).drop("nordic").where("term IS NOT NULL").join(shuffled(sheets.select(F.col("sheet_id").alias("s_id"), "width", "height")), F.col("sheet_id") == F.col("s_id"))
     median = spans.groupBy(F.col("sheet_id").alias("m_id")).agg(F.percentile("h", 0.5).alias("median_h"))
-    sized = named.join(median, F.col("sheet_id") == F.col("m_id"))
+    sized = named.join(shuffled(median), F.col("sheet_id") == F.col("m_id"))
     corner = (F.col("x") >= TITLE_X * F.col("width")) & (F.col("y") >= TITLE_Y * F.col("height")) & (F.col("h") >= F.col("median_h"))
     pool = F.when(corner & (F.col("term.role") != "legend"), 0).when(~corner & (F.col("h") >= VIEW_SIZE * F.col("median_h")), 1).otherwise(2)
     pooled = sized.withColumn("pool", pool)
     best = pooled.groupBy(F.col("sheet_id").alias("b_id")).agg(F.min("pool").alias("best_pool"))
-    held = pooled.join(best, (F.col("sheet_id") == F.col("b_id")) & (F.col("pool") == F.col("best_pool")))
+    held = pooled.join(shuffled(best), (F.col("sheet_id") == F.col("b_id")) & (F.col("pool") == F.col("best_pool")))
     tallest = F.max("h").over(Window.partitionBy("sheet_id"))
     away = F.hypot(F.col("width") - F.col("x"), F.col("height") - F.col("y"))
     tall = held.withColumns({"tall": F.col("h") >= TALL * tallest, "away": away})
@@ -84,7 +86,7 @@ def sheet_roles(spans: DataFrame, sheets: DataFrame) -> DataFrame:
     trust = F.col("term.confidence") * F.when(F.col("pool") == 0, 1.0).otherwise(BODY_FACTOR) * F.when(F.col("rivals") == 1, 0.5).otherwise(1.0)
     split = (F.col("pool") == 2) & (F.col("rivals") == 1)
     answer = judged.select(F.col("sheet_id").alias("a_id"), F.when(split, "unknown").otherwise(F.col("term.role")).alias("role"), F.when(split, 0.0).when(F.col("term.role") == "legend", F.least(trust, F.lit(LEGEND_CAP))).otherwise(trust).alias("confidence"), F.col("str").alias("evidence"))
-    joined = sheets.join(answer, F.col("sheet_id") == F.col("a_id"), "left")
+    joined = sheets.join(shuffled(answer), F.col("sheet_id") == F.col("a_id"), "left")
     return joined.select("sheet_id", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 

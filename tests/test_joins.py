@@ -42,3 +42,7 @@ def test_imported_rows(spark):
     rows = lambda n: spark.range(n).selectExpr("cast(id AS string) AS id", "id AS value")
     new = merge.import_new(rows(5), rows(8))
     assert broadcasts(new) == 0 and sorted(r["id"] for r in new.collect()) == ["5", "6", "7"]
+
+
+def test_sheet_roles(spark):
+    assert broadcasts(grown("X01_european_titles", spark)) == 0
