@@ -46,3 +46,7 @@ def test_imported_rows(spark):
 
 def test_sheet_roles(spark):
     assert broadcasts(grown("X01_european_titles", spark)) == 0
+
+
+def test_counts_from_points(spark):
+    assert broadcasts(grown("X17_counts_from_points", spark)) == 0
