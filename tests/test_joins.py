@@ -50,3 +50,7 @@ def test_sheet_roles(spark):
 
 def test_counts_from_points(spark):
     assert broadcasts(grown("X17_counts_from_points", spark)) == 0
+
+
+def test_wall_network(spark):
+    assert broadcasts(grown("X24_wall_network", spark)) == 0
