@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.grid import meeting
 from plumbline.operators.openings import circle_of
 from plumbline.operators.wallnet import chained, directed
-from plumbline.plans.scratch import kept
+from plumbline.plans.scratch import kept, shuffled
 
 CLASSES = ["clip", "circle", "cloud", "arc", "hatch", "dimension", "ring", "fleck", "tag box", "plain"]
 # Fixed values of curves: chords of an arc, its least turn, the least and most turn between chords (degrees), ratio of chords; residual of the fit (share of the radius, px at least);
@@ -158,7 +158,7 @@ def fleck_paths(found: DataFrame) -> DataFrame:
     step = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.col(c) + k)).alias(c)
     spread = counts.select("sheet_id", step("cx"), "cy", "count").select("sheet_id", "cx", step("cy"), "count")
     field = spread.groupBy("sheet_id", "cx", "cy").agg(F.sum("count").alias("n")).where(F.col("n") >= FIELD)
-    return rows.join(field, ["sheet_id", "cx", "cy"], "left_semi").select("sheet_id", "path")
+    return rows.join(shuffled(field), ["sheet_id", "cx", "cy"], "left_semi").select("sheet_id", "path")
 
 
 def tag_paths(found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def dimension_classes(straight: DataFrame) -> DataFrame:
     lines = runs.where(long >= RUN_FT * m)
     partner = F.least(a["high"], b["high"]) - F.greatest(a["low"], b["low"]) >= PARTNER * (a["high"] - a["low"])
     faces = _beside(runs, 2 * PARTNER_FT * m, "m").where(partner & (F.abs(a["c"] - b["c"]) <= PARTNER_FT * a["m"])).select(a["sheet_id"].alias("sheet_id"), a["idx"].alias("idx")).distinct()
-    lone = kept(lines.join(faces, ["sheet_id", "idx"], "left_anti"))
+    lone = kept(lines.join(shuffled(faces), ["sheet_id", "idx"], "left_anti"))
 
     def boxed(df: DataFrame, margin: Column) -> DataFrame:
         at = lambda u, c: (F.col(u) * F.col("ux") - F.col(c) * F.col("uy"), F.col(u) * F.col("uy") + F.col(c) * F.col("ux"))
@@ -211,11 +211,11 @@ def dimension_classes(straight: DataFrame) -> DataFrame:
     order = Window.partitionBy("sheet_id", "run").orderBy("u")
     joints = witnesses.withColumn("begins", F.coalesce((F.col("u") - F.lag("u").over(order) > ATTACH_FT * m).cast("int"), F.lit(1))).withColumn("joint", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     joints = joints.groupBy("sheet_id", "run", "joint").agg(F.avg("u").alias("u"), F.first("m").alias("m"), F.max("past").alias("past"), F.flatten(F.collect_list("own")).alias("own"))
-    marked = joints.join(ticks, (F.col("sheet_id") == F.col("t_sheet")) & (F.col("run") == F.col("t_run")) & (F.abs(F.col("u") - F.col("t_u")) <= AT_JOINT_FT * m), "left").groupBy("sheet_id", "run", "joint").agg(F.first("u").alias("u"), F.first("m").alias("m"), F.first("past").alias("past"), F.first("own").alias("own"), F.count("t_u").alias("ticks"), F.flatten(F.collect_list("t_own")).alias("t_own"))
+    marked = joints.join(shuffled(ticks), (F.col("sheet_id") == F.col("t_sheet")) & (F.col("run") == F.col("t_run")) & (F.abs(F.col("u") - F.col("t_u")) <= AT_JOINT_FT * m), "left").groupBy("sheet_id", "run", "joint").agg(F.first("u").alias("u"), F.first("m").alias("m"), F.first("past").alias("past"), F.first("own").alias("own"), F.count("t_u").alias("ticks"), F.flatten(F.collect_list("t_own")).alias("t_own"))
     apart = F.coalesce(F.col("u") - F.lag("u").over(order), F.lit(1e18)) >= APART_FT * m
     judged = marked.withColumn("apart", apart).groupBy("sheet_id", "run").agg(F.count("*").alias("joints"), F.sum((F.col("ticks") > 0).cast("int")).alias("ticked"), F.min((F.col("past") & F.col("apart")).cast("int")).alias("sound"), F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("t_own")).alias("t_own"))
     strings = judged.where((F.col("joints") >= JOINTS) & (F.col("ticked") >= TICKED) & (F.col("ticked") >= TICK_SHARE * F.col("joints")) & (F.col("sound") == 1))
-    whole = strings.join(lone.select("sheet_id", F.col("idx").alias("run"), "idxs"), ["sheet_id", "run"])
+    whole = strings.join(shuffled(lone.select("sheet_id", F.col("idx").alias("run"), "idxs")), ["sheet_id", "run"])
     return whole.select("sheet_id", F.explode(F.array_distinct(F.concat("idxs", "own", "t_own"))).alias("idx")).distinct()
 
 
@@ -225,19 +225,19 @@ def classify_lines(lines: DataFrame, texts: DataFrame, sheets: DataFrame) -> Dat
     texts: (sheet_id, x, y, w, h); sheets: (sheet_id, px_per_ft). Filled outlines are plain: they bound solid ink. Lines with a null end are plain too.
     """
     scale = sheets.select(F.col("sheet_id").alias("of_sheet"), F.coalesce(F.col("px_per_ft").cast("double"), F.lit(0.0)).alias("m"))
-    rows = lines.join(scale, F.col("sheet_id") == F.col("of_sheet"), "left").drop("of_sheet").withColumns({"m": F.coalesce("m", F.lit(0.0)), "pen": F.coalesce("pen", F.lit(0))})
+    rows = lines.join(shuffled(scale), F.col("sheet_id") == F.col("of_sheet"), "left").drop("of_sheet").withColumns({"m": F.coalesce("m", F.lit(0.0)), "pen": F.coalesce("pen", F.lit(0))})
     rows = kept(rows)
     whole = rows.dropna(subset=["x1", "y1", "x2", "y2"])
     curves = kept(curve_classes(whole))
     open_ = whole.where(~F.coalesce("clip", F.lit(False)) & ~F.coalesce("fill", F.lit(False)) & (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= 0.75))
-    straight = kept(directed(open_.join(curves.select("sheet_id", "idx"), ["sheet_id", "idx"], "left_anti"), ONE_WAY))
+    straight = kept(directed(open_.join(shuffled(curves.select("sheet_id", "idx")), ["sheet_id", "idx"], "left_anti"), ONE_WAY))
     shapes = figures(whole)
-    of_path = lambda paths, name: whole.join(paths, ["sheet_id", "path"], "left_semi").select("sheet_id", "idx", F.lit(name).alias("class"))
+    of_path = lambda paths, name: whole.join(shuffled(paths), ["sheet_id", "path"], "left_semi").select("sheet_id", "idx", F.lit(name).alias("class"))
     named = lambda found, name: found.select("sheet_id", "idx", F.lit(name).alias("class"))
     votes = rows.where("clip").select("sheet_id", "idx", F.lit("clip").alias("class")).unionByName(curves)
     for more in (named(hatch_classes(straight), "hatch"), named(dimension_classes(straight), "dimension"), named(ring_classes(straight), "ring"), of_path(fleck_paths(shapes), "fleck"), of_path(tag_paths(shapes, texts), "tag box")):
         votes = votes.unionByName(more)
     place = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class"))
     best = votes.groupBy(F.col("sheet_id").alias("v_sheet"), F.col("idx").alias("v_idx")).agg(F.min_by("class", place).alias("class"))
-    found = rows.select("sheet_id", "idx").join(best, F.col("sheet_id").eqNullSafe(F.col("v_sheet")) & (F.col("idx") == F.col("v_idx")), "left")
+    found = rows.select("sheet_id", "idx").join(shuffled(best), F.col("sheet_id").eqNullSafe(F.col("v_sheet")) & (F.col("idx") == F.col("v_idx")), "left")
     return found.select("sheet_id", "idx", F.coalesce("class", F.lit("plain")).alias("class"))

@@ -54,3 +54,7 @@ def test_counts_from_points(spark):
 
 def test_wall_network(spark):
     assert broadcasts(grown("X24_wall_network", spark)) == 0
+
+
+def test_ink_classes(spark):
+    assert broadcasts(grown("X28_ink_classes", spark)) == 0
