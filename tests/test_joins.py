@@ -58,3 +58,8 @@ def test_wall_network(spark):
 
 def test_ink_classes(spark):
     assert broadcasts(grown("X28_ink_classes", spark)) == 0
+
+
+@pytest.mark.parametrize("name", ["G16_ring_samples", "X17_counts_from_points"])
+def test_python_work_is_spread(spark, name):
+    assert "REPARTITION_BY_NUM" in grown(name, spark)._jdf.queryExecution().executedPlan().toString()
