@@ -6,6 +6,7 @@ A sheet is one page's text and lines, so it is judged by one call; sheets are ju
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import scale_patterns
 from plumbline.operators.tables import SPANS, Span, revision_of, spans_of
+from plumbline.plans.scratch import kept, sheetwise
 
 # Form of sheet numbers and of the field that names them; paper sizes; where a title block lies, as shares of a sheet.
 SHEET_NUMBER, PAPER, NUMBER_FIELD = re.compile(r"[A-Z]{1,3}[-. ]?\d{1,5}(?:[-.]\d{1,4}){0,2}[A-Z]?"), re.compile("A[0-4]"), re.compile(r"TEGN(?:INGS?)?\.?NR\.?|TEGNINGSNUMMER|SHEET(?:NO\.?|NUMBER|#)?|DWG\.?NO\.?|DRAWING(?:NO\.?|NUMBER)")
@@ -114,6 +116,7 @@ def discipline(spans: list[Span], width: float, height: float, number: str | Non
 _SCALES = None
 
 
+@lru_cache(1 << 12)
 def scales_in(text: str) -> list[tuple[str, float]]:
     """Standard scales (label, feet per pixel) that a text states."""
     global _SCALES
@@ -159,7 +162,7 @@ def sheet_info(spans: DataFrame, sheets: DataFrame) -> DataFrame:
         number = sheet_number(found, w, h)
         return pd.DataFrame([(frame["sheet_id"].iloc[0], number, *discipline(found, w, h, number))], columns=[c.split()[0] for c in INFO.split(", ")])
 
-    return _sheets(spans, sheets).groupBy("sheet_id").applyInPandas(run, INFO)
+    return sheetwise(_sheets(spans, sheets), run, INFO, "sheet_id")
 
 
 def view_scale_labels(spans: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ def view_scale_labels(spans: DataFrame, sheets: DataFrame) -> DataFrame:
         found = view_scales(spans_of(frame), float(frame["width"].iloc[0]), float(frame["height"].iloc[0]))
         return pd.DataFrame([(frame["sheet_id"].iloc[0], *x) for x in found], columns=[c.split()[0] for c in VIEWS.split(", ")])
 
-    return _sheets(spans, sheets).groupBy("sheet_id").applyInPandas(run, VIEWS)
+    return sheetwise(_sheets(spans, sheets), run, VIEWS, "sheet_id")
 
 
 def mixed_scales(measured: DataFrame, notes: DataFrame) -> DataFrame:
@@ -177,6 +180,7 @@ def mixed_scales(measured: DataFrame, notes: DataFrame) -> DataFrame:
     below them that disagrees with their scale: only where one scale is noted there."""
     from plumbline.operators.grid import meeting
 
+    notes = kept(notes)  # read several times, and dear where sheets are read for them
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     wide = measured.select("sheet_id", "id", "units_per_px", (F.col("x0") - w * NOTE_BESIDE).alias("x0"), (F.col("y0") - h * NOTE_BESIDE).alias("y0"), (F.col("x1") + w * NOTE_BESIDE).alias("x1"), (F.col("y1") + h * NOTE_BELOW).alias("y1"))
     at = notes.select("sheet_id", "label", F.col("units_per_px").alias("noted"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
