@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.grid import meeting
+from plumbline.plans.scratch import sheetwise
 
 # Fixed value: ends nearer than this (px) are one corner.
 WELD = 0.75
@@ -254,23 +255,23 @@ def faces_of(lines: DataFrame, reach: float = WELD) -> DataFrame:
     cut = cut_lines(lines, reach)
     names = ["sheet_id", "face", "area", "ring", "holes", "neighbours", "outside"]
 
-    def run(key, frame):
-        plane = plane_of(frame, reach)
+    def run(frame):
+        plane, sheet = plane_of(frame, reach), frame["sheet_id"].iloc[0]
         sides = plane.sides()
         out = []
         for k, f in enumerate(plane.faces):
             beyond = sorted({int(b) for b in sides[sides[:, 0] == k, 1]} - {k})
-            out.append((key[0], k, f.area, f.ring.tolist(), [h.tolist() for h in f.holes], [b for b in beyond if b >= 0], -1 in beyond))
+            out.append((sheet, k, f.area, f.ring.tolist(), [h.tolist() for h in f.holes], [b for b in beyond if b >= 0], -1 in beyond))
         return pd.DataFrame(out, columns=names)
 
-    return cut.groupBy("sheet_id").applyInPandas(run, f"sheet_id {dict(cut.dtypes)['sheet_id']}, face int, area double, ring array<array<double>>, holes array<array<array<double>>>, neighbours array<int>, outside boolean")
+    return sheetwise(cut, run, f"sheet_id {dict(cut.dtypes)['sheet_id']}, face int, area double, ring array<array<double>>, holes array<array<array<double>>>, neighbours array<int>, outside boolean", "sheet_id")
 
 
 def plane_counts(lines: DataFrame, reach: float = WELD) -> DataFrame:
     """(sheet_id, nodes, edges, pieces, faces) of each sheet's subdivision, the outside not counted."""
     cut = cut_lines(lines, reach)
 
-    def run(key, frame):
-        return pd.DataFrame([(key[0], *plane_of(frame, reach).counts())], columns=["sheet_id", "nodes", "edges", "pieces", "faces"])
+    def run(frame):
+        return pd.DataFrame([(frame["sheet_id"].iloc[0], *plane_of(frame, reach).counts())], columns=["sheet_id", "nodes", "edges", "pieces", "faces"])
 
-    return cut.groupBy("sheet_id").applyInPandas(run, f"sheet_id {dict(cut.dtypes)['sheet_id']}, nodes int, edges int, pieces int, faces int")
+    return sheetwise(cut, run, f"sheet_id {dict(cut.dtypes)['sheet_id']}, nodes int, edges int, pieces int, faces int", "sheet_id")
