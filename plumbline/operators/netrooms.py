@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.planar import WELD, Plane, cut_lines, inside, plane_of
+from plumbline.plans.scratch import spread
 
 # Square feet: the largest piece of a room that is grown into, and the largest pocket; feet: the width up to which a face is narrow.
 LARGEST_PIECE, LARGEST_POCKET, NARROW = 30.0, 40.0, 0.75
@@ -118,4 +119,4 @@ def net_rooms(seeds: DataFrame, lines: DataFrame, sheets: DataFrame, marks: Data
         return pd.DataFrame(out, columns=names)
 
     cut = cut_lines(lines, reach).withColumnRenamed("sheet_id", "line_sheet")
-    return marked.groupBy("sheet_id").cogroup(cut.groupBy("line_sheet")).applyInPandas(run, f"sheet_id {kinds['sheet_id']}, id {kinds['id']}, {ROOM}")
+    return spread(marked, "sheet_id").groupBy("sheet_id").cogroup(spread(cut, "line_sheet").groupBy("line_sheet")).applyInPandas(run, f"sheet_id {kinds['sheet_id']}, id {kinds['id']}, {ROOM}")
