@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.grid import boxed, meeting
+from plumbline.plans.scratch import spread
 
 # Widths of leaves (m), sweeps of a swing (degrees), how exactly a curve's points lie on its circle and a leaf on its radius (shares of it), and how two
 # leaves meet as one door.
@@ -108,7 +109,7 @@ def find_doors(curves: DataFrame, lines: DataFrame, sheets: DataFrame) -> DataFr
                 out += [(sheet, *s["hinge"], *s["strike"], s["r"], 1, "rejected", s["reject"]) for s in found if s["reject"]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DOORS.split(", ")])
 
-    return joined.mapInPandas(run, DOORS)
+    return spread(joined).mapInPandas(run, DOORS)
 
 
 def on_ring(opening: np.ndarray, ring: np.ndarray, reach: float) -> bool:
