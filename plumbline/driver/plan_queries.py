@@ -83,7 +83,7 @@ def g14(spark, sf):
                 out.append((k, len(found), bool(np.allclose(found[::8], p))))
             yield pd.DataFrame(out, columns=["p_partkey", "points", "through"])
 
-    return table(spark, sf, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, points long, through boolean")
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).mapInPandas(run, "p_partkey long, points long, through boolean")
 
 
 @query("G16_ring_samples", _ROOMS + "SELECT shape_id, CAST(2 * (ceil(w / 0.25) + ceil(h / 0.25)) AS BIGINT) AS samples, 5 AS corners FROM q")
@@ -163,7 +163,7 @@ def g21(spark, sf):
                 out.append((k, len(ring), round(abs(cutouts.area(ring)), 6)))
             yield pd.DataFrame(out, columns=["p_partkey", "points", "area"])
 
-    return table(spark, sf, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, points long, area double")
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).mapInPandas(run, "p_partkey long, points long, area double")
 
 
 @query("G22_snapped_rings", "SELECT p_partkey, ((10.0 + p_size) * 20)::DOUBLE AS onto_ends, ((10.0 + p_size) * 20)::DOUBLE AS onto_lines FROM part")
@@ -182,7 +182,7 @@ def g22(spark, sf):
                 out.append((k, round(abs(cutouts.area(outlines.snapped(traced, ends, 2.0, 0.5))), 6), round(abs(cutouts.area(outlines.onto_lines(square, lines, 1.0))), 6)))
             yield pd.DataFrame(out, columns=["p_partkey", "onto_ends", "onto_lines"])
 
-    return table(spark, sf, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, onto_ends double, onto_lines double")
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).mapInPandas(run, "p_partkey long, onto_ends double, onto_lines double")
 
 
 @query("D01_polygons", _RINGS + "SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'unmeasured' ELSE 'measured' END AS status, CASE WHEN p_partkey % 11 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'fewer than three points' ELSE 'no area' END ELSE '' END AS reason, round(CASE WHEN p_partkey % 11 = 0 THEN -1.0 WHEN p_partkey % 3 = 0 THEN w * h / 2 ELSE w * h + h END, 6) AS area FROM r")
@@ -346,7 +346,7 @@ def r02(spark, sf):
             found = [(i, *roll.run_extent(np.array([list(p) for p in ring], float), 0, 0.0, 6.0)) for i, ring in zip(frame["shape_id"], frame["ring"])]
             yield pd.DataFrame(found, columns=["shape_id", "low", "high"])
 
-    return rooms(spark, sf).select("shape_id", "ring").mapInPandas(run, "shape_id long, low double, high double")
+    return spread(rooms(spark, sf).select("shape_id", "ring")).mapInPandas(run, "shape_id long, low double, high double")
 
 
 @query("R03_clipped_slabs", _ROOMS + "SELECT shape_id, round((least(w, 6.0) - 2.0) * h, 6) AS area FROM q WHERE w > 2")
@@ -358,7 +358,7 @@ def r03(spark, sf):
             found = [(i, round(abs(cutouts.area(cutouts.clip_slab(np.array([list(p) for p in ring], float), 0, 2.0, 6.0))), 6)) for i, ring in zip(frame["shape_id"], frame["ring"])]
             yield pd.DataFrame(found, columns=["shape_id", "area"])
 
-    return rooms(spark, sf).select("shape_id", "ring").mapInPandas(run, "shape_id long, area double")
+    return spread(rooms(spark, sf).select("shape_id", "ring")).mapInPandas(run, "shape_id long, area double")
 
 
 _WAYS = _ROOMS + """, n AS (SELECT unnest(range(1, 41)) AS n), cap AS (SELECT n, CASE WHEN n = 1 THEN 138 ELSE 278 + (n - 2) * 140 END AS cap FROM n), l AS (SELECT q.*, (SELECT min(n) FROM cap WHERE cap >= q.w * 12 - 1e-6) AS ns, (SELECT min(n) FROM cap WHERE cap >= q.h * 12 - 1e-6) AS ew FROM q),

@@ -61,7 +61,8 @@ def snapped(ring: np.ndarray, ends: np.ndarray, reach: float = ANCHOR, gap: floa
 
 
 def _area(ring: np.ndarray) -> float:
-    return abs(float(ring[:, 0] @ np.roll(ring[:, 1], -1) - ring[:, 1] @ np.roll(ring[:, 0], -1))) / 2
+    after = np.concatenate((ring[1:], ring[:1]))
+    return abs(float(ring[:, 0] @ after[:, 1] - ring[:, 1] @ after[:, 0])) / 2
 
 
 def _simpler(line: np.ndarray, reach: float) -> np.ndarray:
