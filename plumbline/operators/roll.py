@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import round2_eps, round2_plain, round_up_to_inch
+from plumbline.plans.scratch import spread
 
 # A roll's defaults and the most lanes of a room.
 WIDTH_FT, SEAM_IN, WALL_IN, DOORWAY_IN, MOST_LANES, TOLERANCE = 12.0, 2.0, 3.0, 1.0, 40, 1e-6
@@ -37,30 +39,41 @@ def lane_capacities(n: int, roll: Roll) -> list[float]:
     return [width - (roll.wall_in if i in (0, n - 1) else roll.seam_in) - roll.seam_in for i in range(n)]
 
 
+@lru_cache(1024)
+def _widest(roll: Roll) -> list[tuple[int, float]]:
+    """(n, inches that n lanes cover)."""
+    return [(n, sum(lane_capacities(n, roll))) for n in range(1, MOST_LANES + 1)]
+
+
 def lane_count(room_in: float, roll: Roll) -> int:
-    return next((n for n in range(1, MOST_LANES + 1) if sum(lane_capacities(n, roll)) >= room_in - TOLERANCE), MOST_LANES)
+    return next((n for n, widest in _widest(roll) if widest >= room_in - TOLERANCE), MOST_LANES)
 
 
 def run_extent(ring: np.ndarray, lane: int, low: float, high: float) -> tuple[float, float] | None:
     """Least and greatest position along the run at which the ring is met within a lane (its sides and the vertices between)."""
-    inner = ring[(ring[:, lane] > low + TOLERANCE) & (ring[:, lane] < high - TOLERANCE), lane]
-    a, b = ring, np.roll(ring, -1, axis=0)
+    across, along = np.asarray(ring)[:, lane].tolist(), np.asarray(ring)[:, 1 - lane].tolist()
+    return _extent(across, along, low, high)
+
+
+def _extent(across: list[float], along: list[float], low: float, high: float) -> tuple[float, float] | None:
+    """run_extent() of a ring's coordinates across and along the lanes: plain numbers, since most rings have few points."""
     found = []
-    for v in (min(low + TOLERANCE, high), max(high - TOLERANCE, low), *inner):
-        crossing = ((a[:, lane] <= v) & (b[:, lane] > v)) | ((b[:, lane] <= v) & (a[:, lane] > v))
-        if crossing.any():
-            p, q = a[crossing], b[crossing]
-            found.append(p[:, 1 - lane] + (v - p[:, lane]) / (q[:, lane] - p[:, lane]) * (q[:, 1 - lane] - p[:, 1 - lane]))
+    edges = list(zip(across, along, across[1:] + across[:1], along[1:] + along[:1]))
+    for v in (min(low + TOLERANCE, high), max(high - TOLERANCE, low), *[c for c in across if low + TOLERANCE < c < high - TOLERANCE]):
+        for a, s, b, t in edges:
+            if (a <= v < b) or (b <= v < a):
+                found.append(s + (v - a) / (b - a) * (t - s))
     if not found:
         return None
-    every = np.concatenate(found)
-    return float(every.min()), float(every.max())
+    return (min(found), max(found)) if math.isfinite(sum(found)) else (float(np.min(found)), float(np.max(found)))
 
 
 def strips(shape_id, ring: np.ndarray, direction: str, roll: Roll) -> list[dict]:
     """The cuts that cover a room's ring (feet) when the roll runs one way: ns fills lanes along x, ew along y."""
     lane = 0 if direction == "ns" else 1
-    low, high = ring[:, lane].min(), ring[:, lane].max()
+    points = np.asarray(ring, float)
+    across, along = points[:, lane].tolist(), points[:, 1 - lane].tolist()
+    low, high = float(np.min(across)), float(np.max(across))  # a coordinate that is no number leaves no strips
     if len(ring) < 3 or not high > low:
         return []
     n = lane_count((high - low) * 12, roll)
@@ -68,7 +81,7 @@ def strips(shape_id, ring: np.ndarray, direction: str, roll: Roll) -> list[dict]
     out, at, left = [], low, high - low
     for i, capacity in enumerate(lane_capacities(n, roll)):
         width = max(0.0, left) if i == n - 1 else min(capacity / 12, left)
-        extent = run_extent(ring, lane, at, at + width)
+        extent = _extent(across, along, at, at + width)
         if extent:
             piece = min(width + (wall if i == 0 else seam) + (wall if i == n - 1 else seam), roll.width_ft)
             out.append({"shape_id": shape_id, "lane": i, "lanes": n, "width": piece, "run_min": extent[0] - wall, "run_max": extent[1] + wall, "overage": wall})
@@ -189,7 +202,7 @@ def room_strips(rooms: DataFrame, roll: Roll = Roll()) -> DataFrame:
                     rows += [{**s, "condition_id": condition, "direction": d} for d in ways for s in strips(shape, points, d, roll)]
             yield pd.DataFrame(rows, columns=_columns(STRIPS))
 
-    both = rooms.select("condition_id", "shape_id", "ring").mapInPandas(run, STRIPS)
+    both = spread(rooms.select("condition_id", "shape_id", "ring")).mapInPandas(run, STRIPS)
     if len(ways) == 1:
         return both
     # a condition's footage both ways, added as decimals so that the order of rooms can't show
@@ -223,7 +236,7 @@ def roll_cuts(rooms: DataFrame, roll: Roll = Roll(), sequence: dict | None = Non
 
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
     wanted = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in CUTS.split(", ")])
-    return room_strips(rooms, roll).repartition("condition_id").sortWithinPartitions("condition_id", "shape_id", "lane").mapInArrow(run, CUTS)
+    return spread(room_strips(rooms, roll), "condition_id").sortWithinPartitions("condition_id", "shape_id", "lane").mapInArrow(run, CUTS)
 
 
 def seam_overlaps(cuts: DataFrame) -> DataFrame:
