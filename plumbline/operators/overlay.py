@@ -7,6 +7,8 @@ rounding, without building the overlay.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.grid import boxed, meeting
 from plumbline.operators.scope import touching_pairs
+from plumbline.plans.scratch import spread
+
+# Fixed value: up to so many edges, arrays cost more than plain numbers.
+FEW_EDGES = 48
 
 
 def edges_of(rings: list[np.ndarray]) -> np.ndarray:
@@ -57,44 +63,81 @@ def _measure(cover: list[np.ndarray], at_least: int) -> float:
     return float((np.diff(x[order]) * (np.cumsum(step[order])[:-1] >= at_least)).sum())
 
 
+def _plain_area(polygons: list[list[tuple]], at_least: int) -> float:
+    """overlay_area() of polygons of a few edges each, in plain numbers: most of an array's time would go into its making."""
+    every = [e for p in polygons for e in p]
+    heights = {y for e in every for y in (e[1], e[3])}
+    for i, (ax, ay, bx, by) in enumerate(every):
+        rx, ry = bx - ax, by - ay
+        for cx, cy, dx, dy in every[:i]:
+            sx, sy = dx - cx, dy - cy
+            det = rx * sy - ry * sx
+            if det and 0 < ((cx - ax) * sy - (cy - ay) * sx) / det < 1 and 0 < ((cx - ax) * ry - (cy - ay) * rx) / det < 1:
+                heights.add(ay + ((cx - ax) * sy - (cy - ay) * sx) / det * ry)
+    heights = sorted(heights)
+    total = 0.0
+    for low, high in zip(heights, heights[1:]):
+        y = (low + high) / 2
+        ends = []
+        for p in polygons:
+            at = sorted(ax + (y - ay) / (by - ay) * (bx - ax) for ax, ay, bx, by in p if (ay > y) != (by > y))
+            ends += [(x, 1 - 2 * (k % 2)) for k, x in enumerate(at)]
+        ends.sort(key=lambda e: e[0])
+        depth, width = 0, 0.0
+        for (x, step), (after, _) in zip(ends, ends[1:]):
+            depth += step
+            if depth >= at_least:
+                width += after - x
+        total += width * (high - low)
+    return total
+
+
 def overlay_area(polygons: list[list[np.ndarray]], at_least: int) -> float:
     """Area that at least so many of the polygons cover: 1 is their union, len(polygons) their intersection."""
     cuts = [edges_of(p) for p in polygons]
+    if sum(map(len, cuts)) <= FEW_EDGES:
+        plain = [c.tolist() for c in cuts]
+        if math.isfinite(sum(v for p in plain for e in p for v in e)):
+            return _plain_area(plain, at_least)
     middle, height = _slabs(cuts)
     return float(sum(_measure([_spans(e, y) for e in cuts], at_least) * h for y, h in zip(middle, height)))
 
 
 def repaired(ring: np.ndarray) -> tuple[np.ndarray | None, str | None]:
     """A ring fit for overlay, or why there is none: repeated points go; too few points and no area are reasons."""
+    return measured(ring)[:2]
+
+
+def measured(ring: np.ndarray) -> tuple[np.ndarray | None, str | None, float | None]:
+    """repaired(), and the area."""
     if len(ring):
         ring = ring[np.append(True, (np.diff(ring, axis=0) != 0).any(1))]
         if len(ring) > 1 and (ring[0] == ring[-1]).all():
             ring = ring[:-1]
     if len(ring) < 3:
-        return None, "fewer than three points"
-    if overlay_area([[ring]], 1) <= 0:
-        return None, "no area"
-    return ring, None
+        return None, "fewer than three points", None
+    size = overlay_area([[ring]], 1)
+    return (None, "no area", None) if size <= 0 else (ring, None, size)
 
 
 def polygon_collisions(shapes: DataFrame, least_fraction: float = 0.05) -> DataFrame:
     """Overlapping pairs of polygons (sheet_id, id, condition_id, ring): boxes meet in the join, areas are measured after it."""
     met = touching_pairs(boxed(shapes.select("sheet_id", "id", "condition_id", "ring"))).select("sheet_id", "a_id", "b_id", "a_condition_id", "b_condition_id", "a_ring", "b_ring")
 
-    def measured(frames):
+    def compared(frames):
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                a, b = (repaired(np.array([list(p) for p in r], float))[0] for r in (row.a_ring, row.b_ring))
+                (a, _, one), (b, _, two) = (measured(np.array([list(p) for p in r], float)) for r in (row.a_ring, row.b_ring))
                 if a is None or b is None:
                     continue
-                one, two, shared = overlay_area([[a]], 1), overlay_area([[b]], 1), overlay_area([[a], [b]], 2)
+                shared = overlay_area([[a], [b]], 2)
                 if shared > 64 * np.finfo(float).eps * max(one, two) and shared / min(one, two) >= least_fraction:
                     out.append((row.sheet_id, row.a_id, row.b_id, shared, shared / min(one, two), row.a_condition_id == row.b_condition_id))
             yield pd.DataFrame(out, columns=["sheet_id", "a_id", "b_id", "shared", "fraction", "same_condition"])
 
     kinds = dict(met.dtypes)
-    return met.mapInPandas(measured, f"sheet_id {kinds['sheet_id']}, a_id {kinds['a_id']}, b_id {kinds['b_id']}, shared double, fraction double, same_condition boolean")
+    return spread(met).mapInPandas(compared, f"sheet_id {kinds['sheet_id']}, a_id {kinds['a_id']}, b_id {kinds['b_id']}, shared double, fraction double, same_condition boolean")
 
 
 def polygons(shapes: DataFrame) -> DataFrame:
@@ -104,11 +147,11 @@ def polygons(shapes: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for i, ring in zip(frame["id"], frame["ring"]):
-                fit, why = repaired(np.array([list(p) for p in ring], float).reshape(-1, 2) if ring is not None else np.zeros((0, 2)))
-                out.append((i, "unmeasured" if fit is None else "measured", why, None if fit is None else overlay_area([[fit]], 1)))
+                fit, why, size = measured(np.array([list(p) for p in ring], float).reshape(-1, 2) if ring is not None else np.zeros((0, 2)))
+                out.append((i, "unmeasured" if fit is None else "measured", why, size))
             yield pd.DataFrame(out, columns=["id", "status", "reason", "area"])
 
-    return shapes.select("id", "ring").mapInPandas(run, "id long, status string, reason string, area double")
+    return spread(shapes.select("id", "ring")).mapInPandas(run, "id long, status string, reason string, area double")
 
 
 def outside_runs(line: np.ndarray, ring: np.ndarray) -> list[np.ndarray]:
