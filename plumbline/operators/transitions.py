@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,11 +12,14 @@ from pyspark.sql import functions as F
 from plumbline.functions.numeric import round1, round2_fixed
 from plumbline.operators.grid import boxed, meeting
 from plumbline.operators.overlay import edges_of
+from plumbline.plans.scratch import spread
 
 # Fixed values, in feet: distance of samples, what counts as touching, the widest gap, the shortest run; the most samples of a ring,
 # the cosine up to which a ring runs alongside, what counts as the same point, and how finely an end is sought.
 STEP, TOUCH, WIDEST, SHORTEST = 0.25, 1 / 12, 1.0, 1.0
 MOST_SAMPLES, ALONGSIDE, COINCIDENT, HALVINGS = 1_000_000, 0.5, 1e-9, 24
+# Fixed value: up to so many edges, arrays cost more than plain numbers.
+FEW_EDGES = 64
 
 
 def samples(ring: np.ndarray, step: float = STEP) -> np.ndarray:
@@ -68,13 +73,30 @@ def islands(near: np.ndarray) -> list[np.ndarray]:
     return [(np.arange(a, b) + start) % len(near) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
 
 
+def _beside(x: float, y: float, hx: float, hy: float, edges: list[tuple], widest: float) -> bool:
+    """alongside() of one point."""
+    far, fx, fy = math.inf, 0.0, 0.0
+    for ax, ay, dx, dy in edges:
+        square = dx * dx + dy * dy
+        t = min(max(((x - ax) * dx + (y - ay) * dy) / square, 0.0), 1.0) if square > 0 else 0.0
+        px, py = ax + t * dx, ay + t * dy
+        away = math.hypot(x - px, y - py)
+        if away < far:
+            far, fx, fy = away, px, py
+    long = math.hypot(hx, hy)
+    return far <= widest and long > 0 and (abs(hx * (fx - x) + hy * (fy - y)) <= ALONGSIDE * long * far or far < COINCIDENT)
+
+
 def _end(inside: np.ndarray, outside: np.ndarray, ring: np.ndarray, widest: float) -> np.ndarray:
     """The furthest point from a sample inside a run towards its neighbour outside that still runs alongside."""
     heading = (outside - inside)[None]
     low, high = 0.0, 1.0
+    few = ring.tolist() if len(ring) <= FEW_EDGES else None  # plain numbers: most of an array's time would go into its making
+    edges = few and [(*p, q[0] - p[0], q[1] - p[1]) for p, q in zip(few, few[1:] + few[:1])]
+    (x, y), (hx, hy) = inside.tolist(), heading[0].tolist()
     for _ in range(HALVINGS):
         middle = (low + high) / 2
-        if alongside(inside[None] + heading * middle, heading, ring, widest)[0][0]:
+        if _beside(x + hx * middle, y + hy * middle, hx, hy, edges, widest) if edges else alongside(inside[None] + heading * middle, heading, ring, widest)[0][0]:
             low = middle
         else:
             high = middle
@@ -128,7 +150,7 @@ def transitions(rings: DataFrame) -> DataFrame:
                 out += [(row.sheet_id, row.a_id, row.b_id, k, long, gap, status, path.tolist()) for k, (long, gap, status, path) in enumerate(shared_runs(a, b))]
             yield pd.DataFrame(out, columns=["sheet_id", "a_id", "b_id", "run", "length", "gap", "status", "path"])
 
-    return pairs.mapInPandas(measured, "sheet_id long, a_id long, b_id long, run long, length double, gap double, status string, path array<array<double>>")
+    return spread(pairs).mapInPandas(measured, "sheet_id long, a_id long, b_id long, run long, length double, gap double, status string, path array<array<double>>")
 
 
 def committed(runs: DataFrame, thresholds: DataFrame) -> DataFrame:

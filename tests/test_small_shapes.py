@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plumbline.operators import cutouts, overlay, roll
+from plumbline.operators import cutouts, overlay, roll, transitions
 from test_joins import grown
 
 
@@ -35,3 +35,14 @@ def test_extents_of_a_bent_room():
 @pytest.mark.parametrize("name", ["D05_crossing_cuts", "G22_snapped_rings", "G20_layout_lanes", "R05_directions", "R04_strips_of_rectangles", "G21_tidied_rings", "P13_roll_columns", "D01_polygons", "W09_lane_overlaps", "D02_polygon_collisions", "J22_shared_runs", "R10_seams_in_materials"])
 def test_work_over_one_file_is_spread(spark, name):
     assert "REPARTITION_BY_NUM" in grown(name, spark)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ends_of_runs_are_those_of_arrays(monkeypatch):
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        a, b = ring(rng, 5), ring(rng, 5)
+        found = []
+        for few in (64, 0):
+            monkeypatch.setattr(transitions, "FEW_EDGES", few)
+            found.append([(round(long, 6), round(gap, 9), status) for long, gap, status, _ in transitions.shared_runs(a, b)])
+        assert found[0] == found[1]
