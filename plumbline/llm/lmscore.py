@@ -6,9 +6,10 @@ documents in column blobs, one for each batch of texts and bucket, so that Spark
 
 A window's bucket follows from its last three context bytes, so all its longer contexts lie in its bucket: a task builds
 the tables of one bucket, scores each distinct window of the corpus once, and the scores go back to the batches that
-have it, as the words' counts do. Contexts of up to two bytes are gathered (2**24 places at most). Buckets are a multiple
-of spark.sql.shuffle.partitions: nothing but the mixer's sample and those short contexts reaches the driver, and no
-table is held whole anywhere, however much there is to learn.
+have it, as the words' counts do. Contexts of up to two bytes are gathered (2**24 places at most). The mixer is fitted to
+all training windows, each as often as it occurs: a round adds up every bucket's sums. Buckets are a multiple of
+spark.sql.shuffle.partitions: nothing but the rounds' sums (of fixed size) and those short contexts reaches the driver, and
+no table is held whole anywhere, however much there is to learn.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shared
-from plumbline.llm.mixture import DENSE, ORDERS, WINDOW, Checked, Dense, Mixer, contexts, log10, neighbourhood, nodes, windows
+from plumbline.llm.mixture import DENSE, ORDERS, ROUNDS, WINDOW, Checked, Dense, Mixer, contexts, log10, neighbourhood, windows
 
-#: Bytes of text in a batch, and distinct training windows that the mixer is fitted on.
-BATCH_BYTES, SAMPLE = 8 << 20, 1 << 17
+#: Bytes of text in a batch.
+BATCH_BYTES = 8 << 20
 #: Windows of a bucket that are held unmerged.
 UNMERGED = 4 << 20
 END = b"\n"
@@ -95,18 +96,19 @@ class _Batch:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code of each distinct token, sorted; index into them of each token; tokens of each text)."""
-        index = _Index()
-        counts, found = [], []
-        for end, size in zip(self.ends, self.sizes):
-            split = self.data[end - size : end].split()
-            split.append(END)
-            counts.append(len(split))
-            found.append(np.fromiter(map(index.__getitem__, split), np.int64, len(split)))
-        codes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+        data = np.frombuffer(self.data, np.uint8)
+        space, end = data == 32, data == END[0]
+        begins = end.copy()  # a text's end is a token, and one begins after each end and each space
+        begins[1:] |= space[:-1] | end[:-1]
+        begins[:1] = True
+        letters = np.cumsum(~space)
+        starts = np.append(letters[begins] - 1, len(data) - np.count_nonzero(space)).astype(np.int64)
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data[~space])]).dictionary_encode()
+        codes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens.dictionary.to_pylist()), np.uint64, len(tokens.dictionary))
         order = np.argsort(codes)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return codes[order], place[np.concatenate(found)] if found else np.zeros(0, np.int64), np.array(counts, np.int64)
+        return codes[order], place[tokens.indices.to_numpy()], np.diff(np.cumsum(begins)[self.ends - 1], prepend=0)
 
     def windows(self) -> np.ndarray:
         """The windows of all bytes of all texts, each text begun after zero bytes."""
@@ -116,31 +118,48 @@ class _Batch:
             parts += [bytes(pad), self.data[end - size : end]]
         every = windows(np.frombuffer(b"".join(parts), np.uint8))
         keep = np.ones(len(every), bool)  # those that end in the padding between texts aren't texts' bytes
-        gaps = np.cumsum(self.sizes + pad)[:-1] - pad
-        for k in range(pad):
-            keep[gaps + k] = False
+        keep[(np.cumsum(self.sizes + pad)[:-1, None] - pad + np.arange(pad)).ravel()] = False
         return every[keep]
 
     def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct windows by bucket, then value; where each bucket starts; how often each occurs in training texts)."""
-        every = self.windows()
-        found = _once(np.sort(every))
-        trained = np.sort(every[np.repeat(~self.held, self.sizes)])
-        times = (np.searchsorted(trained, found, "right") - np.searchsorted(trained, found)).astype(np.uint32)
+        every, held = self.windows(), np.repeat(self.held, self.sizes)
+        trained = np.sort(every[~held])
+        first = np.flatnonzero(np.append(True, trained[1:] != trained[:-1])) if len(trained) else np.zeros(0, np.int64)
+        found = _once(np.sort(np.concatenate([trained[first], every[held]])))
+        times = np.zeros(len(found), np.uint32)
+        times[np.searchsorted(found, trained[first])] = np.diff(first, append=len(trained))
         order, starts = _dealt(found, buckets)
         return found[order], starts, times[order]
 
+    def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct windows by bucket, then value; where each bucket starts)."""
+        found = _once(np.sort(self.windows()))
+        order, starts = _dealt(found, buckets)
+        return found[order], starts
+
     def scored(self, buckets: int, scores: np.ndarray) -> np.ndarray:
         """Each byte's score, from those of the distinct windows by bucket, then value."""
         every = self.windows()
-        by = np.argsort(every)
-        ordered = every[by]
-        new = np.append(True, ordered[1:] != ordered[:-1]) if len(ordered) else np.zeros(0, bool)
-        order, _ = _dealt(ordered[new], buckets)
+        if not len(every):
+            return np.zeros(0)
+        bits = np.uint64(max(1, len(every) - 1).bit_length())
+        mixed = every * np.uint64(0x9E3779B97F4A7C15) >> bits << bits | np.arange(len(every), dtype=np.uint64)  # sorts faster than places by windows
+        mixed.sort()
+        by = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        mixed >>= bits
+        new = np.append(True, mixed[1:] != mixed[:-1])
+        if np.count_nonzero(new) != len(scores):  # two windows whose mixed bits are the same
+            by = np.argsort(every)
+            ordered = every[by]
+            new = np.append(True, ordered[1:] != ordered[:-1])
+        found = every[by[new]]
+        rank = np.argsort(found)
+        order, _ = _dealt(found[rank], buckets)
         each = np.empty(len(order))
-        each[order] = scores
+        each[rank[order]] = scores
         out = np.empty(len(every))
-        out[by] = each[np.cumsum(new) - 1]
+        out[by] = np.repeat(each, np.diff(np.flatnonzero(new), append=len(every)))
         return out
 
 
@@ -159,12 +178,6 @@ def bucket_of(hashed: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-class _Index(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        return at
-
-
 def _counted(buckets: int, kinds: str):
     """Each batch's distinct words (t) and windows (w) with their training counts, by bucket."""
 
@@ -179,10 +192,10 @@ def _counted(buckets: int, kinds: str):
                     for k in np.flatnonzero(cut[1:] > cut[:-1]):
                         x, y = cut[k], cut[k + 1]
                         yield _row("t", int(k), number, ascending(codes[x:y]), planes(trained[x:y]))
-                window, cut, times = batch.distinct(buckets)
+                window, cut, *times = batch.distinct(buckets) if "t" in kinds else batch.asked(buckets)
                 for k in np.flatnonzero(cut[1:] > cut[:-1]):
                     x, y = cut[k], cut[k + 1]
-                    yield _row("w", int(k), number, ascending(window[x:y]), planes(times[x:y]) if "t" in kinds else b"")
+                    yield _row("w", int(k), number, ascending(window[x:y]), planes(times[0][x:y]) if times else b"")
         shared.release()
 
     return run
@@ -213,7 +226,7 @@ def _summed(rows: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
     def merged() -> tuple[np.ndarray, ...]:
         key, *columns = (np.concatenate(x) for x in zip(*held))
-        by = np.argsort(key)
+        by = np.argsort(key, kind="stable")  # of sorted runs
         key = key[by]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         return key[first], *(np.add.reduceat(c[by], first) if len(first) else c for c in columns)
@@ -228,8 +241,8 @@ def _summed(rows: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return merged() if held else ()
 
 
-def _merged(per_bucket: int, shards: int):
-    """Of each bucket: its words' sums, back to the batches (c); its windows with their counts (x); a sample with all counts of longer contexts (s); shorter contexts (n)."""
+def _merged(shards: int):
+    """Of each bucket: its words' sums, back to the batches (c); its windows with their counts (x); shorter contexts (n)."""
 
     def words(bucket: int, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         asked = [(r["batch"], unascending(r["a"]), unplanes(r["b"], np.uint32).astype(np.int64)) for r in rows]
@@ -247,13 +260,6 @@ def _merged(per_bucket: int, shards: int):
             yield _row("x", bucket, -1, ascending(window), planes(times))
             trained = times > 0
             window, times = window[trained], times[trained]
-            at = np.sort(np.argsort((window ^ (window >> np.uint64(23))) * np.uint64(0xD6E8FEB86659FD93), kind="stable")[:per_bucket])
-            features = np.zeros((8, len(_LONG), 2, len(at)), np.uint16)
-            for i, order in enumerate(_LONG):
-                held = Checked(window, times, order)
-                for position, node, _ in nodes(window[at]):
-                    features[position, i] = held.counts(window[at], node)
-            yield _row("s", bucket, 0, window[at].tobytes(), times[at].tobytes(), features.tobytes())
             for order in range(1, DENSE + 1):
                 place, zero, one = contexts(window, times, order)
                 shard = (place >> np.uint64(8)) % np.uint64(shards)
@@ -282,33 +288,49 @@ def _dense(merged: DataFrame) -> list[Dense]:
     return out
 
 
-def _fitted(merged: DataFrame, dense: list[Dense]) -> Mixer:
-    """The mixer, fitted on the sample."""
-    sample = [(r["a"], r["b"], r["c"]) for r in merged.where("kind = 's'").select("a", "b", "c").orderBy("bucket").collect() if r["a"]]  # SAMPLE windows
-    if not sample:
-        return Mixer()
-    window = np.concatenate([np.frombuffer(a, np.uint64) for a, _, _ in sample])
-    times = np.concatenate([np.frombuffer(b, np.int64) for _, b, _ in sample])
-    long = np.concatenate([np.frombuffer(c, np.uint16).reshape(8, len(_LONG), 2, -1) for _, _, c in sample], axis=3)
-    mixed = np.argsort(window * np.uint64(0x9E3779B97F4A7C15), kind="stable")  # buckets' windows among one another
-    window, times, long = window[mixed], times[mixed], long[..., mixed]
-    node = [n for _, n, _ in nodes(window)]
+def _told(dense, mixer: Mixer, mapping: bool):
+    """The mixer's sums over all training windows of a task's buckets, a row for each position of a bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for _, rows in _runs(batches, ("bucket",)):
+            for r in rows:
+                window, times = unascending(r["a"]), unplanes(r["b"], np.int64)
+                window, times = window[times > 0], times[times > 0]
+                tables = [*dense.value, *(Checked(window, times, order) for order in _LONG)]
+                total = total + mixer.sums(window, times, lambda w: lambda i, _, node: tables[i].counts(w, node), mapping)  # noqa: B023
+        if not isinstance(total, int):
+            for position, sums in enumerate(total):
+                yield _row("g", position, -1, planes(sums))
+        shared.release()
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (position,), rows in _runs(batches, ("bucket",)):
+        yield _row("g", position, -1, sum(unplanes(r["a"], np.int64) for r in rows).tobytes())
 
-    def counts(i: int, position: int) -> tuple[np.ndarray, np.ndarray]:
-        return dense[i].counts(window, node[position]) if i < DENSE else tuple(long[position, i - DENSE].astype(np.float32))
 
-    return Mixer().fit(window, times, counts)
+def _fitted(held: DataFrame, dense) -> Mixer:
+    """The mixer, fitted to all training windows; held: the buckets' windows with their counts."""
+    mixer = Mixer()
+    for k in range(ROUNDS + 1):
+        told = held.mapInArrow(_told(dense, mixer, k == ROUNDS), _ROWS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_added, _ROWS)
+        sums = [np.frombuffer(r["a"], np.int64) for r in sorted(told.select("bucket", "a").collect(), key=lambda r: r["bucket"])]  # 8 rows
+        if sums:
+            (mixer.remap if k == ROUNDS else mixer.step)(np.stack(sums))
+    return mixer
 
 
-def _window_scores(model, buckets: int):
+def _window_scores(dense, mixer: Mixer):
     """Each bucket's windows are scored once, and go to the batches that have them, in the order they were sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, dense = model.value
         for (bucket,), rows in _runs(batches, ("bucket",)):
             held = next(rows)  # the bucket's own row comes first: its batch is -1
             window, times = unascending(held["a"]), unplanes(held["b"], np.int64)
-            score = log10(mixer, [*dense, *(Checked(window, times, order) for order in _LONG)], window).astype(np.float32)
+            score = log10(mixer, [*dense.value, *(Checked(window, times, order) for order in _LONG)], window).astype(np.float32)
             for r in rows:
                 yield _row("p", bucket, r["batch"], planes(score[np.searchsorted(window, unascending(r["a"]))]))
         shared.release()
@@ -354,13 +376,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     batched = shared.written(shared.texts(docs).mapInArrow(_batched, _ROWS))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = batched.mapInArrow(_counted(buckets, "tw"), _ROWS).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "batch")
-    merged = shared.written(keyed.mapInArrow(_merged(-(-SAMPLE // buckets), 64), _ROWS))
+    merged = shared.written(keyed.mapInArrow(_merged(64), _ROWS))
     total = distinct = 0
     for row in merged.where("kind = 'v'").select(F.col("batch").alias("distinct"), "a").toLocalIterator():  # two numbers for each bucket
         total, distinct = total + int(np.frombuffer(row["a"], np.int64)[0]), distinct + row["distinct"]
-    dense = _dense(merged)
-    model = spark.sparkContext.broadcast((_fitted(merged, dense), dense))
-    asked = merged.where("kind = 'x'").unionByName(batched.mapInArrow(_counted(buckets, "w"), _ROWS))
-    scores = asked.repartition("bucket").sortWithinPartitions("bucket", "batch").mapInArrow(_window_scores(model, buckets), _ROWS)
+    held = merged.where("kind = 'x'")
+    dense = spark.sparkContext.broadcast(_dense(merged))
+    mixer = _fitted(held, dense)
+    asked = held.unionByName(batched.mapInArrow(_counted(buckets, "w"), _ROWS))
+    scores = asked.repartition("bucket").sortWithinPartitions("bucket", "batch").mapInArrow(_window_scores(dense, mixer), _ROWS)
     rows = batched.unionByName(merged.where("kind = 'c'")).unionByName(scores)
     return rows.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_scored(buckets, total, distinct), _RESULT)

@@ -4,8 +4,9 @@ A text is predicted bit by bit. For each of ORDERS, the preceding bytes and the
 holds how often a 0 and a 1 followed in training; every context of the training texts is kept. The contexts' log-odds are
 mixed by the sum of two sets of weights, each selected by a gate: one by the bit's position, the bytes since the last
 space and the longest context that was seen, the other by position and the byte before. An adaptive map, selected by the
-byte's bits so far, refines the mixed probability by what was observed at it. Weights and map are fitted online over a
-sample in small batches, then kept, so that no text's score depends on the texts scored before it.
+byte's bits so far, refines the mixed probability by what was observed at it. Weights and map are fitted to all training
+windows by rounds of sums, then kept, so that no text's score depends on the texts scored before it. A round's sums are whole
+numbers: added up in any order they are the same.
 """
 
 from __future__ import annotations
@@ -19,17 +20,15 @@ DENSE = 2
 #: Counts above which a context's are scaled down.
 MOST_COUNT = 60_000
 PRIOR, EDGE, LEVELS = 0.4, 1e-6, 33
+#: Rounds in which the weights are fitted; gates of a position in either set; sums are kept in such parts of one.
+ROUNDS, GATES, PARTS = 4, (WINDOW * (len(ORDERS) + 1), 256), 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def windows(data: np.ndarray) -> np.ndarray:
     """The WINDOW bytes that end at each byte from the WINDOW-th on, as one number each."""
-    n = len(data) - WINDOW + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(WINDOW):
-        out <<= np.uint64(8)
-        out |= data[k : k + n]
-    return out
+    n = max(len(data) - WINDOW + 1, 0)
+    return np.ndarray(n, ">u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,)).astype(np.uint64) >> np.uint64(8 * (8 - WINDOW))
 
 
 def _context(window: np.ndarray, order: int) -> np.ndarray:
@@ -72,18 +71,27 @@ def nodes(window: np.ndarray):
 
 def contexts(window: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, zeros, ones), sorted by key, of an order's contexts in the windows with their counts; a dense order's keys are places."""
+    low = window & np.uint64((1 << (8 * order + 8)) - 1)
+    if (low[1:] < low[:-1]).any():
+        by = np.argsort(low)
+        low, counts = low[by], counts[by]
+    if not len(low):
+        return low, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    counts = counts.astype(np.int64)
     where, zero, one = [], [], []
-    for _, node, bit in nodes(window):
-        where.append((places if order <= DENSE else keys)(window, order, node))
-        zero.append(np.where(bit, 0, counts))
-        one.append(np.where(bit, counts, 0))
+    for position, _, bit in nodes(low):  # in order, the windows of a context and node are neighbours
+        before = low >> np.uint64(8 - position)
+        first = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        node = (((low[first] & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - position))
+        where.append((places if order <= DENSE else keys)(low[first], order, node))
+        ones = np.add.reduceat(np.where(bit, counts, 0), first)
+        zero.append(np.add.reduceat(counts, first) - ones)
+        one.append(ones)
     where = np.concatenate(where)
     by = np.argsort(where)
     where = where[by]
-    first = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-    if not len(first):
-        return where, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return where[first], np.add.reduceat(np.concatenate(zero)[by].astype(np.int64), first), np.add.reduceat(np.concatenate(one)[by].astype(np.int64), first)
+    first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+    return where[first], np.add.reduceat(np.concatenate(zero)[by], first), np.add.reduceat(np.concatenate(one)[by], first)
 
 
 def scaled(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +153,26 @@ class Checked:
         return ((found >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float32), (found & np.uint64(0xFFFF)).astype(np.float32)
 
 
-def gates(window: np.ndarray, position: int, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    before = ((window >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-    return (position * WINDOW + since_space(window)) * (len(ORDERS) + 1) + longest, position * 256 + before
+def gates(since: np.ndarray, before: np.ndarray, position: int, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """since: bytes since the last space; before: the byte before."""
+    return (position * WINDOW + since) * (len(ORDERS) + 1) + longest, position * 256 + before
+
+
+def looked_up(window: np.ndarray, counts, own: bool):
+    """For each bit of the last byte: (position, node, the bit, the orders' log-odds, gates).
+
+    counts(i, position, node): zeros and ones of ORDERS[i] at each window; own: one own occurrence of each is left out.
+    """
+    since, before = since_space(window), ((window >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
+    for position, node, bit in nodes(window):
+        inputs, longest = np.empty((len(ORDERS), len(window)), np.float32), np.zeros(len(window), np.int64)
+        for i in range(len(ORDERS)):
+            zero, one = counts(i, position, node)
+            if own:
+                zero, one = np.maximum(zero - ~bit, 0), np.maximum(one - bit, 0)
+            inputs[i] = odds(zero, one)
+            longest[zero + one > 0] = i + 1
+        yield position, node, bit, inputs, gates(since, before, position, longest)
 
 
 def odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -170,7 +195,7 @@ class Mixer:
         return low, at - low
 
     def mix(self, inputs: np.ndarray, gate: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return (inputs * (self.weights[0][gate[0]] + self.weights[1][gate[1]])).sum(1)
+        return sum(x * (a[gate[0]] + b[gate[1]]) for x, a, b in zip(inputs, self.weights[0].T.copy(), self.weights[1].T.copy()))
 
     def refine(self, mixed: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The probability of a 1."""
@@ -179,40 +204,54 @@ class Mixer:
         mapped = self.map[node, low] * (1 - share) + self.map[node, low + 1] * share
         return np.clip(0.5 * mapped + 0.5 * squash(mixed), EDGE, 1 - EDGE)
 
-    def fit(self, window: np.ndarray, times: np.ndarray, counts, rounds: int = 6, batch: int = 4096, rate: float = 0.3) -> Mixer:
-        """Online over a sample of training windows, a batch at a time: weights by gradient, then the map by what was observed.
+    def sums(self, window: np.ndarray, times: np.ndarray, counts, mapping: bool, batch: int = 1 << 16) -> np.ndarray:
+        """What training windows say of the weights: each gate's gradient and curvature; mapping: of the map, what was observed at its levels.
 
-        counts(i, position): zeros and ones of ORDERS[i] at each window; one own occurrence of each is left out.
+        A row for each position of a bit, in PARTS of one. counts(w): the lookup of some windows, as looked_up() takes it.
         """
-        steps = []
-        for position, node, bit in nodes(window):
-            inputs, longest = np.empty((len(window), len(ORDERS)), np.float32), np.zeros(len(window), np.int64)
-            for i in range(len(ORDERS)):
-                zero, one = counts(i, position)
-                zero, one = np.maximum(zero - ~bit, 0), np.maximum(one - bit, 0)
-                inputs[:, i] = odds(zero, one)
-                longest[zero + one > 0] = i + 1
-            steps.append((inputs, gates(window, position, longest), node, bit))
-        hits, all_ = np.zeros((256, LEVELS)), np.zeros((256, LEVELS))
-        for k in range(rounds):
-            for at in range(0, len(window), batch):
-                n = times[at : at + batch].astype(float)
-                for inputs, gate, node, bit in steps:
-                    x, g, y = inputs[at : at + batch], (gate[0][at : at + batch], gate[1][at : at + batch]), bit[at : at + batch]
-                    mixed = self.mix(x, g)
-                    error = (y - squash(mixed)) * n
-                    for weights, mine in zip(self.weights, g):
-                        total = np.maximum(np.bincount(mine, n, len(weights)), 1)
-                        for i in range(len(ORDERS)):
-                            weights[:, i] += rate / 2 * np.bincount(mine, error * x[:, i], len(weights)) / total
-                    if k == rounds - 1:
-                        low, share = self._level(mixed)
-                        here = node[at : at + batch].astype(np.int64) * LEVELS + low
-                        for where, part in ((here, 1 - share), (here + 1, share)):
-                            all_ += np.bincount(where, n * part, 256 * LEVELS).reshape(256, LEVELS)
-                            hits += np.bincount(where, n * part * y, 256 * LEVELS).reshape(256, LEVELS)
-        base = squash(np.linspace(-8, 8, LEVELS))
-        self.map = (hits + 16 * base) / (all_ + 16)
+        n = len(ORDERS)
+        out = np.zeros((8, 2 * 256 * LEVELS // 8)) if mapping else np.zeros((8, sum(GATES), n + n * (n + 1) // 2))
+        seen = np.zeros((2, 256 * LEVELS))
+        for at in range(0, len(window), batch):
+            w, t = window[at : at + batch], times[at : at + batch].astype(float)
+            for position, node, bit, inputs, gate in looked_up(w, counts(w), True):
+                mixed = self.mix(inputs, gate)
+                if mapping:
+                    low, share = self._level(mixed)
+                    here = node.astype(np.int64) * LEVELS + low
+                    for where, part in ((here, t * (1 - share)), (here + 1, t * share)):
+                        seen += [np.bincount(where, part * bit, 256 * LEVELS), np.bincount(where, part, 256 * LEVELS)]
+                    continue
+                p = squash(mixed)
+                error, curve = (bit - p) * t, p * (1 - p) * t
+                both = (gate[0] - position * GATES[0]) * GATES[1] + (gate[1] - position * GATES[1])
+                bent = [inputs[i] * curve for i in range(n)]
+                for k, x in enumerate([*(inputs[i] * error for i in range(n)), *(bent[i] * inputs[j] for i in range(n) for j in range(i + 1))]):
+                    table = np.bincount(both, x, GATES[0] * GATES[1]).reshape(GATES)
+                    out[position, :, k] += np.append(table.sum(1), table.sum(0))
+        return np.rint((seen.reshape(8, -1) if mapping else out.reshape(8, -1)) * PARTS).astype(np.int64)
+
+    def step(self, sums: np.ndarray) -> None:
+        """A Newton step of each gate by itself, half as far since two gates share each input."""
+        n = len(ORDERS)
+        told = sums.reshape(8, sum(GATES), -1) / PARTS
+        curve = np.zeros((*told.shape[:2], n, n))
+        i, j = np.tril_indices(n)
+        curve[..., i, j] = curve[..., j, i] = told[..., n:]
+        move = np.clip(np.linalg.solve(curve + np.eye(n), told[..., :n, None])[..., 0] / 2, -0.5, 0.5)
+        for weights, part in zip(self.weights, np.split(move, [GATES[0]], axis=1)):
+            weights += part.reshape(weights.shape)
+
+    def remap(self, sums: np.ndarray) -> None:
+        hits, all_ = sums.reshape(2, 256, LEVELS) / PARTS
+        self.map = (hits + 16 * squash(np.linspace(-8, 8, LEVELS))) / (all_ + 16)
+
+    def fit(self, window: np.ndarray, times: np.ndarray, counts, rounds: int = ROUNDS) -> Mixer:
+        """Over training windows held here. counts(i, position): zeros and ones of ORDERS[i] at each window; one own occurrence of each is left out."""
+        lookup = lambda w: lambda i, position, node: counts(i, position)
+        for _ in range(rounds):
+            self.step(self.sums(window, times, lookup, False, max(1, len(window))))
+        self.remap(self.sums(window, times, lookup, True, max(1, len(window))))
         return self
 
 
@@ -222,13 +261,8 @@ def log10(mixer: Mixer, tables: list, window: np.ndarray, batch: int = 1 << 16)
     for at in range(0, len(window), batch):
         w = window[at : at + batch]
         total = np.zeros(len(w))
-        for position, node, bit in nodes(w):
-            inputs, longest = np.empty((len(w), len(ORDERS)), np.float32), np.zeros(len(w), np.int64)
-            for i, held in enumerate(tables):
-                zero, one = held.counts(w, node)
-                inputs[:, i] = odds(zero, one)
-                longest[zero + one > 0] = i + 1
-            p = mixer.refine(mixer.mix(inputs, gates(w, position, longest)), node)
+        for _, node, bit, inputs, gate in looked_up(w, lambda i, _, node: tables[i].counts(w, node), False):
+            p = mixer.refine(mixer.mix(inputs, gate), node)
             total += np.log10(np.where(bit, p, 1 - p))
         out[at : at + batch] = total
     return out

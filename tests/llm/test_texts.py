@@ -281,6 +281,18 @@ def test_mixture_keeps_every_context():
     assert not sum(held.counts(new, node[: len(new)])).any()
 
 
+def test_lm_is_fitted_to_all_training_windows(spark):
+    """More distinct windows than 2**17: every score is that of a mixer fitted to all of them in one place."""
+    random = np.random.default_rng(3)
+    rows = [(k, bytes(random.choice(np.frombuffer(b"abcdefghij ", np.uint8), 6000)).decode()) for k in range(60)]
+    texts = {k: lmscore.normalised(t.encode()) for k, t in rows}
+    tables, mixer, window = trained([t for k, t in texts.items() if not lmscore.held_out(k)])
+    assert len(window) > 1 << 17
+    for r in lmscore.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        every = mixture.windows(np.frombuffer(bytes(mixture.WINDOW - 1) + texts[r.doc_id], np.uint8))
+        assert math.isclose(r.score, mixture.log10(mixer, tables, every).sum(), rel_tol=1e-5)
+
+
 def test_lm_is_the_same_from_many_batches(spark, docs, monkeypatch):
     """Cutting the texts into more batches, buckets and merges changes no score."""
     score = lambda: {(str(r.doc_id), r.n_bytes): (r.score, r.base_score) for r in lmscore.score_documents(docs).collect()}
