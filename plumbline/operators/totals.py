@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.numeric import material_quantity, number, or_else, round2_eps
 
 MEASURES = ["floor", "wall", "border", "lf", "ea"]
+#: Shapes in a task that adds them up by several keys.
+TASK_ROWS = 250_000
 
 
 def _sum(value: Column) -> Column:
@@ -84,13 +86,20 @@ def grand_totals(rows: DataFrame) -> DataFrame:
 
 
 def all_groupings(conditions: DataFrame, shapes: DataFrame) -> DataFrame:
-    """The five groupings of a report in one pass: base sums by GROUPING SETS, order quantities after."""
-    sets = [["condition_id"], ["sheet_id", "condition_id"], ["label", "condition_id"], ["author", "condition_id"], ["sheet_id", "label", "condition_id"]]
+    """The five groupings of a report in one pass: base sums by all keys, which every coarser grouping adds up, order quantities after.
+
+    Every grouping has the condition, so shapes are dealt by it once, to as many tasks as there are TASK_ROWS of them, and all sums stay there: a task's
+    memory doesn't grow with the table.
+    """
+    sets = {"condition": [], "sheet": ["sheet_id"], "label": ["label"], "author": ["author"], "sheet_label": ["sheet_id", "label"]}
     keys = ["sheet_id", "label", "author", "condition_id"]
-    small = base_sums(shapes, *keys)  # every coarser grouping adds these up
-    added = small.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("grouping"), F.sum("shape_count").alias("shape_count"), *[_sum(F.col(m)).alias(m) for m in MEASURES])
-    name = F.when(F.col("grouping") == 14, "condition").when(F.col("grouping") == 6, "sheet").when(F.col("grouping") == 10, "label").when(F.col("grouping") == 12, "author").otherwise("sheet_label")
-    return order_quantities(conditions, added.withColumn("grouping", name), keep_empty=False)
+    tasks = max(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shapes.count() // TASK_ROWS))
+    small = base_sums(shapes.repartition(tasks, "condition_id"), *keys)
+    kinds = dict(small.dtypes)
+    rows = [F.struct(F.lit(name).alias("grouping"), *[(F.col(k) if k in of else F.lit(None).cast(kinds[k])).alias(k) for k in keys[:3]]) for name, of in sets.items()]
+    each = small.select("condition_id", "shape_count", *MEASURES, F.explode(F.array(*rows)).alias("of")).select("of.*", "condition_id", "shape_count", *MEASURES)
+    added = each.groupBy(*keys, "grouping").agg(F.sum("shape_count").alias("shape_count"), *[_sum(F.col(m)).alias(m) for m in MEASURES])
+    return order_quantities(conditions, added, keep_empty=False)
 
 
 def condition_materials(conditions: DataFrame, shapes: DataFrame, materials: DataFrame, seams: DataFrame | None = None) -> DataFrame:

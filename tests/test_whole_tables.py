@@ -26,3 +26,16 @@ def test_all_collisions(spark):
     got = QUERIES["O03_collisions_ranked"](spark, SF).collect()
     assert len(got) == QUERIES["J09_floor_collisions"](spark, SF).count() > 50
     assert sorted(r["place"] for r in got) == list(range(1, len(got) + 1))
+
+
+def test_groupings_are_dealt_by_the_count_of_shapes(spark, monkeypatch):
+    """One shuffle of shapes, by condition, to tasks that grow with the table."""
+    from plumbline.operators import totals
+    from plumbline.plans import projection
+
+    monkeypatch.setattr(totals, "TASK_ROWS", 100, raising=False)
+    shapes = projection.shapes(spark, "/root/testdata/sf0.001")
+    found = totals.all_groupings(projection.conditions(spark, "/root/testdata/sf0.001"), shapes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [condition_id" in plan and f"], {-(-shapes.count() // 100)}" in plan
+    assert found.groupBy("grouping").agg({"shape_count": "sum"}).select("sum(shape_count)").distinct().count() == 1
