@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.planar import WELD, Plane, cut_lines, inside, plane_of
-from plumbline.plans.scratch import spread
+from plumbline.plans.scratch import sheetwise_pairs
 
 # Square feet: the largest piece of a room that is grown into, and the largest pocket; feet: the width up to which a face is narrow.
 LARGEST_PIECE, LARGEST_POCKET, NARROW = 30.0, 40.0, 0.75
@@ -99,24 +99,23 @@ def net_rooms(seeds: DataFrame, lines: DataFrame, sheets: DataFrame, marks: Data
     kinds = dict(asked.dtypes)
     marked = asked.select("sheet_id", F.lit("seed").alias("kind"), "id", "x", "y", "px_per_ft")
     if marks is not None:
-        marked = marked.unionByName(marks.select("sheet_id", "kind", F.lit(None).cast(kinds["id"]).alias("id"), d("x"), d("y"), F.lit(None).cast("double").alias("px_per_ft")))
-    names = ["sheet_id", "id", *(c.split()[0] for c in ROOM.split(", "))]
+        marked = marked.unionByName(marks.select("sheet_id", "kind", F.lit(0).cast(kinds["id"]).alias("id"), d("x"), d("y"), F.lit(None).cast("double").alias("px_per_ft")))
 
-    def run(key, mark, line):
+    def run(mark: pd.DataFrame, line: pd.DataFrame) -> list[tuple]:
         out, growth = [], None
         mine = mark[mark["kind"] == "seed"]
         scale = mine["px_per_ft"].max() if len(mine) else None
         if len(mine) and len(line) and scale is not None and scale > 0:
             points = lambda kind: mark[mark["kind"] == kind][["x", "y"]].dropna().to_numpy()
             growth = Growth(plane_of(line, reach), scale, points("solid"), points("doorless"))
-        for s in mine.itertuples():
-            faces, reason = growth.room(s.x, s.y) if growth else (set(), "no scale" if len(line) else "no lines close it")
+        sheet = mark["sheet_id"].iloc[0]
+        for name, x, y in zip(*(mine[c].tolist() for c in ("id", "x", "y"))):
+            faces, reason = growth.room(x, y) if growth else (set(), "no scale" if len(line) else "no lines close it")
             if reason:
-                out.append((key[0], s.id, "refused", reason, 0, None, None, None))
+                out.append((sheet, name, "refused", reason, 0, None, None, None))
                 continue
             ring, *holes = growth.plane.outline(faces)
-            out.append((key[0], s.id, "ok", "", len(faces), sum(map(growth.area, faces)) / growth.square, ring.tolist(), [h.tolist() for h in holes]))
-        return pd.DataFrame(out, columns=names)
+            out.append((sheet, name, "ok", "", len(faces), sum(map(growth.area, faces)) / growth.square, ring.tolist(), [h.tolist() for h in holes]))
+        return out
 
-    cut = cut_lines(lines, reach).withColumnRenamed("sheet_id", "line_sheet")
-    return spread(marked, "sheet_id").groupBy("sheet_id").cogroup(spread(cut, "line_sheet").groupBy("line_sheet")).applyInPandas(run, f"sheet_id {kinds['sheet_id']}, id {kinds['id']}, {ROOM}")
+    return sheetwise_pairs(marked, cut_lines(lines, reach), run, f"sheet_id {kinds['sheet_id']}, id {kinds['id']}, {ROOM}", "sheet_id")
